@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text is handled in slices of about so many bytes, whatever the size of an Arrow batch; a longer document is a slice of its own.
 SLICE_BYTES = 2_000_000
@@ -65,6 +66,11 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(0)) % modulus
 
 
+def extended(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of df with further columns."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

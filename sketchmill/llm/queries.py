@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format
+from . import chat_format, language_id, packing
 
 QUERIES = {
     "op2_chat_format": chat_format.op2_chat_format,
+    "op7_language_id": language_id.op7_language_id,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 
 ORACLES = {
