@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, packing
+from . import chat_format, decontaminate, language_id, packing
 
 QUERIES = {
     "op2_chat_format": chat_format.op2_chat_format,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_language_id": language_id.op7_language_id,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 
 ORACLES = {
     "op2_chat_format": chat_format.ORACLE,
+    "op5_decontaminate": decontaminate.ORACLE,
 }
