@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, packing
+from . import chat_format, decontaminate, language_id, packing, token_rollup, vector_search
 
 QUERIES = {
+    "op1_token_rollup": token_rollup.op1_token_rollup,
     "op2_chat_format": chat_format.op2_chat_format,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_language_id": language_id.op7_language_id,
+    "op8_vantage_point_search": vector_search.op8_vantage_point_search,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 
 ORACLES = {
     "op2_chat_format": chat_format.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
+    "op8_vantage_point_search": vector_search.ORACLE,
 }
