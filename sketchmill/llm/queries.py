@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, packing, token_rollup, vector_search
+from . import chat_format, decontaminate, language_id, near_dedup, packing, token_rollup, vector_search
 
 QUERIES = {
     "op1_token_rollup": token_rollup.op1_token_rollup,
@@ -11,10 +11,12 @@ QUERIES = {
     "op7_language_id": language_id.op7_language_id,
     "op8_vantage_point_search": vector_search.op8_vantage_point_search,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
 
 ORACLES = {
     "op2_chat_format": chat_format.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
     "op8_vantage_point_search": vector_search.ORACLE,
+    "op10_minhash_near_dedup": near_dedup.ORACLE,
 }
