@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, near_dedup, packing, quality_crf, token_rollup, vector_search
+from . import chat_format, decontaminate, html_extract, language_id, near_dedup, packing, quality_crf, token_rollup, vector_search
 
 QUERIES = {
     "op1_token_rollup": token_rollup.op1_token_rollup,
     "op2_chat_format": chat_format.op2_chat_format,
+    "op3_consensus_extraction": html_extract.op3_consensus_extraction,
     "op4_quality_crf": quality_crf.op4_quality_crf,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_language_id": language_id.op7_language_id,
