@@ -71,6 +71,14 @@ def extended(df: DataFrame, ddl: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
+def shield(df: DataFrame, *used: str):
+    """df with every column that is not used under a name of no meaning, so that extra columns can't clash with an operator's own;
+    and a function that restores the columns of df (and their order) on what an operator returns."""
+    names = {c: c if c in used else f"__kept_{k}" for k, c in enumerate(df.columns)}
+    hidden = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return hidden, lambda out: out.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, html_extract, language_id, near_dedup, packing, quality_crf, token_rollup, vector_search
+from . import chat_format, decontaminate, html_extract, language_id, near_dedup, packing, pitman_yor, quality_crf, token_rollup, vector_search
 
 QUERIES = {
     "op1_token_rollup": token_rollup.op1_token_rollup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_consensus_extraction": html_extract.op3_consensus_extraction,
     "op4_quality_crf": quality_crf.op4_quality_crf,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_pitman_yor_lm": pitman_yor.op6_pitman_yor_lm,
     "op7_language_id": language_id.op7_language_id,
     "op8_vantage_point_search": vector_search.op8_vantage_point_search,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
