@@ -1,6 +1,585 @@
-"""The registered queries of the library, and their SQL."""
+"""The registered queries of the library, and the same results in SQL.
+
+Each query applies operators to whole tables. Where no table holds what an operator reads (diagrams), plans.corpora renders it from
+relational tables, and the SQL computes the answer from those tables without reading any text: a round trip.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import metrics, preprocess, text
+from .operators import blocks, classify, consistency, curate, elements, images, stats
+from .plans import corpora
+from .sources import sinks
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+EXT = "['.puml', '.pu', '.plantuml', '.wsd', '.iuml', '.uml', '.txt', '.PUML'][(doc_id % 8 + 1)::BIGINT]"
+BLOBS = f"""blobs AS (SELECT doc_id, sha1(text) AS blob_id, 'src/d' || doc_id || {EXT} AS file_path,
+  CASE doc_id % 3 WHEN 0 THEN '@startuml' || chr(10) || text || chr(10) || '@EndUML' WHEN 1 THEN '@startuml' || chr(10) || text ELSE text END AS content FROM documents)"""
+COUNT = "len(list_filter(string_split({}, chr(10)), lambda x: regexp_matches(x, '\\S')))"
+LINES = f"nl AS (SELECT doc_id, {COUNT.format('text')}::BIGINT AS n_lines FROM documents)"
+RANKED = "r AS (SELECT {v} AS v, row_number() OVER (ORDER BY {v}) AS k, count(*) OVER () AS n FROM {t})"
+RANKS = """SELECT count(*)::BIGINT AS n, min(v)::BIGINT AS "min", max(CASE WHEN k = n // 4 + 1 THEN v END)::BIGINT AS q1, max(CASE WHEN k = n // 2 + 1 THEN v END)::BIGINT AS median,
+  max(CASE WHEN k = 3 * n // 4 + 1 THEN v END)::BIGINT AS q3, max(v)::BIGINT AS "max", avg(v) AS mean FROM r"""
+SHA40 = "regexp_full_match(blob_id, '[0-9a-fA-F]{40}')"
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return corpora.read(spark, d, "documents")
+
+
+def counted(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).select("doc_id", text.nonempty_lines(F.col("text")).cast("long").alias("n_lines"))
+
+
+# ---------------------------------------------------------------- records
+
+
+@query(f"WITH {LINES} SELECT doc_id, n_lines FROM nl WHERE n_lines >= 5")
+def nonempty_filter(spark, d):
+    return curate.length_filter(documents(spark, d), "text").select("doc_id", F.col("n_lines").cast("long").alias("n_lines"))
+
+
+@query(f"WITH {BLOBS} SELECT blob_id, file_path FROM blobs WHERE regexp_matches(file_path, '(?i)\\.(puml|pu|plantuml|wsd|iuml|uml)$')")
+def ext_filter(spark, d):
+    lines = corpora.blobs(spark, d).select(F.concat_ws(";", "blob_id", "file_path").alias("value"))
+    return curate.path_records(lines.where(curate.has_diagram_extension(F.col("value"))))
+
+
+@query(
+    f"""WITH {BLOBS} SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN 'error' WHEN content = '' THEN 'error' WHEN m = '' THEN 'valid' ELSE 'invalid' END AS status,
+  CASE WHEN doc_id % 10 = 9 THEN 'Blob not found' WHEN content = '' THEN 'Empty content' WHEN m = '' THEN NULL ELSE m END AS reason
+  FROM (SELECT *, array_to_string(list_filter([CASE WHEN NOT contains(lower(content), '@startuml') THEN 'missing @startuml' END, CASE WHEN NOT contains(lower(content), '@enduml') THEN 'missing @enduml' END], lambda x: x IS NOT NULL), ', ') AS m FROM blobs)"""
+)
+def marker_status(spark, d):
+    b = corpora.blobs(spark, d)
+    held = b.where("doc_id % 10 <> 9").select(F.col("doc_id").cast("string").alias("blob_id"), "content")
+    return curate.lookup_content(b.select("doc_id", F.col("doc_id").cast("string").alias("blob_id")), held).select("doc_id", "status", "reason")
+
+
+@query(
+    f"""WITH {BLOBS}, l AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'xyz' ELSE blob_id END AS blob_id, content FROM blobs)
+  SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN 'line ' || doc_id || ': malformed line' WHEN NOT {SHA40} THEN 'line ' || doc_id || ': invalid blob id' WHEN doc_id % 7 = 2 THEN 'line ' || doc_id || ': bad base64'
+    WHEN m <> '' THEN 'line ' || doc_id || ': ' || m END AS reason, CASE WHEN doc_id % 7 NOT IN (1, 2) THEN md5(content) END AS content_md5
+  FROM (SELECT *, array_to_string(list_filter([CASE WHEN NOT contains(lower(content), '@startuml') THEN 'missing @startuml' END, CASE WHEN NOT contains(lower(content), '@enduml') THEN 'missing @enduml' END], lambda x: x IS NOT NULL), ', ') AS m FROM l)"""
+)
+def record_parse(spark, d):
+    b = corpora.blobs(spark, d)
+    blob = F.when(F.col("doc_id") % 7 == 0, "xyz").otherwise(F.col("blob_id"))
+    whole = sinks.content_line(blob, F.col("file_path"), F.col("content"))
+    value = F.when(F.col("doc_id") % 7 == 1, F.concat_ws(";", blob, "file_path")).when(F.col("doc_id") % 7 == 2, F.concat_ws(";", blob, "file_path", F.lit("YQ"))).otherwise(whole)
+    return curate.content_records(b.select("doc_id", F.col("doc_id").alias("line_no"), value.alias("value"))).select("doc_id", "reason", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query(f"WITH {BLOBS} SELECT blob_id, doc_id, file_path FROM (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY doc_id) AS r FROM blobs) WHERE r = 1")
+def dedup_first(spark, d):
+    return curate.first_by_key(corpora.blobs(spark, d).select("blob_id", "doc_id", "file_path"), "blob_id", "doc_id")
+
+
+@query("SELECT sha1(text) AS content_sha1, count(*) AS n FROM documents GROUP BY 1")
+def content_duplicates(spark, d):
+    return curate.content_duplicates(documents(spark, d), "text")
+
+
+@query("SELECT doc_id AS blob_id, source AS project, quality FROM documents JOIN labels USING (doc_id)")
+def project_join(spark, d):
+    records = corpora.read(spark, d, "labels").select(F.col("doc_id").alias("blob_id"), "quality")
+    return curate.join_projects(records, documents(spark, d).select(F.col("doc_id").alias("blob_id"), F.col("source").alias("project"))).select("blob_id", "project", "quality")
+
+
+@query(f"WITH {BLOBS} SELECT doc_id, lower(sha1(('blob ' || octet_length(encode(content)))::BLOB || '\\x00'::BLOB || encode(content))) AS git_id FROM blobs")
+def git_ids(spark, d):
+    return corpora.blobs(spark, d).select("doc_id", curate.git_blob_id(F.col("content")).alias("git_id"))
+
+
+@query(
+    "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'b' ELSE 'a' END AS content FROM customer"
+)
+def first_directory(spark, d):
+    c = corpora.read(spark, d, "customer")
+    a = c.where("c_custkey % 3 <> 0").select("c_custkey", F.lit(0).alias("priority"), F.lit("a").alias("content"))
+    return curate.first_directory_hit(a.unionByName(c.select("c_custkey", F.lit(1).alias("priority"), F.lit("b").alias("content"))), "c_custkey").select("c_custkey", "content")
+
+
+@query("SELECT o_orderkey, ((k - 1) // 1000 + 1)::INTEGER AS batch, printf('batch_%04d', ((k - 1) // 1000 + 1)::INTEGER) AS directory FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders)")
+def batch_assign(spark, d):
+    return curate.assign_batches(corpora.read(spark, d, "orders").select("o_orderkey"), 1000, "o_orderkey")
+
+
+@query("SELECT o_orderkey, ((k - 1) // 100000 + 1)::INTEGER AS batch FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders) WHERE (k - 1) // 100000 + 1 NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey > 1)")
+def request_batches(spark, d):
+    made = curate.assign_batches(corpora.read(spark, d, "orders").select("o_orderkey"), 100_000, "o_orderkey").drop("directory")
+    done = corpora.read(spark, d, "nation").where("n_nationkey > 1").select(F.col("n_nationkey").alias("batch"))
+    return curate.not_submitted(made, done).select("o_orderkey", "batch")
+
+
+@query(f"WITH {BLOBS} SELECT doc_id, translate(ltrim('/' || file_path, '/'), '/', '_') AS name FROM blobs")
+def sanitize_names(spark, d):
+    return corpora.blobs(spark, d).select("doc_id", curate.sanitize_path(F.concat(F.lit("/"), "file_path")).alias("name"))
+
+
+@query("SELECT substr(regexp_replace(replace(p_name || '.puml', '.puml', ''), '[^A-Za-z0-9_-]', '_', 'g'), 1, 64) AS custom_id, arg_max(p_name || '.puml', p_partkey) AS file_name FROM part GROUP BY 1")
+def sanitize_ids(spark, d):
+    return curate.id_map(corpora.read(spark, d, "part").select(F.concat("p_name", F.lit(".puml")).alias("file_name"), F.col("p_partkey").alias("ord")))
+
+
+@query(
+    "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'f' || s_suppkey ELSE 's' || s_suppkey || '.puml' END AS file_name FROM supplier"
+)
+def id_back_map(spark, d):
+    s = corpora.read(spark, d, "supplier")
+    cid = F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("custom_id")
+    ids = s.where("s_suppkey % 2 = 0").select(cid, F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("file_name"))
+    return curate.back_map(s.select("s_suppkey", cid), ids).select("s_suppkey", "file_name")
+
+
+@query(f"WITH {BLOBS} SELECT doc_id, md5(blob_id || ';' || file_path || ';' || to_base64(encode(content))) AS line_md5, md5(content) AS content_md5 FROM blobs")
+def base64_round_trip(spark, d):
+    line = sinks.content_line(F.col("blob_id"), F.col("file_path"), F.col("content"))
+    back = text.utf8(text.decode_base64(text.fields(line, 3)[2]))
+    return corpora.blobs(spark, d).select("doc_id", F.md5(line.cast("binary")).alias("line_md5"), F.md5(back.cast("binary")).alias("content_md5"))
+
+
+# ---------------------------------------------------------------- distributions
+
+
+@query(f"WITH {LINES} SELECT n_lines, count(*) AS n FROM nl GROUP BY 1")
+def line_histogram(spark, d):
+    return stats.histogram(counted(spark, d), "n_lines")
+
+
+@query(f"WITH {LINES}, {RANKED.format(v='n_lines', t='nl')} {RANKS}")
+def line_stats(spark, d):
+    return stats.rank_stats(counted(spark, d), "n_lines")
+
+
+@query(f"WITH {RANKED.format(v='l_partkey', t='lineitem')} {RANKS}")
+def rank_stats_large(spark, d):
+    return stats.rank_stats(corpora.read(spark, d, "lineitem"), "l_partkey")
+
+
+@query(
+    f"""WITH {LINES}, b AS (SELECT * FROM (VALUES (0, '1-10', 1, 10), (1, '11-50', 11, 50), (2, '51-100', 51, 100), (3, '101-200', 101, 200), (4, '201+', 201, 1000000000)) t(ord, bucket, lo, hi))
+  SELECT ord, bucket, count(n_lines) AS n FROM b LEFT JOIN nl ON n_lines BETWEEN lo AND hi GROUP BY 1, 2"""
+)
+def line_buckets(spark, d):
+    return stats.bucket_counts(counted(spark, d), "n_lines")
+
+
+@query(
+    f"""WITH {LINES}, t AS (SELECT n_lines, count(*) AS n FROM nl GROUP BY 1 ORDER BY n DESC, n_lines LIMIT 20)
+  SELECT n_lines, n, repeat('█', least(50, n * 50 // max(n) OVER ())::BIGINT) AS bar FROM t"""
+)
+def top_line_counts(spark, d):
+    return stats.top_buckets(counted(spark, d), "n_lines")
+
+
+@query("SELECT lang AS status, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct FROM documents GROUP BY 1")
+def status_rates(spark, d):
+    return stats.status_counts(documents(spark, d).select(F.col("lang").alias("status")))
+
+
+@query(
+    f"""WITH {LINES} SELECT count(*) AS total, count(*) FILTER (n_lines >= 5) AS kept, count(*) FILTER (n_lines BETWEEN 1 AND 4) AS filtered, count(*) FILTER (n_lines = 0) AS errors,
+  count(*) FILTER (n_lines >= 5) / count(*) AS kept_rate FROM nl"""
+)
+def filter_rates(spark, d):
+    n = F.col("n_lines")
+    return counted(spark, d).agg(*stats.filter_rates(n >= 5, n == 0))
+
+
+# ---------------------------------------------------------------- splitting and normalising
+
+
+@query(
+    """WITH b AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+  SELECT 'o' || l_orderkey AS stem, k::INTEGER AS part, 'o' || l_orderkey || '_' || lpad(k::VARCHAR, 2, '0') || '.puml' AS file_name,
+    chr(39) || ' order ' || l_orderkey || chr(10) || chr(10) || '@startuml' || chr(10) || 'item_' || l_partkey || chr(10) || '@enduml' || chr(10) AS content FROM b WHERE n > 1"""
+)
+def split_blocks(spark, d):
+    return blocks.split_files(corpora.multi_diagrams(spark, d)).where("part > 0")
+
+
+@query("SELECT 'o' || l_orderkey AS stem, count(*) AS n_blocks, chr(39) || ' order ' || l_orderkey || chr(10) || chr(10) AS header FROM lineitem GROUP BY l_orderkey")
+def block_counts(spark, d):
+    return corpora.multi_diagrams(spark, d).select("stem", F.size(blocks.diagram_blocks(F.col("content"))).cast("long").alias("n_blocks"), blocks.header(F.col("content")).alias("header"))
+
+
+@query("SELECT 'o' || l_orderkey AS stem FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
+def split_sources(spark, d):
+    return blocks.split_sources(corpora.multi_diagrams(spark, d)).select("stem")
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '@startuml' WHEN 1 THEN '@startuml' WHEN 2 THEN '@startuml (id=' || p_partkey || ')' ELSE 'x @startuml' END || chr(10) || p_name || chr(10) || '@enduml' AS content FROM part"""
+)
+def normalize_tags(spark, d):
+    key = F.col("p_partkey").cast("string")
+    tag = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("@startuml name "), key)).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("@startuml{n"), key, F.lit("}"))).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("@startuml (id="), key, F.lit(")"))).otherwise("x @startuml  (gone)")
+    return corpora.read(spark, d, "part").select("p_partkey", blocks.normalize_tags(F.concat(tag, F.lit("\n"), "p_name", F.lit("\n@enduml"))).alias("content"))
+
+
+@query("SELECT count(*) AS processed, count(*) FILTER (p_partkey % 4 <> 2) AS modified, count(*) FILTER (p_partkey % 4 = 2) AS unchanged FROM part")
+def normalize_stats(spark, d):
+    key = F.col("p_partkey").cast("string")
+    tag = F.when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("@startuml (id="), key, F.lit(")"))).otherwise(F.concat(F.lit("@startuml n"), key))
+    changed = blocks.normalize_tags(F.col("content")) != F.col("content")
+    return corpora.read(spark, d, "part").select(tag.alias("content")).agg(F.count("*").alias("processed"), F.count_if(changed).alias("modified"), F.count_if(~changed).alias("unchanged"))
+
+
+def _stems(spark, d):
+    return corpora.read(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("stem"))
+
+
+def _images(spark, d):
+    k, key = F.col("o_orderkey") % 5, F.col("o_orderkey").cast("string")
+    name = F.when(k == 0, F.concat(F.lit("o"), key)).when(k == 1, F.concat(F.lit("o"), key, F.lit("_001"))).when(k == 2, F.concat(F.lit("o"), key, F.lit("_01"))).when(k == 3, F.concat(F.lit("x"), key))
+    paths = corpora.read(spark, d, "orders").where(name.isNotNull()).select(F.concat(F.lit("/img/"), name, F.lit(".png")).alias("path"))
+    return images.image_stems(paths)
+
+
+@query("SELECT 'o' || o_orderkey AS stem FROM orders WHERE o_orderkey % 5 IN (0, 1)")
+def has_image(spark, d):
+    return images.with_image(_stems(spark, d), _images(spark, d))
+
+
+@query("SELECT 'o' || o_orderkey AS stem FROM orders WHERE o_orderkey % 5 NOT IN (0, 1)")
+def no_image(spark, d):
+    return images.without_image(_stems(spark, d), _images(spark, d))
+
+
+@query("SELECT o_orderkey % 5 IN (0, 1) AS has_image, count(*) AS n FROM orders GROUP BY 1")
+def image_routes(spark, d):
+    return sinks.route_by_image(_stems(spark, d), _images(spark, d)).groupBy("has_image").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 100000::BIGINT AS total, count(DISTINCT c_nationkey) AS failed, 100000 - count(DISTINCT c_nationkey) AS valid, (100000 - count(DISTINCT c_nationkey)) * 100 // 100000 AS percent FROM customer")
+def render_stats(spark, d):
+    log = corpora.read(spark, d, "customer").select(F.concat(F.lit("Error line 3 in file: /p/n"), F.col("c_nationkey").cast("string"), F.lit(".puml")).alias("value"))
+    return images.render_stats(log, 100_000)
+
+
+# ---------------------------------------------------------------- cleaning
+
+
+def _clean_sql(*noise_lines: int) -> str:
+    return "SELECT user_id % 50 AS grp, string_agg('U' || user_id || ' -> V : m' || event_id, chr(10) ORDER BY event_id) AS content FROM events GROUP BY 1"
+
+
+def _tidy(c):
+    """Blank lines and blanks at line ends are not compared."""
+    return F.array_join(F.filter(F.transform(text.lines(c), text.strip), lambda x: x != ""), "\n")
+
+
+def _cleaned(spark, d, noise, step):
+    return corpora.noisy_diagrams(spark, d, noise).select("grp", _tidy(step(F.col("content"))).alias("content"))
+
+
+COMMENTS = {0: "' a comment\n", 1: "/' one\ntwo '/", 2: "   '' more\n"}
+STYLING = {0: "skinparam class {\n Color red\n}\n", 1: "skinparam dpi 100\n", 2: "hide empty members\n", 3: "style a {\n b\n}\n"}
+SPRITES = {0: "sprite $foo [16x16/16] {\nFFF\n}\n", 1: "sprite bar <svg w=1>\n<path/></svg>\n"}
+DIRECTIVES = {0: "!define A b\n", 1: "!include x.iuml\n", 2: "!procedure $p()\n!endprocedure\n", 3: "!$v = 1\n"}
+NOTES = {0: "note left: hello\n", 1: "note right of V\n text\nend note\n", 2: 'note "x" as N1\n'}
+FRAMES = {0: "title Some title\n", 1: "legend\n a\nendlegend\n", 2: "caption c\n", 3: "left header\n h\nendheader\n"}
+
+
+@query(_clean_sql())
+def strip_comments(spark, d):
+    return _cleaned(spark, d, COMMENTS, preprocess.strip_comments)
+
+
+@query(_clean_sql())
+def strip_styling(spark, d):
+    return _cleaned(spark, d, STYLING, preprocess.strip_styling)
+
+
+@query(_clean_sql())
+def strip_sprites(spark, d):
+    return _cleaned(spark, d, SPRITES, preprocess.strip_sprites)
+
+
+@query(_clean_sql())
+def strip_directives(spark, d):
+    return _cleaned(spark, d, DIRECTIVES, preprocess.strip_directives)
+
+
+@query(_clean_sql())
+def strip_notes(spark, d):
+    return _cleaned(spark, d, NOTES, preprocess.strip_notes)
+
+
+@query(_clean_sql())
+def strip_frames(spark, d):
+    return _cleaned(spark, d, FRAMES, preprocess.strip_frames)
+
+
+@query(_clean_sql())
+def preprocess_all(spark, d):
+    mixed = {0: COMMENTS[0] + STYLING[1] + NOTES[1], 1: SPRITES[0] + FRAMES[1], 2: DIRECTIVES[2] + NOTES[2], 3: STYLING[0] + COMMENTS[1]}
+    return _cleaned(spark, d, mixed, preprocess.preprocess)
+
+
+@query("SELECT c_custkey, 'class C' || c_custkey || ' { }' || chr(10) || 'interface I { }' || chr(10) || 'C --> I' AS content FROM customer")
+def member_bodies(spark, d):
+    c = F.concat(F.lit("class C"), F.col("c_custkey").cast("string"), F.lit(" {\n int a() { x }\n}\ninterface I {\n +m()\n}\nC --> I"))
+    return corpora.read(spark, d, "customer").select("c_custkey", elements.strip_member_bodies(c).alias("content"))
+
+
+# ---------------------------------------------------------------- metrics
+
+
+@query(
+    """SELECT user_id % 50 AS grp, count(*) AS loc, 3 + 1 + 1 + count(*) + count(*) FILTER (event_id % 4 = 0) + count(*) FILTER (event_id % 4 = 1) + count(*) FILTER (event_id % 4 = 2) + 1 AS total_lines,
+    1 + count(*) FILTER (event_id % 4 = 1) AS blank_lines, count(*) FILTER (event_id % 4 IN (0, 2)) AS comment_lines FROM events GROUP BY 1"""
+)
+def loc_metrics(spark, d):
+    noisy = corpora.noisy_diagrams(spark, d, {0: "' a comment\n", 1: "\n", 2: "  ' b\n"})
+    whole = F.concat(sinks.long_header(F.lit("b"), F.lit("p"), "archive"), F.lit("@startuml\n"), "content", F.lit("\n@enduml"))
+    m = noisy.select("grp", metrics.loc_metrics(whole).alias("m"))
+    return m.select("grp", *[F.col(f"m.{c}").cast("long").alias(c) for c in ("loc", "total_lines", "blank_lines", "comment_lines")])
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '\\S+'))::BIGINT AS n_words, len(regexp_extract_all(text, '\\S+')) > 500 AS truncated, least(len(regexp_extract_all(text, '\\S+')), CASE WHEN len(regexp_extract_all(text, '\\S+')) > 500 THEN 400 ELSE 1000000000 END)::BIGINT AS kept FROM documents")
+def word_truncate(spark, d):
+    cut = metrics.truncate_words(F.col("text"), F.col("text"), 500, 400)
+    rows = documents(spark, d).select("doc_id", metrics.word_count(F.col("text")).cast("long").alias("n_words"), cut.alias("c"))
+    return rows.select("doc_id", "n_words", "c.truncated", metrics.word_count(F.col("c.text")).cast("long").alias("kept"))
+
+
+@query("SELECT user_id % 50 AS grp, count(*) AS arrows FROM events GROUP BY 1")
+def arrow_counts(spark, d):
+    return corpora.noisy_diagrams(spark, d, {0: "@startuml -> x\n", 1: "!define A ->\n"}).select("grp", metrics.arrow_count(F.col("content")).cast("long").alias("arrows"))
+
+
+@query("SELECT c_nationkey AS nation, 'structural' AS category, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def relationship_counts(spark, d):
+    m = metrics.relationships(F.col("content"), F.lit("class"))
+    return corpora.class_diagrams(spark, d).select("nation", F.explode(m).alias("category", "n")).withColumn("n", F.col("n").cast("long"))
+
+
+@query(
+    """SELECT CASE k WHEN 0 THEN 'message' WHEN 1 THEN 'structural' WHEN 2 THEN 'association' WHEN 3 THEN 'structural' WHEN 4 THEN 'structural' WHEN 5 THEN 'flow' WHEN 6 THEN 'flow' WHEN 7 THEN 'structural' WHEN 8 THEN 'message' ELSE 'structural' END AS category,
+    sum(n)::BIGINT AS total, count(*) AS files FROM (SELECT l_orderkey, l_orderkey % 10 AS k, count(*) AS n FROM lineitem GROUP BY 1) GROUP BY 1"""
+)
+def relationship_totals(spark, d):
+    li = corpora.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.repeat(F.lit("A --> B\n"), F.count("*").cast("int")).alias("content"))
+    kind = F.element_at(F.array(*map(F.lit, corpora.TYPE_CYCLE)), (F.col("l_orderkey") % 10 + 1).cast("int"))
+    return stats.map_totals(li.withColumn("r", metrics.relationships(F.col("content"), kind)), "r", "category").withColumn("total", F.col("total").cast("long"))
+
+
+# ---------------------------------------------------------------- elements
+
+
+def _counted_elements(rows: DataFrame, kind: str) -> DataFrame:
+    return elements.with_elements(rows.withColumn("clean", preprocess.preprocess(F.col("content"))).withColumn("primary_type", F.lit(kind)).drop("content"))
+
+
+def _long(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(key, F.explode("elements").alias("type", "n")).withColumn("n", F.col("n").cast("long"))
+
+
+@query(
+    """SELECT c_nationkey AS nation, CASE WHEN c_custkey % 3 = 0 THEN 'interface' ELSE 'class' END AS type, count(*) + CASE WHEN c_custkey % 3 <> 0 THEN any_value(p) ELSE 0 END AS n FROM customer
+  JOIN (SELECT c_nationkey AS k, count(DISTINCT o_orderkey % 50) AS p FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) ON k = c_nationkey GROUP BY c_nationkey, c_custkey % 3 = 0, type"""
+    .replace("CASE WHEN c_custkey % 3 <> 0 THEN any_value(p) ELSE 0 END", "max(CASE WHEN c_custkey % 3 <> 0 THEN p ELSE 0 END)")
+)
+def elements_class(spark, d):
+    rows = _counted_elements(corpora.class_diagrams(spark, d), "class")
+    return _long(rows, "nation")
+
+
+@query("SELECT user_id % 50 AS grp, 'participant' AS type, count(DISTINCT user_id) + count(DISTINCT event_type) AS n FROM events GROUP BY 1")
+def elements_sequence(spark, d):
+    rows = _counted_elements(corpora.sequence_diagrams(spark, d), "sequence")
+    return _long(rows, "grp")
+
+
+@query(
+    """SELECT s_nationkey AS nation, 'component' AS type, count(DISTINCT s_suppkey) AS n FROM supplier GROUP BY 1
+  UNION ALL SELECT s_nationkey, 'interface', count(DISTINCT s_suppkey % 7) FROM supplier GROUP BY 1"""
+)
+def elements_component(spark, d):
+    rows = _counted_elements(corpora.component_diagrams(spark, d), "component")
+    return _long(rows, "nation")
+
+
+@query("SELECT p_brand AS brand, 'usecase' AS type, count(DISTINCT p_partkey) AS n FROM part GROUP BY 1 UNION ALL SELECT p_brand, 'actor', count(DISTINCT p_size) FROM part GROUP BY 1")
+def elements_usecase(spark, d):
+    rows = _counted_elements(corpora.usecase_diagrams(spark, d), "usecase")
+    return _long(rows, "brand")
+
+
+@query(
+    """WITH x AS (SELECT user_id % 50 AS grp, count(DISTINCT user_id) + count(DISTINCT event_type) AS n FROM events GROUP BY 1)
+  SELECT CASE WHEN grp % 2 = 0 THEN 'file not found' END AS note, CASE WHEN grp % 2 = 0 THEN 0 ELSE n END::BIGINT AS total_elements, grp FROM x"""
+)
+def element_results(spark, d):
+    s = corpora.sequence_diagrams(spark, d)
+    name = F.concat(F.lit("g"), F.col("grp").cast("string"), F.lit(".puml")).alias("file_name")
+    got = elements.element_results(s.select("grp", name, F.lit("sequence").alias("primary_type")), s.where("grp % 2 = 1").select(name, "content"))
+    return got.select("note", F.col("total_elements").cast("long").alias("total_elements"), "grp")
+
+
+CLS = """cls AS (SELECT o_orderkey, ['sequence', 'class', 'usecase', 'component', 'deployment', 'state', 'activity', 'object', 'timing', 'unclassified'][(o_orderkey % 10 + 1)::BIGINT] AS primary_type, o_orderkey % 10 / 10.0::DOUBLE AS confidence FROM orders),
+el AS (SELECT l_orderkey AS o_orderkey, ['participant', 'class', 'actor', 'component', 'node', 'state', 'partition', 'object', 'interface', 'usecase'][(l_partkey % 10 + 1)::BIGINT] AS e, count(*) AS n FROM lineitem WHERE l_orderkey % 11 <> 0 GROUP BY 1, 2),
+tab AS (SELECT * FROM (VALUES """ + ", ".join(
+    f"({k}, '{t}', {list(p)!r}, {list(a)!r}::VARCHAR[], {list(f)!r})" for k, (t, (p, a, f)) in enumerate(consistency.TABLE.items())
+) + """) v(ord, t, prim, allow, forb)),
+tot AS (SELECT o_orderkey, sum(n) AS tot FROM el GROUP BY 1),
+per AS (SELECT o_orderkey, ord, t, sum(CASE WHEN list_contains(prim, e) THEN n ELSE 0 END) AS p, sum(CASE WHEN list_contains(allow, e) THEN n ELSE 0 END) AS a, sum(CASE WHEN list_contains(forb, e) THEN n ELSE 0 END) AS f FROM el, tab GROUP BY ALL),
+inf0 AS (SELECT *, greatest(0, p::DOUBLE / tot - 0.5::DOUBLE * (f::DOUBLE / tot)) AS s FROM per JOIN tot USING (o_orderkey)),
+inf AS (SELECT o_orderkey, CASE WHEN max(s) > 0 THEN first(t ORDER BY s DESC, ord) ELSE 'unknown' END AS st, CASE WHEN max(s) > 0 THEN max(s) / sum(s) ELSE 0 END AS sc FROM inf0 GROUP BY 1),
+val AS (SELECT c.*, coalesce(tot, 0) AS tot, coalesce(p, 0) AS p, coalesce(f, 0) AS f, coalesce(st, 'unknown') AS suggested_type, coalesce(sc, 0) AS sc,
+  CASE WHEN primary_type = 'unclassified' THEN CASE WHEN coalesce(tot, 0) = 0 THEN 1.0 ELSE 0.3 END WHEN coalesce(tot, 0) = 0 THEN CASE primary_type WHEN 'activity' THEN 0.9 WHEN 'state' THEN 0.5 ELSE 0.3 END
+    ELSE 0.4::DOUBLE * (p + a) / tot + 0.4::DOUBLE * (1 - least(1, f::DOUBLE / tot)) + 0.2::DOUBLE * CASE WHEN p > 0 THEN 1 ELSE 0.5 END END::DOUBLE AS score
+  FROM cls c LEFT JOIN tot USING (o_orderkey) LEFT JOIN (SELECT o_orderkey, t, p, a, f FROM per) x ON x.o_orderkey = c.o_orderkey AND x.t = c.primary_type LEFT JOIN inf i ON i.o_orderkey = c.o_orderkey),
+fl AS (SELECT *, tot > 0 AND f > 0 AS f1, tot > 0 AND primary_type <> 'unclassified' AND p = 0 AS f2, tot > 0 AND suggested_type <> primary_type AND suggested_type <> 'unknown' AND round_even(sc, 4) > 0.5 AS f3,
+  tot > 0 AND confidence >= 0.7 AND round_even(score, 4) < 0.5 AS f4, tot > 0 AND confidence < 0.5 AS f5 FROM val),
+fx AS (SELECT *, tot > 0 AND round_even(score, 4) < 0.7 AND NOT (f1 OR f3 OR f4) AS f6, tot = 0 AND primary_type NOT IN ('activity', 'unclassified') AS f0 FROM fl)
+"""
+
+
+def validated(spark, d):
+    return consistency.validate(corpora.classified(spark, d))
+
+
+@query(f"WITH {CLS} SELECT o_orderkey, floor(score * 100 + 0.001)::BIGINT AS score_pct FROM val")
+def consistency_scores(spark, d):
+    return validated(spark, d).select("o_orderkey", F.floor(F.col("consistency_score") * 100 + 0.001).cast("long").alias("score_pct"))
+
+
+@query(f"WITH {CLS} SELECT o_orderkey, suggested_type, floor(sc * 100 + 0.01)::BIGINT AS confidence_pct FROM val")
+def inferred_types(spark, d):
+    return validated(spark, d).select("o_orderkey", "suggested_type", F.floor(F.col("suggestion_confidence") * 100 + 0.01).cast("long").alias("confidence_pct"))
+
+
+@query(
+    f"""WITH {CLS} SELECT o_orderkey, array_to_string(list_filter([CASE WHEN f0 THEN 'NO_ELEMENTS' END, CASE WHEN f1 THEN 'FORBIDDEN_ELEMENTS' END, CASE WHEN f2 THEN 'MISSING_PRIMARY_ELEMENTS' END, CASE WHEN f3 THEN 'TYPE_MISMATCH' END,
+  CASE WHEN f4 THEN 'HIGH_CONFIDENCE_MISMATCH' END, CASE WHEN f5 THEN 'LOW_CONFIDENCE' END, CASE WHEN f6 THEN 'MULTI_TYPE_AMBIGUOUS' END], lambda x: x IS NOT NULL), ',') AS flags,
+  round_even(score, 4) >= 0.5 AND NOT (f1 OR f3 OR f4) AS is_consistent FROM fx"""
+)
+def consistency_flags(spark, d):
+    return validated(spark, d).select("o_orderkey", F.array_join(F.transform("flags", lambda f: f["code"]), ",").alias("flags"), "is_consistent")
+
+
+@query(f"WITH {CLS} SELECT primary_type AS classified, suggested_type AS suggested, count(*) AS n FROM val GROUP BY ALL")
+def confusion_matrix(spark, d):
+    return consistency.confusion_matrix(validated(spark, d))
+
+
+@query(
+    f"""WITH {CLS} SELECT count(*) AS total, count(*) FILTER (round_even(score, 4) >= 0.5 AND NOT (f1 OR f3 OR f4)) AS consistent, (sum(f5::INT) + sum(f6::INT))::BIGINT AS infos, (sum(f0::INT) + sum(f2::INT))::BIGINT AS warnings, (sum(f1::INT) + sum(f3::INT) + sum(f4::INT))::BIGINT AS errors FROM fx"""
+)
+def validation_stats(spark, d):
+    return consistency.validation_stats(validated(spark, d)).drop("rate", "avg_score")
+
+
+@query(
+    f"""WITH {CLS} SELECT code, severity, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN f0 THEN 'NO_ELEMENTS:warning' END, CASE WHEN f1 THEN 'FORBIDDEN_ELEMENTS:error' END, CASE WHEN f2 THEN 'MISSING_PRIMARY_ELEMENTS:warning' END, CASE WHEN f3 THEN 'TYPE_MISMATCH:error' END,
+  CASE WHEN f4 THEN 'HIGH_CONFIDENCE_MISMATCH:error' END, CASE WHEN f5 THEN 'LOW_CONFIDENCE:info' END, CASE WHEN f6 THEN 'MULTI_TYPE_AMBIGUOUS:info' END], lambda x: x IS NOT NULL)) AS c FROM fx), LATERAL (SELECT split_part(c, ':', 1) AS code, split_part(c, ':', 2) AS severity) GROUP BY ALL"""
+)
+def flag_counts(spark, d):
+    return consistency.flag_counts(validated(spark, d))
+
+
+@query(f"WITH {CLS} SELECT o_orderkey FROM fx WHERE f1 OR f3 OR f4 OR f0 OR f2")
+def warned(spark, d):
+    return consistency.at_least(validated(spark, d), "warning").select("o_orderkey")
+
+
+@query(f"WITH {CLS} SELECT o_orderkey FROM fx WHERE NOT (round_even(score, 4) >= 0.5 AND NOT (f1 OR f3 OR f4))")
+def inconsistent(spark, d):
+    return consistency.inconsistent(validated(spark, d)).select("o_orderkey")
+
+
+@query(f"WITH {CLS} SELECT e AS type, sum(n)::BIGINT AS total, count(*) AS files FROM el GROUP BY 1")
+def element_totals(spark, d):
+    return stats.map_totals(corpora.classified(spark, d), "elements").withColumn("total", F.col("total").cast("long"))
+
+
+# ---------------------------------------------------------------- outside classifier
+
+
+def _responses(spark, d):
+    o = corpora.read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 6).alias("k"))
+    body = F.concat(F.lit('{"primary_type": "class", "types": {"class": 0.'), (F.col("o_orderkey") % 9 + 1).cast("string"), F.lit(', "object": 0.05}, "reasoning": "r"}'))
+    said = F.when(F.col("k") == 0, body).when(F.col("k") == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```"))).when(F.col("k") == 2, F.lit("no json at all")).when(F.col("k") == 3, F.lit("")).when(F.col("k") == 4, F.lit('so {"primary_type": "state", "types": null} then')).otherwise(body)
+    return o.select(F.col("o_orderkey").cast("string").alias("custom_id"), F.when(F.col("k") == 5, "errored").otherwise("succeeded").alias("result_type"), said.alias("text"))
+
+
+@query(
+    """SELECT o_orderkey::VARCHAR AS custom_id, CASE o_orderkey % 6 WHEN 0 THEN 'class' WHEN 1 THEN 'class' WHEN 4 THEN 'state' ELSE 'unclassified' END AS primary_type,
+  CASE WHEN o_orderkey % 6 IN (0, 1) THEN (o_orderkey % 9 + 1) / 10.0::DOUBLE WHEN o_orderkey % 6 = 4 THEN 0.0::DOUBLE END AS confidence, o_orderkey % 6 = 2 AS parse_error,
+  CASE o_orderkey % 6 WHEN 2 THEN 'no json at all' END AS raw_response, CASE o_orderkey % 6 WHEN 3 THEN 'Empty response' WHEN 5 THEN 'API error: errored' END AS error FROM orders"""
+)
+def classify_parse(spark, d):
+    return classify.shape_results(_responses(spark, d)).select("custom_id", "primary_type", "confidence", "parse_error", "raw_response", "error")
+
+
+@query("SELECT count(*) FILTER (o_orderkey % 6 NOT IN (3, 5)) AS successful, count(*) FILTER (o_orderkey % 6 IN (3, 5)) AS errored, count(*) FILTER (o_orderkey % 6 = 2) AS unparsed FROM orders")
+def classify_stats(spark, d):
+    return classify.classification_stats(classify.shape_results(_responses(spark, d))).drop("avg_confidence")
+
+
+@query("SELECT CASE o_orderkey % 6 WHEN 0 THEN 'class' WHEN 1 THEN 'class' WHEN 4 THEN 'state' ELSE 'unclassified' END AS primary_type, count(*) AS n FROM orders GROUP BY 1")
+def type_distribution(spark, d):
+    return classify.type_distribution(classify.shape_results(_responses(spark, d)))
+
+
+@query("SELECT 'd_' || doc_id AS custom_id, len(regexp_extract_all(text, '\\S+')) > 5000 AS truncated FROM documents")
+def build_requests(spark, d):
+    files = documents(spark, d).select(F.concat(F.lit("d "), F.col("doc_id").cast("string"), F.lit(".puml")).alias("file_name"), F.col("text").alias("content"))
+    return classify.build_requests(files, "Which type is this?\n{content}").where(F.length("request") > 0).select("custom_id", "truncated")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'class' ELSE 'component' END AS label FROM part")
+def rule_classifier(spark, d):
+    content = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("class "), "p_name")).otherwise(F.concat(F.lit("component "), "p_name"))
+    return corpora.read(spark, d, "part").select("p_partkey", F.element_at(F.map_keys(classify.rule_scores(content)), 1).alias("label"))
+
+
+# ---------------------------------------------------------------- reports
+
+LOC = "loc AS (SELECT o_orderkey, ['sequence', 'class', 'usecase', 'component', 'deployment', 'state', 'activity', 'object', 'timing', 'unclassified'][(o_orderkey % 10 + 1)::BIGINT] AS primary_type, o_orderkey % 97 AS loc FROM orders)"
+
+
+def _loc(spark, d):
+    return corpora.classified(spark, d).select("o_orderkey", "primary_type", (F.col("o_orderkey") % 97).alias("loc"))
+
+
+@query(f"WITH {LOC} SELECT primary_type, count(*) AS n, avg(loc) AS avg_loc, count(*) FILTER (loc < 10) AS simple, count(*) FILTER (loc BETWEEN 10 AND 50) AS medium, count(*) FILTER (loc > 50) AS complex, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct FROM loc GROUP BY 1")
+def type_profile(spark, d):
+    return stats.type_profile(_loc(spark, d), "primary_type", "loc")
+
+
+@query(f"WITH {LOC} SELECT primary_type, CASE WHEN loc < 10 THEN 'Simple' WHEN loc <= 50 THEN 'Medium' ELSE 'Complex' END AS complexity, count(*) AS n FROM loc GROUP BY 1, 2")
+def complexity_grid(spark, d):
+    return stats.type_complexity_grid(_loc(spark, d), "primary_type", "loc")
+
+
+@query(f"WITH {LOC} SELECT o_orderkey, primary_type, loc FROM (SELECT *, row_number() OVER (PARTITION BY primary_type ORDER BY md5(o_orderkey::VARCHAR), o_orderkey) AS r FROM loc) WHERE r <= 30")
+def stratified_sample(spark, d):
+    return stats.stratified_sample(_loc(spark, d), ["primary_type"], "o_orderkey")
+
+
+@query("SELECT user_id % 50 AS grp, count(*) AS loc, count(DISTINCT user_id) + count(DISTINCT event_type) AS elements, count(*) AS relationships FROM events GROUP BY 1")
+def diagram_metadata(spark, d):
+    """The unified record of a diagram: lines, elements and relationships from one cleaned text."""
+    s = corpora.sequence_diagrams(spark, d).withColumn("clean", preprocess.preprocess(F.col("content"))).withColumn("primary_type", F.lit("sequence"))
+    found = elements.total(F.col("elements"))
+    return elements.with_elements(s).select("grp", metrics.loc_metrics(F.col("content"))["loc"].cast("long").alias("loc"), found.cast("long").alias("elements"), metrics.arrow_count(F.col("clean")).cast("long").alias("relationships"))
