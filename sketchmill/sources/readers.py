@@ -51,6 +51,6 @@ def list_paths(spark: SparkSession, path: str, recursive: bool = False) -> DataF
 
 def read_report(spark: SparkSession, path: str, field: str, value_schema: str) -> DataFrame:
     """A JSON document whose `field` maps names to structs -> file_name and the struct's fields."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     entries = F.from_json("value", f"struct<`{field}`: map<string, {value_schema}>>")
     return text.select(F.explode(entries[field]).alias("file_name", "r")).select("file_name", "r.*")
