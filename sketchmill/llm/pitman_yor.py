@@ -8,14 +8,15 @@ How it is spread out. The corpus is cut into blocks (runs of whole documents, ab
 ids and its own vocabulary as 64-bit hashes; this table is written once. Blocks ask and answer through buckets of the hash range:
 a block sends each bucket one row with what it knows of the words (or word pairs) there, the bucket adds up and answers each block
 in the block's own order. So rows are few and large, a frequent word is one entry a block, and no part of the model is ever
-gathered in one place.
+gathered in one place. Whole numbers travel compressed.
 
 - counts: training count of every word.
 - pairs: training count of every word pair, and which block owns it (counts its tables).
-- sweeps: tables of a pair are drawn from the seating rule given the last sweep's totals, by uniforms that are a hash of (pair,
-  customer, sweep): every block that holds the pair draws the same seating without sending it. Owners send the tables by context and
-  by word; a word's bucket adds them up and seats the parent. Sweep 0 seats one table a pair; SAMPLES sweeps after it are kept.
-- scores: log10 of the predictive probability averaged over the kept sweeps, summed over a document.
+- seatings: tables of a pair are drawn from the seating rule given the last sweep's totals, by uniforms that are a hash of (pair,
+  customer, sweep, chain): every block that holds the pair draws the same seating without sending it. Owners send the tables by
+  context and by word; a word's bucket adds them up and seats the parent. All chains start from one table a pair and make SWEEPS
+  sweeps side by side.
+- scores: log10 of the predictive probability averaged over all chains and sweeps, summed over a document.
 
 Seating is exact customer by customer up to EXACT_CUSTOMERS of a pair; beyond, runs of customers that double in length share one draw.
 Discounts are estimated from the counts of ones and twos of all data; STRENGTH is fixed.
@@ -33,9 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACED_WORD, crc_mod, mix, release, slices, spans, string_buffers, table, word_hashes, write_table
 
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 8_000_000
 BUCKET_ENTRIES = 400_000
-SAMPLES = 2
+CHAINS, SWEEPS = 2, 2
 STRENGTH = 1.0
 EXACT_CUSTOMERS = 128
 END, BEGIN = np.uint64(0x0E0D_0E0D_0E0D_0E0D), np.uint64(0xBE61_BE61_BE61_BE61)
@@ -74,8 +75,24 @@ def discount_of(ones: float, twos: float) -> float:
 # ---------------------------------------------------------------- blocks
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """int32 arrays of one length, by byte planes, compressed."""
+    import zstandard
+
+    x = np.concatenate([a.astype("<i4") for a in arrays])
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack(blob: bytes, arrays: int = 1) -> np.ndarray:
+    """[arrays, length]"""
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8) if blob else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").reshape(arrays, -1)
+
+
 def make_blocks(documents: DataFrame) -> DataFrame:
-    """documents: doc_id, text, learn boolean."""
+    """documents: doc_id, text, learn boolean. Local ids go by falling frequency, so they compress well."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
@@ -91,18 +108,22 @@ def make_blocks(documents: DataFrame) -> DataFrame:
                 tokens = np.insert(word_hashes(part, start, end), first[1:], END)
                 sizes = np.diff(first) + 1
                 vocabulary, ids = np.unique(np.append(tokens, BEGIN), return_inverse=True)
-                ids, begin = ids[:-1].astype(np.int32), int(ids[-1])
+                order = np.argsort(-np.bincount(ids), kind="stable")
+                rank = np.empty(len(order), np.int32)
+                rank[order] = np.arange(len(order))
+                vocabulary, ids = vocabulary[order], rank[ids]
+                ids, begin = ids[:-1], int(ids[-1])
                 known = np.bincount(ids[np.repeat(learn[i:j], sizes)], minlength=len(vocabulary))
                 known[begin] = learn[i:j].sum()
                 docs = batch.column(0)[i:j]
-                blobs = [x.tobytes() for x in (learn[i:j], sizes.astype(np.int32), ids, vocabulary, known.astype(np.int32))]
+                blobs = [pack(learn[i:j], sizes), pack(ids), vocabulary.tobytes(), pack(known)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), *[pa.array([b], pa.binary()) for b in blobs], pa.array([len(vocabulary)], pa.int64()), pa.array([len(tokens)], pa.int64())],
-                    ["block", "docs", "learn", "sizes", "ids", "vocabulary", "known", "n_words", "n_tokens"],
+                    ["block", "docs", "cuts", "ids", "vocabulary", "known", "n_words", "n_tokens"],
                 )
                 number += 1
 
-    return documents.select("doc_id", "text", "learn").mapInArrow(cut, f"block long, docs array<{kind}>, learn binary, sizes binary, ids binary, vocabulary binary, known binary, n_words long, n_tokens long")
+    return documents.select("doc_id", "text", "learn").mapInArrow(cut, f"block long, docs array<{kind}>, cuts binary, ids binary, vocabulary binary, known binary, n_words long, n_tokens long")
 
 
 def parts_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -111,186 +132,213 @@ def parts_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(hashes, edges), [len(hashes)]))
 
 
-REQUEST = "bucket int, block long, keys binary, a binary, b binary"
-ANSWER = "stage int, bucket int, block long, a binary, b binary, c binary, x double, y double, z double, w double"
+REQUEST = "bucket int, block long, keys binary, n binary"
+ANSWER = "stage int, bucket int, block long, n binary, sums array<double>"
 
 
-def request_rows(block: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray, buckets: int):
+def request_rows(block: int, keys: np.ndarray, arrays: list[np.ndarray], buckets: int):
+    """keys: sorted; arrays: of the same length."""
     import pyarrow as pa
 
     cut = parts_of(keys, buckets)
     some = np.flatnonzero(np.diff(cut))
-    blobs = [pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary()) for x in (keys, a, b)]
-    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([block] * len(some), pa.int64()), *blobs], ["bucket", "block", "keys", "a", "b"])
+    held = [keys[cut[k] : cut[k + 1]].tobytes() for k in some]
+    told = [pack(*[a[cut[k] : cut[k + 1]] for a in arrays]) for k in some]
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([block] * len(some), pa.int64()), pa.array(held, pa.binary()), pa.array(told, pa.binary())], ["bucket", "block", "keys", "n"])
 
 
-def answers(requests: DataFrame, stage: int, combine) -> DataFrame:
-    """combine(owners of the entries, place of each entry's key, sorted keys, a, b) -> three arrays by entry and four sums."""
+def answers(requests: DataFrame, stage: int, arrays: int, combine) -> DataFrame:
+    """combine(place of each entry's key, sorted keys, [arrays, entries]) -> arrays by entry, sums."""
 
     def reply(frame):
         import pandas as pd
 
         frame = frame.sort_values("block")
         keys = [np.frombuffer(x, np.uint64) for x in frame["keys"]]
-        a, b = (np.concatenate([np.frombuffer(x, np.int32) for x in frame[c]]) for c in "ab")
+        told = np.concatenate([unpack(x, arrays) for x in frame["n"]], 1)
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        outs, sums = combine(place, distinct, a, b)
+        outs, sums = combine(place, distinct, told)
         ends = np.append(0, np.cumsum([len(x) for x in keys]))
-        rows = {c: [o[lo:hi].astype(np.int32).tobytes() for lo, hi in zip(ends[:-1], ends[1:])] for c, o in zip("abc", outs)}
-        out = pd.DataFrame({"stage": np.int32(stage), "bucket": frame["bucket"].to_numpy(), "block": frame["block"].to_numpy(), **rows, "x": 0.0, "y": 0.0, "z": 0.0, "w": 0.0})
-        out.loc[0, ["x", "y", "z", "w"]] = [float(s) for s in sums]
-        return out
+        blobs = [pack(*[o[lo:hi] for o in outs]) for lo, hi in zip(ends[:-1], ends[1:])]
+        sums = [[float(x) for x in sums]] + [None] * (len(frame) - 1)
+        return pd.DataFrame({"stage": np.int32(stage), "bucket": frame["bucket"].to_numpy(), "block": frame["block"].to_numpy(), "n": blobs, "sums": sums})
 
     return requests.groupBy("bucket").applyInPandas(reply, ANSWER)
 
 
+WORDS_STAGE, PAIRS_STAGE, STATE_STAGE = 0, 1, 2
+#: Arrays in an answer: of the words' counts, the pairs' counts and owners, and each chain's contexts, customers and tables.
+WIDTH = {WORDS_STAGE: 1, PAIRS_STAGE: 2}
+
+
 class View:
     """A block with the answers it has got so far."""
 
     def __init__(self, row: dict, constants: dict):
         self.constants = constants
-        self.learn, self.sizes = np.frombuffer(row["learn"], bool), np.frombuffer(row["sizes"], np.int32)
-        self.ids, self.vocabulary = np.frombuffer(row["ids"], np.int32), np.frombuffer(row["vocabulary"], np.uint64)
-        self.got: dict[int, list[np.ndarray]] = {}
-        for x in sorted(row["answers"], key=lambda x: (x["stage"], x["bucket"])):
-            self.got.setdefault(x["stage"], []).append([np.frombuffer(x[c], np.int32) for c in "abc"])
-        self.got = {k: [np.concatenate(c) for c in zip(*v)] for k, v in self.got.items()}
-        self.count = self.got[0][0].astype(np.int64)
+        learn, self.sizes = unpack(row["cuts"], 2)
+        self.learn, self.ids = learn.astype(bool), unpack(row["ids"])[0]
+        self.vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
+        self.order = np.argsort(self.vocabulary)
         n = len(self.vocabulary)
-        begin = int(np.searchsorted(self.vocabulary, BEGIN))
         before = np.empty(len(self.ids), np.int64)
         before[1:] = self.ids[:-1]
-        before[np.append(0, np.cumsum(self.sizes))[:-1]] = begin
+        before[np.append(0, np.cumsum(self.sizes))[:-1]] = int(np.flatnonzero(self.vocabulary == BEGIN)[0])
         code, self.pair_of = np.unique(before * n + self.ids, return_inverse=True)
         self.u, self.w = code // n, code % n
-        self.asked = np.flatnonzero((self.count[self.u] > 0) & (self.count[self.w] > 0))
-        keys = mix(self.vocabulary[self.u[self.asked]] * np.uint64(0xA0761D6478BD642F) + self.vocabulary[self.w[self.asked]] * np.uint64(0xE7037ED1A0B428DB))
-        order = np.argsort(keys)
-        self.asked, self.keys = self.asked[order], keys[order]
-        if 1 in self.got:
-            self.pair_count = self.got[1][0].astype(np.int64)
-            self.owned = self.got[1][1] > 0
+        keys = mix(self.vocabulary[self.u] * np.uint64(0xA0761D6478BD642F) + self.vocabulary[self.w] * np.uint64(0xE7037ED1A0B428DB))
+        self.pair_order = np.argsort(keys)
+        self.keys = keys[self.pair_order]
+        self.u, self.w = self.u[self.pair_order], self.w[self.pair_order]
+        place = np.empty(len(keys), np.int64)
+        place[self.pair_order] = np.arange(len(keys))
+        self.pair_of = place[self.pair_of]
+        got: dict[int, list[np.ndarray]] = {}
+        for x in sorted(row.get("answers") or (), key=lambda x: (x["stage"], x["bucket"])):
+            stage = x["stage"]
+            got.setdefault(stage, []).append(unpack(x["n"], WIDTH.get(stage) or 3 * (1 if stage == STATE_STAGE else CHAINS)))
+        self.states: list[list[np.ndarray]] = []
+        for stage, parts in sorted(got.items()):
+            whole = np.concatenate(parts, 1)
+            if stage == PAIRS_STAGE:
+                self.pair_count, self.owned = whole[0].astype(np.int64), whole[1] > 0
+                continue
+            local = np.empty((len(whole), n), np.int64)
+            local[:, self.order] = whole
+            if stage == WORDS_STAGE:
+                self.count = local[0]
+            else:
+                self.states.append(list(local.reshape(-1, 3, n)))
+
+    def words(self, *arrays: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """A request about the block's words."""
+        return self.vocabulary[self.order], [a[self.order] for a in arrays]
 
     def train_pairs(self) -> np.ndarray:
         on = np.repeat(self.learn, self.sizes)
-        return np.bincount(self.pair_of[on], minlength=len(self.u))[self.asked].astype(np.int32)
+        return np.bincount(self.pair_of[on], minlength=len(self.u))
+
+    def state(self, level: int, chain: int) -> np.ndarray:
+        return self.states[level][chain if level else 0]
 
-    def parent(self, sweep: int) -> np.ndarray:
-        """The shared parent's predictive probability of each local word after a sweep."""
-        k, (_, customers, tables) = self.constants, self.got[2 + sweep]
-        total, opened, d = k["customers"][sweep], k["tables"][sweep], k["parent_discount"]
+    def parent(self, level: int, chain: int) -> np.ndarray:
+        """The shared parent's predictive probability of each local word."""
+        k, (_, customers, tables) = self.constants, self.state(level, chain)
+        total, opened = k["totals"][level][chain if level else 0]
+        d = k["parent_discount"]
         return (np.maximum(customers - d * tables, 0) + (STRENGTH + d * opened) / (k["V"] + 1)) / (STRENGTH + total)
 
-    def tables(self, sweep: int) -> np.ndarray:
-        """Tables of each asked pair at a sweep."""
-        if sweep == 0:
+    def tables(self, level: int, chain: int) -> np.ndarray:
+        """Tables of each pair."""
+        if level == 0:
             return (self.pair_count > 0).astype(np.int64)
         d = self.constants["discount"]
-        u, w = self.u[self.asked], self.w[self.asked]
-        others = np.maximum(self.got[1 + sweep][0][u] - 1, 0)  # the context's tables before this sweep, less the pair's first
-        return seat(self.keys, self.pair_count, (STRENGTH + d * others) * self.parent(sweep - 1)[w], d, sweep)
-
-    def sums(self, sweep: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tables of the owned pairs, by context and by word."""
-        t, n = np.where(self.owned, self.tables(sweep), 0), len(self.vocabulary)
-        return tuple(np.bincount(x[self.asked], t, n).astype(np.int32) for x in (self.u, self.w))
+        others = np.maximum(self.state(level - 1, chain)[0][self.u] - 1, 0)  # the context's tables so far, less the pair's first
+        return seat(self.keys, self.pair_count, (STRENGTH + d * others) * self.parent(level - 1, chain)[self.w], d, level * CHAINS + chain)
+
+    def sums(self, level: int) -> list[np.ndarray]:
+        """Tables of the owned pairs, by context and by word, chain by chain."""
+        out = []
+        for chain in range(CHAINS if level else 1):
+            t = np.where(self.owned, self.tables(level, chain), 0)
+            out += [np.bincount(x, t, len(self.vocabulary)).astype(np.int32) for x in (self.u, self.w)]
+        return out
 
-    def predictive(self, sweep: int) -> np.ndarray:
-        """P(word | context) of each distinct pair of the block, under one sweep's seating."""
+    def predictive(self) -> np.ndarray:
+        """P(word | context) of each distinct pair of the block, averaged over chains and sweeps."""
         d, in_context = self.constants["discount"], self.count[self.u]
-        below = self.parent(sweep)[self.w]
-        tables = self.got[2 + sweep][0][self.u]
-        seated = np.zeros(len(self.u))
-        seated[self.asked] = np.maximum(self.pair_count - d * self.tables(sweep), 0)
-        p = (seated + (STRENGTH + d * tables) * below) / (STRENGTH + in_context)
-        return np.where(in_context > 0, p, below)
-
-
-def _count_words(place, keys, a, b):
-    total = np.bincount(place, a, len(keys))
+        total = np.zeros(len(self.u))
+        for level in range(1, len(self.states)):
+            for chain in range(CHAINS):
+                below = self.parent(level, chain)[self.w]
+                seated = np.maximum(self.pair_count - d * self.tables(level, chain), 0)
+                p = (seated + (STRENGTH + d * self.state(level, chain)[0][self.u]) * below) / (STRENGTH + in_context)
+                total += np.where(in_context > 0, p, below)
+        return total / (CHAINS * (len(self.states) - 1))
+
+
+def _count_words(place, keys, told):
+    total = np.bincount(place, told[0], len(keys))
     token = keys != BEGIN
-    return (total[place], total[place], total[place]), ((total[token] > 0).sum(), total[token].sum(), 0, 0)
+    return [total[place]], [(total[token] > 0).sum(), total[token].sum()]
 
 
-def _count_pairs(place, keys, a, b):
-    total = np.bincount(place, a, len(keys))
-    has = np.flatnonzero(a > 0)
+def _count_pairs(place, keys, told):
+    total = np.bincount(place, told[0], len(keys))
+    has = np.flatnonzero(told[0] > 0)
     first = np.full(len(keys), -1, np.int64)
     first[place[has[::-1]]] = has[::-1]  # the first block with a training occurrence owns the pair
-    own = np.zeros(len(a), np.int32)
+    own = np.zeros(len(place), np.int32)
     own[first[first >= 0]] = 1
-    return (total[place], own, own), ((total == 1).sum(), (total == 2).sum(), 0, 0)
+    return [total[place], own], [(total == 1).sum(), (total == 2).sum()]
 
 
-def _seat_parent(sweep: int, n_words: float, discount: float | None):
-    def combine(place, keys, a, b):
-        contexts, customers = np.bincount(place, a, len(keys)), np.bincount(place, b, len(keys)).astype(np.int64)
-        ones, twos = (customers == 1).sum(), (customers == 2).sum()
-        d = discount if discount is not None else 0.5
-        tables = seat(keys, customers, np.full(len(keys), (STRENGTH + d * n_words) / (n_words + 1)), d, sweep) if sweep else (customers > 0).astype(np.int64)
-        return (contexts[place], customers[place], tables[place]), (customers.sum(), tables.sum(), ones, twos)
+def _seat_parent(level: int, n_words: float, discount: float | None):
+    def combine(place, keys, told):
+        outs, sums = [], []
+        for chain in range(len(told) // 2):
+            contexts, customers = (np.bincount(place, told[2 * chain + k], len(keys)).astype(np.int64) for k in (0, 1))
+            tables = (customers > 0).astype(np.int64)
+            if level:
+                tables = seat(keys, customers, np.full(len(keys), (STRENGTH + discount * n_words) / (n_words + 1)), discount, level * CHAINS + chain)
+            outs += [contexts[place], customers[place], tables[place]]
+            sums += [customers.sum(), tables.sum(), (customers == 1).sum(), (customers == 2).sum()]
+        return outs, sums
 
     return combine
 
 
-def score(documents: DataFrame, samples: int = SAMPLES) -> DataFrame:
+def score(documents: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
     """documents: doc_id, text, learn boolean -> doc_id, learn, n_tokens, n_known, train_tokens, base_score, score."""
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
-    blocks = spark.read.parquet(write_table(make_blocks(documents), "blocks"))
+    blocks = spark.read.parquet(write_table(make_blocks(documents), "blocks", "none"))
     size = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("w"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     word_buckets, pair_buckets = max(least, -(-size["w"] // BUCKET_ENTRIES)), max(least, -(-size["t"] // BUCKET_ENTRIES))
-    constants: dict = {"customers": [], "tables": []}
+    constants: dict = {"V": 0.0, "N": 0.0, "discount": 0.5, "parent_discount": 0.5, "totals": []}
     paths: list[str] = []
 
-    def keep(requests: DataFrame, combine) -> tuple[float, float, float, float]:
-        paths.append(write_table(answers(requests, len(paths), combine), "answers"))
-        release(spark)
-        r = spark.read.parquet(paths[-1]).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in "xyzw"]).first()
-        return r["x"], r["y"], r["z"], r["w"]
+    def keep(requests: DataFrame, arrays: int, combine) -> list[float]:
+        release(spark)  # the exchange before this one is not needed any more
+        paths.append(write_table(answers(requests, len(paths), arrays, combine), "answers", "none"))
+        parts = spark.read.parquet(paths[-1]).where("sums IS NOT NULL").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("s"))
+        return [r["s"] for r in sorted(parts.collect(), key=lambda r: r["pos"])] or [0.0] * (4 * CHAINS)
 
     def views(*columns: str) -> DataFrame:
         """Blocks with all answers so far: one shuffle of the blocks, one of the answers."""
-        got = spark.read.parquet(*paths).groupBy("block").agg(F.collect_list(F.struct("stage", "bucket", "a", "b", "c")).alias("answers"))
-        return blocks.select("block", *columns, "learn", "sizes", "ids", "vocabulary").join(got, "block")
+        got = spark.read.parquet(*paths).groupBy("block").agg(F.collect_list(F.struct("stage", "bucket", "n")).alias("answers"))
+        return blocks.select("block", *columns, "cuts", "ids", "vocabulary").join(got, "block")
 
-    def ask(make, buckets: int) -> DataFrame:
-        """make(view) -> keys, a, b"""
+    def ask(source: DataFrame, make, buckets: int) -> DataFrame:
+        """make(view) -> keys, arrays"""
         fixed = dict(constants)
 
         def send(batches):
             for batch in batches:
                 for k in range(batch.num_rows):
-                    row = batch.slice(k, 1).to_pylist()[0]
+                    row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
                     yield request_rows(row["block"], *make(View(row, fixed)), buckets)
 
-        return views().mapInArrow(send, REQUEST)
+        return source.mapInArrow(send, REQUEST)
 
     def send_words(batches):
         for batch in batches:
             for block, vocabulary, known in zip(*[c.to_pylist() for c in batch.columns]):
-                known = np.frombuffer(known, np.int32)
-                yield request_rows(block, np.frombuffer(vocabulary, np.uint64), known, np.zeros(len(known), np.int32), word_buckets)
-
-    constants["V"], constants["N"], _, _ = keep(blocks.select("block", "vocabulary", "known").mapInArrow(send_words, REQUEST), _count_words)
-
-    def pair_request(view: View):
-        n = view.train_pairs()
-        return view.keys, n, np.zeros(len(n), np.int32)
-
-    ones, twos, _, _ = keep(ask(pair_request, pair_buckets), _count_pairs)
-    constants["discount"] = discount_of(ones, twos)
-    for sweep in range(samples + 1):
-
-        def table_request(view: View, sweep=sweep):
-            return (view.vocabulary, *view.sums(sweep))
-
-        customers, tables, ones, twos = keep(ask(table_request, word_buckets), _seat_parent(sweep, constants["V"], constants.get("parent_discount")))
-        if sweep == 0:
-            constants["parent_discount"] = discount_of(ones, twos)
-        constants["customers"].append(customers)
-        constants["tables"].append(tables)
+                keys = np.frombuffer(vocabulary, np.uint64)
+                order = np.argsort(keys)
+                yield request_rows(block, keys[order], [unpack(known)[0][order]], word_buckets)
+
+    constants["V"], constants["N"] = keep(blocks.select("block", "vocabulary", "known").mapInArrow(send_words, REQUEST), 1, _count_words)[:2]
+    pairs = keep(ask(blocks.select("block", "cuts", "ids", "vocabulary"), lambda view: (view.keys, [view.train_pairs()]), pair_buckets), 1, _count_pairs)
+    constants["discount"] = discount_of(*pairs[:2])
+    for level in range(sweeps + 1):
+        chains = CHAINS if level else 1
+        sums = keep(ask(views(), lambda view, level=level: view.words(*view.sums(level)), word_buckets), 2 * chains, _seat_parent(level, constants["V"], constants["parent_discount"]))
+        if level == 0:
+            constants["parent_discount"] = discount_of(*sums[2:4])
+        constants["totals"].append([(sums[4 * c], sums[4 * c + 1]) for c in range(chains)])
+    release(spark)
     fixed = dict(constants)
 
     def finish(batches):
@@ -298,17 +346,15 @@ def score(documents: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                view = View({c: row.column(c)[0].as_py() for c in row.schema.names if c != "docs"}, fixed)
-                p = sum(view.predictive(s) for s in range(1, samples + 1)) / samples
-                token = np.log10(p)[view.pair_of]
+                view = View({c: batch.column(c)[k].as_py() for c in batch.schema.names if c != "docs"}, fixed)
+                token = np.log10(view.predictive())[view.pair_of]
                 base = np.log10((view.count + 1) / (fixed["N"] + fixed["V"] + 1))
                 begins = np.append(0, np.cumsum(view.sizes))[:-1]
                 add = lambda x: np.add.reduceat(x, begins)
                 n = len(view.sizes)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        row.column("docs").flatten(),
+                        batch.column("docs").slice(k, 1).flatten(),
                         pa.array(view.learn),
                         pa.array(view.sizes.astype(np.int64)),
                         pa.array(add((view.count > 0)[view.ids].astype(np.int64))),
