@@ -22,57 +22,60 @@ SEVERITY = {"info": 0, "warning": 1, "error": 2}
 THRESHOLD = 0.5
 
 
-def _sum(counts: Column, names: list[str]) -> Column:
-    if not names:
-        return F.lit(0)
-    return F.aggregate(F.map_values(F.map_filter(counts, lambda k, v: k.isin(names))), F.lit(0), lambda a, x: a + x)
+def _rules() -> Column:
+    """The table as one constant array; `at` falls, so that the first of equals is the greatest."""
+    names = lambda x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+    return F.array(*[F.struct(F.lit(t).alias("type"), F.lit(-k).alias("at"), names(p).alias("primary"), names(a).alias("allowed"), names(f).alias("forbidden")) for k, (t, (p, a, f)) in enumerate(TABLE.items())])
 
 
-def _total(counts: Column) -> Column:
-    return F.aggregate(F.map_values(counts), F.lit(0), lambda a, x: a + x)
+def _sum(counts: Column, names: Column | None = None) -> Column:
+    kept = counts if names is None else F.map_filter(counts, lambda k, v: F.array_contains(names, k))
+    return F.aggregate(F.map_values(kept), F.lit(0), lambda a, x: a + x)
 
 
-def _by_type(kind: Column, counts: Column, part: int) -> Column:
-    out = F.lit(0)
-    for t, parts in TABLE.items():
-        out = F.when(kind == t, _sum(counts, parts[part])).otherwise(out)
-    return out
+def sums(kind: Column, counts: Column) -> Column:
+    """struct<known, total, primary, allowed, forbidden>: elements by what the diagram's own type says of them."""
+    own = F.get(F.filter(_rules(), lambda r: r["type"] == kind), 0)
+    of = lambda part: F.coalesce(_sum(counts, own[part]), F.lit(0)).alias(part)
+    return F.struct(own.isNotNull().alias("known"), _sum(counts).alias("total"), of("primary"), of("allowed"), of("forbidden"))
 
 
-def consistency_score(kind: Column, counts: Column) -> Column:
-    total = _total(counts)
-    primary, allowed, forbidden = (_by_type(kind, counts, k) for k in range(3))
-    mixed = 0.4 * F.try_divide(primary + allowed, total) + 0.4 * (1 - F.least(F.lit(1.0), F.try_divide(forbidden, total))) + 0.2 * F.when(primary > 0, 1.0).otherwise(0.5)
+def consistency_score(kind: Column, s: Column) -> Column:
+    """s: sums of the diagram."""
+    total = s["total"]
+    mixed = 0.4 * F.try_divide(s["primary"] + s["allowed"], total) + 0.4 * (1 - F.least(F.lit(1.0), F.try_divide(s["forbidden"], total))) + 0.2 * F.when(s["primary"] > 0, 1.0).otherwise(0.5)
     empty = F.when(kind == "activity", 0.9).when(kind == "state", 0.5).otherwise(0.3)
-    return F.when(kind == "unclassified", F.when(total == 0, 1.0).otherwise(0.3)).when(~kind.isin(list(TABLE)), 0.0).when(total == 0, empty).otherwise(F.bround(mixed, 4))
+    return F.when(kind == "unclassified", F.when(total == 0, 1.0).otherwise(0.3)).when(~s["known"], 0.0).when(total == 0, empty).otherwise(F.bround(mixed, 4))
 
 
-def inferred_type(counts: Column) -> Column:
-    """struct<type, confidence>; the first of the table among equals."""
-    total = _total(counts)
-    scores = [F.greatest(F.lit(0.0), F.try_divide(_sum(counts, p), total) - 0.5 * F.try_divide(_sum(counts, f), total)) for p, _, f in TABLE.values()]
-    ranked = F.array(*[F.struct(s.alias("score"), F.lit(-k).alias("at"), F.lit(t).alias("type")) for k, (t, s) in enumerate(zip(TABLE, scores))])
-    best = F.array_max(ranked)
-    whole = F.aggregate(ranked, F.lit(0.0), lambda a, x: a + x["score"])
-    found = (total > 0) & (best["score"] > 0)
+def type_scores(counts: Column, total: Column) -> Column:
+    """array<struct<score, at, type>> of all types."""
+    def score(r: Column) -> Column:
+        return F.greatest(F.lit(0.0), F.try_divide(_sum(counts, r["primary"]), total) - 0.5 * F.try_divide(_sum(counts, r["forbidden"]), total))
+    return F.transform(_rules(), lambda r: F.struct(F.coalesce(score(r), F.lit(0.0)).alias("score"), r["at"].alias("at"), r["type"].alias("type")))
+
+
+def inferred_type(scores: Column) -> Column:
+    """struct<type, confidence> from type_scores; the first of the table among equals."""
+    best = F.array_max(scores)
+    whole = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x["score"])
+    found = best["score"] > 0
     return F.struct(F.when(found, best["type"]).otherwise("unknown").alias("type"), F.when(found, F.bround(F.try_divide(best["score"], whole), 4)).otherwise(0.0).alias("confidence"))
 
 
-def flags(kind: Column, counts: Column, confidence: Column, score: Column, suggested: Column) -> Column:
+def flags(kind: Column, s: Column, confidence: Column, score: Column, suggested: Column) -> Column:
     """array<struct<code, severity>> in rule order."""
-    total = _total(counts)
 
     def flag(code: str, severity: str, when: Column) -> Column:
         return F.when(when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity")))
 
-    has_table = kind.isin(list(TABLE))
-    forbidden = _by_type(kind, counts, 2) > 0
+    forbidden = s["forbidden"] > 0
     mismatch = (suggested["type"] != kind) & (suggested["type"] != "unknown") & (suggested["confidence"] > 0.5)
     sure = (confidence >= 0.7) & (score < 0.5)
     rules = F.array_compact(
         F.array(
             flag("FORBIDDEN_ELEMENTS", "error", forbidden),
-            flag("MISSING_PRIMARY_ELEMENTS", "warning", has_table & (_by_type(kind, counts, 0) == 0)),
+            flag("MISSING_PRIMARY_ELEMENTS", "warning", s["known"] & (s["primary"] == 0)),
             flag("TYPE_MISMATCH", "error", mismatch),
             flag("HIGH_CONFIDENCE_MISMATCH", "error", sure),
             flag("LOW_CONFIDENCE", "info", confidence < 0.5),
@@ -80,16 +83,18 @@ def flags(kind: Column, counts: Column, confidence: Column, score: Column, sugge
         )
     )
     none = F.array_compact(F.array(flag("NO_ELEMENTS", "warning", ~kind.isin("activity", "unclassified"))))
-    return F.when(total == 0, none).otherwise(rules)
+    return F.when(s["total"] == 0, none).otherwise(rules)
 
 
 def validate(analysis: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """analysis: primary_type, elements, confidence, ... -> consistency_score, suggested_type, suggestion_confidence, flags, is_consistent."""
     kind, counts = F.col("primary_type"), F.coalesce("elements", F.create_map().cast("map<string,int>"))
-    scored = analysis.withColumn("consistency_score", consistency_score(kind, counts)).withColumn("_s", inferred_type(counts))
-    flagged = scored.withColumn("flags", flags(kind, counts, F.coalesce("confidence", F.lit(0.0)), F.col("consistency_score"), F.col("_s")))
+    summed = analysis.withColumn("_s", sums(kind, counts))
+    scored = summed.withColumn("consistency_score", consistency_score(kind, F.col("_s"))).withColumn("_t", type_scores(counts, F.col("_s.total")))
+    guessed = scored.withColumn("_g", inferred_type(F.col("_t")))
+    flagged = guessed.withColumn("flags", flags(kind, F.col("_s"), F.coalesce("confidence", F.lit(0.0)), F.col("consistency_score"), F.col("_g")))
     verdict = (F.col("consistency_score") >= threshold) & ~F.exists("flags", lambda f: f["severity"] == "error")
-    return flagged.select("*", F.col("_s.type").alias("suggested_type"), F.col("_s.confidence").alias("suggestion_confidence"), verdict.alias("is_consistent")).drop("_s")
+    return flagged.select("*", F.col("_g.type").alias("suggested_type"), F.col("_g.confidence").alias("suggestion_confidence"), verdict.alias("is_consistent")).drop("_s", "_t", "_g")
 
 
 def at_least(validated: DataFrame, severity: str) -> DataFrame:
