@@ -38,7 +38,7 @@ BLOCK_BYTES = 8_000_000
 BUCKET_ENTRIES = 400_000
 CHAINS, SWEEPS = 2, 2
 STRENGTH = 1.0
-EXACT_CUSTOMERS = 128
+EXACT_CUSTOMERS = 16
 END, BEGIN = np.uint64(0x0E0D_0E0D_0E0D_0E0D), np.uint64(0xBE61_BE61_BE61_BE61)
 FOLDS, HELD_OUT = 7, 2
 
