@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, extended, scratch_path, slices, spans, string_buffers, table
+from .common import SPACED_WORD, extended, materialize, scratch_path, slices, spans, string_buffers, table
 from .packing import default_tokenizer_path, encode
 
 KEYS = ("source", "lang", "tokenizer")
@@ -29,25 +29,29 @@ def production_versions() -> dict[str, str | None]:
     return {BPE: default_tokenizer_path(), WORDS: None}
 
 
-def count_tokens(documents: DataFrame, versions: dict[str, str | None]) -> DataFrame:
-    """documents: source, lang, text -> source, lang, tokenizer, n_tokens long; a row for each document and version."""
-    kept = documents.select("source", "lang", "text")
-    bare = kept.select("source", "lang")
+def count_tokens(documents: DataFrame, versions: dict[str, str | None], texts: tuple[str, ...] = ("text",), keep: tuple[str, ...] = ("source", "lang")) -> DataFrame:
+    """The kept columns, tokenizer, and n_tokens long (of the first text column; n_tokens_<name> of further ones); a row for each document
+    and version."""
+    kept = documents.select(*keep, *texts)
+    bare = kept.select(*keep)
+    names = ["n_tokens", *[f"n_tokens_{t}" for t in texts[1:]]]
 
     def count(batches):
         import numpy as np
         import pyarrow as pa
 
+        def lengths(column, path):
+            if path is not None:
+                return np.array([len(encode(path, x.as_py() or "")) for x in column], np.int64)
+            data, offsets = string_buffers(column)
+            return np.concatenate([np.diff(spans(part, off, SPACED_WORD)[2]) for _, _, part, off in slices(data, offsets)] or [np.zeros(0, np.int64)])
+
         for batch in batches:
-            data, offsets = string_buffers(batch.column(2))
             for name, path in versions.items():
-                if path is None:
-                    n = np.concatenate([np.diff(spans(part, off, SPACED_WORD)[2]) for _, _, part, off in slices(data, offsets)] or [np.zeros(0, np.int64)])
-                else:
-                    n = np.array([len(encode(path, x.as_py() or "")) for x in batch.column(2)], np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([name] * len(n), pa.string()), pa.array(n, pa.int64())], ["source", "lang", "tokenizer", "n_tokens"])
+                found = [pa.array(lengths(batch.column(len(keep) + k), path), pa.int64()) for k in range(len(texts))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([name] * batch.num_rows, pa.string()), *found], [*keep, "tokenizer", *names])
 
-    return kept.mapInArrow(count, extended(bare, "tokenizer string, n_tokens long"))
+    return kept.mapInArrow(count, extended(bare, "tokenizer string, " + ", ".join(f"{n} long" for n in names)))
 
 
 def inserted(counts: DataFrame) -> DataFrame:
@@ -118,17 +122,18 @@ class Rollup:
 def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loads all documents; revises those labelled low quality to their text with white space runs as one space; deletes those labelled toxic
     (as revised, if they were); then tries the first batch again, which changes nothing."""
-    versions = production_versions()
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    labelled = documents.join(labels.where("quality = 0 OR toxic = 1"), "doc_id")
-    squeezed = F.regexp_replace("text", r"\s+", " ")
+    marked = documents.join(labels, "doc_id", "left")
+    low, toxic = F.coalesce(F.col("quality") == 0, F.lit(False)).alias("low"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("toxic")
+    squeezed = F.when(F.col("quality") == 0, F.regexp_replace("text", r"\s+", " ")).alias("squeezed")
+    # texts are read, joined and tokenised once; all batches come from the counts
+    counts = materialize(count_tokens(marked.select("source", "lang", low, toxic, "text", squeezed), production_versions(), ("text", "squeezed"), ("source", "lang", "low", "toxic")), "token-counts")
+    before = counts.select(*KEYS, "low", "toxic", "n_tokens")
+    after = counts.select(*KEYS, "low", "toxic", F.when(F.col("low"), F.col("n_tokens_squeezed")).otherwise(F.col("n_tokens")).alias("n_tokens"))
     rollup = Rollup(spark, scratch_path(spark, "token-rollup"))
-    load = inserted(count_tokens(documents, versions))
-    rollup.commit("load", load)
-    low = labelled.where("quality = 0")
-    rollup.commit("squeeze-low-quality", revised(count_tokens(low, versions), count_tokens(low.withColumn("text", squeezed), versions)))
-    toxic = labelled.where("toxic = 1").withColumn("text", F.when(F.col("quality") == 0, squeezed).otherwise(F.col("text")))
-    rollup.commit("delete-toxic", deleted(count_tokens(toxic, versions)))
-    rollup.commit("load", load)
+    rollup.commit("load", inserted(before))
+    rollup.commit("squeeze-low-quality", revised(before.where("low"), after.where("low")))
+    rollup.commit("delete-toxic", deleted(after.where("toxic")))
+    rollup.commit("load", inserted(before))
     return rollup.totals()
