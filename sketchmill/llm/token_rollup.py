@@ -124,16 +124,17 @@ def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     (as revised, if they were); then tries the first batch again, which changes nothing."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    marked = documents.join(labels, "doc_id", "left")
-    low, toxic = F.coalesce(F.col("quality") == 0, F.lit(False)).alias("low"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("toxic")
-    squeezed = F.when(F.col("quality") == 0, F.regexp_replace("text", r"\s+", " ")).alias("squeezed")
-    # texts are read, joined and tokenised once; all batches come from the counts
-    counts = materialize(count_tokens(marked.select("source", "lang", low, toxic, "text", squeezed), production_versions(), ("text", "squeezed"), ("source", "lang", "low", "toxic")), "token-counts")
-    before = counts.select(*KEYS, "low", "toxic", "n_tokens")
-    after = counts.select(*KEYS, "low", "toxic", F.when(F.col("low"), F.col("n_tokens_squeezed")).otherwise(F.col("n_tokens")).alias("n_tokens"))
+    squeezed = documents.withColumn("squeezed", F.regexp_replace("text", r"\s+", " "))
+    # Both forms of each text are counted where it is read: only numbers meet the labels, and no text is ever shuffled.
+    counts = materialize(count_tokens(squeezed, production_versions(), ("text", "squeezed"), ("doc_id", "source", "lang")), "token-counts")
+    marked = counts.join(labels.where("quality = 0 OR toxic = 1"), "doc_id")
+    low, now = F.coalesce(F.col("quality") == 0, F.lit(False)), F.col("n_tokens_squeezed").alias("n_tokens")
+    before = counts.select(*KEYS, "n_tokens")
+    recounted = marked.where(low)
+    gone = marked.where("toxic = 1").select(*KEYS, F.when(low, F.col("n_tokens_squeezed")).otherwise(F.col("n_tokens")).alias("n_tokens"))
     rollup = Rollup(spark, scratch_path(spark, "token-rollup"))
     rollup.commit("load", inserted(before))
-    rollup.commit("squeeze-low-quality", revised(before.where("low"), after.where("low")))
-    rollup.commit("delete-toxic", deleted(after.where("toxic")))
+    rollup.commit("squeeze-low-quality", revised(recounted.select(*KEYS, "n_tokens"), recounted.select(*KEYS, now)))
+    rollup.commit("delete-toxic", deleted(gone))
     rollup.commit("load", inserted(before))
     return rollup.totals()
