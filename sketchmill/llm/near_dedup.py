@@ -10,9 +10,11 @@ A document's set: its distinct SHINGLE-word shingles (64-bit hashes), or the who
 4. Every edge is confirmed on full sets, which are made again from the text of the nodes that have edges.
 5. Components of confirmed edges. A bucket whose members are then still in several components may hide a link between two
    members that both missed the star's centre. Buckets of up to ALL_PAIRS nodes are settled exactly, pair by pair. In larger ones,
-   members outside the centre's component are compared with nodes drawn anew each turn in a share of the buckets, until
-   BARREN_TURNS turns in a row link nothing new: work stays in proportion to members. A link is lost only if its two documents
-   share no small bucket, miss every centre and every draw, and no chain of other links joins them.
+   members outside the centre's component are first compared with nodes drawn anew each turn in a share of the buckets, until
+   BARREN_TURNS turns in a row link nothing new, so that components merge early.
+6. Then every pair of different components that meets in any bucket and was not judged yet is settled: large buckets are dealt in
+   parts, and pairs whose parity bits alone rule a link out are dropped where they are made. Components only merge, so one such
+   pass leaves no pair open. A link is lost only if its two documents share no bucket and no chain of other links joins them.
 
 A pair at the threshold misses all buckets with probability (1 - 0.85^ROWS)^BANDS = 6e-9; two documents in one component need no
 link of their own.
@@ -35,9 +37,12 @@ from .components import connected_components
 SHINGLE = 5
 BANDS, ROWS = 40, 6
 NUMERATOR, DENOMINATOR = 85, 100
-#: Buckets of up to so many nodes are settled pair by pair; larger ones by so many probes a turn, until so many turns link nothing new.
+#: Buckets of up to so many nodes are settled pair by pair at once; larger ones get so many probes a turn, until so many turns link
+#: nothing new, and are settled pair by pair then.
 #: A turn draws one in SHARE of the large buckets; a node of such a group is in about 15 to 40 of them.
 ALL_PAIRS, PROBES, BARREN_TURNS, SHARE = 32, 2, 2, 4
+#: Parity bits of a set; nodes in a part of a large bucket.
+BITS, PART = 512, 256
 
 
 # ---------------------------------------------------------------- sets and sketches
@@ -111,8 +116,17 @@ def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return mix(a).view(np.int64), mix(b).view(np.int64)
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """[sets, BITS / 64]: bit k is the parity of the number of hashes that fall on k. Two sets differ in no fewer hashes than bits."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = row * BITS + (np.concatenate(sets) % np.uint64(BITS)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(sets) * BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(len(sets), BITS // 64)
+
+
 def sketch(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n long, text_hash long, f1 long, f2 long, keys array<long>; an empty set has null fingerprints and no keys."""
+    """doc_id, n long, text_hash long, f1 long, f2 long, keys array<long>, bits array<long>; an empty set has null fingerprints, no
+    keys and no bits."""
     kept = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
     def make(batches):
@@ -124,18 +138,18 @@ def sketch(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 sets = shingle_sets(part, off, shingle)
                 n = np.array([len(s) for s in sets], np.int64)
                 some = np.flatnonzero(n)
-                f1, f2, keys = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64), np.zeros((0, BANDS), np.int64)
+                f1, f2, keys, bits = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64), np.zeros((0, BANDS), np.int64), np.zeros((0, BITS // 64), np.int64)
                 if len(some):
                     chosen = [sets[k] for k in some]
                     f1[some], f2[some] = fingerprints(chosen)
-                    keys = np.concatenate([bucket_keys(chosen[k : k + 256]) for k in range(0, len(chosen), 256)])
-                ends = np.append(0, np.cumsum(np.where(n > 0, BANDS, 0))).astype(np.int32)
+                    keys, bits = (np.concatenate([f(chosen[k : k + 256]) for k in range(0, len(chosen), 256)]) for f in (bucket_keys, parities))
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(n > 0, x.shape[1], 0))).astype(np.int32)), pa.array(x.ravel())) for x in (keys, bits)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], batch.column(1)[i:j], pa.array(n), pa.array(f1, mask=n == 0), pa.array(f2, mask=n == 0), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))],
-                    ["doc_id", "text_hash", "n", "f1", "f2", "keys"],
+                    [batch.column(0)[i:j], batch.column(1)[i:j], pa.array(n), pa.array(f1, mask=n == 0), pa.array(f2, mask=n == 0), *lists],
+                    ["doc_id", "text_hash", "n", "f1", "f2", "keys", "bits"],
                 )
 
-    return kept.mapInArrow(make, extended(kept.drop("text"), "n long, f1 long, f2 long, keys array<long>"))
+    return kept.mapInArrow(make, extended(kept.drop("text"), "n long, f1 long, f2 long, keys array<long>, bits array<long>"))
 
 
 def full_sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -216,13 +230,32 @@ def hidden_pairs(members: DataFrame, components: DataFrame, judged: DataFrame, t
     return pairs.join(judged, ["a", "b"], "left_anti")
 
 
+def open_pairs(members: DataFrame, nodes: DataFrame, components: DataFrame, judged: DataFrame) -> DataFrame:
+    """All pairs (a < b) of different components that share a bucket of any size, were not judged yet and may be links by their bits.
+
+    The nodes of a bucket are dealt into parts of about PART, and each node outside the centre's component goes to all parts.
+    """
+    rooted = members.join(components, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("hub", "node", "root")).alias("c")).where("lo <> hi")
+    rows = rooted.join(split.select("key", F.col("c.root").alias("main")), "key").join(nodes.select("node", "bits"), "node")
+    rows = rows.withColumn("parts", F.ceil(F.col("m") / PART).cast("int")).withColumn("is_main", F.col("root") == F.col("main"))
+    some = rows.select("key", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node", "n", "root", "bits", "is_main")
+    outside = rows.where(~F.col("is_main")).select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"), F.col("bits").alias("x_bits"))
+    differ = functools.reduce(Column.__add__, [F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("x_bits")[k])) for k in range(BITS // 64)])
+    # the sets differ in (|A| + |B|) * (1 - J) / (1 + J) hashes, and in no fewer than their bits do
+    may = (DENOMINATOR + NUMERATOR) * differ <= (DENOMINATOR - NUMERATOR) * (F.col("n") + F.col("x_n"))
+    pairs = some.join(outside, ["key", "part"]).where("root <> x_root AND (is_main OR node < x)").where(sizes_allow(F.col("n"), F.col("x_n"))).where(may)
+    pairs = pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+    return pairs.join(judged, ["a", "b"], "left_anti")
+
+
 def cluster(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles long, component_id, kept boolean: one row for each row of documents."""
     spark = documents.sparkSession
     read = lambda path: spark.read.parquet(path)
     sketches = read(write_table(sketch(documents, shingle), "sketches"))
-    nodes = sketches.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "n", "keys")).alias("r"))
-    nodes = read(write_table(nodes.select(F.col("f1").alias("node"), "f2", "r.doc_id", "r.text_hash", "r.n", "r.keys"), "nodes"))
+    nodes = sketches.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "n", "keys", "bits")).alias("r"))
+    nodes = read(write_table(nodes.select(F.col("f1").alias("node"), "f2", "r.doc_id", "r.text_hash", "r.n", "r.keys", "r.bits"), "nodes"))
     members = read(write_table(bucket_members(nodes), "members"))
     release(spark)
     judged = read(write_table(star_edges(members), "candidates"))
@@ -232,7 +265,7 @@ def cluster(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     turn = barren = 0
     while barren < BARREN_TURNS:
         more = read(write_table(hidden_pairs(members, components, judged, turn), "candidates"))
-        if more.isEmpty():  # every such pair is judged
+        if more.isEmpty():  # nothing in this turn's draw
             break
         fresh = read(write_table(confirm(more, documents, nodes, shingle), "links"))
         release(spark)
@@ -242,6 +275,13 @@ def cluster(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             continue
         barren, links = 0, links.unionByName(fresh)
         components = connected_components(links)
+    more = read(write_table(open_pairs(members, nodes, components, judged), "candidates"))
+    release(spark)
+    if not more.isEmpty():
+        fresh = read(write_table(confirm(more, documents, nodes, shingle), "links"))
+        release(spark)
+        if not fresh.isEmpty():
+            components = connected_components(links.unionByName(fresh))
     rooted = nodes.select("node", "f2", "doc_id").join(components, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     names = rooted.join(least, "root").select(F.col("node").alias("f1"), "f2", "component_id")

@@ -76,6 +76,45 @@ def test_large_buckets(spark, tables, monkeypatch):
     assert got == brute(docs)
 
 
+def slotted(seed, n):
+    """Texts of a common template with one of two words in each of 40 slots, and of most another one that differs in 5 or 6 slots:
+    every shingle is common, so only large buckets join such a pair."""
+    rng = random.Random(seed)
+    fixed = [f"t{k}" for k in range(400)]
+    out = []
+    for _ in range(n):
+        a = [rng.randrange(2) for _ in range(40)]
+        b = list(a)
+        for k in rng.sample(range(40), rng.choice([5, 6])):
+            b[k] ^= 1
+        for bits in (a, b):
+            words = list(fixed)
+            for k, x in enumerate(bits):
+                words[10 * k + 5] = f"s{k}v{x}"
+            out.append(" ".join(words))
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+def test_hidden_links_of_large_buckets(spark, tables, monkeypatch):
+    """No link inside a large bucket is left to chance, and parts of a bucket meet."""
+    monkeypatch.setattr(near_dedup, "ALL_PAIRS", 1)
+    monkeypatch.setattr(near_dedup, "PART", 20, raising=False)
+    docs = slotted(7, 250)
+    got = sorted((tuple(r) for r in near_dedup.op10_minhash_near_dedup(spark, tables(documents=docs)).collect()), key=str)
+    assert got == brute(docs)
+
+
+def test_parities_never_rule_out_a_link():
+    rng = np.random.default_rng(2)
+    both = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    for more in (0, 1, 30, 3000):
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**63, more, dtype=np.uint64)])) for _ in range(2))
+        bits = near_dedup.parities([a, b]).view(np.uint64)
+        assert int(np.bitwise_count(bits[0] ^ bits[1]).sum()) <= len(np.setxor1d(a, b))
+    assert near_dedup.BITS % 64 == 0
+
+
 def test_empty(spark, tables):
     assert near_dedup.op10_minhash_near_dedup(spark, tables()).count() == 0
     rows = near_dedup.op10_minhash_near_dedup(spark, tables(documents=[(1, None), (2, "")])).collect()
