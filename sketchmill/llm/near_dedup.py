@@ -265,11 +265,13 @@ def cluster(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     turn = barren = 0
     while barren < BARREN_TURNS:
         more = read(write_table(hidden_pairs(members, components, judged, turn), "candidates"))
-        if more.isEmpty():  # nothing in this turn's draw
-            break
+        turn += 1
+        if more.isEmpty():  # of this turn's draw only: other buckets may be open
+            barren += 1
+            continue
         fresh = read(write_table(confirm(more, documents, nodes, shingle), "links"))
         release(spark)
-        judged, turn = judged.unionByName(more), turn + 1
+        judged = judged.unionByName(more)
         if fresh.isEmpty():
             barren += 1
             continue

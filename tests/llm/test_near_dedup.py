@@ -105,6 +105,15 @@ def test_hidden_links_of_large_buckets(spark, tables, monkeypatch):
     assert got == brute(docs)
 
 
+def test_undrawn_buckets(spark, tables, monkeypatch):
+    """Turns that draw no bucket are not the end of the work."""
+    monkeypatch.setattr(near_dedup, "ALL_PAIRS", 1)
+    monkeypatch.setattr(near_dedup, "SHARE", 10**9)
+    docs = slotted(8, 40)
+    got = sorted((tuple(r) for r in near_dedup.op10_minhash_near_dedup(spark, tables(documents=docs)).collect()), key=str)
+    assert got == brute(docs)
+
+
 def test_parities_never_rule_out_a_link():
     rng = np.random.default_rng(2)
     both = rng.integers(0, 2**63, 300, dtype=np.uint64)
