@@ -18,7 +18,8 @@ gathered in one place. Whole numbers travel compressed.
   sweeps side by side.
 - scores: log10 of the predictive probability averaged over all chains and sweeps, summed over a document.
 
-Seating is exact customer by customer up to EXACT_CUSTOMERS of a pair; beyond, runs of customers that double in length share one draw.
+Seating is exact: customer by customer up to SINGLY of a pair, beyond by skips to the next new table, so a pair costs steps in proportion
+to its tables and the logarithm of its customers.
 Discounts are estimated from the counts of ones and twos of all data; STRENGTH is fixed.
 
 Defined results: null or empty text is the end token alone; null doc_ids are learned from; repeated rows count as often as they
@@ -38,7 +39,8 @@ BLOCK_BYTES = 8_000_000
 BUCKET_ENTRIES = 400_000
 CHAINS, SWEEPS = 2, 2
 STRENGTH = 1.0
-EXACT_CUSTOMERS = 16
+#: Customers of a pair that are seated one by one; beyond, the draw skips to the next new table.
+SINGLY = 16
 END, BEGIN = np.uint64(0x0E0D_0E0D_0E0D_0E0D), np.uint64(0xBE61_BE61_BE61_BE61)
 FOLDS, HELD_OUT = 7, 2
 
@@ -55,15 +57,31 @@ def seat(keys: np.ndarray, customers: np.ndarray, new_weight: np.ndarray, discou
     new_weight / (new_weight + k - discount * t)."""
     tables = (customers > 0).astype(np.int64)
     live = np.flatnonzero(customers > 1)
-    k = 1
+    live = live[np.argsort(-np.minimum(customers[live], SINGLY + 1).astype(np.int8), kind="stable")]  # those of a further customer lead
+    key, a, last = keys[live], new_weight[live], customers[live]
+    t = np.ones(len(live))
+    more = len(live) - np.cumsum(np.bincount(np.minimum(last, SINGLY + 1), minlength=SINGLY + 2))
+    for k in range(1, SINGLY):
+        m = more[k]
+        t[:m] += uniforms(key[:m], k, sweep) * (a[:m] + k - discount * t[:m]) < a[:m]
+    tables[live] = t
+    m = more[SINGLY]
+    live, key, a, last, t = live[:m], key[:m], a[:m], last[:m], t[:m]
+    k, draw = np.full(m, float(SINGLY)), SINGLY
     while len(live):
-        run = 1 if k < EXACT_CUSTOMERS else k // 2
-        a, t = new_weight[live], tables[live]
-        take = np.minimum(run, customers[live] - k)
-        p = a / (a + np.maximum(k + (take - 1) / 2 - discount * t, 1e-9))
-        tables[live] += np.minimum(np.floor(p * take + uniforms(keys[live], k, sweep)).astype(np.int64), take)
-        k += run
-        live = live[customers[live] > k]
+        # with no new table the chance only falls, so the next one is no sooner than at today's chance; there the draw is thinned
+        s = k - discount * t
+        skip = np.floor(np.log1p(-uniforms(key, draw, sweep)) / -np.log1p(a / s))
+        on = k + skip < last
+        opens = on & (uniforms(key, draw + 1, sweep) * (a + s + skip) < a + s)
+        t += opens
+        k += skip + 1
+        draw += 2
+        done = k >= last
+        if done.any():
+            tables[live[done]] = t[done]
+            stay = ~done
+            live, key, a, last, t, k = live[stay], key[stay], a[stay], last[stay], t[stay], k[stay]
     return tables
 
 

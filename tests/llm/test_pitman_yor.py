@@ -102,6 +102,29 @@ def test_seating_mean():
         assert abs(got.mean() - sim.mean()) < 0.03 * sim.mean() + 0.05
 
 
+def test_seating_of_frequent_pairs():
+    """Mean and spread of the tables are those of customer-by-customer seating, also of many customers and large weights."""
+    rng = np.random.default_rng(6)
+    for c, a, d in ((17, 20.0, 0.9), (128, 20.0, 0.9), (500, 20.0, 0.9), (500, 0.05, 0.5), (2000, 400.0, 0.8)):
+        keys = pitman_yor.mix(np.arange(20_000, dtype=np.uint64) + np.uint64(c << 20))
+        got = pitman_yor.seat(keys, np.full(len(keys), c), np.full(len(keys), a), d, 1)
+        sim = np.ones(20_000)
+        for k in range(1, c):
+            sim += rng.random(len(sim)) < a / (a + k - d * sim)
+        assert abs(got.mean() - sim.mean()) < 5 * sim.std() * (2 / len(sim)) ** 0.5
+        assert abs(got.std() / sim.std() - 1) < 0.06
+
+
+def test_seating_does_not_depend_on_neighbours():
+    rng = np.random.default_rng(7)
+    customers = np.minimum(rng.zipf(1.3, 3000), 50_000)
+    keys, weights = pitman_yor.mix(np.arange(3000, dtype=np.uint64)), rng.gamma(0.5, 8, 3000) + 1e-9
+    whole = pitman_yor.seat(keys, customers, weights, 0.7, 3)
+    some = np.flatnonzero(rng.random(3000) < 0.3)[::-1]
+    assert (whole[some] == pitman_yor.seat(keys[some], customers[some], weights[some], 0.7, 3)).all()
+    assert (whole >= 1).all() and (whole <= customers).all()
+
+
 def test_blocks_do_not_matter(spark, monkeypatch):
     docs = [(k, t, k % 5 != 0) for k, t in corpus(80, 5)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, learn boolean")
