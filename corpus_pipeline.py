@@ -31,12 +31,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays; a doc_id that occurs in several rows stays once."""
-    kept = near_dedup.cluster(docs.select("doc_id", "text")).where("kept").groupBy("doc_id").count().withColumnRenamed("doc_id", "id")
+    """One row of each component stays. Rows are told apart by doc_id and text: a doc_id that occurs with texts of several components
+    stays once for each of them."""
+    hidden, restore = shield(docs, "doc_id", "text")
+    kept = near_dedup.one_a_component(docs.select("doc_id", "text")).toDF("id", "hash", "count")
     kept = spark.read.parquet(write_table(kept, "kept"))
-    out = docs.join(kept.select("id"), docs["doc_id"].eqNullSafe(kept["id"]), "left_semi")
+    hidden = hidden.withColumn("text_hash", F.xxhash64("text"))
+    out = hidden.join(kept.select("id", "hash"), hidden["doc_id"].eqNullSafe(kept["id"]) & (hidden["text_hash"] == kept["hash"]), "left_semi")
     repeated = not kept.where("`count` > 1").isEmpty()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    return restore(out.dropDuplicates(["doc_id", "text_hash"]) if repeated else out)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -249,8 +249,9 @@ def open_pairs(members: DataFrame, nodes: DataFrame, components: DataFrame, judg
     return pairs.join(judged, ["a", "b"], "left_anti")
 
 
-def cluster(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles long, component_id, kept boolean: one row for each row of documents."""
+def rows_of_components(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, text_hash long, n long, root long, component_id: one row for each row of documents. root tells components apart, also
+    those of one name; it is null for an empty set."""
     spark = documents.sparkSession
     read = lambda path: spark.read.parquet(path)
     sketches = read(write_table(sketch(documents, shingle), "sketches"))
@@ -286,12 +287,27 @@ def cluster(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             components = connected_components(links.unionByName(fresh))
     rooted = nodes.select("node", "f2", "doc_id").join(components, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    names = rooted.join(least, "root").select(F.col("node").alias("f1"), "f2", "component_id")
-    out = sketches.select("doc_id", "n", "f1", "f2").join(names, ["f1", "f2"], "left")
+    names = rooted.join(least, "root").select(F.col("node").alias("f1"), "f2", "root", "component_id")
+    out = sketches.select("doc_id", "text_hash", "n", "f1", "f2").join(names, ["f1", "f2"], "left")
+    return out.select("doc_id", "text_hash", "n", "root", "component_id")
+
+
+def cluster(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles long, component_id, kept boolean: one row for each row of documents."""
+    out = rows_of_components(documents, shingle)
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def one_a_component(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, text_hash long, count long: the row of each component that stays, that of the least id (a null one comes last), and how
+    many rows are the same. An empty set is a component with its copies only."""
+    alone = F.when(F.col("n") == 0, F.struct("doc_id", "text_hash")).alias("alone")
+    same = rows_of_components(documents, shingle).groupBy("root", alone, "doc_id", "text_hash").count()
+    least = same.groupBy("root", "alone").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "count")).alias("r"))
+    return least.select("r.doc_id", "r.text_hash", "r.count")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

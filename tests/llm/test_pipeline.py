@@ -38,6 +38,17 @@ def test_stages(spark, tmp_path):
     assert 202 not in ids[3] and set(ids[3]) == set(ids[2]) - {202}
 
 
+def test_near_duplicates_by_row(spark):
+    """Null ids and repeated ids: only rows of one group go."""
+    words = lambda x: " ".join(f"{x}{k}" for k in range(60))
+    rows = [(None, words("a")), (None, words("b")), (None, words("b")), (None, words("c") + " tail"), (1, words("c")), (5, words("d")), (5, words("e")), (5, words("e")), (5, words("c")), (3, words("d").upper())]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, text_hash string")
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert got == sorted([(None, words("a")), (None, words("b")), (1, words("c")), (3, words("d").upper()), (5, words("e"))], key=str)
+
+
 def test_run_and_registry(spark, tmp_path):
     build(tmp_path, spark)
     out = corpus_pipeline.run(spark, str(tmp_path))
