@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -28,8 +29,15 @@ def _own_folder() -> str:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder that the cluster shares (spark.checkpoint.dir). A temporary one only where that is unset and everything runs in one
+    process, as in tests; on a cluster an unset folder is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    return _own_folder()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -53,6 +61,23 @@ def drop_table(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextlib.contextmanager
+def working_tables(spark: SparkSession):
+    """Gives keep(df, name), which writes a table into the shared folder and reads it again; all of them are removed at the end."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        paths.append(write_table(df, name))
+        release(spark)
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            drop_table(spark, path)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner see which shuffle files no plan holds any more."""
     import gc

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, write_table
+from .common import drop_table, materialize, write_table
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -23,8 +23,9 @@ def _star(edges: DataFrame) -> DataFrame:
     return small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """edges: a long, b long (either order; loops and repeats allowed) -> node, root: the smallest node reachable; nodes without a link are left out."""
+def connected_components(edges: DataFrame, keep=materialize) -> DataFrame:
+    """edges: a long, b long (either order; loops and repeats allowed) -> node, root: the smallest node reachable; nodes without a link are
+    left out. keep(df, name) writes the result's table; those of the rounds are removed."""
     spark = edges.sparkSession
     ordered = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     path = write_table(ordered, "edges")
@@ -33,7 +34,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now = spark.read.schema("u long, v long").parquet(path)
         sums = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (sums["n"], sums["s"]) == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            out = keep(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")
+            drop_table(spark, path)
+            return out
         mark = (sums["n"], sums["s"])
         after = write_table(_star(now), "edges")
         drop_table(spark, path)

@@ -9,15 +9,12 @@ A document's set: its distinct SHINGLE-word shingles (64-bit hashes), or the who
 3. Each bucket links its members to one centre only, the node with most company: a star, so edges grow with members, not with pairs.
 4. Every edge is confirmed on full sets, which are made again from the text of the nodes that have edges.
 5. Components of confirmed edges. A bucket whose members are then still in several components may hide a link between two
-   members that both missed the star's centre. Buckets of up to ALL_PAIRS nodes are settled exactly, pair by pair. In larger ones,
-   members outside the centre's component are first compared with nodes drawn anew each turn in a share of the buckets, until
-   BARREN_TURNS turns in a row link nothing new, so that components merge early.
-6. Then every pair of different components that meets in any bucket and was not judged yet is settled: large buckets are dealt in
-   parts, and pairs whose parity bits alone rule a link out are dropped where they are made. Components only merge, so one such
-   pass leaves no pair open. A link is lost only if its two documents share no bucket and no chain of other links joins them.
+   members that both missed the star's centre. All nodes of such buckets, whatever their size, are settled exactly by one
+   prefix-filtered join between different components (`open_pairs`), whose pairs are confirmed on full sets. Components only merge,
+   so one pass leaves no pair open. A link is lost only if its two documents share no bucket and no chain of other links joins them.
 
 A pair at the threshold misses all buckets with probability (1 - 0.85^ROWS)^BANDS = 6e-9; two documents in one component need no
-link of their own.
+link of their own. No constant but BANDS and ROWS can change a result.
 
 Defined results: null or empty text has size 0, no links and is its own component; repeated rows are copies; a null doc_id takes
 part, but never names a component that has other ids; an empty table gives no rows; extra columns are ignored.
@@ -31,18 +28,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, extended, mix, release, slices, spans, string_buffers, table, word_hashes, write_table
+from .common import SPACED_WORD, extended, mix, slices, spans, string_buffers, table, word_hashes, working_tables, write_table
 from .components import connected_components
 
 SHINGLE = 5
 BANDS, ROWS = 40, 6
 NUMERATOR, DENOMINATOR = 85, 100
-#: Buckets of up to so many nodes are settled pair by pair at once; larger ones get so many probes a turn, until so many turns link
-#: nothing new, and are settled pair by pair then.
-#: A turn draws one in SHARE of the large buckets; a node of such a group is in about 15 to 40 of them.
-ALL_PAIRS, PROBES, BARREN_TURNS, SHARE = 32, 2, 2, 4
-#: Parity bits of a set; nodes in a part of a large bucket.
-BITS, PART = 512, 256
+#: Rows of one key that a task takes at most: postings of a token, edges of a star's centre. Longer lists are dealt into parts.
+PART = 512
+#: Sizes under this are told apart one by one where sets are joined by size, larger ones by classes of a fixed ratio.
+FINE_SIZES = 64
 
 
 # ---------------------------------------------------------------- sets and sketches
@@ -116,17 +111,8 @@ def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return mix(a).view(np.int64), mix(b).view(np.int64)
 
 
-def parities(sets: list[np.ndarray]) -> np.ndarray:
-    """[sets, BITS / 64]: bit k is the parity of the number of hashes that fall on k. Two sets differ in no fewer hashes than bits."""
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    at = row * BITS + (np.concatenate(sets) % np.uint64(BITS)).astype(np.int64)
-    odd = (np.bincount(at, minlength=len(sets) * BITS) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64).reshape(len(sets), BITS // 64)
-
-
 def sketch(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n long, text_hash long, f1 long, f2 long, keys array<long>, bits array<long>; an empty set has null fingerprints, no
-    keys and no bits."""
+    """doc_id, n long, text_hash long, f1 long, f2 long, keys array<long>; an empty set has null fingerprints and no keys."""
     kept = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
     def make(batches):
@@ -138,18 +124,18 @@ def sketch(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 sets = shingle_sets(part, off, shingle)
                 n = np.array([len(s) for s in sets], np.int64)
                 some = np.flatnonzero(n)
-                f1, f2, keys, bits = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64), np.zeros((0, BANDS), np.int64), np.zeros((0, BITS // 64), np.int64)
+                f1, f2, keys = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64), np.zeros((0, BANDS), np.int64)
                 if len(some):
                     chosen = [sets[k] for k in some]
                     f1[some], f2[some] = fingerprints(chosen)
-                    keys, bits = (np.concatenate([f(chosen[k : k + 256]) for k in range(0, len(chosen), 256)]) for f in (bucket_keys, parities))
-                lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(n > 0, x.shape[1], 0))).astype(np.int32)), pa.array(x.ravel())) for x in (keys, bits)]
+                    keys = np.concatenate([bucket_keys(chosen[k : k + 256]) for k in range(0, len(chosen), 256)])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(n > 0, BANDS, 0))).astype(np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], batch.column(1)[i:j], pa.array(n), pa.array(f1, mask=n == 0), pa.array(f2, mask=n == 0), *lists],
-                    ["doc_id", "text_hash", "n", "f1", "f2", "keys", "bits"],
+                    [batch.column(0)[i:j], batch.column(1)[i:j], pa.array(n), pa.array(f1, mask=n == 0), pa.array(f2, mask=n == 0), lists],
+                    ["doc_id", "text_hash", "n", "f1", "f2", "keys"],
                 )
 
-    return kept.mapInArrow(make, extended(kept.drop("text"), "n long, f1 long, f2 long, keys array<long>, bits array<long>"))
+    return kept.mapInArrow(make, extended(kept.drop("text"), "n long, f1 long, f2 long, keys array<long>"))
 
 
 def full_sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -187,109 +173,127 @@ def bucket_members(nodes: DataFrame) -> DataFrame:
 
 
 def star_edges(members: DataFrame) -> DataFrame:
-    """a (the bucket's centre: the node with most company), b (every other member); distinct. The text that copies were made from
-    shares most buckets with them, so it is the likeliest to be linked with all of them."""
+    """a (the bucket's centre: the node with most company), b (every other member); distinct, as of two nodes the same one is the
+    centre in all their buckets. The text that copies were made from shares most buckets with them, so it is the likeliest to be
+    linked with all of them."""
     centre = members.groupBy("key").agg(F.max(F.struct("hub", "node", "n")).alias("c"))
     joined = members.join(centre, "key").where(F.col("node") != F.col("c.node")).where(sizes_allow(F.col("n"), F.col("c.n")))
-    return joined.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+    return joined.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _name(text_hash: str) -> list[Column]:
+    """An id and a text as two keys that are never null."""
+    return [F.xxhash64("doc_id", text_hash).alias("name"), F.col(text_hash).alias("hash")]
+
+
+def sets_of(wanted: DataFrame, documents: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """wanted: node, distinct -> node, n long, grams array<long>, made again from one text of each node."""
+    named = nodes.join(wanted, "node", "left_semi").select("node", *_name("text_hash"))
+    texts = documents.select("doc_id", "text", F.xxhash64("text").alias("hash")).select("text", *_name("hash"))
+    found = texts.join(named, ["name", "hash"]).dropDuplicates(["name", "hash"])  # repeated rows of one id and text
+    return full_sets(found, shingle)
 
 
 def confirm(edges: DataFrame, documents: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """The edges (a, b) that are links, judged on full sets."""
+    """The edges (a, b) that are links, judged on full sets. a may be the centre of many edges: these are dealt into parts of about PART,
+    each with a copy of the centre's set, so that every edge ships one set and no task gets a whole star."""
     ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(ends, "node", "left_semi").select("node", F.col("doc_id").alias("id"), "text_hash")
-    texts = documents.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["id"]) & (texts["hash"] == wanted["text_hash"]))
-    sets = full_sets(found, shingle)
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("g_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("g_b"))
+    sets = sets_of(ends, documents, nodes, shingle)
+    parts = edges.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = edges.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    members = dealt.join(sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("g_b")), "b")
+    centres = sets.join(parts, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("n").alias("n_a"), F.col("grams").alias("g_a"))
     both = F.size(F.array_intersect("g_a", "g_b"))
-    pairs = edges.join(left, "a").join(right, "b")
+    pairs = members.join(centres, ["a", "part"])
     return pairs.where(DENOMINATOR * both >= NUMERATOR * (F.col("n_a") + F.col("n_b") - both)).select("a", "b").distinct()
 
 
-def hidden_pairs(members: DataFrame, components: DataFrame, judged: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a < b) of different components that share a bucket and were not judged yet.
+def open_nodes(members: DataFrame, components: DataFrame) -> DataFrame:
+    """node, n, root: the nodes in a bucket whose members are in several components."""
+    rooted = members.join(components, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return rooted.join(split, "key", "left_semi").select("node", "n", "root").distinct()
+
 
-    In a bucket of up to ALL_PAIRS nodes, all pairs of a node outside the centre's component with one of another component. In
-    larger ones (a share of them, drawn anew each turn), each outside node with PROBES nodes of the centre's component and PROBES outside nodes, drawn anew each turn.
+def common_least(n_a: Column, n_b: Column) -> Column:
+    """Shingles that two sets of these sizes share at least if they are linked."""
+    return F.ceil(NUMERATOR * (n_a + n_b) / F.lit(float(NUMERATOR + DENOMINATOR)) - 1e-9)
+
+
+def size_class(n: Column) -> Column:
+    return F.when(n < FINE_SIZES, n).otherwise(FINE_SIZES + F.floor(F.log(n / float(FINE_SIZES)) * FINE_SIZES)).cast("int")
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """sets: node, n, root, grams -> node, n, root, t (shingle), at (its place in the set, from 0): a prefix of each set in one order of
+    all shingles, such that the first common shingle of any link between two components is in both prefixes.
+
+    A shingle that one component alone holds can be in no such link: those come first in the order, and a set with too few others is
+    left out. The others are ordered by how many sets hold them, the rarest first.
     """
-    rooted = members.join(components, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("hub", "node", "root")).alias("c")).where("lo <> hi")
-    drawn = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(SHARE)) == 0
-    rows = rooted.where((F.col("m") <= ALL_PAIRS) | drawn).join(split.select("key", F.col("c.root").alias("main")), "key")
-    outside = rows.where("root <> main").select("key", "m", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
-    few = rows.where(F.col("m") <= ALL_PAIRS).select("key", "node", "n", "root").join(outside.where(F.col("m") <= ALL_PAIRS), "key")
-    is_main = F.col("root") == F.col("main")
-    probe = [F.min(F.when(side, F.struct(F.xxhash64("node", F.lit(turn * PROBES + k)), "node", "n", "root"))) for side in (is_main, ~is_main) for k in range(PROBES)]
-    probes = rows.where(F.col("m") > ALL_PAIRS).groupBy("key").agg(F.array(*probe).alias("p")).select("key", F.explode("p").alias("p")).where("p IS NOT NULL")
-    probes = probes.select("key", "p.node", "p.n", "p.root").distinct()
-    many = probes.join(outside.where(F.col("m") > ALL_PAIRS), "key")
-    pairs = few.unionByName(many).where("root <> x_root").where(sizes_allow(F.col("n"), F.col("x_n")))
-    pairs = pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-    return pairs.join(judged, ["a", "b"], "left_anti")
-
-
-def open_pairs(members: DataFrame, nodes: DataFrame, components: DataFrame, judged: DataFrame) -> DataFrame:
-    """All pairs (a < b) of different components that share a bucket of any size, were not judged yet and may be links by their bits.
-
-    The nodes of a bucket are dealt into parts of about PART, and each node outside the centre's component goes to all parts.
+    grams = sets.select("node", "n", "root", F.explode("grams").alias("t"))
+    crossing = grams.groupBy("t").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("t", "df")
+    held = grams.join(crossing, "t").groupBy("node", "n", "root").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("held"))
+    own, least = F.col("n") - F.size("held"), F.ceil(F.col("n") * NUMERATOR / F.lit(float(DENOMINATOR)) - 1e-9)
+    longest = (F.col("n") - least - own + 1).cast("int")  # places 0 .. n - least, without those of its own
+    some = held.withColumn("own", own).withColumn("longest", longest).where("longest > 0")
+    some = some.select("node", "n", "root", "own", F.posexplode(F.slice("held", F.lit(1), F.col("longest"))).alias("k", "x"))
+    return some.select("node", "n", "root", F.col("x.t").alias("t"), (F.col("own") + F.col("k")).alias("at"))
+
+
+def open_pairs(postings: DataFrame) -> DataFrame:
+    """postings: of `prefixes` -> a, b: pairs of different components that may be links by sizes and places; all links are among them.
+
+    The smaller set of a pair goes by its own size class, the larger one to each class that its place allows: at place `at` a set of
+    size n shares n - at shingles at most, which bounds the other's size. Of each shingle's list, sets outside its largest
+    component meet all others, so a large component's members don't meet each other. Long lists are dealt into parts.
     """
-    rooted = members.join(components, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("hub", "node", "root")).alias("c")).where("lo <> hi")
-    rows = rooted.join(split.select("key", F.col("c.root").alias("main")), "key").join(nodes.select("node", "bits"), "node")
-    rows = rows.withColumn("parts", F.ceil(F.col("m") / PART).cast("int")).withColumn("is_main", F.col("root") == F.col("main"))
-    some = rows.select("key", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node", "n", "root", "bits", "is_main")
-    outside = rows.where(~F.col("is_main")).select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"), F.col("bits").alias("x_bits"))
-    differ = functools.reduce(Column.__add__, [F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("x_bits")[k])) for k in range(BITS // 64)])
-    # the sets differ in (|A| + |B|) * (1 - J) / (1 + J) hashes, and in no fewer than their bits do
-    may = (DENOMINATOR + NUMERATOR) * differ <= (DENOMINATOR - NUMERATOR) * (F.col("n") + F.col("x_n"))
-    pairs = some.join(outside, ["key", "part"]).where("root <> x_root AND (is_main OR node < x)").where(sizes_allow(F.col("n"), F.col("x_n"))).where(may)
-    pairs = pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-    return pairs.join(judged, ["a", "b"], "left_anti")
+    total, left = float(NUMERATOR), float(DENOMINATOR)
+    whole = postings.groupBy("t", "root").count().groupBy("t").agg(F.max(F.struct("count", "root"))["root"].alias("main"))
+    rows = postings.join(whole, "t").withColumn("out", F.col("root") != F.col("main"))
+    # common_least(n, n) is the least of any partner at least as large
+    small = rows.where(F.col("at") <= F.col("n") - common_least(F.col("n"), F.col("n"))).withColumn("size", size_class(F.col("n")))
+    most = F.least(F.col("n") + 0.0, ((total + left) * (F.col("n") - F.col("at")) - total * F.col("n")) / total)  # of the smaller set's size
+    lo, hi = size_class(F.ceil(F.col("n") * total / left - 1e-9)), size_class(F.floor(most + 1e-9))
+    large = rows.withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi").withColumn("size", F.explode(F.sequence("lo", "hi")))
+    found = []
+    for x, y in ((small, large.where("out")), (large.where("NOT out"), small.where("out"))):
+        parts = x.groupBy("t", "size").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+        x = x.join(parts, ["t", "size"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        y = y.join(parts, ["t", "size"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        x, y = (z.select("t", "size", "part", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root", "at")]) for z, s in ((x, "x"), (y, "y")))
+        least = common_least(F.col("n_x"), F.col("n_y"))
+        fits = (F.col("root_x") != F.col("root_y")) & (F.col("n_x") - F.col("at_x") >= least) & (F.col("n_y") - F.col("at_y") >= least)
+        found.append(x.join(y, ["t", "size", "part"]).where(fits).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")))
+    return found[0].unionByName(found[1]).distinct()
 
 
 def rows_of_components(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash long, n long, root long, component_id: one row for each row of documents. root tells components apart, also
     those of one name; it is null for an empty set."""
     spark = documents.sparkSession
-    read = lambda path: spark.read.parquet(path)
-    sketches = read(write_table(sketch(documents, shingle), "sketches"))
-    nodes = sketches.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "n", "keys", "bits")).alias("r"))
-    nodes = read(write_table(nodes.select(F.col("f1").alias("node"), "f2", "r.doc_id", "r.text_hash", "r.n", "r.keys", "r.bits"), "nodes"))
-    members = read(write_table(bucket_members(nodes), "members"))
-    release(spark)
-    judged = read(write_table(star_edges(members), "candidates"))
-    links = read(write_table(confirm(judged, documents, nodes, shingle), "links"))
-    release(spark)
-    components = connected_components(links)
-    turn = barren = 0
-    while barren < BARREN_TURNS:
-        more = read(write_table(hidden_pairs(members, components, judged, turn), "candidates"))
-        turn += 1
-        if more.isEmpty():  # of this turn's draw only: other buckets may be open
-            barren += 1
-            continue
-        fresh = read(write_table(confirm(more, documents, nodes, shingle), "links"))
-        release(spark)
-        judged = judged.unionByName(more)
-        if fresh.isEmpty():
-            barren += 1
-            continue
-        barren, links = 0, links.unionByName(fresh)
-        components = connected_components(links)
-    more = read(write_table(open_pairs(members, nodes, components, judged), "candidates"))
-    release(spark)
-    if not more.isEmpty():
-        fresh = read(write_table(confirm(more, documents, nodes, shingle), "links"))
-        release(spark)
-        if not fresh.isEmpty():
-            components = connected_components(links.unionByName(fresh))
-    rooted = nodes.select("node", "f2", "doc_id").join(components, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    names = rooted.join(least, "root").select(F.col("node").alias("f1"), "f2", "root", "component_id")
-    out = sketches.select("doc_id", "text_hash", "n", "f1", "f2").join(names, ["f1", "f2"], "left")
-    return out.select("doc_id", "text_hash", "n", "root", "component_id")
+    with working_tables(spark) as keep:
+        sketches = keep(sketch(documents, shingle), "sketches")
+        nodes = sketches.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "n", "keys")).alias("r"))
+        nodes = keep(nodes.select(F.col("f1").alias("node"), "f2", "r.doc_id", "r.text_hash", "r.n", "r.keys"), "nodes")
+        members = keep(bucket_members(nodes), "members")
+        stars = keep(star_edges(members), "candidates")
+        links = keep(confirm(stars, documents, nodes, shingle), "links")
+        components = connected_components(links, keep)
+        left = keep(open_nodes(members, components), "open")
+        sets = keep(sets_of(left.select("node"), documents, nodes, shingle).join(left.select("node", "root"), "node"), "open-sets")
+        pairs = keep(open_pairs(keep(prefixes(sets), "prefixes")), "candidates")
+        if not pairs.isEmpty():
+            fresh = keep(confirm(pairs, documents, nodes, shingle), "links")
+            if not fresh.isEmpty():
+                components = connected_components(links.unionByName(fresh), keep)
+        rooted = nodes.select("node", "f2", "doc_id").join(components, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        names = rooted.join(least, "root").select(F.col("node").alias("f1"), "f2", "root", "component_id")
+        out = sketches.select("doc_id", "text_hash", "n", "f1", "f2").join(names, ["f1", "f2"], "left")
+        out = out.select("doc_id", "text_hash", "n", "root", "component_id")
+        path = write_table(out, "near-duplicates")
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def cluster(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -68,12 +68,29 @@ def test_brute_force(spark, tables):
     assert all(g[3] == (g[0] == g[2]) for g in got)
 
 
-def test_large_buckets(spark, tables, monkeypatch):
-    """With every bucket treated as a large one, probes still find the links."""
-    monkeypatch.setattr(near_dedup, "ALL_PAIRS", 1)
-    docs = corpus(6, 15)
-    got = sorted((tuple(r) for r in near_dedup.op10_minhash_near_dedup(spark, tables(documents=docs)).collect()), key=str)
-    assert got == brute(docs)
+def test_small_parts(spark, tables, monkeypatch):
+    """Stars and lists dealt into parts of one row or few give the same."""
+    for part in (1, 7):
+        monkeypatch.setattr(near_dedup, "PART", part)
+        docs = corpus(6, 15)
+        got = sorted((tuple(r) for r in near_dedup.op10_minhash_near_dedup(spark, tables(documents=docs)).collect()), key=str)
+        assert got == brute(docs)
+
+
+def test_planted_pairs_in_boilerplate(spark, tables):
+    """800 texts of one boilerplate, every pair just under the threshold, but for 20 planted pairs just over it: every planted pair is
+    found and nothing else."""
+    fixed = [f"b{k}" for k in range(1104)]
+    own = lambda k, n: [f"own{k}x{j}" for j in range(n)]
+    texts = [fixed + own(k, 100) for k in range(780)]
+    for k in range(20):  # a twin shares some of its partner's own words
+        texts.append(fixed + own(k, 6) + own(10_000 + k, 94))
+    docs = list(enumerate(" ".join(w) for w in texts))
+    sets = [shingles(t) for _, t in docs[:2] + docs[780:781]]
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    assert 0.84 < jaccard(sets[0], sets[1]) < 0.85 <= jaccard(sets[0], sets[2]) < 0.856
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.op10_minhash_near_dedup(spark, tables(documents=docs)).collect()}
+    assert got == {k: k - 780 if k >= 780 else k for k in range(800)}
 
 
 def slotted(seed, n):
@@ -96,32 +113,30 @@ def slotted(seed, n):
     return list(enumerate(out))
 
 
-def test_hidden_links_of_large_buckets(spark, tables, monkeypatch):
-    """No link inside a large bucket is left to chance, and parts of a bucket meet."""
-    monkeypatch.setattr(near_dedup, "ALL_PAIRS", 1)
-    monkeypatch.setattr(near_dedup, "PART", 20, raising=False)
+def test_hidden_links(spark, tables, monkeypatch):
+    """No link inside a bucket of common shingles is left to chance, and parts of a list meet."""
+    monkeypatch.setattr(near_dedup, "PART", 20)
     docs = slotted(7, 250)
     got = sorted((tuple(r) for r in near_dedup.op10_minhash_near_dedup(spark, tables(documents=docs)).collect()), key=str)
     assert got == brute(docs)
 
 
-def test_undrawn_buckets(spark, tables, monkeypatch):
-    """Turns that draw no bucket are not the end of the work."""
-    monkeypatch.setattr(near_dedup, "ALL_PAIRS", 1)
-    monkeypatch.setattr(near_dedup, "SHARE", 10**9)
-    docs = slotted(8, 40)
-    got = sorted((tuple(r) for r in near_dedup.op10_minhash_near_dedup(spark, tables(documents=docs)).collect()), key=str)
-    assert got == brute(docs)
-
-
-def test_parities_never_rule_out_a_link():
-    rng = np.random.default_rng(2)
-    both = rng.integers(0, 2**63, 300, dtype=np.uint64)
-    for more in (0, 1, 30, 3000):
-        a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**63, more, dtype=np.uint64)])) for _ in range(2))
-        bits = near_dedup.parities([a, b]).view(np.uint64)
-        assert int(np.bitwise_count(bits[0] ^ bits[1]).sum()) <= len(np.setxor1d(a, b))
-    assert near_dedup.BITS % 64 == 0
+def test_open_pairs_hold_all_links(spark):
+    """Of random sets in random components, every link between two components is among the pairs of the prefix join."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for g in range(40):
+        base = rng.integers(0, 10**6, int(rng.integers(1, 200)))
+        for _ in range(6):
+            keep = base[rng.random(len(base)) < rng.choice([0.8, 0.93, 1.0])]
+            sets.append(sorted({*keep.tolist(), *rng.integers(0, 10**6, int(rng.integers(0, 1 + len(base) // 12))).tolist()}) or [g])
+    rows = [(k, len(s), int(rng.integers(0, 120)), s) for k, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "node long, n long, root long, grams array<long>")
+    got = {(r["a"], r["b"]) for r in near_dedup.open_pairs(near_dedup.prefixes(frame)).collect()}
+    linked = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if rows[i][2] != rows[j][2] and linked(set(sets[i]), set(sets[j]))}
+    assert want and want <= got and all(rows[i][2] != rows[j][2] for i, j in got)
+    assert len(got) < 20 * len(want)
 
 
 def test_empty(spark, tables):
