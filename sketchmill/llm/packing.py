@@ -28,7 +28,7 @@ CAPACITY = 1024
 END_ID = 2
 #: The split pattern of byte-level BPE vocabularies of this kind (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts are encoded in runs of about so many characters; a run ends between a letter and a space, where tokens always end.
+#: Texts are encoded in runs of about so many characters; a run ends between a letter and a space before a letter, where tokens always end.
 RUN_CHARS = 500_000
 _CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 
@@ -46,28 +46,54 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _plain_bpe(spec: dict) -> bool:
+    """Whether a tokenizer file means exactly what the faster library does: byte-level pieces by PATTERN, merges in the order of the
+    vocabulary, and added tokens that are cut out of the text as they stand."""
+    model, split, after = spec.get("model") or {}, spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or ()
+    if spec.get("normalizer") or model.get("type", "BPE") != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return False
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    if any(t.get(k) for t in after for k in ("single_word", "lstrip", "rstrip")) or any(not t["content"] or any(c.isspace() for c in t["content"]) for t in after):
+        return False
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"].get(a + b, -1) for a, b in pairs]
+    letters, special = _byte_letters(), {t["content"] for t in after}
+    known = {*letters, *(a + b for a, b in pairs)}
+    return all(x < y for x, y in zip(made, made[1:])) and all(w in known or w in special for w in model["vocab"]) and all(c in model["vocab"] for c in letters)
+
+
 @functools.lru_cache(maxsize=2)
 def load_encoding(path: str):
-    """The vocabulary of a byte-level BPE file, run by the faster of the two installed libraries; the ids are the same."""
-    import tiktoken
-
+    """A function from a text to its ids, as the tokenizers library gives them with add_special_tokens=False: the texts of added tokens
+    become their ids. The vocabulary runs through the faster of the two installed libraries where the file allows it."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    if not _plain_bpe(spec):
+        from tokenizers import Tokenizer
+
+        slow = Tokenizer.from_file(path)
+        return lambda text: slow.encode(text, add_special_tokens=False).ids
+    import tiktoken
+
     letters = _byte_letters()
-    special = {t["content"] for t in spec.get("added_tokens", ())}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens") or ()}
     ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
-    return tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    if not special:
+        return fast.encode_ordinary
+    return lambda text: fast.encode(text, allowed_special="all") if any(s in text for s in special) else fast.encode_ordinary(text)
 
 
 def encode(path: str, text: str) -> np.ndarray:
-    enc = load_encoding(path)
+    ids = load_encoding(path)
     if len(text) <= RUN_CHARS:
-        return np.array(enc.encode_ordinary(text), np.uint32)
+        return np.array(ids(text), np.uint32)
     parts, at = [], 0
     while at < len(text):
-        cut = _CUT.search(text, at + RUN_CHARS)
+        cut = _CUT.search(text, at + RUN_CHARS)  # added tokens hold no blanks, so none is cut
         to = cut.start() if cut else len(text)
-        parts.append(np.array(enc.encode_ordinary(text[at:to]), np.uint32))
+        parts.append(np.array(ids(text[at:to]), np.uint32))
         at = to
     return np.concatenate(parts)
 

@@ -12,7 +12,6 @@ def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer_path())
-    t.encode_special_tokens = True
     return [t.encode(x, add_special_tokens=False).ids + [2] for x in texts]
 
 
@@ -39,6 +38,48 @@ def test_long_text_in_runs(monkeypatch):
     assert packing.encode(packing.default_tokenizer_path(), text).tolist() == whole
 
 
+PARTS = st.one_of(st.text(max_size=12), st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "\r\n", "don't", "'LL", "\u00a0", "\u2028", "é", "e\u0301", "😀", "１２", "٣", "aaaa" * 50, "\x00", "\u200d", "ﬁ"]))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(PARTS, max_size=12).map("".join))
+def test_ids_of_any_text(text):
+    assert packing.encode(packing.default_tokenizer_path(), text).tolist() + [2] == reference_ids([text])[0]
+
+
+def test_ids_of_documents(spark):
+    """All texts of the sf0.01 table, as the tokenizers library reads them."""
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    path = packing.default_tokenizer_path()
+    assert all(packing.encode(path, t).tolist() + [2] == ids for t, ids in zip(texts, reference_ids(texts)))
+
+
+def test_files_that_mean_something_else(tmp_path):
+    """A file that the faster library would read otherwise goes through the tokenizers library."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(packing.default_tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert packing._plain_bpe(spec)
+    changes = [
+        lambda s: s["pre_tokenizer"].update(add_prefix_space=True),
+        lambda s: s["added_tokens"][0].update(rstrip=True),
+        lambda s: s["model"]["merges"].reverse(),
+        lambda s: s.update(normalizer={"type": "Lowercase"}),
+    ]
+    for k, change in enumerate(changes):
+        other = json.loads(json.dumps(spec))
+        change(other)
+        assert not packing._plain_bpe(other)
+        path = str(tmp_path / f"{k}.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(other, f)
+        text = "Hello There <|endoftext|>  and more"
+        assert packing.encode(path, text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), min_size=1))
 def test_plan_is_best_fit(histogram):
