@@ -3,13 +3,13 @@
 Training documents are cut into shards (runs of whole documents of an Arrow batch). In each shard, words become ids of the
 benchmark's vocabulary (0: not in it), and a suffix array is sorted over the word positions from which a match of the required
 length can start at all: with 0 ending every match, a suffix whose known words run out before that can't hold one. Every
-benchmark suffix is binary-searched in the array of every shard, which gives its longest verbatim match and all places where its
-window occurs.
+benchmark suffix is binary-searched in the array of every shard, which gives its longest verbatim match. Where that is as long as a
+window, the suffixes around it that share the window are all its places; hits, items and removal follow from these.
 
 Words are found by 64-bit hashes and then compared byte by byte wherever they would count as hit, so results are exact.
 
-The benchmark is worked off in blocks of at most `block_words` words (a size that is checked); each block is one more pass over
-the documents, without any shuffle.
+The benchmark is worked off in blocks of about `block_words` words at most (by an upper bound of each item's words); each block is one
+more pass over the documents, without any shuffle, and of several blocks one is held at a time.
 
 Words: `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A window is `window` consecutive item words; an item of
 fewer, but not none, is one window.
@@ -22,13 +22,13 @@ benchmark contaminates nothing; an empty document table gives no rows; extra col
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, LOWER, extended, slices, spans, string_buffers, table, word_hashes
+from .common import ALNUM_WORD, LOWER, extended, materialize, slices, spans, string_buffers, table, word_hashes
 
 WINDOW = 13
 #: Words of the benchmark that one pass holds in memory.
@@ -46,12 +46,18 @@ class Queries:
     words: list[bytes]  # by id - 1
     bitmap: np.ndarray
     ids: np.ndarray  # all items' words, a 0 after each item, zeros at the end
-    windows: np.ndarray  # distinct windows as rows of WINDOW ids, 0 after a short item's
+    low: np.ndarray  # distinct windows as keys of WIDTH words, 0 after a short item's
+    high: np.ndarray  # the same, with the highest ids there
     lengths: np.ndarray  # words in each window
     items: list[list[str]]  # item_ids with that window
     least: np.ndarray  # by id: words that a match beginning with it needs at least
-    starts: np.ndarray = field(default=None)  # places in ids of all suffixes
-    suffix_item: list = field(default=None)  # (item_id, word position) of them
+    starts: np.ndarray  # places in ids of all suffixes that hold a window
+    rest: np.ndarray  # words of them
+    window_of: np.ndarray  # the window that each begins with
+    suffix_item: list  # (item_id, word position) of them
+    lead: np.ndarray  # a hash of the first words of them
+    width: int  # words of a key
+    longest: int  # words of the longest item
 
 
 def lower_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
@@ -68,30 +74,53 @@ def build_queries(items: list[tuple], window: int) -> Queries:
     hashes, words = word_hashes(data, start, end), lower_words(data, start, end)
     vocabulary, at, back = np.unique(hashes, return_index=True, return_inverse=True)
     distinct = [words[k] for k in at]
-    ids, starts, named, windows = [], [], [], {}
-    place = 0
+    ids, starts, rest, named, window_of = [], [], [], [], []
+    windows: dict[bytes, int] = {}
+    holders: list[set[str]] = []
+    place = longest = 0
     for r, (item, _) in enumerate(items):
-        own = back[first[r] : first[r + 1]] + 1
+        own = (back[first[r] : first[r + 1]] + 1).astype(np.int32)
         n = len(own)
         if not n:
             continue
-        ids += [own, [0]]
-        starts.append(place + np.arange(n))
-        named += [(item, k) for k in range(n)]
-        place += n + 1
+        ids += [own, np.zeros(1, np.int32)]
+        longest = max(longest, n)
         for k in range(max(1, n - window + 1)):
-            key = np.zeros(window, np.int32)
-            part = own[k : k + window]
-            key[: len(part)] = part
-            windows.setdefault(key.tobytes(), set()).add(item)
-    ids.append(np.zeros(window + 64, np.int64))
-    rows = np.array([np.frombuffer(k, np.int32) for k in windows], np.int32).reshape(-1, window)
-    lengths = (rows > 0).sum(1)
+            w = windows.setdefault(own[k : k + window].tobytes(), len(windows))
+            if w == len(holders):
+                holders.append(set())
+            holders[w].add(item)
+            starts.append(place + k)
+            rest.append(n - k)
+            window_of.append(w)
+            named.append((item, k))
+        place += n + 1
+    width = max(16, window)
+    ids = np.concatenate([*ids, np.zeros(width + 64, np.int32)])
+    low = np.zeros((len(windows), width), ">i4")
+    for w, raw in enumerate(windows):
+        part = np.frombuffer(raw, np.int32)
+        low[w, : len(part)] = part
+    lengths = (low > 0).sum(1)
+    high = np.where(np.arange(width)[None, :] < lengths[:, None], low, 0x7FFFFFFF).astype(">i4")
     least = np.full(len(vocabulary) + 1, window, np.int64)
-    np.minimum.at(least, rows[:, 0], lengths)
+    np.minimum.at(least, low[:, 0].astype(np.int64), lengths)
     bitmap = np.zeros(1 << 22, bool)
     bitmap[vocabulary & np.uint64((1 << 22) - 1)] = True
-    return Queries(vocabulary, distinct, bitmap, np.concatenate(ids).astype(np.int32), rows, lengths, [sorted(s) for s in windows.values()], least, np.concatenate(starts) if starts else np.zeros(0, np.int64), named)
+    starts = np.array(starts, np.int64)
+    as_keys = lambda x: np.ascontiguousarray(x).view(f"S{4 * width}").ravel()
+    return Queries(vocabulary, distinct, bitmap, ids, as_keys(low), as_keys(high), lengths, [sorted(s) for s in holders], least, starts, np.array(rest, np.int64), np.array(window_of, np.int64), named, leads(ids, starts, least), width, longest)
+
+
+#: Buckets of the hash of a suffix's first words.
+LEADS = 1 << 20
+
+
+def leads(ids: np.ndarray, at: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """A hash of the first word of suffixes and, where no window of one word begins with it, the second."""
+    one = ids[at].astype(np.int64)
+    two = np.where(least[one] > 1, ids[np.minimum(at + 1, len(ids) - 1)], 0).astype(np.int64) if len(ids) else one
+    return (one * 0x9E3779B1 + two * 0x85EBCA6B) % LEADS
 
 
 def word_ids(q: Queries, hashes: np.ndarray) -> np.ndarray:
@@ -164,63 +193,71 @@ def match_length(q_ids: np.ndarray, q_at: np.ndarray, ids: np.ndarray, at: np.nd
     return n
 
 
-def search_shard(q: Queries, data, start, end, ids, first, longest: bool):
-    """Hit word mask and, by window that occurs, the rows of its places; with `longest`, each suffix's longest match."""
+def longest_in(q: Queries, s: np.ndarray, ids: np.ndarray, at: np.ndarray, run: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Length and place of the longest match of each suffix s of the benchmark with the sorted suffixes at of a shard."""
+    mine = key_rows(q.ids, q.starts[s], q.rest[s], 0, q.width)
+    lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+    live = np.flatnonzero(lo < hi)
+    while len(live):  # equal first keys: binary search goes on with whole suffixes
+        mid = (lo[live] + hi[live]) // 2
+        own = q.starts[s[live]]
+        n = match_length(q.ids, own, ids, at[mid], run[mid])
+        there = np.where(n < run[mid], ids[np.minimum(at[mid] + n, len(ids) - 1)], 0)
+        less = there < q.ids[own + n]
+        lo[live[less]], hi[live[~less]] = mid[less] + 1, mid[~less]
+        live = live[lo[live] < hi[live]]
+    length, place = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
+    for side in (lo - 1, lo):  # the longest match is next to where a suffix would stand
+        ok = np.flatnonzero((side >= 0) & (side < len(at)))
+        n = match_length(q.ids, q.starts[s[ok]], ids, at[side[ok]], run[side[ok]])
+        better = n > length[ok]
+        length[ok[better]], place[ok[better]] = n[better], at[side[ok[better]]]
+    return length, place
+
+
+def search_shard(q: Queries, data, start, end, ids, first):
+    """Hit word mask; by window that occurs, the rows of its places; and of each benchmark suffix that matches a window's length at
+    least: its number, the length of its longest match and the place of that."""
     run = runs(ids, first)
     rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    hit = np.zeros(len(ids), bool)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    best: dict[int, tuple[int, int]] = {}
+    hit, sure = np.zeros(len(ids), bool), np.zeros(len(ids) + 1, np.int64)
+    found: list[tuple[int, np.ndarray]] = []
+    length, place = np.zeros(len(q.starts), np.int64), np.zeros(len(q.starts), np.int64)
     starts = np.flatnonzero((run >= q.least[ids]) & (ids > 0))
-    window = q.windows.shape[1]
-    depth = window if not longest else int(run.max(initial=0))
-    want = key_rows(q.windows.ravel(), np.arange(len(q.windows)) * window, q.lengths, 0, 16)
     for lo in range(0, len(starts), SHARD_SUFFIXES):
         at = starts[lo : lo + SHARD_SUFFIXES]
-        order, keys = suffix_array(ids, at, run[at], depth)
-        # a window's places lie between its own key and its key filled up with the highest ids
-        high = want.view(">i4").reshape(len(want), 16).copy()
-        for k in range(16):
-            high[q.lengths <= k, k] = 0x7FFFFFFF
-        a, b = np.searchsorted(keys, want, "left"), np.searchsorted(keys, high.view("S64").ravel(), "right")
-        for w in np.flatnonzero(b > a):
-            found.append((np.int64(w), at[order[a[w] : b[w]]]))
-        if longest and len(order):
-            sorted_at = at[order]
-            mine = key_rows(q.ids, q.starts, np.minimum(_run_of(q.ids)[q.starts], 64), 0, 16)
-            left, right = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-            for side in (left - 1, right):
-                ok = (side >= 0) & (side < len(order))
-                n = match_length(q.ids, q.starts[ok], ids, sorted_at[side[ok]], run[sorted_at[side[ok]]])
-                for s, m, p in zip(np.flatnonzero(ok), n, sorted_at[side[ok]]):
-                    if m > best.get(s, (0, 0))[0]:
-                        best[s] = (int(m), int(p))
-            for s in np.flatnonzero(right > left):  # equal first keys: the array goes on in the order of the full suffixes
-                places = sorted_at[left[s] : right[s]]
-                n = match_length(q.ids, np.full(len(places), q.starts[s]), ids, places, run[places])
-                if n.max() > best.get(s, (0, 0))[0]:
-                    best[s] = (int(n.max()), int(places[n.argmax()]))
+        order, keys = suffix_array(ids, at, run[at], q.longest, q.width)
+        at = at[order]
+        begins = np.zeros(LEADS, bool)
+        begins[leads(ids, at, q.least)] = True
+        some = np.flatnonzero(begins[q.lead])  # no other suffix shares its first words with the shard
+        n, p = longest_in(q, some, ids, at, run[at], keys)
+        better = n > length[some]
+        length[some[better]], place[some[better]] = n[better], p[better]
+        # the places of a window that occurs lie between its own key and its key filled up with the highest ids
+        for w in np.unique(q.window_of[some[n >= q.lengths[q.window_of[some]]]]).tolist():
+            a, b = np.searchsorted(keys, q.low[w], "left"), np.searchsorted(keys, q.high[w], "right")
+            found.append((w, at[a:b]))
     for w, places in found:
         for k in range(q.lengths[w]):
             hit[places + k] = True
+    best = np.flatnonzero(length >= q.lengths[q.window_of]) if len(length) else np.zeros(0, np.int64)
+    np.add.at(sure, place[best], 1)
+    np.add.at(sure, place[best] + length[best], -1)
     # hashes proposed; bytes decide
     low = LOWER[data].tobytes()
-    wrong = [p for p in np.flatnonzero(hit).tolist() if low[start[p] : end[p]] != q.words[ids[p] - 1]]
+    wrong = [p for p in np.flatnonzero(hit | (np.cumsum(sure)[:-1] > 0)).tolist() if low[start[p] : end[p]] != q.words[ids[p] - 1]]
     if wrong:
         ids = ids.copy()
         ids[wrong] = 0
-        return search_shard(q, data, start, end, ids, first, longest)
-    return hit, [(w, np.unique(rows[p])) for w, p in found], best
-
-
-def _run_of(ids: np.ndarray) -> np.ndarray:
-    return runs(ids, np.array([0, len(ids)]))
+        return search_shard(q, data, start, end, ids, first)
+    return hit, [(w, np.unique(rows[p])) for w, p in found], (best, length[best], place[best])
 
 
 def _blocks(benchmark: DataFrame, block_words: int):
-    """The items, in blocks of about so many words; each block's size is known before it is fetched."""
+    """The items, in blocks of about so many words at most: a text of n characters has (n + 1) / 2 words at most."""
     rows = benchmark.select(F.col("item_id"), F.col("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    words = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"] // 2
+    words = rows.agg(F.coalesce(F.sum((F.length("text") + 1) / 2), F.lit(0)).cast("long").alias("n")).first()["n"]
     parts = -(-words // block_words) or 1
     for k in range(parts):
         part = rows.where(F.pmod(F.xxhash64(F.col("item_id").cast("string")), F.lit(parts)) == k)
@@ -234,9 +271,12 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     schema = extended(out, "n_words long, spans array<struct<start:long,stop:long>>, items array<string>")
     names, text_at = schema.fieldNames(), carried.index("text")
     spark = documents.sparkSession
-    fresh = True
+    fresh, before = True, None
     for items in _blocks(benchmark, block_words):
-        shared = spark.sparkContext.broadcast(build_queries(items, window))
+        if before is not None:  # of several blocks, each pass is written before the next block is held
+            out = materialize(out, "hits")
+            before.unpersist()
+        before = shared = spark.sparkContext.broadcast(build_queries(items, window))
 
         def search(batches, shared=shared, fresh=fresh):
             import pyarrow as pa
@@ -248,9 +288,9 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 for i, j, part, off in slices(data, offsets, SLICE):
                     start, end, first = spans(part, off, ALNUM_WORD)
                     counts += np.diff(first).tolist()
-                    if not len(start) or not len(q.windows):
+                    if not len(start) or not len(q.starts):
                         continue
-                    hit, rows, _ = search_shard(q, part, start, end, word_ids(q, word_hashes(part, start, end)), first, False)
+                    hit, rows, _ = search_shard(q, part, start, end, word_ids(q, word_hashes(part, start, end)), first)
                     edge = np.diff(np.concatenate(([0], hit, [0])).astype(np.int8))
                     cut = np.zeros(len(hit) + 1, bool)
                     cut[first[1:-1]] = True
@@ -302,7 +342,7 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, window: int
 
 
 def longest_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Every benchmark suffix that matches at least a window's length: item_id string, item_word long, longest long, and one place
+    """Every benchmark suffix that matches at least a window's length (a shorter item: its whole): item_id string, item_word long, longest long, and one place
     of that match: doc_id, doc_word long (the smallest). Shards send their best; the best of all shards is kept."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     best = None
@@ -317,18 +357,17 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, window: int = WI
                 data, offsets = string_buffers(batch.column(1))
                 for i, _, part, off in slices(data, offsets, SLICE):
                     start, end, first = spans(part, off, ALNUM_WORD)
-                    if not len(start) or not len(q.windows):
+                    if not len(start) or not len(q.starts):
                         continue
-                    _, _, found = search_shard(q, part, start, end, word_ids(q, word_hashes(part, start, end)), first, True)
-                    keep = [(s, n, p) for s, (n, p) in found.items() if n >= min(window, q.least[q.ids[q.starts[s]]])]
-                    row = [int(np.searchsorted(first, p, "right")) - 1 for _, _, p in keep]
+                    suffix, length, place = search_shard(q, part, start, end, word_ids(q, word_hashes(part, start, end)), first)[2]
+                    row = np.searchsorted(first, place, "right") - 1
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([q.suffix_item[s][0] for s, _, _ in keep], pa.string()),
-                            pa.array([q.suffix_item[s][1] for s, _, _ in keep], pa.int64()),
-                            pa.array([n for _, n, _ in keep], pa.int64()),
-                            batch.column(0).take(pa.array([i + r for r in row], pa.int64())),
-                            pa.array([p - int(first[r]) for (_, _, p), r in zip(keep, row)], pa.int64()),
+                            pa.array([q.suffix_item[k][0] for k in suffix], pa.string()),
+                            pa.array([q.suffix_item[k][1] for k in suffix], pa.int64()),
+                            pa.array(length, pa.int64()),
+                            batch.column(0).take(pa.array(i + row, pa.int64())),
+                            pa.array(place - first[row], pa.int64()),
                         ],
                         ["item_id", "item_word", "longest", "doc_id", "doc_word"],
                     )

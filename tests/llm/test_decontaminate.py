@@ -12,11 +12,11 @@ def words(text):
     return WORD.findall((text or "").translate(LOWER))
 
 
-def brute(text, items):
+def brute(text, items, window=13):
     w, hit, named = words(text), set(), set()
     for item, body in items:
         b = words(body)
-        n = min(13, len(b))
+        n = min(window, len(b))
         if item is None or not n:
             continue
         windows = {tuple(b[k : k + n]) for k in range(len(b) - n + 1)}
@@ -51,6 +51,19 @@ def test_blocks_give_the_same(spark):
     assert rows() == rows(block_words=30)
 
 
+def test_any_window(spark):
+    """Also windows wider than a key's usual 16 words, and of one word."""
+    docs, items = corpus(4)
+    long = " ".join(f"w{k % 37}" for k in range(60))
+    docs = docs + [(200, long), (201, " ".join(long.split()[:16] + ["other"] + long.split()[17:36])), (202, "one and one")]
+    items = items + [(60, long)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for window in (1, 2, 17, 20, 40):
+        got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.judge(decontaminate.find_hits(d, b, window)).collect()), key=str)
+        assert got == sorted(((i, *brute(t, items, window)[:3]) for i, t in docs), key=str), window
+
+
 def test_longest_matches(spark):
     docs, items = corpus(3)
     got = {(r["item_id"], r["item_word"]): (r["longest"], r["doc_id"], r["doc_word"]) for r in decontaminate.longest_matches(spark.createDataFrame([d for d in docs if d[0] is not None], "doc_id long, text string"), spark.createDataFrame([i for i in items if i[0] != 3], "item_id long, text string")).collect()}
@@ -71,6 +84,8 @@ def test_longest_matches(spark):
             if best >= 13:
                 n, doc, place = got[(str(item), k)]
                 assert n >= best and w[k : k + n] == texts[doc][place : place + n]
+                if doc != 104:
+                    assert n == best
 
 
 def test_removal_and_empty(spark, tables):
