@@ -1,8 +1,10 @@
 """Main text of web pages by consensus host paths.
 
 1. Each page's containers are scored by the text of the blocks they hold (links count against it, distance from the block fades
-   it), and the page votes for the path of its best container: tags and classes from the root, with digits generalised.
-2. Votes are summed by host and path (map-side first, so a hot host sends a row a path and task); each host's heaviest path wins.
+   it), and the page votes for the path of its best container: tags and classes from the root, with digits generalised. A path goes
+   by a 128-bit digest of all its steps, so it is whole at any depth. A vote weighs the square root of the container's score.
+2. Votes are summed by host and path (map-side first, so a hot host sends a row a path and task); each host's heaviest path wins,
+   of equals the larger digest.
 3. Every page is read again and the text under the winning path is taken; a page without it falls back on its own best container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by tag, role, class
@@ -15,6 +17,7 @@ each; an empty table gives no rows; extra columns are ignored. Whole pages are r
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import re
 
@@ -25,8 +28,6 @@ from .common import extended, materialize, table
 
 #: Winning paths are broadcast up to so many hosts; beyond, pages and paths meet in a shuffle whose skewed hosts Spark splits.
 BROADCAST_HOSTS = 50_000
-#: Longer generalised paths are shortened to this many steps from the root, so a deep page can't make long keys.
-PATH_STEPS = 24
 FADE = 0.8
 
 TOKEN = re.compile(
@@ -40,8 +41,8 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|di
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 DIGITS = re.compile(r"\d+")
 
-#: Elements whose content is no markup; it is skipped whole.
-RAW = frozenset("script style noscript template textarea iframe svg math object canvas audio video title select".split())
+#: Elements whose content is skipped whole: scripts, styles, inert markup, drawings, form fields and the page's title.
+RAW = frozenset("script style template textarea iframe svg title select".split())
 DROPPED = frozenset("head nav footer aside form button menu dialog fieldset".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 #: Elements that begin and end a block.
@@ -122,7 +123,7 @@ class Page:
                 continue
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                if not m["attrs"].endswith("/") or tag not in ("svg", "math", "object", "canvas", "iframe"):
+                if not m["attrs"].endswith("/") or tag not in ("svg", "iframe"):
                     at = close.end() if close else (n if tag in ("script", "style", "template", "textarea", "title") else at)
                 continue
             if tag == "a":
@@ -172,24 +173,20 @@ class Page:
             container = len(self.parent) - 1
         stack.append((tag, container, dropped))
 
-    def path(self, node: int) -> str:
-        steps = []
-        while node > 0:
-            steps.append(self.step[node])
-            node = self.parent[node]
-        return ">".join(steps[::-1][:PATH_STEPS])
+    def paths(self) -> list[str]:
+        """The digest of each container's whole path."""
+        out = [""]
+        for node in range(1, len(self.parent)):
+            out.append(hashlib.blake2b(f"{out[self.parent[node]]}>{self.step[node]}".encode("utf-8", "replace"), digest_size=16).hexdigest())
+        return out
 
     def best(self) -> tuple[int, float]:
         """The best container and its score; (0, 0) where no block has text of its own."""
         score = [0.0] * len(self.parent)
         for node, text, linked in self.blocks:
-            worth = len(text) - 2 * linked
-            if worth <= 0:
-                continue
-            share = 1.0
-            while node >= 0 and share > 0.05:
-                score[node] += worth * share
-                node, share = self.parent[node], share * FADE
+            score[node] += max(len(text) - 2 * linked, 0)
+        for node in range(len(score) - 1, 0, -1):  # containers come after the ones they are in
+            score[self.parent[node]] += FADE * score[node]
         top = max(range(len(score)), key=lambda k: (score[k], k))
         if score[top] <= 0:
             return 0, 0.0
@@ -203,7 +200,7 @@ class Page:
 
     def text(self, path: str | None) -> str:
         """The text under the containers with that path, or else under the page's own best container."""
-        chosen = {k for k in range(1, len(self.parent)) if path and self.step[k] == path[path.rfind(">") + 1 :] and self.path(k) == path}
+        chosen = {k for k, own in enumerate(self.paths()) if own == path} if path else set()
         if chosen:
             got = self._under(chosen)
             if got:
@@ -223,6 +220,11 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
+def weight(score: float) -> int:
+    """Of a page's vote, in thousandths, so that sums don't depend on their order."""
+    return round(score**0.5 * 1000)
+
+
 def vote(pages: DataFrame) -> DataFrame:
     """pages: url, html -> host, path: the winning path of each host."""
 
@@ -230,14 +232,14 @@ def vote(pages: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            sums: dict[tuple[str, str], float] = {}
+            sums: dict[tuple[str, str], int] = {}
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1)):
                 page = Page(source.as_py() or "")
                 node, score = page.best()
                 if node > 0:
-                    key = (host, page.path(node))
-                    sums[key] = sums.get(key, 0.0) + min(score, 5000.0) ** 0.5
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in sums], pa.string()), pa.array([p for _, p in sums], pa.string()), pa.array([round(v * 1000) for v in sums.values()], pa.int64())], ["host", "path", "votes"])
+                    key = (host, page.paths()[node])
+                    sums[key] = sums.get(key, 0) + weight(score)
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in sums], pa.string()), pa.array([p for _, p in sums], pa.string()), pa.array(list(sums.values()), pa.int64())], ["host", "path", "votes"])
 
     cast = pages.select(host_of(F.col("url")).alias("host"), "html").where("host IS NOT NULL").mapInArrow(votes, "host string, path string, votes long")
     summed = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"))

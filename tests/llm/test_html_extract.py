@@ -53,3 +53,83 @@ def test_long_and_empty(spark, tables):
     assert len(Page("<p>" * 50_000 + "x").text(None)) == 1
     assert Page("<" * 100_000).text(None).startswith("<")
     assert Page('<a "' * 2000).text(None) != ""
+
+
+def host_pages(seed=4):
+    """Pages of a few hosts: most hold the article where their host has it, some elsewhere; depths differ."""
+    import random
+
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rows = []
+    for k in range(120):
+        host = k % 7
+        depth = (3, 30, 60, 5, 2, 40, 1)[host]
+        classes = [f"c{host}-{d}" for d in range(depth)]
+        body = f"<p>{prose(rng.randrange(1, 60))}</p><p>{prose(rng.randrange(1, 60))}</p>"
+        beside = f"<div class=x{rng.randrange(3)}><p>{prose(rng.randrange(1, 40))}</p></div>"
+        inner = f"<div class=post{k}>{body}</div>{beside}" if rng.random() < 0.8 else f"<div class=other>{beside}</div>{body}"
+        rows.append((k, None if k % 31 == 30 else f"https://h{host}.example/{k}", "<html><body>" + "".join(f"<div class='{c}'>" for c in classes) + inner + "</div>" * depth + "</body></html>"))
+    return rows + [(500, "https://h1.example/empty", ""), (501, "https://h9.example/", None)]
+
+
+def test_consensus_by_brute_force(spark, tables):
+    """The votes counted one by one, and every page read under its host's winner."""
+    import re
+    from collections import defaultdict
+
+    rows = host_pages()
+    votes = defaultdict(lambda: defaultdict(int))
+    for _, url, source in rows:
+        page = html_extract.Page(source or "")
+        node, score = page.best()
+        if url and node > 0:
+            steps, at = [], node
+            while at > 0:
+                steps.append(page.step[at])
+                at = page.parent[at]
+            votes[re.sub("https://([^/]*)/.*", r"\1", url)][tuple(steps[::-1]), page.paths()[node]] += html_extract.weight(score)
+    winner = {h: max(v.items(), key=lambda x: (x[1], x[0][1]))[0][0] for h, v in votes.items()}
+    want = []
+    for page_id, url, source in rows:
+        page, host = html_extract.Page(source or ""), re.sub("https://([^/]*)/.*", r"\1", url) if url else None
+
+        def path_of(node, page=page):
+            out = []
+            while node > 0:
+                out.append(page.step[node])
+                node = page.parent[node]
+            return tuple(out[::-1])
+
+        chosen = {k for k in range(1, len(page.parent)) if path_of(k) == winner.get(host)}
+
+        def text_under(nodes, page=page):
+            def within(k):
+                while k >= 0:
+                    if k in nodes:
+                        return True
+                    k = page.parent[k]
+                return False
+
+            return " ".join(t for k, t, _ in page.blocks if within(k))
+
+        text = (text_under(chosen) if chosen else "") or text_under({page.best()[0]})
+        want.append((page_id, url, text, len(text)))
+    got = [tuple(r[c] for c in ("page_id", "url", "text", "n_chars")) for r in html_extract.op3_consensus_extraction(spark, tables(pages=rows)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert len({len(w) for w in winner.values()}) > 3 and max(map(len, winner.values())) > 40
+
+
+def test_deep_container_is_told_apart():
+    """The best container of a page that is 60 containers deep, not what stands beside it."""
+    source = "<body>" + "<div>" * 60 + "<div class=main><p>" + "the story goes on " * 20 + "</p></div><div class=x><p>beside</p></div>" + "</div>" * 60
+    page = html_extract.Page(source)
+    path = page.paths()[page.best()[0]]
+    assert page.text(path) == ("the story goes on " * 20).strip()
+
+
+def test_only_what_is_named_is_left_out():
+    kept = "<p>a <math><mi>x</mi></math> b</p><noscript>c</noscript><canvas>d</canvas><object>e</object>"
+    page = html_extract.Page(f"<body><article>{kept}<script>no</script><style>no</style><select><option>no</select><textarea>no</textarea></article></body>")
+    assert page.text(None).replace(" ", "") == "axbcde"
