@@ -4,12 +4,15 @@ Each line that is not empty is a node with label good or bad. Its features are s
 before and after it; a 2 x 2 transition matrix ties neighbours. Forward-backward gives each line's marginal probability of being
 good; the marginals, weighted by line length, are a document's quality, and a logistic curve maps that to the score.
 
-Training: lines carry their document's label. It takes at most TRAIN_DOCS labelled documents, chosen by the smallest hashes of
-their ids, and of each at most TRAIN_LINES lines (runs of SEGMENT lines spread evenly over the text); this bounds what the driver
-holds. Scoring reads every whole text, in one pass without a shuffle.
+Training: lines carry their document's label, so only like-to-like neighbours are ever observed, and the transitions learn how far
+neighbours lean on each other. It takes whole labelled documents in the order of their ids' hashes: at most TRAIN_DOCS, and no
+more than have TRAIN_LINES lines together (a document that goes beyond ends the sample; one that alone has more is passed over).
+This bounds what the driver holds. Scoring reads every whole text, in one pass without a shuffle; lines of long chains are worked off
+in runs side by side, so a text of a million lines takes some thousand steps.
 
 Defined results: null or empty text, or text of line ends alone, gets the share of label 1 in training (0.5 without training
-rows); null labels are not learned from; of contradictory labels for one doc_id the smaller counts; repeated rows are scored alike;
+rows); null labels are not learned from; of contradictory labels for one doc_id the smaller counts, and of different texts under one
+doc_id one is learned from, the same on every run; repeated rows are scored alike;
 an empty table gives no rows; extra columns are kept by `score_quality`.
 """
 
@@ -18,14 +21,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACED_WORD, byte_set, crc_mod, extended, slices, spans, string_buffers, table, word_hashes
 
 TRAIN_DOCS = 4000
-TRAIN_LINES = 128
+TRAIN_LINES = 150_000
+#: Lines of a chain in training; runs of a long chain in scoring.
 SEGMENT = 32
+RUN = 512
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 
@@ -137,6 +142,62 @@ def chain_marginals(logit: np.ndarray, first: np.ndarray, transition: np.ndarray
     return both[:, 1] / both.sum(1), out_z, expected
 
 
+def good_shares(logit: np.ndarray, first: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """chain_marginals' P(good), also of long chains: these are cut into runs of RUN lines. Of each run, the products of the chain's 2 x 2
+    steps are made up to and from every line, side by side for all runs; vectors are then carried from run to run."""
+    size = np.diff(first)
+    if not len(size) or size.max() <= RUN:
+        return chain_marginals(logit, first, transition)[0]
+    ends = [np.append(np.arange(a, b, RUN), b) for a, b in zip(first[:-1].tolist(), first[1:].tolist()) if b > a]
+    begin = np.concatenate([e[:-1] for e in ends])
+    length = np.concatenate([np.diff(e) for e in ends])
+    number = np.concatenate([np.arange(len(e) - 1) for e in ends])  # of a run in its chain
+    m = np.exp(transition - transition.max())
+    p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+    emit = np.stack([1 - p, p], 1)
+    step = m[None] * emit[:, None, :]  # from the line before to this one
+    upto, onward = np.empty((len(logit), 2, 2)), np.empty((len(logit), 2, 2))
+    order = np.argsort(-length, kind="stable")
+    by = -length[order]
+    live = [order[: int(np.searchsorted(by, -t, "left"))] for t in range(int(length.max()))]  # runs longer than t
+    for t, runs in enumerate(live):
+        at = begin[runs] + t
+        x = step[at] if t == 0 else upto[at - 1] @ step[at]
+        upto[at] = x / x.sum((1, 2), keepdims=True)
+    onward[begin + length - 1] = np.eye(2)
+    for t in range(len(live) - 1, 0, -1):
+        at = begin[live[t]] + t
+        x = step[at] @ onward[at]
+        onward[at - 1] = x / x.sum((1, 2), keepdims=True)
+    start, stop = np.empty((len(begin), 2)), np.empty((len(begin), 2))  # before a run's first line; after its last
+    lasts = begin + length - 1
+    by_number = [np.flatnonzero(number == k) for k in range(int(number.max()) + 1)] if len(ends) < len(begin) else [np.arange(len(begin))]
+    # the first step has even odds instead of a line before it: a start vector that m maps to (0.5, 0.5)
+    first_vector = np.linalg.solve(m.T, np.array([0.5, 0.5])) if abs(np.linalg.det(m)) > 1e-12 else None
+    for k, runs in enumerate(by_number):
+        if k == 0:
+            if first_vector is None:  # a flat m: any start will do, up to scale
+                start[runs] = 0.5
+            else:
+                start[runs] = first_vector
+            continue
+        a = np.einsum("ri,rij->rj", start[runs - 1], upto[lasts[runs - 1]])
+        start[runs] = a / a.sum(1, keepdims=True)
+    final = np.append(number[1:] == 0, True)
+    for k in range(len(by_number) - 1, -1, -1):
+        runs = by_number[k]
+        stop[runs[final[runs]]] = 1.0
+        inner = runs[~final[runs]]
+        nxt = begin[inner + 1]
+        b = np.einsum("rij,rj->ri", step[nxt] @ onward[nxt], stop[inner + 1])
+        stop[inner] = b / b.sum(1, keepdims=True)
+    run = np.repeat(np.arange(len(begin)), length)
+    alpha = np.einsum("ni,nij->nj", start[run], upto)
+    beta = np.einsum("nij,nj->ni", onward, stop[run])
+    both = alpha * beta
+    return both[:, 1] / both.sum(1)
+
+
 @dataclass
 class LineField:
     """A trained field; plain numbers, so it travels in a task's closure."""
@@ -152,7 +213,7 @@ class LineField:
     def quality(self, x: np.ndarray, length: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Length-weighted mean marginal of each text; nan without lines."""
         logit = (x - self.mean) / self.scale @ self.weight + self.bias
-        good = chain_marginals(logit.astype(np.float64), first, self.transition)[0]
+        good = good_shares(logit.astype(np.float64), first, self.transition)
         total, share = np.append(0, np.cumsum(length)), np.append(0, np.cumsum(length * good))
         with np.errstate(invalid="ignore"):
             return np.diff(share[first]) / np.diff(total[first])
@@ -170,12 +231,13 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds:
     if not sizes.sum() or prior in (0.0, 1.0):
         zero = np.zeros(FEATURES)
         return LineField(zero, zero + 1, zero, float(np.log((prior + 0.01) / (1.01 - prior))), np.zeros((2, 2)), (1.0, 0.0), prior)
-    x = np.concatenate([f for f, _ in texts]).astype(np.float64)
+    x = np.concatenate([f for f, _ in texts])
     length = np.concatenate([l for _, l in texts])
     ends = np.append(0, np.cumsum(sizes))
     y = np.repeat(labels.astype(np.float64), sizes)
-    mean, scale = x.mean(0), x.std(0) + 1e-3
-    x = (x - mean) / scale
+    mean, scale = x.mean(0, dtype=np.float64).astype(np.float32), x.std(0, dtype=np.float64).astype(np.float32) + np.float32(1e-3)
+    x -= mean
+    x /= scale
     # chains: runs of SEGMENT lines, so that a step of the recursion has many chains
     first = np.unique(np.concatenate([np.append(np.arange(a, b, SEGMENT), b) for a, b in zip(ends[:-1], ends[1:])]))
     inner = np.ones(len(y), bool)
@@ -188,9 +250,9 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds:
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
         w, b, t = theta[: x.shape[1]], theta[x.shape[1]], theta[-4:].reshape(2, 2)
-        good, _, expected = chain_marginals(x @ w + b, first, t)
+        good, _, expected = chain_marginals((x @ w.astype(np.float32)).astype(np.float64) + b, first, t)
         miss = good - y
-        grad = np.concatenate([x.T @ miss / n + l2 * w, [miss.mean()], ((expected - observed) / n).ravel() + l2 * theta[-4:]])
+        grad = np.concatenate([miss.astype(np.float32) @ x / n + l2 * w, [miss.mean()], ((expected - observed) / n).ravel() + l2 * theta[-4:]])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta - 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     out = LineField(mean, scale, theta[: x.shape[1]], float(theta[x.shape[1]]), theta[-4:].reshape(2, 2), (1.0, 0.0), prior)
@@ -213,7 +275,7 @@ def _logistic_curve(q: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _sample_features(rows: DataFrame) -> DataFrame:
-    """label, text -> label int, x binary, length binary of at most TRAIN_LINES lines."""
+    """label, text -> label int, x binary, length binary of all lines."""
 
     def make(batches):
         import pyarrow as pa
@@ -222,24 +284,27 @@ def _sample_features(rows: DataFrame) -> DataFrame:
             data, offsets = string_buffers(batch.column(1))
             for i, j, part, off in slices(data, offsets):
                 x, length, first = line_features(part, off)
-                xs, ls = [], []
-                for a, b in zip(first[:-1], first[1:]):
-                    pick = np.arange(a, b)
-                    if b - a > TRAIN_LINES:
-                        runs = np.linspace(a, b - SEGMENT, TRAIN_LINES // SEGMENT).astype(int)
-                        pick = np.unique((runs[:, None] + np.arange(SEGMENT)).ravel())
-                    xs.append(x[pick].tobytes())
-                    ls.append(length[pick].astype(np.int64).tobytes())
+                cuts = list(zip(first[:-1], first[1:]))
+                xs, ls = [x[a:b].tobytes() for a, b in cuts], [length[a:b].astype(np.int64).tobytes() for a, b in cuts]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(xs, pa.binary()), pa.array(ls, pa.binary())], ["label", "x", "length"])
 
     return rows.select("label", "text").mapInArrow(make, "label int, x binary, length binary")
 
 
-def train(documents: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> LineField:
-    """documents: doc_id, text. labels: doc_id, quality, of the rows that may be learned from."""
+def training_rows(documents: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> DataFrame:
+    """label, text of the sample: at most train_docs rows with train_lines lines together."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)  # at most train_docs rows
-    rows = _sample_features(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).collect()
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    some = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(lines <= train_lines)
+    one = some.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over the sample alone
+    return one.withColumn("upto", F.sum(lines).over(upto)).where(F.col("upto") <= train_lines).select("label", "text")
+
+
+def train(documents: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> LineField:
+    """documents: doc_id, text. labels: doc_id, quality, of the rows that may be learned from."""
+    rows = _sample_features(training_rows(documents, labels, train_docs, train_lines)).collect()  # bounded by both parameters
     texts = [(np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES), np.frombuffer(r["length"], np.int64)) for r in rows]
     order = sorted(range(len(rows)), key=lambda k: (bytes(rows[k]["length"]), bytes(rows[k]["x"])))  # the same whatever the partitions
     return fit([texts[k] for k in order], np.array([rows[k]["label"] for k in order], np.float64))

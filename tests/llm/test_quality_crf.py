@@ -83,3 +83,25 @@ def test_accuracy(spark):
     got = quality_crf.op4_quality_crf(spark, d).toPandas().merge(pd.read_parquet(f"{d}/labels.parquet"), on="doc_id")
     held = got[got.held_out]
     assert (held.predicted == held.quality).mean() > 0.95
+
+
+def test_long_chains_in_runs(monkeypatch):
+    """Chains cut into runs have the marginals of whole ones."""
+    rng = np.random.default_rng(5)
+    for trial in range(6):
+        first = np.append(0, np.cumsum(rng.choice([0, 1, 2, 7, 40, 333], 12)))
+        logit = rng.normal(0, 3, first[-1])
+        trans = rng.normal(0, 1, (2, 2)) if trial else np.zeros((2, 2))
+        whole = quality_crf.chain_marginals(logit, first, trans)[0]
+        monkeypatch.setattr(quality_crf, "RUN", int(rng.choice([1, 2, 7, 50])))
+        assert np.allclose(quality_crf.good_shares(logit, first, trans), whole, atol=1e-9)
+
+
+def test_sample_is_bounded(spark):
+    """Repeated ids give one row each, and whole documents are taken up to the lines' bound."""
+    docs = spark.createDataFrame([(k % 30, "\n".join(["x y."] * (1 + k % 5)) + str(k // 300)) for k in range(600)] + [(99, "a\n" * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)] * 2 + [(99, 1)], "doc_id long, quality int")
+    assert quality_crf.training_rows(docs, labels).count() == 31
+    rows = quality_crf.training_rows(docs, labels, train_lines=40).collect()
+    assert 5 < len(rows) < 30 and sum(r["text"].count("\n") + 1 for r in rows) <= 40
+    assert quality_crf.training_rows(docs, labels, train_docs=4).count() == 4
