@@ -6,8 +6,9 @@ largest distance to its vantage point; the triangle inequality bounds from below
 vectors, and the child is skipped if `factor` times that bound exceeds the query's k-th best distance so far. Factor 1 is exact
 search; larger factors skip more and may lose neighbours. The registered query uses factor 1.
 
-Queries are a stated set and are worked off in blocks of at most QUERY_BLOCK, against all shards. A task carries its best lists
-from shard to shard and sends k rows a query; the lists of all tasks meet in a window that keeps k rows map-side as well.
+Queries are a stated set and are worked off in blocks of about QUERY_BYTES, each in one pass over all shards. They are written once,
+by block, so a block reads its own queries only. A task carries its best lists from shard to shard and sends k rows a query; the
+lists of all tasks meet in a window that keeps k rows map-side as well.
 
 Defined results: null, empty and zero vectors, vectors holding null or non-finite components, and rows with a null id take no
 part; only vectors of equal dimension are compared; repeated rows are candidates one by one, repeated query rows count once; with
@@ -22,11 +23,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, table, write_table
+from .common import drop_table, scratch_path, table, write_table
 
 SHARD_ROWS = 8192
 LEAF_ROWS = 64
-QUERY_BLOCK = 2048
+#: Of one block's queries and their best lists, as every task holds them.
+QUERY_BYTES = 64_000_000
 FACTOR = 1.0
 K = 10
 
@@ -129,7 +131,7 @@ def usable(ids, column) -> list[tuple[np.ndarray, np.ndarray]]:
     key = np.asarray(ids.cast(pa.int64()))
     lengths = np.asarray(pc.list_value_length(column)).astype(np.int64)
     values = column.flatten()
-    values = values.cast(pa.float64() if pa.types.is_float64(values.type) else pa.float32(), safe=False).to_numpy(zero_copy_only=False)
+    values = values.cast(pa.float32() if pa.types.is_float32(values.type) else pa.float64(), safe=False).to_numpy(zero_copy_only=False)
     first = np.append(0, np.cumsum(lengths))[:-1]
     out = []
     for dim in np.unique(lengths[lengths > 0]):
@@ -172,7 +174,7 @@ def build_index(vectors: DataFrame, id_column: str = "vec_id", column: str = "em
 
 def search_index(spark: SparkSession, path: str, ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> DataFrame:
     """The k nearest of each query of one block: query_id, vec_id, score."""
-    shared, dim = spark.sparkContext.broadcast((ids, queries)), queries.shape[1]  # at most QUERY_BLOCK rows
+    shared, dim = spark.sparkContext.broadcast((ids, queries)), queries.shape[1]  # about QUERY_BYTES
 
     def search(batches):
         import pyarrow as pa
@@ -195,21 +197,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float =
     """query_id long, rank int, vec_id long, score double for every usable row of queries against every usable row of vectors but its own id."""
     spark = vectors.sparkSession
     path = build_index(vectors, id_column, column)
-    out = None
     asked = queries.select(id_column, column).where(F.col(id_column).isNotNull())
-    blocks = -(-asked.count() // QUERY_BLOCK)
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size(column)), F.lit(0)).alias("dim")).first()
+    blocks = max(1, -(-size["n"] * (8 * max(size["dim"], 1) + 16 * k) // QUERY_BYTES))
+    if blocks > 1:
+        stored = scratch_path(spark, "queries")
+        asked.withColumn("block", F.pmod(F.xxhash64(id_column), F.lit(blocks))).write.partitionBy("block").parquet(stored)
+        asked = spark.read.parquet(stored)
+    out = None
     for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64(id_column), F.lit(blocks)) == b)
+        part = asked.where(F.col("block") == b).drop("block") if blocks > 1 else asked
         for ids, m in usable_rows(part):
             ids, first = np.unique(ids, return_index=True)
-            m = m[first]
-            for lo in range(0, len(ids), QUERY_BLOCK):
-                found = search_index(spark, path, ids[lo : lo + QUERY_BLOCK], m[lo : lo + QUERY_BLOCK], k, factor)
-                if blocks > 1:  # many blocks: each block's rows are kept at once, so the plan stays small
-                    out = out or scratch_path(spark, "neighbours")
-                    found.write.mode("append").parquet(out)
-                else:
-                    out = found if out is None else out.unionByName(found)
+            found = search_index(spark, path, ids, m[first], k, factor)
+            if blocks > 1:  # many blocks: each block's rows are kept at once, so the plan stays small
+                out = out or scratch_path(spark, "neighbours")
+                found.write.mode("append").parquet(out)
+            else:
+                out = found if out is None else out.unionByName(found)
+    if blocks > 1:
+        drop_table(spark, stored)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     out = spark.read.parquet(out) if isinstance(out, str) else out

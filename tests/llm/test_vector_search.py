@@ -20,10 +20,10 @@ def cases(n, dim, seed):
     return v + [(10_000, v[3][1]), (10_001, v[3][1]), (10_100, [0.0] * dim), (10_200, None), (10_300, [1.0, None]), (10_400, [float("nan")] * dim), (10_500, []), (10_600, [1.0, 2.0]), (10_601, [2.0, 1.0]), (None, v[0][1]), v[100]]
 
 
-@pytest.mark.parametrize("shard, block", [(8192, 2048), (90, 2)])
+@pytest.mark.parametrize("shard, block", [(8192, 64_000_000), (90, 1500)])
 def test_brute_force(spark, tables, monkeypatch, shard, block):
     monkeypatch.setattr(vector_search, "SHARD_ROWS", shard)
-    monkeypatch.setattr(vector_search, "QUERY_BLOCK", block)
+    monkeypatch.setattr(vector_search, "QUERY_BYTES", block)
     v = cases(420, 8, 1)
     got = sorted(tuple(r) for r in vector_search.op8_vantage_point_search(spark, tables(embeddings=v)).collect())
     want = brute(v)
