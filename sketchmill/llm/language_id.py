@@ -5,7 +5,9 @@ after any context is a constant. These constants are tabled once on the driver (
 code length under each language is the sum of looked-up constants: exact, one pass, no shuffle.
 
 Training takes a sample of the labelled rows: about `sample_docs` documents a language, chosen by a hash of the id. Counting runs
-on the executors; only the different (ORDER+1)-grams of the sample reach the driver.
+on the executors; only the different (ORDER+1)-grams of the sample reach the driver. Languages are worked off LANGS_AT_ONCE at a
+time, in the order of their names, so one table holds the statistics of a bounded number of bounded samples; each further group is
+one more pass over the texts, which carries the best code length so far.
 
 Defined results: null text, or text without a letter: lang_pred `und`, score 0. Rows with a null lang are scored but not learned
 from. Ties go to the smaller language name. With nothing to learn from, every row is `und`. An empty table gives no rows.
@@ -18,11 +20,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_mod, extended, slices, string_buffers, table
+from .common import LOWER, crc_mod, extended, materialize, slices, string_buffers, table
 
 ORDER = 3
 #: Documents a language that the models are learned from (about: rows are chosen by a hash, independently).
 SAMPLE_DOCS = 400
+#: Languages of one table.
+LANGS_AT_ONCE = 16
 UNKNOWN = "und"
 
 
@@ -161,57 +165,73 @@ class FrozenTrees:
         return out
 
 
-def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> FrozenTrees | None:
-    """documents: doc_id, text, lang of the rows that may be learned from."""
+def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[FrozenTrees]:
+    """documents: doc_id, text, lang of the rows that may be learned from. Groups of languages, in the order of their names."""
     labelled = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
-    if not sizes:
-        return None
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1_000_000, -(-sample_docs * 1_000_000 // n)))])
-    chosen = labelled.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0))), F.lit(1_000_000)) < share[F.col("lang")])
-    grams = count_grams(chosen).toPandas()  # the different grams of a bounded sample
-    if grams.empty:
-        return None
-    langs = sorted(grams["lang"].unique())
-    return FrozenTrees(langs, np.searchsorted(langs, grams["lang"].to_numpy(str)), grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.float64))
+    sizes = materialize(labelled.groupBy("lang").agg(F.count("*").alias("n_lang")), "languages")
+    langs = sorted(r["lang"] for r in sizes.select("lang").collect())  # one name a language
+    trees, whole = [], 10**12
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), F.lit(whole))
+    for lo in range(0, len(langs), LANGS_AT_ONCE):
+        some = F.broadcast(sizes.where(F.col("lang").isin(langs[lo : lo + LANGS_AT_ONCE])))  # LANGS_AT_ONCE rows
+        chosen = labelled.join(some, "lang").where(draw < F.ceil(F.lit(float(sample_docs) * whole) / F.col("n_lang")))
+        grams = count_grams(chosen).toPandas()  # the different grams of a bounded sample
+        if len(grams):
+            names = sorted(grams["lang"].unique())
+            trees.append(FrozenTrees(names, np.searchsorted(names, grams["lang"].to_numpy(str)), grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.float64)))
+    return trees
 
 
 # ---------------------------------------------------------------- scoring
 
 
-def identify(documents: DataFrame, trees: FrozenTrees | None) -> DataFrame:
+def identify(documents: DataFrame, trees: list[FrozenTrees]) -> DataFrame:
     """All columns of documents, and lang_pred string, score double (the posterior of that language under equal priors)."""
-    if trees is None:
-        return documents.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     columns = [c for c in documents.columns if c not in ("lang_pred", "score")]
-    kept = documents.select(*columns)
-    schema, names_out = extended(kept, "lang_pred string, score double"), [*columns, "lang_pred", "score"]
-    shared = documents.sparkSession.sparkContext.broadcast(trees)  # contexts x symbols x languages of a bounded sample
-
-    def score(batches):
-        import pyarrow as pa
-
-        trees = shared.value
-        names = np.array(trees.langs, object)
-        letters = np.zeros(256, bool)
-        letters[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
-        for batch in batches:
-            text = batch.column(columns.index("text"))
-            data, offsets = string_buffers(text)
-            pred, sure = np.full(len(text), UNKNOWN, object), np.zeros(len(text))
-            for i, j, part, off in slices(data, offsets):
-                bits = trees.code_lengths(part, off)
-                best = bits.argmin(1)
-                p = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
-                sums = np.append(0, np.cumsum(letters[part]))[off]
-                has = np.diff(sums) > 0
-                for r in np.flatnonzero(~has & (np.diff(off) > 0)):
-                    has[r] = any(map(str.isalpha, bytes(part[off[r] : off[r + 1]]).decode("utf-8", "replace")))
-                pred[i:j] = np.where(has, names[best], UNKNOWN)
-                sure[i:j] = np.where(has, p, 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(sure)], names_out)
-
-    return kept.mapInArrow(score, schema)
+    out = documents.select(*columns)
+    if not trees:
+        return out.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+    # best: bits under the best language so far; mass: sum of 2^(best - bits) over all so far
+    carried, held = ["lang_pred", "best", "mass"], None
+    schema = extended(out, "lang_pred string, best double, mass double")
+    at = columns.index("text")
+    for k, group in enumerate(trees):
+        if held is not None:  # of several groups, each pass is written before the next table is held
+            out = materialize(out, "code-lengths")
+            held.unpersist()
+        held = shared = documents.sparkSession.sparkContext.broadcast(group)  # statistics of LANGS_AT_ONCE bounded samples
+
+        def score(batches, shared=shared, fresh=k == 0):
+            import pyarrow as pa
+
+            trees = shared.value
+            names = np.array(trees.langs, object)
+            letters = np.zeros(256, bool)
+            letters[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+            for batch in batches:
+                text = batch.column(at)
+                data, offsets = string_buffers(text)
+                pred, best, mass = np.full(len(text), UNKNOWN, object), np.zeros(len(text)), np.full(len(text), np.inf)
+                for i, j, part, off in slices(data, offsets):
+                    bits = trees.code_lengths(part, off)
+                    sums = np.append(0, np.cumsum(letters[part]))[off]
+                    has = np.diff(sums) > 0
+                    for r in np.flatnonzero(~has & (np.diff(off) > 0)):
+                        has[r] = any(map(str.isalpha, bytes(part[off[r] : off[r + 1]]).decode("utf-8", "replace")))
+                    least = bits.min(1)
+                    pred[i:j] = np.where(has, names[bits.argmin(1)], UNKNOWN)
+                    best[i:j] = least
+                    mass[i:j] = np.where(has, np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1), np.inf)
+                if not fresh:
+                    before = len(columns)
+                    old_pred, old, old_mass = np.array(batch.column(before).to_pylist(), object), np.asarray(batch.column(before + 1)), np.asarray(batch.column(before + 2))
+                    both = np.minimum(old, best)
+                    mass = old_mass * np.exp2(np.maximum(both - old, -1000)) + mass * np.exp2(np.maximum(both - best, -1000))
+                    pred, best = np.where(best < old, pred, old_pred), both
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(pred, pa.string()), pa.array(best), pa.array(mass)], [*columns, *carried])
+
+        out = out.mapInArrow(score, schema)
+    return out.select(*columns, "lang_pred", (1 / F.col("mass")).alias("score"))
 
 
 #: Of the ids' checksums modulo FOLDS, the remainder that is held out from learning.

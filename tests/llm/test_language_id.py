@@ -79,6 +79,21 @@ def test_nothing_to_learn(spark, tables):
 
 def test_extra_columns_stay(spark):
     rows = spark.createDataFrame([(1, "the and", "keep")], "doc_id long, text string, other string")
-    got = language_id.identify(rows, None)
+    got = language_id.identify(rows, [])
     assert got.columns == ["doc_id", "text", "other", "lang_pred", "score"]
     assert isinstance(pd.DataFrame(got.collect()), pd.DataFrame)
+
+
+def test_groups_of_languages(spark, monkeypatch):
+    """Languages worked off one, two or all at a time give the same; so do equal languages: the smaller name."""
+    rows = docs(120) + [(1000 + k, t, "zz") for k, t, lang in docs(120) if lang == "de"] + [(2000, "9", None), (2001, "q", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {}
+    for n in (1, 2, 16):
+        monkeypatch.setattr(language_id, "LANGS_AT_ONCE", n)
+        trees = language_id.train(frame)
+        assert len(trees) == -(-4 // n)
+        got[n] = {r["doc_id"]: (r["lang_pred"], round(r["score"], 4)) for r in language_id.identify(frame, trees).collect()}
+    assert got[1] == got[2] == got[16] and got[16][2000] == ("und", 0.0)
+    german = [k for k, _, lang in rows if lang in ("de", "zz")]
+    assert all(got[16][k] == ("de", 0.5) for k in german)
