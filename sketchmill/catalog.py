@@ -6,11 +6,11 @@ relational tables, and the SQL computes the answer from those tables without rea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import metrics, preprocess, text
-from .operators import blocks, classify, consistency, curate, elements, images, stats
+from .operators import analysis, blocks, classify, consistency, curate, elements, images, stats
 from .plans import corpora
 from .sources import sinks
 
@@ -39,6 +39,21 @@ RANKS = """SELECT count(*)::BIGINT AS n, min(v)::BIGINT AS "min", max(CASE WHEN
 SHA40 = "regexp_full_match(blob_id, '[0-9a-fA-F]{40}')"
 
 
+def sql_list(values) -> str:
+    return "[" + ", ".join("'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in values) + "]"
+
+
+def sql_case(key: str, texts) -> str:
+    """The text of a row by its key modulo their number, with the key for {k}."""
+    return f"replace({sql_list(texts)}[({key} % {len(texts)} + 1)::BIGINT], '{{k}}', {key}::VARCHAR)"
+
+
+def case(key: str, texts) -> Column:
+    """The same as a Column."""
+    picked = F.element_at(F.array(*map(F.lit, texts)), (F.col(key) % len(texts) + 1).cast("int"))
+    return F.replace(picked, F.lit("{k}"), F.col(key).cast("string"))
+
+
 def documents(spark: SparkSession, d: str) -> DataFrame:
     return corpora.read(spark, d, "documents")
 
@@ -173,6 +188,14 @@ def rank_stats_large(spark, d):
     return stats.rank_stats(corpora.read(spark, d, "lineitem"), "l_partkey")
 
 
+@query(
+    f"""WITH {LINES}, t AS (SELECT n_lines, count(*) AS n, min(doc_id) AS seen FROM nl GROUP BY 1 ORDER BY n DESC, seen LIMIT 20)
+  SELECT n_lines, n, repeat('█', least(50, n * 50 // max(n) OVER ())::BIGINT) AS bar FROM t"""
+)
+def top_line_counts_by_first_seen(spark, d):
+    return stats.top_buckets(counted(spark, d), "n_lines", seen="doc_id")
+
+
 @query(
     f"""WITH {LINES}, b AS (SELECT * FROM (VALUES (0, '1-10', 1, 10), (1, '11-50', 11, 50), (2, '51-100', 51, 100), (3, '101-200', 101, 200), (4, '201+', 201, 1000000000)) t(ord, bucket, lo, hi))
   SELECT ord, bucket, count(n_lines) AS n FROM b LEFT JOIN nl ON n_lines BETWEEN lo AND hi GROUP BY 1, 2"""
@@ -207,12 +230,14 @@ def filter_rates(spark, d):
 
 
 @query(
-    """WITH b AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
-  SELECT 'o' || l_orderkey AS stem, k::INTEGER AS part, 'o' || l_orderkey || '_' || lpad(k::VARCHAR, 2, '0') || '.puml' AS file_name,
-    chr(39) || ' order ' || l_orderkey || chr(10) || chr(10) || '@startuml' || chr(10) || 'item_' || l_partkey || chr(10) || '@enduml' || chr(10) AS content FROM b WHERE n > 1"""
+    """WITH b AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+  p AS (SELECT *, chr(39) || ' order ' || l_orderkey || chr(10) || chr(10) AS head, '@startuml' || chr(10) || 'item_' || l_partkey || chr(10) || '@enduml' || chr(10) AS block FROM b)
+  SELECT 'o' || l_orderkey AS stem, k::INTEGER AS part, 'o' || l_orderkey || '_' || lpad(k::VARCHAR, 2, '0') || '.puml' AS file_name, head || block AS content FROM p WHERE n > 1
+  UNION ALL SELECT 'o' || l_orderkey, 0, 'o' || l_orderkey || '.puml', head || CASE WHEN l_partkey % 5 = 0 THEN '@startuml' || chr(10) || 'lost' || chr(10) ELSE '' END || block || 'outside' || chr(10)
+    || CASE WHEN l_orderkey % 7 = 0 THEN '@startsalt' || chr(10) || 'open' || chr(10) ELSE '' END FROM p WHERE n = 1"""
 )
 def split_blocks(spark, d):
-    return blocks.split_files(corpora.multi_diagrams(spark, d)).where("part > 0")
+    return blocks.split_files(corpora.multi_diagrams(spark, d))
 
 
 @query("SELECT 'o' || l_orderkey AS stem, count(*) AS n_blocks, chr(39) || ' order ' || l_orderkey || chr(10) || chr(10) AS header FROM lineitem GROUP BY l_orderkey")
@@ -334,6 +359,37 @@ def preprocess_all(spark, d):
     return _cleaned(spark, d, mixed, preprocess.preprocess)
 
 
+#: Lines with what is left of them when inline comments are cut; then texts with what is left of them when all is cleaned.
+INLINE = {
+    "A{k} -> B ' hi": "A{k} -> B", "Alice's x{k}": "Alice's x{k}", "say \"{k} ' a\" ok": "say \"{k} ' a\" ok", "a 'text{k}' b": "a 'text{k}' b", "tail{k} '": "tail{k}", "x{k} \"q ' open": "x{k} \"q ' open",
+    "p 'q' r{k} ' c": "p 'q' r{k}", "a{k} \"s\"'": "a{k} \"s\"'", "x{k} '\"y\"": "x{k} '\"y\"", "x{k} \"a\" ' \"b\"": "x{k} \"a\"", "' all {k}": "", "no {k}\t' tab": "no {k}",
+}
+CLEANED = {
+    "!function $f{k}()\n!return 1\n!endfunction\nA{k} -> B": "\nA{k} -> B",
+    "!unquoted procedure $p{k}\nA -> B{k}": "\nA -> B{k}",
+    "footer\n page {k}\nendfooter\nA{k} -> B": "\nA{k} -> B",
+    "right footer\n p{k}\nendfooter\nA -> B{k}": "\nA -> B{k}",
+    "center header\n h{k}\nendheader\nA -> B{k}": "\nA -> B{k}",
+    "title\nclass Foo{k}\nclass Bar{k}": "\nclass Bar{k}",
+    "note left: hi{k}\nA{k} -> B": "\nA{k} -> B",
+    "note over C{k},D : t": "note over C{k},D : t",
+    "show x{k}\nA -> B": "\nA -> B",
+    "sprite $foo{k} [16x16/16] {\nFFF\n}\nA -> B": "\nA -> B",
+    "skinparam class {\n A b{k}\n}\nclass X\nhide\nclass Y\nshow z": "\nclass X\n\n",
+    "a{k}\n' c\nb /' x\ny '/ d": "a{k}\n\nb  d",
+}
+
+
+@query(f"SELECT c_custkey, {sql_case('c_custkey', INLINE.values())} AS line FROM customer")
+def inline_comments(spark, d):
+    return corpora.read(spark, d, "customer").select("c_custkey", preprocess.strip_inline_comment(case("c_custkey", INLINE)).alias("line"))
+
+
+@query(f"SELECT c_custkey, {sql_case('c_custkey', CLEANED.values())} AS content FROM customer")
+def cleaning_forms(spark, d):
+    return corpora.read(spark, d, "customer").select("c_custkey", preprocess.preprocess(case("c_custkey", CLEANED)).alias("content"))
+
+
 @query("SELECT c_custkey, 'class C' || c_custkey || ' { }' || chr(10) || 'interface I { }' || chr(10) || 'C --> I' AS content FROM customer")
 def member_bodies(spark, d):
     c = F.concat(F.lit("class C"), F.col("c_custkey").cast("string"), F.lit(" {\n int a() { x }\n}\ninterface I {\n +m()\n}\nC --> I"))
@@ -366,6 +422,19 @@ def arrow_counts(spark, d):
     return corpora.noisy_diagrams(spark, d, {0: "@startuml -> x\n", 1: "!define A ->\n"}).select("grp", metrics.arrow_count(F.col("content")).cast("long").alias("arrows"))
 
 
+#: Lines with the arrows that count in them.
+ARROW_FORMS = {
+    "A{k} -> B": 1, "A *-- B{k}": 1, "A{k} -->> B": 1, "A o-- B{k}": 1, "A{k} <-- B": 1, "A *--> B{k}": 2, "A{k} <--> B": 1, "A o--> B{k}": 2, "A{k} -- B": 0, "A --o B{k}": 1, "A{k} .. B": 0, "A{k} --other": 0,
+    "A{k} ..> B": 1, "A <-left-> B{k}": 2, "A{k} <|-- B": 1, "A -up-> B{k}": 1, "A{k} ..|> B": 1, "A{k} \"1\" --> \"0..*\" B": 2, "A ->x B{k}": 1, "to-do list{k}": 1, "@startuml -> x{k}": 0, "!define A{k} ->": 0,
+    "A{k} <<-- B": 1, "A{k} x<- B": 1, "A{k} <.. B": 1, "A{k} --* B": 1,
+}
+
+
+@query(f"SELECT c_custkey, {sql_list(ARROW_FORMS.values())}[(c_custkey % {len(ARROW_FORMS)} + 1)::BIGINT]::BIGINT AS arrows FROM customer")
+def arrow_forms(spark, d):
+    return corpora.read(spark, d, "customer").select("c_custkey", metrics.arrow_count(case("c_custkey", ARROW_FORMS)).cast("long").alias("arrows"))
+
+
 @query("SELECT c_nationkey AS nation, 'structural' AS category, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 def relationship_counts(spark, d):
     m = metrics.relationships(F.col("content"), F.lit("class"))
@@ -435,23 +504,104 @@ def element_results(spark, d):
     return got.select("note", F.col("total_elements").cast("long").alias("total_elements"), "grp")
 
 
-CLS = """cls AS (SELECT o_orderkey, ['sequence', 'class', 'usecase', 'component', 'deployment', 'state', 'activity', 'object', 'timing', 'unclassified'][(o_orderkey % 10 + 1)::BIGINT] AS primary_type, o_orderkey % 10 / 10.0::DOUBLE AS confidence FROM orders),
-el AS (SELECT l_orderkey AS o_orderkey, ['participant', 'class', 'actor', 'component', 'node', 'state', 'partition', 'object', 'interface', 'usecase'][(l_partkey % 10 + 1)::BIGINT] AS e, count(*) AS n FROM lineitem WHERE l_orderkey % 11 <> 0 GROUP BY 1, 2),
-tab AS (SELECT * FROM (VALUES """ + ", ".join(
-    f"({k}, '{t}', {list(p)!r}, {list(a)!r}::VARCHAR[], {list(f)!r})" for k, (t, (p, a, f)) in enumerate(consistency.TABLE.items())
-) + """) v(ord, t, prim, allow, forb)),
+#: Diagrams with their type and the elements in them.
+ELEMENT_FORMS = [
+    ("class", "class Foo{k}\nclass foo{k}\nabstract class Bar{k} as B\ninterface Baz<T>\nFoo{k} --> Qux\nB --> Baz", "abstract class=1,class=2,interface=1"),
+    ("sequence", "participant Alice\nAlice -> Bob{k} : hi\nBob{k} --> Alice: ok\ngroup G1\nCarol ->> Bob{k} : x", "participant=3"),
+    ("class", "participant Alice\nAlice -> Bob{k} : hi\nBob{k} --> Alice: ok\ngroup G1\nCarol ->> Bob{k} : x", "class=2,group=1,participant=1"),
+    ("component", "[Web{k}] as W\n[Web{k}] --> [DB]\n() API\nW --> API", "component=2,interface=1"),
+    ("usecase", ":User{k}: as U\n(Log in) as (L)\nU --> (Log in)\nU --> (Pay)", "actor=1,usecase=2"),
+    ("class", "A{k} -> B -> C", "class=2"),
+    ("class", "abstract  class X{k}", "abstract class=1"),
+    ("state", "[*] --> S{k}", ""),
+    ("unclassified", "class A{k}", ""),
+    ("class", "A{k} \"1\" --> \"0..*\" B", "class=2"),
+    ("class", "note -> Foo{k}", "class=1"),
+    ("timing", "Foo{k} -> Bar", "participant=2"),
+    ("sequence", ":Act{k}: as a\na -> Bob : x", "actor=1,participant=1"),
+    ("deployment", "node N{k}\nN{k} --> M", "node=2"),
+]
+
+
+@query(f"SELECT c_custkey, {sql_case('c_custkey', [x[2] for x in ELEMENT_FORMS])} AS elements FROM customer")
+def element_forms(spark, d):
+    kind, text_ = case("c_custkey", [x[0] for x in ELEMENT_FORMS]), case("c_custkey", [x[1] for x in ELEMENT_FORMS])
+    found = elements.with_elements(corpora.read(spark, d, "customer").select("c_custkey", kind.alias("primary_type"), text_.alias("clean")))
+    said = F.transform(F.map_entries("elements"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return found.select("c_custkey", F.array_join(F.sort_array(said), ",").alias("elements"))
+
+
+#: Groups of events as classified diagrams: of every three, one has no file, one can't be read.
+GROUPS = "g AS (SELECT user_id % 50 AS grp, count(*) AS n, count(DISTINCT user_id) + count(DISTINCT event_type) AS e FROM events GROUP BY 1)"
+NOTE = "CASE grp % 3 WHEN 0 THEN 'file not found' WHEN 1 THEN 'read error' END AS note"
+
+
+def _groups(spark, d):
+    s = corpora.sequence_diagrams(spark, d)
+    name = F.concat(F.lit("g"), F.col("grp").cast("string"), F.lit(".puml")).alias("file_name")
+    files = s.where("grp % 3 <> 0").select(name, F.when(F.col("grp") % 3 == 2, F.col("content")).alias("content"))
+    return s.select("grp", name, F.lit("sequence").alias("primary_type")), files
+
+
+@query(f"WITH {GROUPS} SELECT grp, {NOTE}, CASE WHEN grp % 3 = 2 THEN 'sequence' ELSE '' END AS primary_type, CASE WHEN grp % 3 = 2 THEN e ELSE 0 END::BIGINT AS total_elements FROM g")
+def element_notes(spark, d):
+    return elements.element_results(*_groups(spark, d)).select("grp", "note", "primary_type", F.col("total_elements").cast("long").alias("total_elements"))
+
+
+@query(
+    f"WITH {GROUPS} SELECT grp, CASE WHEN grp % 3 = 0 THEN 'file not found' END AS note, CASE WHEN grp % 3 = 2 THEN e ELSE 0 END::BIGINT AS total_elements, CASE WHEN grp % 3 = 2 THEN n END::BIGINT AS messages, CASE WHEN grp % 3 = 2 THEN n ELSE 0 END::BIGINT AS total_relationships FROM g"
+)
+def merged_analysis(spark, d):
+    classified, files = _groups(spark, d)
+    got = analysis.merged(elements.element_results(classified, files), files)
+    long = lambda c, name: c.cast("long").alias(name)
+    return got.select("grp", "note", long(F.col("total_elements"), "total_elements"), long(F.try_element_at("relationships", F.lit("message")), "messages"), long(F.col("total_relationships"), "total_relationships"))
+
+
+@query(f"WITH {GROUPS} SELECT count(*) AS total_files, count(*) FILTER (grp % 3 = 2) AS files_with_relationships, coalesce(sum(n) FILTER (grp % 3 = 2), 0)::BIGINT AS total_relationships FROM g")
+def relationship_stats(spark, d):
+    classified, files = _groups(spark, d)
+    return analysis.relationship_stats(analysis.merged(elements.element_results(classified, files), files))
+
+
+@query(f"WITH {GROUPS} SELECT grp, CASE WHEN grp % 3 = 2 THEN n END::BIGINT AS loc, CASE WHEN grp % 3 = 2 THEN n END::BIGINT AS total_lines, CASE WHEN grp % 3 = 2 THEN 0 END::BIGINT AS blank_lines, CASE WHEN grp % 3 = 2 THEN 0 END::BIGINT AS comment_lines FROM g")
+def loc_enrich(spark, d):
+    return analysis.with_loc(*_groups(spark, d)).select("grp", *[F.col(c).cast("long").alias(c) for c in analysis.LOC])
+
+
+@query(f"WITH {GROUPS} SELECT count(*) FILTER (grp % 3 = 2) AS processed, count(*) FILTER (grp % 3 <> 2) AS skipped FROM g")
+def loc_counts(spark, d):
+    return analysis.loc_counts(analysis.with_loc(*_groups(spark, d)))
+
+
+@query(f"WITH {GROUPS} SELECT 'g' || grp || '.puml' AS file_name, n AS loc, 'events' AS source, (SELECT count(*) FROM g) AS processed FROM g")
+def report_round_trip(spark, d):
+    """A report with metadata, statistics and results, read back."""
+    s = corpora.sequence_diagrams(spark, d)
+    rows = s.select(F.concat(F.lit("g"), F.col("grp").cast("string"), F.lit(".puml")).alias("file_name"), metrics.loc_metrics(F.col("content"))["loc"].alias("loc"))
+    report = sinks.report_envelope(rows, "file_name", ("loc",), {"source": "events"}, rows.agg(F.count("*").alias("processed")))
+    back = report.select(F.from_json("value", "metadata struct<source: string>, statistics struct<processed: long>, results map<string, struct<loc: long>>").alias("r"))
+    return back.select("r.metadata.source", "r.statistics.processed", F.explode("r.results").alias("file_name", "x")).select("file_name", "x.loc", "source", "processed")
+
+
+CLS = """cls AS MATERIALIZED (SELECT o_orderkey, ['sequence', 'class', 'usecase', 'component', 'deployment', 'state', 'activity', 'object', 'timing', 'unclassified'][(o_orderkey % 10 + 1)::BIGINT] AS primary_type, o_orderkey % 10 / 10.0::DOUBLE AS confidence FROM orders),
+el AS MATERIALIZED (SELECT l_orderkey AS o_orderkey, ['participant', 'class', 'actor', 'component', 'node', 'state', 'partition', 'object', 'interface', 'usecase'][(l_partkey % 10 + 1)::BIGINT] AS e, count(*) AS n FROM lineitem WHERE l_orderkey % 11 <> 0 GROUP BY 1, 2),
+w AS (SELECT * FROM (VALUES """ + ", ".join(
+    f"({k}, '{t}', '{e}', {int(e in p)}, {int(e in a)}, {int(e in f)})" for k, (t, (p, a, f)) in enumerate(consistency.TABLE.items()) for e in dict.fromkeys([*p, *a, *f])
+) + """) v(ord, t, e, p, a, f)),
 tot AS (SELECT o_orderkey, sum(n) AS tot FROM el GROUP BY 1),
-per AS (SELECT o_orderkey, ord, t, sum(CASE WHEN list_contains(prim, e) THEN n ELSE 0 END) AS p, sum(CASE WHEN list_contains(allow, e) THEN n ELSE 0 END) AS a, sum(CASE WHEN list_contains(forb, e) THEN n ELSE 0 END) AS f FROM el, tab GROUP BY ALL),
+per AS MATERIALIZED (SELECT o_orderkey, ord, t, sum(n * p) AS p, sum(n * a) AS a, sum(n * f) AS f, string_agg(CASE WHEN f = 1 THEN chr(39) || e || chr(39) || ': ' || n END, ', ' ORDER BY e) AS held FROM el JOIN w USING (e) GROUP BY 1, 2, 3),
 inf0 AS (SELECT *, greatest(0, p::DOUBLE / tot - 0.5::DOUBLE * (f::DOUBLE / tot)) AS s FROM per JOIN tot USING (o_orderkey)),
 inf AS (SELECT o_orderkey, CASE WHEN max(s) > 0 THEN first(t ORDER BY s DESC, ord) ELSE 'unknown' END AS st, CASE WHEN max(s) > 0 THEN max(s) / sum(s) ELSE 0 END AS sc FROM inf0 GROUP BY 1),
-val AS (SELECT c.*, coalesce(tot, 0) AS tot, coalesce(p, 0) AS p, coalesce(f, 0) AS f, coalesce(st, 'unknown') AS suggested_type, coalesce(sc, 0) AS sc,
+val AS MATERIALIZED (SELECT c.*, coalesce(tot, 0) AS tot, coalesce(p, 0) AS p, coalesce(f, 0) AS f, held, coalesce(st, 'unknown') AS suggested_type, coalesce(sc, 0) AS sc,
   CASE WHEN primary_type = 'unclassified' THEN CASE WHEN coalesce(tot, 0) = 0 THEN 1.0 ELSE 0.3 END WHEN coalesce(tot, 0) = 0 THEN CASE primary_type WHEN 'activity' THEN 0.9 WHEN 'state' THEN 0.5 ELSE 0.3 END
-    ELSE 0.4::DOUBLE * (p + a) / tot + 0.4::DOUBLE * (1 - least(1, f::DOUBLE / tot)) + 0.2::DOUBLE * CASE WHEN p > 0 THEN 1 ELSE 0.5 END END::DOUBLE AS score
-  FROM cls c LEFT JOIN tot USING (o_orderkey) LEFT JOIN (SELECT o_orderkey, t, p, a, f FROM per) x ON x.o_orderkey = c.o_orderkey AND x.t = c.primary_type LEFT JOIN inf i ON i.o_orderkey = c.o_orderkey),
+    ELSE 0.4::DOUBLE * (coalesce(p, 0) + coalesce(a, 0)) / tot + 0.4::DOUBLE * (1 - least(1, coalesce(f, 0)::DOUBLE / tot)) + 0.2::DOUBLE * CASE WHEN coalesce(p, 0) > 0 THEN 1 ELSE 0.5 END END::DOUBLE AS score
+  FROM cls c LEFT JOIN tot USING (o_orderkey) LEFT JOIN per x ON x.o_orderkey = c.o_orderkey AND x.t = c.primary_type LEFT JOIN inf i ON i.o_orderkey = c.o_orderkey),
 fl AS (SELECT *, tot > 0 AND f > 0 AS f1, tot > 0 AND primary_type <> 'unclassified' AND p = 0 AS f2, tot > 0 AND suggested_type <> primary_type AND suggested_type <> 'unknown' AND round_even(sc, 4) > 0.5 AS f3,
   tot > 0 AND confidence >= 0.7 AND round_even(score, 4) < 0.5 AS f4, tot > 0 AND confidence < 0.5 AS f5 FROM val),
 fx AS (SELECT *, tot > 0 AND round_even(score, 4) < 0.7 AND NOT (f1 OR f3 OR f4) AS f6, tot = 0 AND primary_type NOT IN ('activity', 'unclassified') AS f0 FROM fl)
 """
+FIRST_PRIMARY = "CASE primary_type " + " ".join(f"WHEN '{t}' THEN " + sql_list(["[" + ", ".join(f"'{e}'" for e in p[:3]) + "]"])[1:-1] for t, (p, _, _) in consistency.TABLE.items()) + " END"
 
 
 def validated(spark, d):
@@ -483,10 +633,26 @@ def confusion_matrix(spark, d):
 
 
 @query(
-    f"""WITH {CLS} SELECT count(*) AS total, count(*) FILTER (round_even(score, 4) >= 0.5 AND NOT (f1 OR f3 OR f4)) AS consistent, (sum(f5::INT) + sum(f6::INT))::BIGINT AS infos, (sum(f0::INT) + sum(f2::INT))::BIGINT AS warnings, (sum(f1::INT) + sum(f3::INT) + sum(f4::INT))::BIGINT AS errors FROM fx"""
+    f"""WITH {CLS}, v AS (SELECT *, round_even(score, 4) >= 0.5 AND NOT (f1 OR f3 OR f4) AS ok FROM fx)
+  SELECT count(*) AS total, count(*) FILTER (ok) AS consistent, count(*) FILTER (NOT ok) AS inconsistent, round_even(avg(ok::INT), 4) AS rate, round_even(avg(round_even(score, 4)), 4) AS avg_score,
+    (sum(f5::INT) + sum(f6::INT))::BIGINT AS infos, (sum(f0::INT) + sum(f2::INT))::BIGINT AS warnings, (sum(f1::INT) + sum(f3::INT) + sum(f4::INT))::BIGINT AS errors FROM v"""
 )
 def validation_stats(spark, d):
-    return consistency.validation_stats(validated(spark, d)).drop("rate", "avg_score")
+    return consistency.validation_stats(validated(spark, d))
+
+
+@query(
+    f"""WITH {CLS}, x AS (SELECT *, round_even(round_even(sc, 4), 2) AS c2, round_even(round_even(score, 4), 2) AS s2 FROM fx)
+  SELECT o_orderkey, 'FORBIDDEN_ELEMENTS' AS code, 'Found forbidden elements: {{' || held || '}}' AS details FROM x WHERE f1
+  UNION ALL SELECT o_orderkey, 'MISSING_PRIMARY_ELEMENTS', 'No primary elements (' || {FIRST_PRIMARY} || '...) found' FROM x WHERE f2
+  UNION ALL SELECT o_orderkey, 'TYPE_MISMATCH', 'Elements suggest ' || suggested_type || ' (conf: ' || printf('%.2f', c2) || ') not ' || primary_type FROM x WHERE f3
+  UNION ALL SELECT o_orderkey, 'HIGH_CONFIDENCE_MISMATCH', 'High classification confidence (' || printf('%.2f', confidence) || ') but low consistency (' || printf('%.2f', s2) || ')' FROM x WHERE f4
+  UNION ALL SELECT o_orderkey, 'LOW_CONFIDENCE', 'Classification confidence ' || printf('%.2f', confidence) || ' below 0.5 threshold' FROM x WHERE f5
+  UNION ALL SELECT o_orderkey, 'MULTI_TYPE_AMBIGUOUS', 'Elements not strongly aligned with any single type' FROM x WHERE f6
+  UNION ALL SELECT o_orderkey, 'NO_ELEMENTS', 'No elements detected for ' || primary_type || ' diagram' FROM x WHERE f0"""
+)
+def flag_details(spark, d):
+    return validated(spark, d).select("o_orderkey", F.explode("flags").alias("f")).select("o_orderkey", "f.code", "f.details")
 
 
 @query(
@@ -531,9 +697,13 @@ def classify_parse(spark, d):
     return classify.shape_results(_responses(spark, d)).select("custom_id", "primary_type", "confidence", "parse_error", "raw_response", "error")
 
 
-@query("SELECT count(*) FILTER (o_orderkey % 6 NOT IN (3, 5)) AS successful, count(*) FILTER (o_orderkey % 6 IN (3, 5)) AS errored, count(*) FILTER (o_orderkey % 6 = 2) AS unparsed FROM orders")
+@query(
+    """SELECT count(*) AS total, count(*) FILTER (o_orderkey % 6 NOT IN (2, 3, 5)) AS successful, count(*) FILTER (o_orderkey % 6 IN (2, 3, 5)) AS errored, count(*) FILTER (o_orderkey % 6 = 2) AS unparsed,
+  count(*) FILTER (o_orderkey % 7 = 0) AS truncated, round_even(avg(CASE WHEN o_orderkey % 6 IN (0, 1) THEN (o_orderkey % 9 + 1) / 10.0::DOUBLE WHEN o_orderkey % 6 = 4 THEN 0.0::DOUBLE END), 4) AS avg_confidence FROM orders"""
+)
 def classify_stats(spark, d):
-    return classify.classification_stats(classify.shape_results(_responses(spark, d))).drop("avg_confidence")
+    shaped = classify.shape_results(_responses(spark, d)).withColumn("truncated", F.col("custom_id").cast("long") % 7 == 0)
+    return classify.classification_stats(shaped)
 
 
 @query("SELECT CASE o_orderkey % 6 WHEN 0 THEN 'class' WHEN 1 THEN 'class' WHEN 4 THEN 'state' ELSE 'unclassified' END AS primary_type, count(*) AS n FROM orders GROUP BY 1")
@@ -541,16 +711,33 @@ def type_distribution(spark, d):
     return classify.type_distribution(classify.shape_results(_responses(spark, d)))
 
 
-@query("SELECT 'd_' || doc_id AS custom_id, len(regexp_extract_all(text, '\\S+')) > 5000 AS truncated FROM documents")
+@query(
+    """WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS w FROM documents)
+  SELECT 'd_' || doc_id AS custom_id, len(w) > 5000 AS truncated, md5('Which type is this?' || chr(10) || CASE WHEN len(w) > 5000 THEN array_to_string(w[1:4000], ' ') ELSE text END) AS content_md5 FROM w"""
+)
 def build_requests(spark, d):
     files = documents(spark, d).select(F.concat(F.lit("d "), F.col("doc_id").cast("string"), F.lit(".puml")).alias("file_name"), F.col("text").alias("content"))
-    return classify.build_requests(files, "Which type is this?\n{content}").where(F.length("request") > 0).select("custom_id", "truncated")
+    said = F.from_json("request", "params struct<messages: array<struct<role: string, content: string>>>")["params"]["messages"][0]["content"]
+    return classify.build_requests(files, "Which type is this?\n{content}").select("custom_id", "truncated", F.md5(said.cast("binary")).alias("content_md5"))
+
 
+#: Diagrams with the types that the rule classifier gives them, the surest first.
+RULED = {
+    "class P{k}\n+ id : int": "class",
+    "component [C{k}]": "component",
+    "interface I{k}\nclass C{k}": "class",
+    "participant A{k}\nswitch x": "activity",
+    "artifact A{k}\nnode N\ncomponent C": "deployment,component",
+    "state S{k}\n[*] --> S{k}": "state",
+    "participant A{k}\nalt x\nA{k} -> B : m": "sequence",
+    "no marks {k}": "",
+}
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'class' ELSE 'component' END AS label FROM part")
+
+@query(f"SELECT p_partkey, {sql_list(RULED.values())}[(p_partkey % {len(RULED)} + 1)::BIGINT] AS labels FROM part")
 def rule_classifier(spark, d):
-    content = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("class "), "p_name")).otherwise(F.concat(F.lit("component "), "p_name"))
-    return corpora.read(spark, d, "part").select("p_partkey", F.element_at(F.map_keys(classify.rule_scores(content)), 1).alias("label"))
+    scored = classify.with_rule_scores(corpora.read(spark, d, "part").select("p_partkey", case("p_partkey", RULED).alias("content")))
+    return scored.select("p_partkey", F.array_join(F.map_keys("scores"), ",").alias("labels"))
 
 
 # ---------------------------------------------------------------- reports
@@ -562,6 +749,11 @@ def _loc(spark, d):
     return corpora.classified(spark, d).select("o_orderkey", "primary_type", (F.col("o_orderkey") % 97).alias("loc"))
 
 
+@query(f"WITH {LOC}, {RANKED.format(v='loc', t='loc')} {RANKS.replace('avg(v)', 'round_even(avg(v), 2)')}")
+def loc_stats(spark, d):
+    return stats.rank_stats(_loc(spark, d), "loc", 2)
+
+
 @query(f"WITH {LOC} SELECT primary_type, count(*) AS n, avg(loc) AS avg_loc, count(*) FILTER (loc < 10) AS simple, count(*) FILTER (loc BETWEEN 10 AND 50) AS medium, count(*) FILTER (loc > 50) AS complex, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct FROM loc GROUP BY 1")
 def type_profile(spark, d):
     return stats.type_profile(_loc(spark, d), "primary_type", "loc")

@@ -11,6 +11,7 @@ BLOCK_COMMENT = r"(?s)/'.*?'/"
 _INNER = r"(?<=[ \t])'(?=[ \t])"
 _LAST = r"(?<=[ \t])'(?=[ \t]|\z)"
 
+#: What each step removes, in this order (fixed values: styling, sprites, directives, notes, frames).
 STYLING = (S + r"skinparam\s+\w+\s*\{[^}]*\}", M + r"^\s*skinparam\s+.*$", M + r"^\s*(hide|show)\s+.*$", S + r"style\s+\w+\s*\{[^}]*\}")
 SPRITES = (S + r"sprite\s+\$?[\w-]+\s*\[[^\]]+\]\s*\{[^}]*\}", S + r"sprite\s+\$?[\w-]+\s*<svg[^>]*>.*?</svg>")
 DIRECTIVES = (

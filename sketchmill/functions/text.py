@@ -13,10 +13,17 @@ M, S, C, W = "(?imdU)", "(?isdU)", "(?mdU)", "(?dU)"
 #: White space in the sense of the corpus tools: Unicode white space and the separators 1C to 1F.
 WS = r"\s\x1c-\x1f"
 NON_BLANK = rf"(?U)[^{WS}]"
+#: The same as single characters.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once a row however often f uses it: a Column function can't name an intermediate result otherwise."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)\A[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def is_blank(c: Column) -> Column:
@@ -52,18 +59,19 @@ def fields(c: Column, n: int) -> Column:
 
 
 def words(c: Column) -> Column:
-    s = strip(c)
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, rf"(?U)[{WS}]+", -1))
+    return let(strip(c), lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, rf"(?U)[{WS}]+", -1)))
 
 
 def decode_base64(c: Column) -> Column:
     """Bytes; characters outside the alphabet are ignored, bad padding gives null."""
     clean = F.regexp_replace(c, "[^A-Za-z0-9+/=]", "")
-    return F.when(F.length(clean) % 4 == 0, F.try_to_binary(clean, F.lit("base64")))
+    return let(clean, lambda x: F.when(F.length(x) % 4 == 0, F.try_to_binary(x, F.lit("base64"))))
 
 
 def utf8(c: Column, errors: str = "ignore") -> Column:
-    """Bytes as text: 'replace' keeps U+FFFD for bad bytes, 'ignore' drops them."""
+    """Bytes as text: 'replace' keeps U+FFFD for bad bytes, 'ignore' drops them, 'strict' makes them an error."""
+    if errors == "strict":
+        return F.validate_utf8(c.cast("string"))
     text = F.make_valid_utf8(c.cast("string"))
     return F.replace(text, F.lit("�"), F.lit("")) if errors == "ignore" else text
 

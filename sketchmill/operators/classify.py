@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,33 +54,105 @@ def shape_results(responses: DataFrame) -> DataFrame:
 
 
 def classification_stats(results: DataFrame) -> DataFrame:
-    return results.agg(F.count_if(F.col("error").isNull()).alias("successful"), F.count_if(F.col("error").isNotNull()).alias("errored"), F.count_if("parse_error").alias("unparsed"), F.avg("confidence").alias("avg_confidence"))
+    """One row: total, successful, errored (errors and answers that did not parse), unparsed, truncated (where the results say so) and
+    the average confidence to four places, of those that have one."""
+    bad = F.col("error").isNotNull() | F.coalesce("parse_error", F.lit(False))
+    cut = F.coalesce(F.col("truncated"), F.lit(False)) if "truncated" in results.columns else F.lit(False)
+    return results.agg(
+        F.count("*").alias("total"), F.count_if(~bad).alias("successful"), F.count_if(bad).alias("errored"), F.count_if("parse_error").alias("unparsed"), F.count_if(cut).alias("truncated"),
+        F.coalesce(F.bround(F.avg("confidence"), 4), F.lit(0.0)).alias("avg_confidence"),
+    )
 
 
 def type_distribution(results: DataFrame) -> DataFrame:
     return results.groupBy("primary_type").agg(F.count("*").alias("n"))
 
 
-#: Example features of the configurable scorer: type, pattern, weight. Their values are this library's own.
-DEFAULT_FEATURES = (
-    ("sequence", r"(?im)^\s*(participant|activate|alt|loop)\b", 10.0),
-    ("sequence", r"->>?.*:", 1.0),
-    ("class", r"(?im)^\s*(abstract\s+)?(class|interface|enum)\b", 10.0),
-    ("class", r"<\|--|--\|>", 10.0),
-    ("usecase", r"(?im)^\s*usecase\b|\([A-Za-z][^)]*\)", 1.0),
-    ("component", r"(?im)^\s*component\b|^\s*\[[^\]*]+\]", 10.0),
-    ("deployment", r"(?im)^\s*(node|artifact|cloud)\b", 10.0),
-    ("state", r"\[\*\]|(?im)^\s*state\b", 10.0),
-    ("activity", r"(?im)^\s*(start|stop|endif|fork)\s*$|^\s*:[^;]*;", 10.0),
-    ("object", r"(?im)^\s*(object|map|json)\b", 10.0),
-    ("timing", r"(?im)^\s*(robust|concise|clock)\b|^@\d+", 10.0),
+#: What a feature's weight counts by tier, from decisive to weak (fixed values).
+TIERS = {1: 100.0, 2: 10.0, 3: 1.0, 4: 0.1}
+#: Features of the configurable scorer: name, pattern. Patterns are this library's own.
+FEATURES = {
+    "participant": r"(?im)^\s*(participant|activate|deactivate|autonumber)\b",
+    "alt_loop": r"(?im)^\s*(alt|loop|opt|par)\b",
+    "message": r"(?m)->>?\s*\S+\s*:",
+    "class": r"(?im)^\s*(abstract\s+)?class\s+\S",
+    "member_visibility": r"(?m)^\s*[+\-#~]\s*\w+\s*(\(|:)",
+    "inheritance": r"<\|--|--\|>|<\|\.\.|\.\.\|>",
+    "interface": r"(?im)^\s*interface\s+\S",
+    "actor": r"(?im)^\s*actor\s+\S|(?m)^\s*:[^:\n;]+:\s",
+    "usecase": r"(?im)^\s*usecase\b|(?m)(^|\s)\([A-Za-z][^)\n]*\)",
+    "component": r"(?im)^\s*component\b|(?m)^\s*\[[^\]*\n]+\]",
+    "port": r"(?im)^\s*port(in|out)\b",
+    "node": r"(?im)^\s*node\b",
+    "artifact": r"(?im)^\s*artifact\b",
+    "cloud": r"(?im)^\s*(cloud|storage)\b",
+    "pseudo_state": r"\[\*\]",
+    "state": r"(?im)^\s*state\b",
+    "flow": r"(?im)^\s*(start|stop|endif|endwhile|fork|end fork)\s*$",
+    "action": r"(?m)^\s*:[^;\n]*;\s*$",
+    "activity_only": r"(?im)^\s*(switch|backward|kill)\b",
+    "object": r"(?im)^\s*(object|map|json)\s+\S",
+    "clock": r"(?im)^\s*(robust|concise|clock)\b",
+    "time": r"(?m)^@[+]?\d+",
+}
+#: Type, feature, weight, tier; and for weights that depend on others, the features of which one has to be there and the weight else.
+#: The weights of interface, node and actor are fixed values; the others are this library's own.
+DEFAULT_RULES = (
+    ("sequence", "participant", 1.5, 1, (), None),
+    ("sequence", "alt_loop", 2.5, 2, (), None),
+    ("sequence", "message", 1.0, 3, (), None),
+    ("sequence", "actor", 0.8, 3, ("message",), 0.4),
+    ("class", "class", 1.5, 1, (), None),
+    ("class", "member_visibility", 1.5, 1, (), None),
+    ("class", "inheritance", 2.0, 2, (), None),
+    ("class", "interface", 2.8, 2, ("class", "member_visibility"), 0.5),
+    ("usecase", "usecase", 1.5, 1, (), None),
+    ("usecase", "actor", 1.2, 2, ("usecase",), 0.4),
+    ("component", "component", 1.5, 1, (), None),
+    ("component", "port", 1.5, 1, (), None),
+    ("component", "interface", 2.8, 2, ("component",), 0.5),
+    ("component", "node", 1.8, 3, ("component",), 0.4),
+    ("deployment", "artifact", 1.5, 1, (), None),
+    ("deployment", "node", 2.0, 2, ("artifact",), 0.4),
+    ("deployment", "cloud", 1.0, 2, (), None),
+    ("state", "pseudo_state", 1.5, 1, (), None),
+    ("state", "state", 1.5, 1, (), None),
+    ("activity", "flow", 1.5, 1, (), None),
+    ("activity", "action", 1.5, 1, (), None),
+    ("activity", "activity_only", 2.0, 1, (), None),
+    ("object", "object", 1.5, 1, (), None),
+    ("timing", "clock", 1.5, 1, (), None),
+    ("timing", "time", 1.5, 1, (), None),
 )
-
-
-def rule_scores(content: Column, features=DEFAULT_FEATURES, floor: float = 0.3) -> Column:
-    """map<type, share of all weight> of the types with at least `floor`."""
-    kinds = list(dict.fromkeys(f[0] for f in features))
-    raw = {k: sum((F.when(content.rlike(p), w).otherwise(0.0) for t, p, w in features if t == k), F.lit(0.0)) for k in kinds}
-    whole = sum(raw.values(), F.lit(0.0))
-    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.when(whole > 0, v / whole).otherwise(0.0).alias("value")) for k, v in raw.items()])
-    return F.map_from_entries(F.filter(pairs, lambda x: x["value"] >= floor))
+#: Type, feature of another type that speaks against it, factor (of the ranges given for them, the middle).
+DEFAULT_PENALTIES = (("sequence", "activity_only", 0.35), ("class", "port", 0.5), ("component", "artifact", 0.675))
+
+
+def with_rule_scores(diagrams: DataFrame, content: str = "content", name: str = "scores", rules=DEFAULT_RULES, penalties=DEFAULT_PENALTIES, features=FEATURES, floor: float = 0.3) -> DataFrame:
+    """Adds map<type, share of all weight> of the types with at least `floor`, the heaviest first (ties: the order of the rules).
+
+    Each feature is looked for once. A rule gives its weight times its tier's; where it names other features and none of them is there,
+    its other weight. Penalties multiply a type's sum.
+    """
+    kinds = list(dict.fromkeys(r[0] for r in rules))
+    has = lambda f: F.col(f"_has_{f}")
+    rows = diagrams.withColumns({f"_has_{f}": F.coalesce(F.col(content).rlike(p), F.lit(False)) for f, p in features.items()})
+
+    def weight(rule) -> Column:
+        _, feature, base, tier, needs, other = rule
+        full = F.lit(base * TIERS[tier])
+        if needs:
+            full = F.when(functools.reduce(Column.__or__, map(has, needs)), full).otherwise(other * TIERS[4])
+        return F.when(has(feature), full).otherwise(0.0)
+
+    raw = {}
+    for kind in kinds:
+        total = functools.reduce(Column.__add__, [weight(r) for r in rules if r[0] == kind])
+        for _, feature, factor in (p for p in penalties if p[0] == kind):
+            total = total * F.when(has(feature), factor).otherwise(1.0)
+        raw[f"_raw_{kind}"] = total
+    rows = rows.withColumns(raw).withColumn("_all", functools.reduce(Column.__add__, [F.col(c) for c in raw]))
+    shares = F.array(*[F.struct(F.coalesce(F.try_divide(F.col(f"_raw_{kind}"), F.col("_all")), F.lit(0.0)).alias("v"), F.lit(-k).alias("at"), F.lit(kind).alias("k")) for k, kind in enumerate(kinds)])
+    best = F.sort_array(F.filter(shares, lambda x: x["v"] >= floor), asc=False)
+    out = F.map_from_entries(F.transform(best, lambda x: F.struct(x["k"], x["v"])))
+    return rows.select(*[c for c in diagrams.columns if c != name], out.alias(name))

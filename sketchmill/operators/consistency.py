@@ -2,99 +2,126 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Element types that are primary, allowed or forbidden in each diagram type (fixed values); the order settles ties.
-EXPECTED = {
-    "sequence": ("participant actor boundary control entity database collections queue", "box", "class interface enum abstract_class state usecase component node artifact"),
-    "class": ("class abstract_class interface enum annotation struct protocol exception metaclass", "package namespace rectangle", "participant actor state usecase node artifact component"),
-    "usecase": ("actor usecase", "rectangle package", "class interface participant state component node artifact"),
-    "component": ("component interface", "package folder frame cloud database node rectangle", "class participant actor state usecase"),
-    "deployment": ("node artifact cloud database storage file folder frame component", "rectangle package card agent stack", "class participant actor usecase state"),
-    "state": ("state", "rectangle partition", "class participant actor usecase component node artifact"),
-    "activity": ("partition", "rectangle group", "class participant state usecase component node artifact"),
-    "object": ("object map json", "package rectangle diamond", "class interface participant actor state usecase component node"),
-    "timing": ("participant", "", "class interface actor state usecase component node artifact"),
+TABLE = {
+    "sequence": (
+        ["participant", "actor", "boundary", "control", "entity", "database", "collections", "queue"],
+        ["box"],
+        ["class", "interface", "enum", "abstract class", "state", "usecase", "component", "node", "artifact"],
+    ),
+    "class": (
+        ["class", "abstract class", "interface", "enum", "annotation", "struct", "protocol", "exception", "metaclass"],
+        ["package", "namespace", "rectangle"],
+        ["participant", "actor", "state", "usecase", "node", "artifact", "component"],
+    ),
+    "usecase": (["actor", "usecase"], ["rectangle", "package"], ["class", "interface", "participant", "state", "component", "node", "artifact"]),
+    "component": (["component", "interface"], ["package", "folder", "frame", "cloud", "database", "node", "rectangle"], ["class", "participant", "actor", "state", "usecase"]),
+    "deployment": (
+        ["node", "artifact", "cloud", "database", "storage", "file", "folder", "frame", "component"],
+        ["rectangle", "package", "card", "agent", "stack"],
+        ["class", "participant", "actor", "usecase", "state"],
+    ),
+    "state": (["state"], ["rectangle", "partition"], ["class", "participant", "actor", "usecase", "component", "node", "artifact"]),
+    "activity": (["partition"], ["rectangle", "group"], ["class", "participant", "state", "usecase", "component", "node", "artifact"]),
+    "object": (["object", "map", "json"], ["package", "rectangle", "diamond"], ["class", "interface", "participant", "actor", "state", "usecase", "component", "node"]),
+    "timing": (["participant"], [], ["class", "interface", "actor", "state", "usecase", "component", "node", "artifact"]),
 }
-TABLE = {t: tuple([e.replace("_", " ") for e in part.split()] for part in parts) for t, parts in EXPECTED.items()}
 SEVERITY = {"info": 0, "warning": 1, "error": 2}
 THRESHOLD = 0.5
 
 
-def _rules() -> Column:
-    """The table as one constant array; `at` falls, so that the first of equals is the greatest."""
-    names = lambda x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
-    return F.array(*[F.struct(F.lit(t).alias("type"), F.lit(-k).alias("at"), names(p).alias("primary"), names(a).alias("allowed"), names(f).alias("forbidden")) for k, (t, (p, a, f)) in enumerate(TABLE.items())])
+def _add(parts: list[Column]) -> Column:
+    return functools.reduce(Column.__add__, parts, F.lit(0))
 
 
-def _sum(counts: Column, names: Column | None = None) -> Column:
-    kept = counts if names is None else F.map_filter(counts, lambda k, v: F.array_contains(names, k))
-    return F.aggregate(F.map_values(kept), F.lit(0), lambda a, x: a + x)
+def with_sums(analysis: DataFrame, kind: str = "primary_type", counts: str = "elements") -> DataFrame:
+    """Adds _total (elements), _known (is the diagram's type in the table), _primary, _allowed, _forbidden (what its own type says of the
+    elements) and _scores: array<struct<score, at, type>> of all types.
 
+    Each element of the table is looked up once; all else is plain arithmetic on these numbers, whose size is the table's.
+    """
+    names = sorted({e for parts in TABLE.values() for part in parts for e in part})
+    map_ = F.coalesce(F.col(counts), F.create_map().cast("map<string,int>"))
+    rows = analysis.withColumn("_total", F.aggregate(F.map_values(map_), F.lit(0), lambda a, x: a + x))
+    rows = rows.withColumns({f"_n_{e}": F.coalesce(F.try_element_at(map_, F.lit(e)), F.lit(0)) for e in names})
+    sums = {(t, k): _add([F.col(f"`_n_{e}`") for e in part]) for t, parts in TABLE.items() for k, part in enumerate(parts)}
+    rows = rows.withColumns({f"_{k}_{t}": v for (t, k), v in sums.items()})
 
-def sums(kind: Column, counts: Column) -> Column:
-    """struct<known, total, primary, allowed, forbidden>: elements by what the diagram's own type says of them."""
-    own = F.get(F.filter(_rules(), lambda r: r["type"] == kind), 0)
-    of = lambda part: F.coalesce(_sum(counts, own[part]), F.lit(0)).alias(part)
-    return F.struct(own.isNotNull().alias("known"), _sum(counts).alias("total"), of("primary"), of("allowed"), of("forbidden"))
+    def own(k: int) -> Column:
+        out = F.lit(0)
+        for t in TABLE:
+            out = F.when(F.col(kind) == t, F.col(f"_{k}_{t}")).otherwise(out)
+        return out
 
+    def score(t: str) -> Column:
+        return F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.col(f"_0_{t}"), F.col("_total")) - 0.5 * F.try_divide(F.col(f"_2_{t}"), F.col("_total")), F.lit(0.0)))
 
-def consistency_score(kind: Column, s: Column) -> Column:
-    """s: sums of the diagram."""
-    total = s["total"]
-    mixed = 0.4 * F.try_divide(s["primary"] + s["allowed"], total) + 0.4 * (1 - F.least(F.lit(1.0), F.try_divide(s["forbidden"], total))) + 0.2 * F.when(s["primary"] > 0, 1.0).otherwise(0.5)
-    empty = F.when(kind == "activity", 0.9).when(kind == "state", 0.5).otherwise(0.3)
-    return F.when(kind == "unclassified", F.when(total == 0, 1.0).otherwise(0.3)).when(~s["known"], 0.0).when(total == 0, empty).otherwise(F.bround(mixed, 4))
+    # `at` falls, so that the first of equals is the greatest
+    scores = F.array(*[F.struct(score(t).alias("score"), F.lit(-k).alias("at"), F.lit(t).alias("type")) for k, t in enumerate(TABLE)])
+    known = F.coalesce(F.col(kind).isin(*TABLE), F.lit(False))
+    return rows.select(*analysis.columns, "_total", known.alias("_known"), own(0).alias("_primary"), own(1).alias("_allowed"), own(2).alias("_forbidden"), scores.alias("_scores"))
 
 
-def type_scores(counts: Column, total: Column) -> Column:
-    """array<struct<score, at, type>> of all types."""
-    def score(r: Column) -> Column:
-        return F.greatest(F.lit(0.0), F.try_divide(_sum(counts, r["primary"]), total) - 0.5 * F.try_divide(_sum(counts, r["forbidden"]), total))
-    return F.transform(_rules(), lambda r: F.struct(F.coalesce(score(r), F.lit(0.0)).alias("score"), r["at"].alias("at"), r["type"].alias("type")))
+def consistency_score(kind: Column) -> Column:
+    """Of rows with_sums."""
+    total = F.col("_total")
+    mixed = 0.4 * F.try_divide(F.col("_primary") + F.col("_allowed"), total) + 0.4 * (1 - F.least(F.lit(1.0), F.try_divide(F.col("_forbidden"), total))) + 0.2 * F.when(F.col("_primary") > 0, 1.0).otherwise(0.5)
+    empty = F.when(kind == "activity", 0.9).when(kind == "state", 0.5).otherwise(0.3)
+    return F.when(kind == "unclassified", F.when(total == 0, 1.0).otherwise(0.3)).when(~F.col("_known"), 0.0).when(total == 0, empty).otherwise(F.bround(mixed, 4))
 
 
-def inferred_type(scores: Column) -> Column:
-    """struct<type, confidence> from type_scores; the first of the table among equals."""
-    best = F.array_max(scores)
-    whole = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x["score"])
-    found = best["score"] > 0
-    return F.struct(F.when(found, best["type"]).otherwise("unknown").alias("type"), F.when(found, F.bround(F.try_divide(best["score"], whole), 4)).otherwise(0.0).alias("confidence"))
+def two_places(c: Column) -> Column:
+    return F.format_string("%.2f", F.bround(c, 2))
 
 
-def flags(kind: Column, s: Column, confidence: Column, score: Column, suggested: Column) -> Column:
-    """array<struct<code, severity>> in rule order."""
+def flags(kind: Column, counts: Column, confidence: Column) -> Column:
+    """array<struct<code, severity, details>> in rule order, of rows with consistency_score, suggested_type and suggestion_confidence."""
+    score, suggested, sure_of = F.col("consistency_score"), F.col("suggested_type"), F.col("suggestion_confidence")
 
-    def flag(code: str, severity: str, when: Column) -> Column:
-        return F.when(when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity")))
+    def flag(code: str, severity: str, when: Column, *details) -> Column:
+        said = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in details])
+        return F.when(when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), said.alias("details")))
 
-    forbidden = s["forbidden"] > 0
-    mismatch = (suggested["type"] != kind) & (suggested["type"] != "unknown") & (suggested["confidence"] > 0.5)
+    banned = shown = F.lit(None)
+    for t, (primary, _, forbidden_) in TABLE.items():
+        banned = F.when(kind == t, F.array(*map(F.lit, forbidden_))).otherwise(banned)
+        shown = F.when(kind == t, F.lit("[" + ", ".join(f"'{e}'" for e in primary[:3]) + "]")).otherwise(shown)
+    held = F.filter(F.map_entries(counts), lambda e: F.array_contains(banned, e["key"]))
+    listed = F.concat(F.lit("{"), F.array_join(F.transform(held, lambda e: F.concat(F.lit("'"), e["key"], F.lit("': "), e["value"].cast("string"))), ", "), F.lit("}"))
+    forbidden = F.col("_forbidden") > 0
+    mismatch = (suggested != kind) & (suggested != "unknown") & (sure_of > 0.5)
     sure = (confidence >= 0.7) & (score < 0.5)
     rules = F.array_compact(
         F.array(
-            flag("FORBIDDEN_ELEMENTS", "error", forbidden),
-            flag("MISSING_PRIMARY_ELEMENTS", "warning", s["known"] & (s["primary"] == 0)),
-            flag("TYPE_MISMATCH", "error", mismatch),
-            flag("HIGH_CONFIDENCE_MISMATCH", "error", sure),
-            flag("LOW_CONFIDENCE", "info", confidence < 0.5),
-            flag("MULTI_TYPE_AMBIGUOUS", "info", (score < 0.7) & ~(forbidden | mismatch | sure)),
+            flag("FORBIDDEN_ELEMENTS", "error", forbidden, "Found forbidden elements: ", listed),
+            flag("MISSING_PRIMARY_ELEMENTS", "warning", F.col("_known") & (F.col("_primary") == 0), "No primary elements (", shown, "...) found"),
+            flag("TYPE_MISMATCH", "error", mismatch, "Elements suggest ", suggested, " (conf: ", two_places(sure_of), ") not ", kind),
+            flag("HIGH_CONFIDENCE_MISMATCH", "error", sure, "High classification confidence (", two_places(confidence), ") but low consistency (", two_places(score), ")"),
+            flag("LOW_CONFIDENCE", "info", confidence < 0.5, "Classification confidence ", two_places(confidence), " below 0.5 threshold"),
+            flag("MULTI_TYPE_AMBIGUOUS", "info", (score < 0.7) & ~(forbidden | mismatch | sure), "Elements not strongly aligned with any single type"),
         )
     )
-    none = F.array_compact(F.array(flag("NO_ELEMENTS", "warning", ~kind.isin("activity", "unclassified"))))
-    return F.when(s["total"] == 0, none).otherwise(rules)
+    none = F.array_compact(F.array(flag("NO_ELEMENTS", "warning", ~kind.isin("activity", "unclassified"), "No elements detected for ", kind, " diagram")))
+    return F.when(F.col("_total") == 0, none).otherwise(rules)
 
 
 def validate(analysis: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """analysis: primary_type, elements, confidence, ... -> consistency_score, suggested_type, suggestion_confidence, flags, is_consistent."""
-    kind, counts = F.col("primary_type"), F.coalesce("elements", F.create_map().cast("map<string,int>"))
-    summed = analysis.withColumn("_s", sums(kind, counts))
-    scored = summed.withColumn("consistency_score", consistency_score(kind, F.col("_s"))).withColumn("_t", type_scores(counts, F.col("_s.total")))
-    guessed = scored.withColumn("_g", inferred_type(F.col("_t")))
-    flagged = guessed.withColumn("flags", flags(kind, F.col("_s"), F.coalesce("confidence", F.lit(0.0)), F.col("consistency_score"), F.col("_g")))
+    kind = F.col("primary_type")
+    summed = with_sums(analysis)
+    whole = _add([F.get("_scores", F.lit(k))["score"] for k in range(len(TABLE))])
+    scored = summed.withColumn("consistency_score", consistency_score(kind)).withColumn("_best", F.array_max("_scores")).withColumn("_whole", whole)
+    found = F.col("_best.score") > 0
+    guessed = scored.withColumn("suggested_type", F.when(found, F.col("_best.type")).otherwise("unknown"))
+    guessed = guessed.withColumn("suggestion_confidence", F.when(found, F.bround(F.try_divide(F.col("_best.score"), F.col("_whole")), 4)).otherwise(0.0))
+    flagged = guessed.withColumn("flags", flags(kind, F.coalesce("elements", F.create_map().cast("map<string,int>")), F.coalesce("confidence", F.lit(0.0))))
     verdict = (F.col("consistency_score") >= threshold) & ~F.exists("flags", lambda f: f["severity"] == "error")
-    return flagged.select("*", F.col("_g.type").alias("suggested_type"), F.col("_g.confidence").alias("suggestion_confidence"), verdict.alias("is_consistent")).drop("_s", "_t", "_g")
+    return flagged.select(*analysis.columns, "consistency_score", "suggested_type", "suggestion_confidence", "flags", verdict.alias("is_consistent"))
 
 
 def at_least(validated: DataFrame, severity: str) -> DataFrame:
@@ -112,10 +139,12 @@ def confusion_matrix(validated: DataFrame) -> DataFrame:
 
 
 def validation_stats(validated: DataFrame) -> DataFrame:
-    """One row: total, consistent, rate, average score, and flags by severity (rows are counted before any filter)."""
+    """One row: total, consistent, inconsistent, rate and average score (four places), and flags by severity (rows are counted before any filter)."""
     flagged = lambda s: F.coalesce(F.sum(F.size(F.filter("flags", lambda f: f["severity"] == s))), F.lit(0)).alias(s + "s")
     return validated.agg(
-        F.count("*").alias("total"), F.count_if("is_consistent").alias("consistent"), F.avg(F.col("is_consistent").cast("double")).alias("rate"), F.avg("consistency_score").alias("avg_score"), *[flagged(s) for s in SEVERITY]
+        F.count("*").alias("total"), F.count_if("is_consistent").alias("consistent"), F.count_if(~F.col("is_consistent")).alias("inconsistent"),
+        F.coalesce(F.bround(F.avg(F.col("is_consistent").cast("double")), 4), F.lit(0.0)).alias("rate"), F.coalesce(F.bround(F.avg("consistency_score"), 4), F.lit(0.0)).alias("avg_score"),
+        *[flagged(s) for s in SEVERITY],
     )
 
 

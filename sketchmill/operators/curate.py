@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,14 +26,16 @@ def path_records(lines: DataFrame) -> DataFrame:
 
 def missing_markers(content: Column) -> Column:
     """The missing markers, joined by ', '; empty if both are there."""
-    low = F.lower(content)
-    reasons = F.array(F.when(~F.contains(low, F.lit(START)), f"missing {START}"), F.when(~F.contains(low, F.lit(END)), f"missing {END}"))
-    return F.array_join(F.array_compact(reasons), ", ")
+    none = [~F.contains(F.lower(content), F.lit(x)) for x in (START, END)]
+    return F.concat_ws(", ", *[F.when(absent, f"missing {x}") for absent, x in zip(none, (START, END))])
 
 
 def extraction_outcome(content: Column) -> Column:
     """struct<status, reason>: valid, invalid (missing markers) or error (not found, empty)."""
-    missing = missing_markers(content)
+    return _outcome(content, missing_markers(content))
+
+
+def _outcome(content: Column, missing: Column) -> Column:
     status = F.when(content.isNull() | (content == ""), "error").when(missing == "", "valid").otherwise("invalid")
     reason = F.when(content.isNull(), "Blob not found").when(content == "", "Empty content").when(missing == "", F.lit(None).cast("string")).otherwise(missing)
     return F.struct(status.alias("status"), reason.alias("reason"))
@@ -40,7 +43,8 @@ def extraction_outcome(content: Column) -> Column:
 
 def lookup_content(records: DataFrame, contents: DataFrame) -> DataFrame:
     """Left join by blob_id with the outcome of each record; a blob without content is an error row."""
-    return records.join(contents.select("blob_id", "content"), "blob_id", "left").withColumn("outcome", extraction_outcome(F.col("content"))).select("*", "outcome.*").drop("outcome")
+    found = records.join(contents.select("blob_id", "content"), "blob_id", "left").withColumn("_missing", missing_markers(F.col("content")))
+    return found.withColumn("outcome", _outcome(F.col("content"), F.col("_missing"))).select("*", "outcome.*").drop("outcome", "_missing")
 
 
 def is_blob_id(c: Column) -> Column:
@@ -52,17 +56,18 @@ def content_records(lines: DataFrame) -> DataFrame:
 
     Reasons in order: malformed line, invalid blob id, bad base64, missing markers.
     """
-    f = fields(strip(F.col("value")), 3)
-    content = utf8(decode_base64(F.get(f, F.lit(2))), "ignore")
-    missing = missing_markers(content)
+    # each step is a column of its own that later steps use several times, so that none is computed twice
+    rows = lines.withColumn("_f", fields(strip(F.col("value")), 3))
+    rows = rows.withColumn("content", utf8(decode_base64(F.get("_f", F.lit(2))), "ignore"))
+    rows = rows.withColumn("_missing", missing_markers(F.col("content")))
     at = F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": "))
     reason = (
-        F.when(F.size(f) < 3, F.concat(at, F.lit("malformed line")))
-        .when(~is_blob_id(F.get(f, F.lit(0))), F.concat(at, F.lit("invalid blob id")))
-        .when(content.isNull(), F.concat(at, F.lit("bad base64")))
-        .when(missing != "", F.concat(at, missing))
+        F.when(F.size("_f") < 3, F.concat(at, F.lit("malformed line")))
+        .when(~is_blob_id(F.get("_f", F.lit(0))), F.concat(at, F.lit("invalid blob id")))
+        .when(F.col("content").isNull(), F.concat(at, F.lit("bad base64")))
+        .when(F.col("_missing") != "", F.concat(at, "_missing"))
     )
-    return lines.select("*", F.get(f, F.lit(0)).alias("blob_id"), F.get(f, F.lit(1)).alias("file_path"), content.alias("content"), reason.alias("reason"))
+    return rows.select(*lines.columns, F.get("_f", F.lit(0)).alias("blob_id"), F.get("_f", F.lit(1)).alias("file_path"), "content", reason.alias("reason"))
 
 
 def first_by_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -97,17 +102,19 @@ def first_directory_hit(files: DataFrame, name: str = "file_name", priority: str
 
 
 def assign_batches(rows: DataFrame, size: int, *order: str, number: str = "batch") -> DataFrame:
-    """batch int from 1 and its directory name, by the running ordinal over all rows in order.
+    """batch int from 1 and its directory name, by the running ordinal over all rows in order; rows that tie go by a hash of all columns.
 
     The ordinal is counted in two steps, so no task sees all rows: rows are range-partitioned by the order; counts by partition (one
-    small row each) give the offsets.
+    small row each) give the offsets. Both steps must see the same partitions, so these are kept on disk: their number is fixed, and
+    a lost one is made again with the same bounds.
     """
-    spread = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
-    within = spread.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.repartitionByRange(parts, *[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    within = spread.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order, F.xxhash64(*rows.columns))))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = spread.groupBy("_part").count().withColumn("_base", F.coalesce(F.sum("count").over(before), F.lit(0))).select("_part", "_base")
     at = F.col("_base") + F.col("_nth") - 1
-    numbered = within.join(F.broadcast(offsets), "_part").withColumn(number, (F.floor(at / size) + 1).cast("int"))  # offsets: a row a partition
+    numbered = within.join(F.broadcast(offsets), "_part").withColumn(number, (F.floor(at / size) + 1).cast("long" if size == 1 else "int"))  # offsets: a row a partition
     return numbered.withColumn("directory", F.format_string("batch_%04d", number)).drop("_part", "_nth", "_base")
 
 

@@ -19,8 +19,9 @@ def histogram(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))
 
 
-def rank_stats(rows: DataFrame, column: str) -> DataFrame:
-    """One row: n, min, q1, median, q3, max, mean; the value of rank n div 4, n div 2, 3 * n div 4 (from 0). All 0 for no rows."""
+def rank_stats(rows: DataFrame, column: str, places: int | None = None) -> DataFrame:
+    """One row: n, min, q1, median, q3, max, mean (rounded to so many places, if given); the value of rank n div 4, n div 2, 3 * n div 4
+    (from 0). All 0 for no rows."""
     h = histogram(rows.where(F.col(column).isNotNull()), column)
     up = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = h.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
@@ -38,7 +39,7 @@ def rank_stats(rows: DataFrame, column: str) -> DataFrame:
         F.coalesce(F.max(column), F.lit(0)).cast("long").alias("max"),
         F.coalesce(F.sum(F.col(column) * F.col("n")) / F.sum("n"), F.lit(0.0)).alias("mean"),
     )
-    return out
+    return out if places is None else out.withColumn("mean", F.bround("mean", places))
 
 
 def bucket_of(c: Column) -> Column:
@@ -56,9 +57,10 @@ def bucket_counts(rows: DataFrame, column: str) -> DataFrame:
     return names.join(n, "bucket", "left").select("ord", "bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def top_buckets(rows: DataFrame, column: str, k: int = 20, width: int = 50) -> DataFrame:
-    """The k commonest values (ties: the smaller) with bars scaled to the commonest."""
-    top = histogram(rows, column).orderBy(F.desc("n"), column).limit(k)
+def top_buckets(rows: DataFrame, column: str, k: int = 20, width: int = 50, seen: str | None = None) -> DataFrame:
+    """The k commonest values with bars scaled to the commonest; of equals, the one seen first by the column `seen`, or else the smaller."""
+    first = F.min(seen) if seen else F.min(column)
+    top = rows.groupBy(column).agg(F.count("*").alias("n"), first.alias("_first")).orderBy(F.desc("n"), "_first").limit(k).drop("_first")
     best = top.agg(F.max("n").alias("best"))
     size = F.least(F.lit(width), F.floor(F.col("n") * width / F.col("best")).cast("int"))
     return top.crossJoin(F.broadcast(best)).select(column, "n", F.repeat(F.lit("█"), size).alias("bar"))  # best: one row

@@ -15,22 +15,27 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """value, shard: lines end at \\n only; gzip files are opened as such (one task a file). A missing path is an error, before any work."""
+    """value, shard, block, position: lines end at \\n only; gzip files are opened as such (one task a file). A missing path is an error, before any work."""
     missing = [p for p in paths if not path_exists(spark, p)]
     if missing:
         raise FileNotFoundError(", ".join(missing))
-    return spark.read.option("lineSep", "\n").text(list(paths)).withColumn("shard", F.input_file_name())
+    rows = spark.read.option("lineSep", "\n").text(list(paths))
+    return rows.select("value", F.col("_metadata.file_path").alias("shard"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("position"))
+
+
+#: The order of read_lines' rows in their files: shards by name, blocks of a shard, lines of a block (a task reads a block from its start).
+INPUT_ORDER = ("shard", "block", "position")
 
 
 def with_line_numbers(lines: DataFrame, *order: str) -> DataFrame:
-    """line_no from 1, over all rows in the given order; see operators.curate.assign_batches for how the ordinal is counted."""
+    """line_no long from 1, over all rows in the given order (INPUT_ORDER if none); see operators.curate.assign_batches for how it is counted."""
     from ..operators.curate import assign_batches
 
-    return assign_batches(lines, 1, *order, number="line_no").drop("directory")
+    return assign_batches(lines, 1, *(order or INPUT_ORDER), number="line_no").drop("directory")
 
 
 def read_diagrams(spark: SparkSession, path: str, errors: str = "ignore", recursive: bool = False, pattern: str = "*.puml") -> DataFrame:
-    """file_name, path, content: whole files, bad bytes dropped or replaced, line ends as \\n."""
+    """file_name, path, content: whole files, bad bytes dropped, replaced or (strict) an error, line ends as \\n."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
     name = F.element_at(F.split("path", "/"), -1)
     return raw.select(name.alias("file_name"), "path", universal_newlines(utf8(F.col("content"), errors)).alias("content"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +15,16 @@ def content_line(blob: Column, path: Column, content: Column) -> Column:
 
 
 def write_routed(outcomes: DataFrame, path: str) -> None:
-    """status, blob_id, file_path, content, reason -> text folders status=valid (gzip) and status=invalid, status=error, in one pass each."""
-    valid = outcomes.where("status = 'valid'").select(content_line(F.col("blob_id"), F.col("file_path"), F.col("content")))
-    valid.write.option("compression", "gzip").text(f"{path}/status=valid")
-    for status in ("invalid", "error"):
-        outcomes.where(F.col("status") == status).select(F.concat_ws(";", "blob_id", "file_path", F.coalesce("reason", F.lit("")))).write.text(f"{path}/status={status}")
+    """status, blob_id, file_path, content, reason -> text folders status=valid (gzip), status=invalid and status=error. The outcomes are
+    made once and kept on disk while the three are written."""
+    held = outcomes.persist(StorageLevel.DISK_ONLY)
+    try:
+        valid = held.where("status = 'valid'").select(content_line(F.col("blob_id"), F.col("file_path"), F.col("content")))
+        valid.write.option("compression", "gzip").text(f"{path}/status=valid")
+        for status in ("invalid", "error"):
+            held.where(F.col("status") == status).select(F.concat_ws(";", "blob_id", "file_path", F.coalesce("reason", F.lit("")))).write.text(f"{path}/status={status}")
+    finally:
+        held.unpersist()
 
 
 def short_header(blob: Column, path: Column) -> Column:
@@ -35,17 +41,61 @@ def diagram_file(header: Column, content: Column) -> Column:
     return F.concat(header, content, F.when(content.endswith("\n"), "").otherwise("\n"))
 
 
-def write_diagrams(files: DataFrame, path: str) -> None:
-    """directory, file_name, content -> one file a diagram, in `directory=<...>/file_name=<...>/`: tasks write what they hold, in any store
-    that Spark writes to, and nothing is collected. `read.text` gives the names back as columns."""
-    rows = files.select("directory", "file_name", F.regexp_replace("content", r"\n\z", "").alias("content"))  # the writer ends the text
-    rows.write.partitionBy("directory", "file_name").text(path)
+def write_diagrams(files: DataFrame, path: str) -> int:
+    """directory, file_name, content -> the file `path/directory/file_name` of each row (a null directory: right below path), and returns how
+    many were written. Tasks write what they hold into the store of path, and a task that runs again writes the same files again.
+    One file a diagram is for export only; tables are stored as Parquet."""
 
+    def put(batches):
+        import pyarrow as pa
+        from pyarrow import fs
 
-def report_json(rows: DataFrame, key: str, *fields: str) -> DataFrame:
-    """One row `value`: a JSON object of the rows' structs by key. For reports of bounded size; rows themselves are stored as Parquet."""
-    pairs = F.collect_list(F.struct(F.col(key).alias("key"), F.struct(*fields).alias("value")))
-    return rows.agg(F.to_json(F.map_from_entries(F.array_sort(pairs))).alias("value"))
+        store, root = fs.FileSystem.from_uri(path)
+        made: set[str] = set()
+        for batch in batches:
+            for directory, name, content in zip(*[c.to_pylist() for c in batch.columns]):
+                for part in (directory, name):
+                    if part is not None and ("/" in part or part in ("", ".", "..")):
+                        raise ValueError(f"not a name of a file or folder: {part!r}")
+                folder = f"{root}/{directory}" if directory is not None else root
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(f"{folder}/{name}") as out:
+                    out.write((content or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows = files.select(F.col("directory").cast("string"), F.col("file_name").cast("string"), F.col("content").cast("string"))
+    return rows.mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+
+#: Rows that a JSON report may hold: it is one row of one task.
+REPORT_ROWS = 1_000_000
+
+
+def report_json(rows: DataFrame, key: str, *fields: str, most: int = REPORT_ROWS) -> DataFrame:
+    """One row `value`: a JSON object of the rows' structs by key. Reports are bounded: more than `most` rows are an error, to be stored as
+    Parquet."""
+    return _checked(rows, most).agg(F.to_json(_by_key(key, fields)).alias("value"))
+
+
+def _by_key(key: str, fields) -> Column:
+    return F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.struct(*fields).alias("value")))))
+
+
+def _checked(rows: DataFrame, most: int) -> DataFrame:
+    n = rows.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"a report of more than {most} rows")
+    return rows
+
+
+def report_envelope(rows: DataFrame, key: str, fields: tuple[str, ...], metadata: dict[str, str], statistics: DataFrame, section: str = "results", most: int = REPORT_ROWS) -> DataFrame:
+    """One row `value`: {"metadata": ..., "statistics": ..., section: {key: struct, ...}}; statistics is a table of one row."""
+    made = _checked(rows, most).agg(_by_key(key, fields).alias(section))
+    known = F.struct(*[F.lit(v).alias(k) for k, v in metadata.items()]).alias("metadata")
+    stats = statistics.select(F.struct(*statistics.columns).alias("statistics"))
+    return stats.crossJoin(made).select(F.to_json(F.struct(known, "statistics", section)).alias("value"))  # one row each
 
 
 def preview(rows: DataFrame, order: str, n: int = 10) -> DataFrame:

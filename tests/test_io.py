@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sketchmill.operators import curate
 from sketchmill.sources import readers, sinks
 from sketchmill.streaming import incremental
 
@@ -40,9 +41,38 @@ def test_sinks(spark, tmp_path):
     assert {(r["status"], r["value"]) for r in got.collect()} == {("valid", "b1;p;eDt5Cg=="), ("invalid", "b2;p;missing @enduml"), ("error", "b3;p;Blob not found")}
     text = sinks.diagram_file(sinks.long_header(F.lit("b"), F.lit("p"), "archive"), F.lit("x"))
     files = spark.range(1).select(F.lit("batch_0001").alias("directory"), F.lit("a.puml").alias("file_name"), text.alias("content"))
-    sinks.write_diagrams(files, str(tmp_path / "files"))
-    back = spark.read.text(str(tmp_path / "files"), wholetext=True).first()
-    assert (back["value"], back["file_name"]) == ("' Blob ID: b\n' Original Path: p\n' Source: archive\n\nx\n", "a.puml")
+    assert sinks.write_diagrams(files.unionByName(spark.range(1).select(F.lit(None).cast("string").alias("directory"), F.lit("b.puml").alias("file_name"), F.lit("é").alias("content"))), str(tmp_path / "files")) == 2
+    assert (tmp_path / "files/batch_0001/a.puml").read_text() == "' Blob ID: b\n' Original Path: p\n' Source: archive\n\nx\n"
+    assert (tmp_path / "files/b.puml").read_text() == "é"
+    with pytest.raises(Exception, match="not a name"):
+        sinks.write_diagrams(files.withColumn("file_name", F.lit("../x")), str(tmp_path / "files"))
+
+
+def test_input_order(spark, tmp_path):
+    """Lines keep their place in their files, so the first of a key in input order can be asked for, and lines be numbered."""
+    for name, n in (("a", 700), ("b", 300)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{k};v\n" for k in range(n)) + "same;%s\n" % name)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        lines = readers.read_lines(spark, str(tmp_path / "a.txt"), str(tmp_path / "b.txt"))
+        numbered = {r["value"]: r["line_no"] for r in readers.with_line_numbers(lines).collect() if r["value"] != "same;b"}
+        want = [f"a{k};v" for k in range(700)] + ["same;a"] + [f"b{k};v" for k in range(300)]
+        assert numbered == {v: k + 1 for k, v in enumerate(want)}
+        firsts = curate.first_by_key(curate.path_records(lines), "blob_id", *readers.INPUT_ORDER)
+        assert {r["blob_id"]: r["file_path"] for r in firsts.collect()}["same"] == "a"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_bounded_reports_and_strict_text(spark, tmp_path):
+    rows = spark.range(3).select(F.col("id").cast("string").alias("k"), "id")
+    with pytest.raises(ValueError):
+        sinks.report_json(rows, "k", "id", most=2)
+    got = json.loads(sinks.report_envelope(rows, "k", ("id",), {"version": "1"}, rows.agg(F.count("*").alias("n"))).first()["value"])
+    assert got == {"metadata": {"version": "1"}, "statistics": {"n": 3}, "results": {str(k): {"id": k} for k in range(3)}}
+    (tmp_path / "x.puml").write_bytes(b"a\xff")
+    with pytest.raises(Exception, match="UTF8|utf8|UTF-8"):
+        readers.read_diagrams(spark, str(tmp_path), "strict").collect()
 
 
 def test_stream(spark, tmp_path):
