@@ -18,8 +18,11 @@ gathered in one place. Whole numbers travel compressed.
   sweeps side by side.
 - scores: log10 of the predictive probability averaged over all chains and sweeps, summed over a document.
 
-Seating is exact: customer by customer up to SINGLY of a pair, beyond by skips to the next new table, so a pair costs steps in proportion
-to its tables and the logarithm of its customers.
+A sweep reseats the customers of every dish in every restaurant given what all others had after the last sweep (their tables and the
+parent's predictive probabilities). It is a blocked and synchronous form of Gibbs sampling: a dish's customers leave together and come
+back one after the other by the seating rule, and all dishes do so at once; they are not removed and reseated one at a time between
+the others' moves. Each draw follows the rule exactly: customer by customer up to SINGLY of a pair, beyond by skips to the next new
+table, so a pair costs steps in proportion to its tables and the logarithm of its customers.
 Discounts are estimated from the counts of ones and twos of all data; STRENGTH is fixed.
 
 Defined results: null or empty text is the end token alone; null doc_ids are learned from; repeated rows count as often as they

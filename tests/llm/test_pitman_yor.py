@@ -144,3 +144,78 @@ def test_empty(spark, tables):
     docs = [(k, "a b") for k in range(60) if zlib.crc32(str(k).encode()) % 7 == 2]
     rows = pitman_yor.op6_pitman_yor_lm(spark, tables(documents=docs)).collect()
     assert all((r["score"], r["base_score"], r["train_tokens"], r["n_known"]) == (0.0, 0.0, 0, 0) for r in rows)
+
+
+def plain_scores(docs, sweeps):
+    """The model in plain dictionaries: counts, seatings level by level and chain by chain, predictive probabilities. Only the draw of one
+    dish's tables (`seat`, held against simulation above) and the hashes it goes by are the operator's."""
+    from sketchmill.llm.common import LOWER as BYTES
+    from sketchmill.llm.common import mix, word_hashes
+
+    def key_of(token):
+        if token == "<end>":
+            return int(pitman_yor.END)
+        if token == "<begin>":
+            return int(pitman_yor.BEGIN)
+        raw = np.frombuffer(token.encode(), np.uint8)
+        assert (BYTES[raw] == raw).all()
+        return int(word_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
+
+    draw = lambda keys, n, a, d, sweep: pitman_yor.seat(np.array(keys, np.uint64), np.array(n), np.array(a, float), d, sweep).tolist()
+    texts = [(d, [w or "<end>" for w in tokens(t)], learn) for d, t, learn in docs]
+    count, pair = Counter(), Counter()
+    for _, words, learn in texts:
+        if learn:
+            count.update(words)
+            pair.update(zip(["<begin>", *words], words))
+    V, N, within = len(count), sum(count.values()), Counter()
+    for (u, _), n in pair.items():
+        within[u] += n
+    d = pitman_yor.discount_of(sum(n == 1 for n in pair.values()), sum(n == 2 for n in pair.values()))
+    names, words = sorted(pair), sorted(count)
+    with np.errstate(over="ignore"):
+        pair_keys = [int(mix(np.array([np.uint64(key_of(u)) * np.uint64(0xA0761D6478BD642F) + np.uint64(key_of(w)) * np.uint64(0xE7037ED1A0B428DB)]))[0]) for u, w in names]
+    word_keys = [key_of(w) for w in words]
+
+    def level_of(tables, d0, sweep):
+        opened, customers = Counter(), Counter()
+        for (u, w), t in tables.items():
+            opened[u] += t
+            customers[w] += t
+        own = dict.fromkeys(words, 1) if sweep is None else dict(zip(words, draw(word_keys, [customers[w] for w in words], [(1 + d0 * V) / (V + 1)] * V, d0, sweep)))
+        return tables, opened, customers, own
+
+    def parent(state, d0, w):
+        _, _, customers, own = state
+        share = (1 + d0 * sum(own.values())) / (V + 1)
+        return (max(customers[w] - d0 * own.get(w, 0), 0) + share) / (1 + sum(customers.values()))
+
+    first = level_of(dict.fromkeys(names, 1), None, None)
+    d0 = pitman_yor.discount_of(sum(n == 1 for n in first[2].values()), sum(n == 2 for n in first[2].values()))
+    states = []
+    for chain in range(pitman_yor.CHAINS):
+        at = first
+        for level in range(1, sweeps + 1):
+            weights = [(1 + d * max(at[1][u] - 1, 0)) * parent(at, d0, w) for u, w in names]
+            sweep = level * pitman_yor.CHAINS + chain
+            at = level_of(dict(zip(names, draw(pair_keys, [pair[x] for x in names], weights, d, sweep))), d0, sweep)
+            states.append(at)
+
+    def probability(u, w):
+        total = 0.0
+        for state in states:
+            below = parent(state, d0, w)
+            seated = max(pair[u, w] - d * state[0].get((u, w), 0), 0)
+            total += (seated + (1 + d * state[1][u]) * below) / (1 + within[u]) if within[u] else below
+        return total / len(states)
+
+    return {k: sum(np.log10(probability(u, w)) for u, w in zip(["<begin>", *ws], ws)) for k, ws, _ in texts}, N
+
+
+@pytest.mark.parametrize("sweeps", [1, 2])
+def test_scores_by_brute_force(spark, monkeypatch, sweeps):
+    docs = [(k, t.lower(), k % 5 != 0) for k, t in corpus(60, 9)] + [(900, "", True), (901, None, False), (902, "new words w1 here", False), (903, "w1 w8 " * 300, True), (904, "w3", True)]
+    want, n = plain_scores(docs, sweeps)
+    rows = pitman_yor.score(spark.createDataFrame(docs, "doc_id long, text string, learn boolean").repartition(3), sweeps).collect()
+    assert len(rows) == len(docs) and all(r["train_tokens"] == n for r in rows)
+    assert all(r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-9) for r in rows)
