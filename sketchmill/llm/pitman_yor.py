@@ -11,11 +11,13 @@ in the block's own order. So rows are few and large, a frequent word is one entr
 gathered in one place. Whole numbers travel compressed.
 
 - counts: training count of every word.
-- pairs: training count of every word pair, and which block owns it (counts its tables).
-- seatings: tables of a pair are drawn from the seating rule given the last sweep's totals, by uniforms that are a hash of (pair,
-  customer, sweep, chain): every block that holds the pair draws the same seating without sending it. Owners send the tables by
-  context and by word; a word's bucket adds them up and seats the parent. All chains start from one table a pair and make SWEEPS
-  sweeps side by side.
+- pairs: training count of every word pair, told to one block that holds it: the pair's owner. A block's owned pairs are written as a
+  table of their own, which is all that the sweeps read.
+- seatings: owners draw the tables of a pair from the seating rule given the last sweep's totals, by uniforms that are a hash of
+  (pair, customer, sweep, chain), and send them by context and by word; a word's bucket adds them up and seats the parent. All chains
+  start from one table a pair and make SWEEPS sweeps side by side. So a pair is seated once a sweep and chain, however many blocks
+  hold it.
+- tables: owners send what they drew through the pairs' buckets to all blocks that hold a pair.
 - scores: log10 of the predictive probability averaged over all chains and sweeps, summed over a document.
 
 A sweep reseats the customers of every dish in every restaurant given what all others had after the last sweep (their tables and the
@@ -36,11 +38,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, crc_mod, mix, release, slices, spans, string_buffers, table, word_hashes, write_table
+from .common import SPACED_WORD, crc_mod, drop_table, mix, release, slices, spans, string_buffers, table, word_hashes, write_table
 
 BLOCK_BYTES = 8_000_000
 BUCKET_ENTRIES = 400_000
 CHAINS, SWEEPS = 2, 2
+#: Passes in which pairs' tables are sent, each over a share of the buckets, so that less is in flight at once.
+PASSES = 3
 STRENGTH = 1.0
 #: Customers of a pair that are seated one by one; beyond, the draw skips to the next new table.
 SINGLY = 16
@@ -112,6 +116,21 @@ def unpack(blob: bytes, arrays: int = 1) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").reshape(arrays, -1)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as byte planes of their steps: the high planes are nearly all 0."""
+    import zstandard
+
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def make_blocks(documents: DataFrame) -> DataFrame:
     """documents: doc_id, text, learn boolean. Local ids go by falling frequency, so they compress well."""
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -157,125 +176,150 @@ REQUEST = "bucket int, block long, keys binary, n binary"
 ANSWER = "stage int, bucket int, block long, n binary, sums array<double>"
 
 
-def request_rows(block: int, keys: np.ndarray, arrays: list[np.ndarray], buckets: int):
-    """keys: sorted; arrays: of the same length."""
+def request_rows(block: int, keys: np.ndarray, arrays: list[np.ndarray], buckets: int, part: tuple[int, int] = (0, 1)):
+    """keys: sorted; arrays: of the same length (none: the block only asks). part (k, n): buckets whose number is k modulo n."""
     import pyarrow as pa
 
     cut = parts_of(keys, buckets)
     some = np.flatnonzero(np.diff(cut))
-    held = [keys[cut[k] : cut[k + 1]].tobytes() for k in some]
-    told = [pack(*[a[cut[k] : cut[k + 1]] for a in arrays]) for k in some]
+    some = some[some % part[1] == part[0]]
+    held = [pack_keys(keys[cut[k] : cut[k + 1]]) for k in some]
+    told = [pack(*[a[cut[k] : cut[k + 1]] for a in arrays]) if arrays else b"" for k in some]
     return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([block] * len(some), pa.int64()), pa.array(held, pa.binary()), pa.array(told, pa.binary())], ["bucket", "block", "keys", "n"])
 
 
 def answers(requests: DataFrame, stage: int, arrays: int, combine) -> DataFrame:
-    """combine(place of each entry's key, sorted keys, [arrays, entries]) -> arrays by entry, sums."""
+    """combine(place of each entry's key, sorted keys, [arrays, entries]) -> arrays by entry, sums. Rows of a block under 0 only tell."""
 
     def reply(frame):
         import pandas as pd
 
         frame = frame.sort_values("block")
-        keys = [np.frombuffer(x, np.uint64) for x in frame["keys"]]
-        told = np.concatenate([unpack(x, arrays) for x in frame["n"]], 1)
+        keys = [unpack_keys(x) for x in frame["keys"]]
+        told = np.concatenate([unpack(x, arrays) if x else np.zeros((arrays, len(k)), np.int32) for x, k in zip(frame["n"], keys)], 1)
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         outs, sums = combine(place, distinct, told)
         ends = np.append(0, np.cumsum([len(x) for x in keys]))
-        blobs = [pack(*[o[lo:hi] for o in outs]) for lo, hi in zip(ends[:-1], ends[1:])]
-        sums = [[float(x) for x in sums]] + [None] * (len(frame) - 1)
-        return pd.DataFrame({"stage": np.int32(stage), "bucket": frame["bucket"].to_numpy(), "block": frame["block"].to_numpy(), "n": blobs, "sums": sums})
+        asks = np.flatnonzero(frame["block"].to_numpy() >= 0)
+        blobs = [pack(*[o[ends[k] : ends[k + 1]] for o in outs]) for k in asks]
+        sums = [[float(x) for x in sums]] + [None] * (len(asks) - 1)
+        return pd.DataFrame({"stage": np.int32(stage), "bucket": frame["bucket"].to_numpy()[asks], "block": frame["block"].to_numpy()[asks], "n": blobs, "sums": sums[: len(asks)]})
 
     return requests.groupBy("bucket").applyInPandas(reply, ANSWER)
 
 
-WORDS_STAGE, PAIRS_STAGE, STATE_STAGE = 0, 1, 2
-#: Arrays in an answer: of the words' counts, the pairs' counts and owners, and each chain's contexts, customers and tables.
-WIDTH = {WORDS_STAGE: 1, PAIRS_STAGE: 2}
-
-
-class View:
-    """A block with the answers it has got so far."""
+class Block:
+    """A block's vocabulary with the answers that it has got."""
 
     def __init__(self, row: dict, constants: dict):
         self.constants = constants
-        learn, self.sizes = unpack(row["cuts"], 2)
-        self.learn, self.ids = learn.astype(bool), unpack(row["ids"])[0]
         self.vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
         self.order = np.argsort(self.vocabulary)
-        n = len(self.vocabulary)
-        before = np.empty(len(self.ids), np.int64)
-        before[1:] = self.ids[:-1]
-        before[np.append(0, np.cumsum(self.sizes))[:-1]] = int(np.flatnonzero(self.vocabulary == BEGIN)[0])
-        code, self.pair_of = np.unique(before * n + self.ids, return_inverse=True)
-        self.u, self.w = code // n, code % n
-        keys = mix(self.vocabulary[self.u] * np.uint64(0xA0761D6478BD642F) + self.vocabulary[self.w] * np.uint64(0xE7037ED1A0B428DB))
-        self.pair_order = np.argsort(keys)
-        self.keys = keys[self.pair_order]
-        self.u, self.w = self.u[self.pair_order], self.w[self.pair_order]
-        place = np.empty(len(keys), np.int64)
-        place[self.pair_order] = np.arange(len(keys))
-        self.pair_of = place[self.pair_of]
         got: dict[int, list[np.ndarray]] = {}
         for x in sorted(row.get("answers") or (), key=lambda x: (x["stage"], x["bucket"])):
-            stage = x["stage"]
-            got.setdefault(stage, []).append(unpack(x["n"], WIDTH.get(stage) or 3 * (1 if stage == STATE_STAGE else CHAINS)))
-        self.states: list[list[np.ndarray]] = []
-        for stage, parts in sorted(got.items()):
-            whole = np.concatenate(parts, 1)
-            if stage == PAIRS_STAGE:
-                self.pair_count, self.owned = whole[0].astype(np.int64), whole[1] > 0
-                continue
-            local = np.empty((len(whole), n), np.int64)
-            local[:, self.order] = whole
-            if stage == WORDS_STAGE:
-                self.count = local[0]
-            else:
-                self.states.append(list(local.reshape(-1, 3, n)))
+            got.setdefault(x["stage"], []).append(unpack(x["n"], constants["widths"][x["stage"]]))
+        self.told = {stage: np.concatenate(parts, 1) for stage, parts in got.items()}
+
+    def by_word(self, stage: int) -> np.ndarray:
+        """An answer about the block's words, in the order of its local ids."""
+        whole = self.told[stage]
+        out = np.empty((len(whole), len(self.vocabulary)), np.int64)
+        out[:, self.order] = whole
+        return out
 
     def words(self, *arrays: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """A request about the block's words."""
         return self.vocabulary[self.order], [a[self.order] for a in arrays]
 
-    def train_pairs(self) -> np.ndarray:
-        on = np.repeat(self.learn, self.sizes)
-        return np.bincount(self.pair_of[on], minlength=len(self.u))
-
     def state(self, level: int, chain: int) -> np.ndarray:
-        return self.states[level][chain if level else 0]
+        """Of each local word at the end of a level: tables in its restaurant, customers and tables of it in the parent."""
+        return self.by_word(STATES + level).reshape(-1, 3, len(self.vocabulary))[chain if level else 0]
 
-    def parent(self, level: int, chain: int) -> np.ndarray:
+    def parent(self, level: int, chain: int, state: np.ndarray) -> np.ndarray:
         """The shared parent's predictive probability of each local word."""
-        k, (_, customers, tables) = self.constants, self.state(level, chain)
+        k, (_, customers, tables) = self.constants, state
         total, opened = k["totals"][level][chain if level else 0]
         d = k["parent_discount"]
         return (np.maximum(customers - d * tables, 0) + (STRENGTH + d * opened) / (k["V"] + 1)) / (STRENGTH + total)
 
+
+def pair_hashes(vocabulary: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(vocabulary[u] * np.uint64(0xA0761D6478BD642F) + vocabulary[w] * np.uint64(0xE7037ED1A0B428DB))
+
+
+class Tokens(Block):
+    """A block with its token ids: its pairs u, w (local ids) in the order of their hashes, and the pair of each token."""
+
+    def __init__(self, row: dict, constants: dict):
+        super().__init__(row, constants)
+        learn, self.sizes = unpack(row["cuts"], 2)
+        self.learn, self.ids = learn.astype(bool), unpack(row["ids"])[0]
+        n = len(self.vocabulary)
+        before = np.empty(len(self.ids), np.int64)
+        before[1:] = self.ids[:-1]
+        before[np.append(0, np.cumsum(self.sizes))[:-1]] = int(np.flatnonzero(self.vocabulary == BEGIN)[0])
+        code, pair_of = np.unique(before * n + self.ids, return_inverse=True)
+        u, w = code // n, code % n
+        keys = pair_hashes(self.vocabulary, u, w)
+        order = np.argsort(keys)
+        self.keys, self.u, self.w = keys[order], u[order], w[order]
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        self.pair_of = place[pair_of]
+
+    def train_pairs(self) -> np.ndarray:
+        on = np.repeat(self.learn, self.sizes)
+        return np.bincount(self.pair_of[on], minlength=len(self.u))
+
+    def predictive(self, count: np.ndarray) -> np.ndarray:
+        """P(word | context) of each distinct pair of the block, averaged over chains and sweeps; count: of the block's words."""
+        d, in_context, told = self.constants["discount"], count[self.u], self.told[self.constants["tables"]]
+        total, drawn = np.zeros(len(self.u)), told[1:]
+        for k in range(len(drawn)):
+            level, chain = 1 + k // CHAINS, k % CHAINS
+            state = self.state(level, chain)
+            below = self.parent(level, chain, state)[self.w]
+            seated = np.maximum(told[0] - d * drawn[k], 0)
+            p = (seated + (STRENGTH + d * state[0][self.u]) * below) / (STRENGTH + in_context)
+            total += np.where(in_context > 0, p, below)
+        return total / len(drawn)
+
+
+class Owned(Block):
+    """A block with the pairs that it owns, by context and word."""
+
+    def __init__(self, row: dict, constants: dict):
+        super().__init__(row, constants)
+        step, self.w, self.pair_count = unpack(row["pairs"], 3).astype(np.int64)
+        self.u = np.cumsum(step)
+        self.keys = pair_hashes(self.vocabulary, self.u, self.w)
+
     def tables(self, level: int, chain: int) -> np.ndarray:
         """Tables of each pair."""
         if level == 0:
-            return (self.pair_count > 0).astype(np.int64)
-        d = self.constants["discount"]
-        others = np.maximum(self.state(level - 1, chain)[0][self.u] - 1, 0)  # the context's tables so far, less the pair's first
-        return seat(self.keys, self.pair_count, (STRENGTH + d * others) * self.parent(level - 1, chain)[self.w], d, level * CHAINS + chain)
+            return np.ones(len(self.u), np.int64)
+        d, state = self.constants["discount"], self.state(level - 1, chain)
+        others = np.maximum(state[0][self.u] - 1, 0)  # the context's tables so far, less the pair's first
+        return seat(self.keys, self.pair_count, (STRENGTH + d * others) * self.parent(level - 1, chain, state)[self.w], d, level * CHAINS + chain)
 
     def sums(self, level: int) -> list[np.ndarray]:
-        """Tables of the owned pairs, by context and by word, chain by chain."""
+        """Tables of the pairs, by context and by word, chain by chain."""
         out = []
         for chain in range(CHAINS if level else 1):
-            t = np.where(self.owned, self.tables(level, chain), 0)
+            t = self.tables(level, chain)
             out += [np.bincount(x, t, len(self.vocabulary)).astype(np.int32) for x in (self.u, self.w)]
         return out
 
-    def predictive(self) -> np.ndarray:
-        """P(word | context) of each distinct pair of the block, averaged over chains and sweeps."""
-        d, in_context = self.constants["discount"], self.count[self.u]
-        total = np.zeros(len(self.u))
-        for level in range(1, len(self.states)):
-            for chain in range(CHAINS):
-                below = self.parent(level, chain)[self.w]
-                seated = np.maximum(self.pair_count - d * self.tables(level, chain), 0)
-                p = (seated + (STRENGTH + d * self.state(level, chain)[0][self.u]) * below) / (STRENGTH + in_context)
-                total += np.where(in_context > 0, p, below)
-        return total / (CHAINS * (len(self.states) - 1))
+
+    def drawn(self, seatings: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The hashes of the pairs in their order, and with it their counts and the tables of every level and chain."""
+        order = np.argsort(self.keys)
+        arrays = [self.pair_count, *[self.tables(1 + k // CHAINS, k % CHAINS) for k in range(seatings)]]
+        return self.keys[order], [a[order] for a in arrays]
+
+
+#: Stages of answers: words' counts, owned pairs' counts, then a state a level, then the pairs' tables.
+WORDS, PAIRS, STATES = 0, 1, 2
 
 
 def _count_words(place, keys, told):
@@ -285,13 +329,18 @@ def _count_words(place, keys, told):
 
 
 def _count_pairs(place, keys, told):
+    """The count goes to the first block with a training occurrence, the pair's owner; the others get 0."""
     total = np.bincount(place, told[0], len(keys))
     has = np.flatnonzero(told[0] > 0)
     first = np.full(len(keys), -1, np.int64)
-    first[place[has[::-1]]] = has[::-1]  # the first block with a training occurrence owns the pair
-    own = np.zeros(len(place), np.int32)
-    own[first[first >= 0]] = 1
-    return [total[place], own], [(total == 1).sum(), (total == 2).sum()]
+    first[place[has[::-1]]] = has[::-1]
+    own = np.zeros(len(place), np.int64)
+    own[first[first >= 0]] = total[first >= 0]
+    return [own], [(total == 1).sum(), (total == 2).sum()]
+
+
+def _pass_on(place, keys, told):
+    return [np.bincount(place, a, len(keys))[place] for a in told], [0.0]
 
 
 def _seat_parent(level: int, n_words: float, discount: float | None):
@@ -317,31 +366,32 @@ def score(documents: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
     size = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("w"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     word_buckets, pair_buckets = max(least, -(-size["w"] // BUCKET_ENTRIES)), max(least, -(-size["t"] // BUCKET_ENTRIES))
-    constants: dict = {"V": 0.0, "N": 0.0, "discount": 0.5, "parent_discount": 0.5, "totals": []}
-    paths: list[str] = []
+    made = CHAINS * sweeps  # seatings of a pair that are averaged
+    constants: dict = {"V": 0.0, "N": 0.0, "discount": 0.5, "parent_discount": 0.5, "totals": [], "widths": {WORDS: 1, PAIRS: 1}, "tables": STATES + sweeps + 1}
+    paths: dict[int, list[str]] = {}
 
-    def keep(requests: DataFrame, arrays: int, combine) -> list[float]:
+    def keep(requests: DataFrame, stage: int, arrays: int, combine) -> list[float]:
         release(spark)  # the exchange before this one is not needed any more
-        paths.append(write_table(answers(requests, len(paths), arrays, combine), "answers", "none"))
-        parts = spark.read.parquet(paths[-1]).where("sums IS NOT NULL").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("s"))
+        paths.setdefault(stage, []).append(write_table(answers(requests, stage, arrays, combine), "answers", "none"))
+        parts = spark.read.parquet(paths[stage][-1]).where("sums IS NOT NULL").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("s"))
         return [r["s"] for r in sorted(parts.collect(), key=lambda r: r["pos"])] or [0.0] * (4 * CHAINS)
 
-    def views(*columns: str) -> DataFrame:
-        """Blocks with all answers so far: one shuffle of the blocks, one of the answers."""
-        got = spark.read.parquet(*paths).groupBy("block").agg(F.collect_list(F.struct("stage", "bucket", "n")).alias("answers"))
-        return blocks.select("block", *columns, "cuts", "ids", "vocabulary").join(got, "block")
+    def told(table_: DataFrame, stages: list[int], *columns: str) -> DataFrame:
+        """A table's blocks with the answers of some stages: one shuffle of the blocks, one of the answers."""
+        got = spark.read.parquet(*[path for k in stages for path in paths[k]]).groupBy("block").agg(F.collect_list(F.struct("stage", "bucket", "n")).alias("answers"))
+        return table_.select("block", *columns).join(got, "block")
 
-    def ask(source: DataFrame, make, buckets: int) -> DataFrame:
-        """make(view) -> keys, arrays"""
+    def each(source: DataFrame, view, make, schema: str) -> DataFrame:
+        """make(block number, view) -> a batch."""
         fixed = dict(constants)
 
-        def send(batches):
+        def run(batches):
             for batch in batches:
                 for k in range(batch.num_rows):
                     row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-                    yield request_rows(row["block"], *make(View(row, fixed)), buckets)
+                    yield make(row["block"], view(row, fixed))
 
-        return source.mapInArrow(send, REQUEST)
+        return source.mapInArrow(run, schema)
 
     def send_words(batches):
         for batch in batches:
@@ -350,15 +400,41 @@ def score(documents: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
                 order = np.argsort(keys)
                 yield request_rows(block, keys[order], [unpack(known)[0][order]], word_buckets)
 
-    constants["V"], constants["N"] = keep(blocks.select("block", "vocabulary", "known").mapInArrow(send_words, REQUEST), 1, _count_words)[:2]
-    pairs = keep(ask(blocks.select("block", "cuts", "ids", "vocabulary"), lambda view: (view.keys, [view.train_pairs()]), pair_buckets), 1, _count_pairs)
+    def own_pairs(block: int, view: Tokens):
+        import pyarrow as pa
+
+        count = view.told[PAIRS][0]
+        mine = np.flatnonzero(count)
+        mine = mine[np.lexsort((view.w[mine], view.u[mine]))]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([view.vocabulary.tobytes()], pa.binary()), pa.array([pack(np.diff(view.u[mine], prepend=0), view.w[mine], count[mine])], pa.binary())], ["block", "vocabulary", "pairs"])
+
+    constants["V"], constants["N"] = keep(blocks.select("block", "vocabulary", "known").mapInArrow(send_words, REQUEST), WORDS, 1, _count_words)[:2]
+    tokens = blocks.select("block", "cuts", "ids", "vocabulary")
+    pairs = keep(each(tokens, Tokens, lambda block, view: request_rows(block, view.keys, [view.train_pairs()], pair_buckets), REQUEST), PAIRS, 1, _count_pairs)
     constants["discount"] = discount_of(*pairs[:2])
+    release(spark)
+    owned = each(told(blocks, [PAIRS], "cuts", "ids", "vocabulary"), Tokens, own_pairs, "block long, vocabulary binary, pairs binary")
+    owned_path = write_table(owned, "owned", "none")
+    owned = spark.read.parquet(owned_path)
+    drop_table(spark, paths[PAIRS][0])
     for level in range(sweeps + 1):
         chains = CHAINS if level else 1
-        sums = keep(ask(views(), lambda view, level=level: view.words(*view.sums(level)), word_buckets), 2 * chains, _seat_parent(level, constants["V"], constants["parent_discount"]))
+        source = told(owned, [STATES + level - 1], "vocabulary", "pairs") if level else owned
+        ask = each(source, Owned, lambda block, view, level=level: request_rows(block, *view.words(*view.sums(level)), word_buckets), REQUEST)
+        sums = keep(ask, STATES + level, 2 * chains, _seat_parent(level, constants["V"], constants["parent_discount"]))
+        constants["widths"][STATES + level] = 3 * chains
         if level == 0:
             constants["parent_discount"] = discount_of(*sums[2:4])
         constants["totals"].append([(sums[4 * c], sums[4 * c + 1]) for c in range(chains)])
+    drawn = list(range(STATES, STATES + sweeps))
+    for k in range(PASSES):
+        part = (k, PASSES)
+        tell = each(told(owned, drawn, "vocabulary", "pairs"), Owned, lambda block, view, part=part: request_rows(-1 - block, *view.drawn(made), pair_buckets, part), REQUEST)
+        ask = each(tokens, Tokens, lambda block, view, part=part: request_rows(block, view.keys, [], pair_buckets, part), REQUEST)
+        keep(tell.unionByName(ask), constants["tables"], 1 + made, _pass_on)
+    constants["widths"][constants["tables"]] = 1 + made
+    drop_table(spark, paths[STATES][0])
+    drop_table(spark, owned_path)
     release(spark)
     fixed = dict(constants)
 
@@ -367,9 +443,10 @@ def score(documents: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
 
         for batch in batches:
             for k in range(batch.num_rows):
-                view = View({c: batch.column(c)[k].as_py() for c in batch.schema.names if c != "docs"}, fixed)
-                token = np.log10(view.predictive())[view.pair_of]
-                base = np.log10((view.count + 1) / (fixed["N"] + fixed["V"] + 1))
+                view = Tokens({c: batch.column(c)[k].as_py() for c in batch.schema.names if c != "docs"}, fixed)
+                count = view.by_word(WORDS)[0]
+                token = np.log10(view.predictive(count))[view.pair_of]
+                base = np.log10((count + 1) / (fixed["N"] + fixed["V"] + 1))
                 begins = np.append(0, np.cumsum(view.sizes))[:-1]
                 add = lambda x: np.add.reduceat(x, begins)
                 n = len(view.sizes)
@@ -378,7 +455,7 @@ def score(documents: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
                         batch.column("docs").slice(k, 1).flatten(),
                         pa.array(view.learn),
                         pa.array(view.sizes.astype(np.int64)),
-                        pa.array(add((view.count > 0)[view.ids].astype(np.int64))),
+                        pa.array(add((count > 0)[view.ids].astype(np.int64))),
                         pa.array(np.full(n, int(fixed["N"]), np.int64)),
                         pa.array(add(base[view.ids])),
                         pa.array(add(token)),
@@ -386,7 +463,8 @@ def score(documents: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
                     ["doc_id", "learn", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return views("docs").mapInArrow(finish, f"doc_id {kind}, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    last = told(blocks, [WORDS, *[STATES + level for level in range(1, sweeps + 1)], constants["tables"]], "docs", "cuts", "ids", "vocabulary")
+    return last.mapInArrow(finish, f"doc_id {kind}, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def perplexity(scores: DataFrame) -> DataFrame:
