@@ -44,7 +44,7 @@ BLOCK_BYTES = 8_000_000
 BUCKET_ENTRIES = 400_000
 CHAINS, SWEEPS = 2, 2
 #: Passes in which pairs' tables are sent, each over a share of the buckets, so that less is in flight at once.
-PASSES = 3
+PASSES = 4
 STRENGTH = 1.0
 #: Customers of a pair that are seated one by one; beyond, the draw skips to the next new table.
 SINGLY = 16
@@ -290,8 +290,11 @@ class Owned(Block):
 
     def __init__(self, row: dict, constants: dict):
         super().__init__(row, constants)
-        step, self.w, self.pair_count = unpack(row["pairs"], 3).astype(np.int64)
-        self.u = np.cumsum(step)
+        # stored as steps: from context to context, and within a context from word to word
+        u, w, self.pair_count = unpack(row["pairs"], 3).astype(np.int64)
+        upto, first = np.cumsum(w), np.flatnonzero(u > 0)
+        self.u = np.cumsum(u) - 1
+        self.w = upto - np.repeat(upto[first] - w[first], np.diff(np.append(first, len(u))))
         self.keys = pair_hashes(self.vocabulary, self.u, self.w)
 
     def tables(self, level: int, chain: int) -> np.ndarray:
@@ -406,7 +409,8 @@ def score(documents: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
         count = view.told[PAIRS][0]
         mine = np.flatnonzero(count)
         mine = mine[np.lexsort((view.w[mine], view.u[mine]))]
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([view.vocabulary.tobytes()], pa.binary()), pa.array([pack(np.diff(view.u[mine], prepend=0), view.w[mine], count[mine])], pa.binary())], ["block", "vocabulary", "pairs"])
+        u, w = np.diff(view.u[mine], prepend=-1), view.w[mine]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([view.vocabulary.tobytes()], pa.binary()), pa.array([pack(u, np.where(u > 0, w, np.diff(w, prepend=0)), count[mine])], pa.binary())], ["block", "vocabulary", "pairs"])
 
     constants["V"], constants["N"] = keep(blocks.select("block", "vocabulary", "known").mapInArrow(send_words, REQUEST), WORDS, 1, _count_words)[:2]
     tokens = blocks.select("block", "cuts", "ids", "vocabulary")
