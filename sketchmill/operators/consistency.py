@@ -7,6 +7,8 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stages import once
+
 #: Element types that are primary, allowed or forbidden in each diagram type (fixed values); the order settles ties.
 TABLE = {
     "sequence": (
@@ -121,7 +123,8 @@ def validate(analysis: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     guessed = guessed.withColumn("suggestion_confidence", F.when(found, F.bround(F.try_divide(F.col("_best.score"), F.col("_whole")), 4)).otherwise(0.0))
     flagged = guessed.withColumn("flags", flags(kind, F.coalesce("elements", F.create_map().cast("map<string,int>")), F.coalesce("confidence", F.lit(0.0))))
     verdict = (F.col("consistency_score") >= threshold) & ~F.exists("flags", lambda f: f["severity"] == "error")
-    return flagged.select(*analysis.columns, "consistency_score", "suggested_type", "suggestion_confidence", "flags", verdict.alias("is_consistent"))
+    found = ("consistency_score", "suggested_type", "suggestion_confidence", "flags", "is_consistent")
+    return once(flagged.withColumn("is_consistent", verdict).select(*analysis.columns, *found), *found)
 
 
 def at_least(validated: DataFrame, severity: str) -> DataFrame:

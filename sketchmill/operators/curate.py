@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_base64, fields, nonempty_lines, strip, utf8
+from .stages import once
 
 EXTENSIONS = ("puml", "pu", "plantuml", "wsd", "iuml", "uml")
 START, END = "@startuml", "@enduml"
@@ -93,7 +94,7 @@ def join_projects(records: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def length_filter(rows: DataFrame, column: str = "content", min_lines: int = MIN_LINES) -> DataFrame:
-    return rows.withColumn("n_lines", nonempty_lines(F.col(column))).where(F.col("n_lines") >= min_lines)
+    return once(rows.withColumn("n_lines", nonempty_lines(F.col(column))), "n_lines").where(F.col("n_lines") >= min_lines)
 
 
 def first_directory_hit(files: DataFrame, name: str = "file_name", priority: str = "priority", column: str = "content") -> DataFrame:

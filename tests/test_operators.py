@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sketchmill.operators import blocks, classify, consistency, curate, elements, images, stats
+from sketchmill.functions import text
+from sketchmill.operators import blocks, classify, consistency, curate, elements, images, stages, stats
 
 
 def test_markers(column):
@@ -141,3 +142,17 @@ def test_empty_frames(spark):
     assert v.count() == 0 and consistency.validation_stats(v).first()["total"] == 0
     assert curate.assign_batches(spark.range(0), 10, "id").count() == 0
     assert stats.top_buckets(spark.range(0), "id").count() == 0
+
+
+def test_once_keeps_filters_above(spark):
+    """A filter on a column of `once` stays above it, so what the column is built of is in the plan a single time."""
+    rows = spark.range(5).select("id", (F.col("id") % 3).alias("m"))
+    filtered = stages.once(rows.withColumn("x", F.md5(F.col("m").cast("string"))), "x").where("x > '0' AND length(x) = 32")
+    assert filtered.columns == ["id", "m", "x"] and filtered.count() == 5
+    assert filtered._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+
+
+def test_nonempty_lines(spark):
+    cases = {"": 0, "\n \n\t\n": 0, "a": 1, "a\n\n b \n\x1c\n \nc": 3, "a\rb\nc d": 2, "\x0bx\n": 1}
+    rows = spark.createDataFrame([(t, n) for t, n in cases.items()] + [(None, None)], "t string, n int")
+    assert [r for r in rows.select("n", text.nonempty_lines(F.col("t")).alias("got")).collect() if r.n != r.got] == []
