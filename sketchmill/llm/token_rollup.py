@@ -2,9 +2,9 @@
 
 Every change is a signed row: an insert counts +1, a delete -1, and a revised count is the old row with -1 and the new row with
 +1. A batch of changes is summed by source, language and tokenizer version (map-side first, so a hot source sends one row a task)
-and committed as one small table `batch=<id>`. A batch counts once its `_SUCCESS` marker is there; committing an id again does
-nothing, and an unfinished commit (lost driver or executors) is overwritten by the next try. Totals are the sum over committed
-batches; `compact` folds batches into one.
+and committed as one small table `batch=<id>`: written beside the batches and renamed into place when it is whole, which fails where
+the id is there. So committing an id again does nothing, of two writers of one id one counts, and an unfinished commit (lost driver
+or executors) leaves a folder that nothing reads. Totals are the sum over committed batches; `compact` folds batches into one.
 
 Defined results: null text has 0 tokens; a null source or lang is a group of its own; repeated rows count as often as they occur;
 groups that fall to 0 documents and 0 tokens are left out of the totals; an empty table commits an empty batch; extra columns are
@@ -13,10 +13,13 @@ ignored. Whole texts are counted.
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, extended, materialize, scratch_path, slices, spans, string_buffers, table
+from .common import SPACED_WORD, drop_table, extended, scratch_path, slices, spans, string_buffers, table, working_tables
 from .packing import default_tokenizer_path, encode
 
 KEYS = ("source", "lang", "tokenizer")
@@ -87,10 +90,30 @@ class Rollup:
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """changes: source, lang, tokenizer, n_tokens, sign. False where this batch was committed before."""
+        target = self._batch(batch_id)
         if self.is_committed(batch_id):
             return False
         summed = changes.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("long").alias("n_tokens"))
-        summed.write.mode("overwrite").parquet(self._batch(batch_id))
+        written = f"{self.path}/_unfinished-{batch_id}-{uuid.uuid4().hex}"
+        summed.write.parquet(written)
+        return self._move(written, target)
+
+    def _move(self, written: str, target: str) -> bool:
+        """Renames a whole table to the name that counts; False, and the table removed, where that name is taken. A folder without its marker
+        is no batch (a whole one has it before it is renamed) and goes."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        fs, source = self._fs(written)
+        source = fs.makeQualified(source)
+        if fs.exists(self._fs(target)[1]) and not self.is_committed(target.rpartition("=")[2]):
+            drop_table(self.spark, target)
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), conf).rename(source, fs.makeQualified(jvm.org.apache.hadoop.fs.Path(target)), options)
+        except Py4JJavaError:
+            if not self.is_committed(target.rpartition("=")[2]):
+                raise
+            drop_table(self.spark, written)
+            return False
         return True
 
     def batches(self) -> list[str]:
@@ -125,16 +148,17 @@ def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     squeezed = documents.withColumn("squeezed", F.regexp_replace("text", r"\s+", " "))
-    # Both forms of each text are counted where it is read: only numbers meet the labels, and no text is ever shuffled.
-    counts = materialize(count_tokens(squeezed, production_versions(), ("text", "squeezed"), ("doc_id", "source", "lang")), "token-counts")
-    marked = counts.join(labels.where("quality = 0 OR toxic = 1"), "doc_id")
     low, now = F.coalesce(F.col("quality") == 0, F.lit(False)), F.col("n_tokens_squeezed").alias("n_tokens")
-    before = counts.select(*KEYS, "n_tokens")
-    recounted = marked.where(low)
-    gone = marked.where("toxic = 1").select(*KEYS, F.when(low, F.col("n_tokens_squeezed")).otherwise(F.col("n_tokens")).alias("n_tokens"))
     rollup = Rollup(spark, scratch_path(spark, "token-rollup"))
-    rollup.commit("load", inserted(before))
-    rollup.commit("squeeze-low-quality", revised(recounted.select(*KEYS, "n_tokens"), recounted.select(*KEYS, now)))
-    rollup.commit("delete-toxic", deleted(gone))
-    rollup.commit("load", inserted(before))
+    with working_tables(spark) as keep:
+        # Both forms of each text are counted where it is read: only numbers meet the labels, and no text is ever shuffled.
+        counts = keep(count_tokens(squeezed, production_versions(), ("text", "squeezed"), ("doc_id", "source", "lang")), "token-counts")
+        marked = keep(counts.join(labels.where("quality = 0 OR toxic = 1"), "doc_id"), "marked-counts")
+        before = counts.select(*KEYS, "n_tokens")
+        recounted = marked.where(low)
+        gone = marked.where("toxic = 1").select(*KEYS, F.when(low, F.col("n_tokens_squeezed")).otherwise(F.col("n_tokens")).alias("n_tokens"))
+        rollup.commit("load", inserted(before))
+        rollup.commit("squeeze-low-quality", revised(recounted.select(*KEYS, "n_tokens"), recounted.select(*KEYS, now)))
+        rollup.commit("delete-toxic", deleted(gone))
+        rollup.commit("load", inserted(before))
     return rollup.totals()

@@ -45,5 +45,18 @@ def test_commits(spark, tmp_path):
     assert not folded.commit("b1", token_rollup.inserted(a)) and folded.commit("b4", token_rollup.inserted(a))
 
 
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """Of two writers that both saw an id as free, the first to be whole counts, and nothing of the other is left."""
+    r = token_rollup.Rollup(spark, f"file://{tmp_path}/rollup")
+    change = lambda n: token_rollup.inserted(spark.createDataFrame([("s", "en", "t", n)], "source string, lang string, tokenizer string, n_tokens long"))
+    assert r.commit("b", change(5))
+    asked = iter([False])
+    known = token_rollup.Rollup.is_committed
+    monkeypatch.setattr(token_rollup.Rollup, "is_committed", lambda self, b: next(asked, None) is None and known(self, b))
+    assert not r.commit("b", change(9))
+    assert [tuple(x) for x in r.totals().collect()] == [("s", "en", "t", 1, 5)]
+    assert [p.name for p in (tmp_path / "rollup").iterdir() if not p.name.startswith(".")] == ["batch=b"]
+
+
 def test_empty(spark, tables):
     assert token_rollup.op1_token_rollup(spark, tables()).count() == 0
