@@ -17,7 +17,8 @@ LANGUAGE_FLOOR = 0.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field predicts to be of quality 1 stay."""
+    """Documents that the line field predicts to be of quality 1 stay, every row by its own text. Null and empty texts go by the share of
+    label 1 in training; without any labels that share is a half, and all rows stay."""
     hidden, restore = shield(docs, "doc_id", "text")
     model = quality_crf.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return restore(quality_crf.score_quality(hidden, model).where("predicted = 1"))
@@ -43,11 +44,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose words at least a twentieth lie in passages of the benchmark go, every row by its own text; null and empty texts
+    have no words and stay, and so does everything where the benchmark is empty."""
     hidden, restore = shield(docs, "doc_id", "text")
     return restore(decontaminate.remove_contaminated(hidden, table(spark, sf_dir, "benchmark")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row becomes pieces with a place in a sequence: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null and empty
+    texts are one piece with the end token alone; null and repeated ids are rows like any other; no rows give no rows."""
     return packing.pack(docs)
 
 
