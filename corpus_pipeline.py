@@ -14,6 +14,8 @@ from sketchmill.llm.common import drop_table, shield, table, write_table
 
 #: Documents whose language is this uncertain go.
 LANGUAGE_FLOOR = 0.5
+#: Documents that their nearest language codes no shorter than plain bytes go: they are in none of the learned languages.
+PLAIN_BITS = 8.0
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +27,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages stay: those without a letter or with a posterior under LANGUAGE_FLOOR go."""
+    """Documents in one of the learned languages stay: those without a letter, with a posterior under LANGUAGE_FLOOR, or of PLAIN_BITS a byte
+    and more under their nearest language go (so does a text in a script that no learned language uses). Without any language all go."""
     hidden, restore = shield(docs, "doc_id", "text")
-    found = language_id.identify(hidden, language_id.train(docs.select("doc_id", "text", "lang")))
-    return restore(found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LANGUAGE_FLOOR)))
+    found = language_id.identify(hidden, language_id.train(docs.select("doc_id", "text", "lang")), "bits_a_byte")
+    sure = (F.col("score") >= LANGUAGE_FLOOR) & (F.col("bits_a_byte") < PLAIN_BITS)
+    return restore(found.where((F.col("lang_pred") != language_id.UNKNOWN) & sure))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -185,12 +185,15 @@ def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[FrozenTr
 # ---------------------------------------------------------------- scoring
 
 
-def identify(documents: DataFrame, trees: list[FrozenTrees]) -> DataFrame:
-    """All columns of documents, and lang_pred string, score double (the posterior of that language under equal priors)."""
-    columns = [c for c in documents.columns if c not in ("lang_pred", "score")]
+def identify(documents: DataFrame, trees: list[FrozenTrees], bits: str | None = None) -> DataFrame:
+    """All columns of documents, and lang_pred string, score double (the posterior of that language under equal priors). `bits` names a
+    further column: the code length in bits that the nearest language gives a byte of the text, null where there is no byte or language.
+    The posterior only compares the learned languages; the code length tells whether a text is in any of them."""
+    columns = [c for c in documents.columns if c not in ("lang_pred", "score", bits)]
     out = documents.select(*columns)
     if not trees:
-        return out.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        none = {bits: F.lit(None).cast("double")} if bits else {}
+        return out.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), **none})
     # best: bits under the best language so far; mass: sum of 2^(best - bits) over all so far
     carried, held = ["lang_pred", "best", "mass"], None
     schema = extended(out, "lang_pred string, best double, mass double")
@@ -231,7 +234,9 @@ def identify(documents: DataFrame, trees: list[FrozenTrees]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(pred, pa.string()), pa.array(best), pa.array(mass)], [*columns, *carried])
 
         out = out.mapInArrow(score, schema)
-    return out.select(*columns, "lang_pred", (1 / F.col("mass")).alias("score"))
+    size = F.octet_length("text")
+    rate = [F.when(size > 0, F.col("best") / size).alias(bits)] if bits else []
+    return out.select(*columns, "lang_pred", (1 / F.col("mass")).alias("score"), *rate)
 
 
 #: Of the ids' checksums modulo FOLDS, the remainder that is held out from learning.

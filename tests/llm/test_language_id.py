@@ -97,3 +97,13 @@ def test_groups_of_languages(spark, monkeypatch):
     assert got[1] == got[2] == got[16] and got[16][2000] == ("und", 0.0)
     german = [k for k, _, lang in rows if lang in ("de", "zz")]
     assert all(got[16][k] == ("de", 0.5) for k in german)
+
+
+def test_code_length_of_unknown_scripts(spark):
+    """The posterior is sure of a text in no learned language; its code length is not below plain bytes."""
+    trees = language_id.train(spark.createDataFrame(docs(240), "doc_id long, text string, lang string"))
+    rows = [(k, t, "x") for k, (_, t, _) in enumerate(docs(30, seed=7))] + [(100, "これは日本語の文章です。" * 5, "x"), (101, "Это русский текст без перевода", "x"), (102, "", "x"), (103, None, "x")]
+    got = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, bits string"), trees, "bits").collect()}
+    assert all(got[k]["bits"] < 4 for k in range(30)) and got[100]["bits"] > 8 and got[101]["bits"] > 8
+    assert got[102]["bits"] is None and got[103]["bits"] is None
+    assert language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, bits string"), [], "bits").select("bits").dropna().count() == 0
