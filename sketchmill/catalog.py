@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from .functions import metrics, preprocess, text
 from .operators import analysis, blocks, classify, consistency, curate, elements, images, stats
 from .plans import corpora
-from .sources import sinks
+from .sources import readers, scratch, sinks
+from .streaming import incremental
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -775,3 +776,95 @@ def diagram_metadata(spark, d):
     s = corpora.sequence_diagrams(spark, d).withColumn("clean", preprocess.preprocess(F.col("content"))).withColumn("primary_type", F.lit("sequence"))
     found = elements.total(F.col("elements"))
     return elements.with_elements(s).select("grp", metrics.loc_metrics(F.col("content"))["loc"].cast("long").alias("loc"), found.cast("long").alias("elements"), metrics.arrow_count(F.col("clean")).cast("long").alias("relationships"))
+
+
+# ---------------------------------------------------------------- stores: written into the shared folder and read again
+
+
+@query("SELECT 's' || s_suppkey || ';' || s_name || '.puml' AS value FROM supplier UNION ALL SELECT 'c' || c_custkey || ';' || c_name FROM customer")
+def gzip_shards(spark, d):
+    """Line shards, compressed and plain, read as one table."""
+    path = scratch.shared_path(spark, "shards")
+    corpora.read(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(";"), "s_name", F.lit(".puml"))).write.option("compression", "gzip").text(f"{path}/a")
+    corpora.read(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(";"), "c_name")).write.text(f"{path}/b")
+    return readers.read_lines(spark, f"{path}/a", f"{path}/b").select("value")
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) AS line_no, 'o' || o_orderkey AS value FROM orders")
+def line_numbers(spark, d):
+    """Lines numbered in the order of their files."""
+    path = scratch.shared_path(spark, "ordered")
+    corpora.read(spark, d, "orders").orderBy("o_orderkey").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))).write.text(path)
+    return readers.with_line_numbers(readers.read_lines(spark, path)).select("line_no", "value")
+
+
+@query(
+    f"""WITH {BLOBS}, x AS (SELECT *, array_to_string(list_filter([CASE WHEN NOT contains(lower(content), '@startuml') THEN 'missing @startuml' END, CASE WHEN NOT contains(lower(content), '@enduml') THEN 'missing @enduml' END], lambda x: x IS NOT NULL), ', ') AS m FROM blobs)
+  SELECT CASE WHEN doc_id % 10 = 9 OR content = '' THEN 'error' WHEN m = '' THEN 'valid' ELSE 'invalid' END AS status, doc_id::VARCHAR AS blob_id, file_path,
+    CASE WHEN doc_id % 10 = 9 THEN 'Blob not found' WHEN content = '' THEN 'Empty content' WHEN m = '' THEN md5(content) ELSE m END AS detail FROM x"""
+)
+def routed_files(spark, d):
+    """Outcomes written to three text folders; of the valid ones the content comes back from its line."""
+    path = scratch.shared_path(spark, "routed")
+    b = corpora.blobs(spark, d).withColumn("blob_id", F.col("doc_id").cast("string"))
+    sinks.write_routed(curate.lookup_content(b.select("blob_id", "file_path"), b.where("doc_id % 10 <> 9").select("blob_id", "content")), path)
+    f = text.fields(F.col("value"), 3)
+    back = F.md5(text.utf8(text.decode_base64(f[2])).cast("binary"))
+    return spark.read.text(path).select("status", f[0].alias("blob_id"), f[1].alias("file_path"), F.when(F.col("status") == "valid", back).otherwise(f[2]).alias("detail"))
+
+
+@query(
+    """SELECT printf('batch_%04d', ((k - 1) // 30 + 1)::INTEGER) AS batch, 's' || s_suppkey || '.puml' AS file_name,
+    chr(39) || ' Blob ID: s' || s_suppkey || chr(10) || chr(39) || ' File Path: p/' || s_name || chr(10) || chr(39) || ' ' || chr(10) || '@startuml' || chr(10) || 'x é ' || s_nationkey || chr(10) || '@enduml' || chr(10) AS content
+  FROM (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier)"""
+)
+def diagram_files(spark, d):
+    """One file a diagram in batch folders, read again by folder; line ends differ, and some files have none at their end."""
+    path, key = scratch.shared_path(spark, "diagrams"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    rows = curate.assign_batches(corpora.read(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), 30, "s_suppkey")
+    end = F.when(F.col("s_suppkey") % 2 == 0, F.lit("\r\n")).otherwise("")
+    body = F.concat(F.lit("@startuml\r\nx é "), F.col("s_nationkey").cast("string"), F.lit("\n@enduml"), end)
+    whole = sinks.diagram_file(sinks.short_header(key, F.concat(F.lit("p/"), "s_name")), body)
+    sinks.write_diagrams(rows.select("directory", F.concat(key, F.lit(".puml")).alias("file_name"), whole.alias("content")), path)
+    return readers.read_batches(spark, path).select("batch", "file_name", "content")
+
+
+@query("SELECT s_suppkey, s_name || 'é!' AS ignored, s_name || 'é' || chr(65533) || '!' AS replaced, s_name AS strict FROM supplier")
+def encoding_policies(spark, d):
+    raw = F.concat(F.concat("s_name", F.lit("é")).cast("binary"), F.unhex(F.lit("FF")), F.lit("!").cast("binary"))
+    policies = [text.utf8(raw, "ignore").alias("ignored"), text.utf8(raw, "replace").alias("replaced"), text.utf8(F.col("s_name").cast("binary"), "strict").alias("strict")]
+    return corpora.read(spark, d, "supplier").select("s_suppkey", *policies)
+
+
+@query("SELECT n_name AS file_name, n_regionkey::BIGINT AS region, n_nationkey::BIGINT AS nation FROM nation")
+def report_files(spark, d):
+    """A JSON report written as a file and read as a table."""
+    path = scratch.shared_path(spark, "report")
+    rows = corpora.read(spark, d, "nation").select("n_name", F.col("n_regionkey").cast("long").alias("region"), F.col("n_nationkey").cast("long").alias("nation"))
+    sinks.report_envelope(rows, "n_name", ("region", "nation"), {"version": "1"}, rows.agg(F.count("*").alias("n"))).write.text(path)
+    return readers.read_report(spark, path, "results", "struct<region: long, nation: long>")
+
+
+@query("SELECT n_name AS name, n_regionkey::BIGINT AS region FROM nation")
+def report_dict(spark, d):
+    """A JSON object by name, as a file of one line."""
+    path = scratch.shared_path(spark, "dict")
+    rows = corpora.read(spark, d, "nation").select("n_name", F.col("n_regionkey").cast("long").alias("region"))
+    sinks.report_json(rows, "n_name", "region").write.text(path)
+    back = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, struct<region: long>>")).alias("name", "r"))
+    return back.select("name", "r.region")
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 10")
+def listing_preview(spark, d):
+    return sinks.preview(corpora.read(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey")
+
+
+@query(ORACLES["ext_filter"])
+def streamed_paths(spark, d):
+    """The path filter on a stream of line files, worked off to its end into a table."""
+    path = scratch.shared_path(spark, "stream")
+    corpora.blobs(spark, d).select(F.concat_ws(";", "blob_id", "file_path")).write.text(f"{path}/in")
+    picked = incremental.select_paths(incremental.stream_lines(spark, f"{path}/in"))
+    picked.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(picked.schema).parquet(f"{path}/out")
