@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, html_extract, language_id, near_dedup, packing, pitman_yor, quality_crf, token_rollup, vector_search
+from . import centroids, chat_format, decontaminate, html_extract, language_id, merkle, near_dedup, packing, pitman_yor, quality_crf, token_rollup, vector_search
 
 QUERIES = {
     "op1_token_rollup": token_rollup.op1_token_rollup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_vantage_point_search": vector_search.op8_vantage_point_search,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op13_centroid_clustering": centroids.op13_centroid_clustering,
 }
 
 ORACLES = {
@@ -22,4 +24,6 @@ ORACLES = {
     "op5_decontaminate": decontaminate.ORACLE,
     "op8_vantage_point_search": vector_search.ORACLE,
     "op10_minhash_near_dedup": near_dedup.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op13_centroid_clustering": centroids.ORACLE,
 }
