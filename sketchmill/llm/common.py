@@ -198,8 +198,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 20) -> np.ndarray:
-    """64-bit hashes of the lower-cased words; worked off in runs of at most about `step` bytes (longer only for one longer word)."""
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 20, letters: np.ndarray = LOWER) -> np.ndarray:
+    """64-bit hashes of the words, lower-cased unless `letters` says otherwise; worked off in runs of at most about `step` bytes (longer only for one longer word)."""
     out = np.empty(len(start), np.uint64)
     i, n = 0, len(start)
     while i < n:
@@ -208,7 +208,7 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int
         size = b - a
         p, q = _powers(max(1 << 12, 1 << (size + 1).bit_length()))
         total = np.zeros(size + 1, np.uint64)
-        np.cumsum((LOWER[data[a:b]].astype(np.uint64) + np.uint64(1)) * p[:size], out=total[1:])
+        np.cumsum((letters[data[a:b]].astype(np.uint64) + np.uint64(1)) * p[:size], out=total[1:])
         s, e = start[i:j] - a, end[i:j] - a
         out[i:j] = (total[e] - total[s]) * q[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         i = j

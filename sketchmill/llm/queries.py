@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, chat_format, decontaminate, html_extract, language_id, merkle, near_dedup, packing, pitman_yor, quality_crf, token_rollup, vector_search
+from . import centroids, chat_format, decontaminate, html_extract, language_id, merkle, near_dedup, packing, pitman_yor, quality_crf, quality_rules, token_rollup, vector_search
 
 QUERIES = {
     "op1_token_rollup": token_rollup.op1_token_rollup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_risk_controlled_rules": quality_rules.op12_risk_controlled_rules,
     "op13_centroid_clustering": centroids.op13_centroid_clustering,
 }
 
@@ -25,5 +26,6 @@ ORACLES = {
     "op8_vantage_point_search": vector_search.ORACLE,
     "op10_minhash_near_dedup": near_dedup.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op12_risk_controlled_rules": quality_rules.ORACLE,
     "op13_centroid_clustering": centroids.ORACLE,
 }
