@@ -92,7 +92,7 @@ def first_centroids(rows: DataFrame, k: int = CENTROIDS, seed: str = SEED) -> np
     """The vectors whose vec_ids have the k smallest hashes, in that order."""
     key = F.sha2(F.concat(F.lit(seed), F.col("vec_id").cast("string")), 256)
     got = rows.select(key.alias("h"), "q").orderBy(F.asc_nulls_last("h"), "q").limit(k).collect()  # k vectors
-    return np.array([np.frombuffer(r["q"], "<i4") for r in got], np.int64).reshape(len(got), -1)
+    return np.frombuffer(b"".join(r["q"] for r in got), "<i4").astype(np.int64).reshape(len(got), -1) if got else np.zeros((0, 0), np.int64)
 
 
 def sums_by_cluster(distinct: DataFrame, centroids: np.ndarray) -> dict[int, tuple[int, list[int]]]:
