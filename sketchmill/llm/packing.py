@@ -31,6 +31,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Texts are encoded in runs of about so many characters; a run ends between a letter and a space before a letter, where tokens always end.
 RUN_CHARS = 500_000
 _CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
+#: What PATTERN's engine takes for white space (a fixed value), and the length from which a run of it is kept from that engine, whose
+#: stack grows with the run.
+BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_BLANKS = 20_000
 
 
 def default_tokenizer_path() -> str:
@@ -81,8 +85,30 @@ def load_encoding(path: str):
     ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
     fast = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
     if not special:
-        return fast.encode_ordinary
-    return lambda text: fast.encode(text, allowed_special="all") if any(s in text for s in special) else fast.encode_ordinary(text)
+        return lambda text: _ordinary(fast, text)
+    cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)) + ")")
+
+    def ids(text: str) -> list[int]:
+        if not any(s in text for s in special):
+            return _ordinary(fast, text)
+        out: list[int] = []
+        for k, part in enumerate(cut.split(text)):
+            out += [special[part]] if k % 2 else _ordinary(fast, part)
+        return out
+
+    return ids
+
+
+def _ordinary(fast, text: str) -> list[int]:
+    """Ids of a text without added tokens. A long run of white space is one piece, but for its last character where something follows it."""
+    if len(text) < LONG_BLANKS:
+        return fast.encode_ordinary(text)
+    out, at = [], 0
+    for run in re.finditer(f"[{BLANKS}]{{{LONG_BLANKS},}}", text):
+        to = run.end() - (run.end() < len(text))
+        out += fast.encode_ordinary(text[at : run.start()]) + fast._encode_single_piece(text[run.start() : to])
+        at = to
+    return out + fast.encode_ordinary(text[at:])
 
 
 def encode(path: str, text: str) -> np.ndarray:

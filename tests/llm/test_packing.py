@@ -2,7 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from sketchmill.llm import packing
@@ -47,6 +47,27 @@ def test_ids_of_any_text(text):
     assert packing.encode(packing.default_tokenizer_path(), text).tolist() + [2] == reference_ids([text])[0]
 
 
+RUNS = st.sampled_from([" ", "\n", "\t", "\r\n", "\u00a0", "\u3000", " \n", "\x85", "\x1c", "\u200b", "a", "1", "-", "é"]).flatmap(lambda c: st.integers(0, 12).map(lambda n: c * n))
+
+
+@settings(max_examples=400, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(PARTS, RUNS), max_size=10).map("".join))
+def test_runs_of_white_space(monkeypatch, text):
+    monkeypatch.setattr(packing, "LONG_BLANKS", 4)
+    assert packing.encode(packing.default_tokenizer_path(), text).tolist() + [2] == reference_ids([text])[0]
+
+
+def test_runs_of_a_million(spark, tables):
+    """Runs of one class, alone, before and after words and added tokens, through Spark."""
+    n = 1_000_000
+    texts = [c * n for c in (" ", "\n", "\t", "\u00a0", "a", "1", "-")] + [" \n" * n, "x" + " " * n + "y", " " * n + "<|endoftext|>" + "\n" * n + "z", "\u3000 \t\n" * (n // 4) + ".", "w" * n + " " * n]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.token_pieces(docs, capacity=1 << 30, keep_ids=True).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == reference_ids([texts[r["doc_id"]]])[0]
+
+
 def test_ids_of_documents(spark):
     """All texts of the sf0.01 table, as the tokenizers library reads them."""
     texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
