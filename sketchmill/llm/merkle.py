@@ -35,7 +35,7 @@ from .common import drop_table, release, scratch_path, table, working_tables, wr
 FAN = 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: A partition of a superstep takes no more messages than this where there is a choice.
-MESSAGES = 400_000
+MESSAGES = 200_000
 #: The runs of sources in partitions are broadcast up to so many rows and bytes of source names, else joined by a shuffle.
 BROADCAST_RUNS, BROADCAST_BYTES = 100_000, 8_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -97,6 +97,18 @@ def parents_of(n: int) -> int:
     return -(-n // FAN)
 
 
+def by_key(messages):
+    met: dict = {}
+    for key, message in messages:
+        met.setdefault(key, []).append(message)
+    return met.items()
+
+
+def deliver(messages: RDD, parts: int) -> RDD:
+    """(key, message) -> (key, its messages). One shuffle, in no more tasks than asked for: each starts a worker."""
+    return messages.partitionBy(parts, _owner).coalesce(parts).mapPartitions(by_key)
+
+
 def send_up(vertex):
     """A vertex ((tree, number), (size, digest, *rest)) -> a message to its parent."""
     (tree, number), state = vertex
@@ -142,19 +154,20 @@ class Forest:
         self.spark, self.sizes, self.levels, self.paths = spark, sizes, [leaves], []
         for level in range(1, len(sizes)):
             sent = self.levels[-1].filter(lambda v: v[1][0] > 1).map(send_up)
-            met = sent.groupByKey(self.parts(level - 1), _owner)  # at most FAN messages a key
-            self.levels.append(self.keep(met.map(complete), f"level-{level}"))
+            met = deliver(sent, self.parts(level - 1))  # at most FAN messages a key
+            self.levels.append(self.keep(met.map(complete), f"level-{level}", level))
 
     def parts(self, level: int) -> int:
         """Partitions for the messages of a level."""
         n, usual = self.sizes[level], int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         return max(min(usual, n // 2000 + 1), n // MESSAGES + 1)
 
-    def keep(self, vertices: RDD, name: str) -> RDD:
+    def keep(self, vertices: RDD, name: str, level: int) -> RDD:
+        """Writes a level's vertices into the shared folder and reads them in as many partitions as the level's size asks for."""
         path = scratch_path(self.spark, name)
         vertices.saveAsPickleFile(path)
         self.paths.append(path)
-        return self.spark.sparkContext.pickleFile(path)
+        return self.spark.sparkContext.pickleFile(path).coalesce(self.parts(level))
 
     def roots(self) -> RDD:
         """(tree, level, digest) of every tree."""
@@ -164,7 +177,7 @@ class Forest:
     def meet(self, vertices: RDD, paths: RDD, parts: int) -> RDD:
         """(key, state) and (key, path) -> (key, (state, path)); keys occur once on either side."""
         both = vertices.mapValues(lambda v: (0, v)).union(paths.mapValues(lambda p: (1, p)))
-        return both.groupByKey(parts, _owner).mapValues(lambda got: tuple(v for _, v in sorted(got, key=lambda x: x[0])))
+        return deliver(both, parts).mapValues(lambda got: tuple(v for _, v in sorted(got, key=lambda x: x[0])))
 
     def descend(self, tops: RDD) -> RDD:
         """tops: (tree, level of its root, what every leaf of the tree is told, steps above its root) -> (told, rest of the leaf's state,
@@ -178,7 +191,7 @@ class Forest:
             if level == 1:
                 told = met.flatMap(lambda v: [(top, child, steps) for child, (_, (top, steps)) in zip(v[1][0][2], send_down(v))])
                 return told.union(lone)
-            paths = self.keep(met.flatMap(send_down), f"paths-{level - 1}")
+            paths = self.keep(met.flatMap(send_down), f"paths-{level - 1}", level - 1)
         return lone
 
 
@@ -195,7 +208,8 @@ def verify(claims: DataFrame) -> DataFrame:
     proof_sha256, folded_root (of the claim and the leaf's path), verified boolean."""
     spark = claims.sparkSession
     with working_tables(spark) as keep:
-        rows, sizes = numbered(claims.select("source", "doc_id", "leaf", "claim"), "source", "doc_id", "leaf", keep=keep)
+        digests = keep(claims.select("source", "doc_id", "leaf", "claim"), "digests")  # texts are read once
+        rows, sizes = numbered(digests, "source", "doc_id", "leaf", keep=keep)
         state = rows.rdd.map(lambda r: ((r["source"], r["number"]), (r["size"], r["leaf"], r["doc_id"], r["claim"])))
         kind = claims.schema["doc_id"].dataType
         schema = T.StructType([T.StructField("doc_id", kind), *T.StructType.fromDDL("leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean").fields])
@@ -208,7 +222,7 @@ def verify(claims: DataFrame) -> DataFrame:
         crown = Forest(spark, upper.rdd.map(lambda r: ((0, r["number"]), (r["size"], r["subroot"], r["source"], r["level"]))), above)
         root, height = crown.roots().map(lambda t: (t[2], t[1])).first()  # one tree
         told = crown.descend(spark.sparkContext.parallelize([(0, height, None, [])], 1))
-        tops = forest.keep(told.map(lambda t: (t[1][1], t[1][2], t[1][0], t[2])), "tops")
+        tops = forest.keep(told.map(lambda t: (t[1][1], t[1][2], t[1][0], t[2])), "tops", len(sizes) - 1)
 
         def row(leaf):
             subroot, (own, doc_id, claim), steps = leaf
