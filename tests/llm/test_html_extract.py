@@ -21,7 +21,7 @@ PROSE = "This is a sentence of the article that goes on for some time, as articl
         ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a b c d"),
         ("<article><p>a < b and c > d</p></article>", "a < b and c > d"),
         ("<ARTICLE><P>Case</P></ARTICLE>", "Case"),
-        ("<article><p hidden>no</p><p style='display: none'>no</p><p>yes</p></article>", "yes"),
+        ("<article><p hidden>this</p><p style='display: none'>that</p><svg><text>too</text></svg><p>yes</p></article>", "this that too yes"),
     ],
 )
 def test_pages(source, want):
@@ -133,3 +133,97 @@ def test_only_what_is_named_is_left_out():
     kept = "<p>a <math><mi>x</mi></math> b</p><noscript>c</noscript><canvas>d</canvas><object>e</object>"
     page = html_extract.Page(f"<body><article>{kept}<script>no</script><style>no</style><select><option>no</select><textarea>no</textarea></article></body>")
     assert page.text(None).replace(" ", "") == "axbcde"
+
+
+FIVE = "".join(f"<p>Paragraph {k} of the article that says something about it.</p>" for k in range(5))
+TEXT = " ".join(f"Paragraph {k} of the article that says something about it." for k in range(5))
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        (f'<div class="layout with-sidebar">{FIVE}</div>', TEXT),
+        (f'<div id="page" class="no-sidebar">{FIVE}</div>', TEXT),
+        (f'<div class="post hentry comments-open">{FIVE}</div>', TEXT),
+        (f'<div class="recipe cookie-recipe">{FIVE}</div>', TEXT),
+        (f'<article><section id="related-work">{FIVE}</section></article>', TEXT),
+        (f'<article><h1>Title</h1><section id="discussion">{FIVE}</section></article>', "Title " + TEXT),
+        (f'<article>{FIVE}<p class="alert">Mind the gap.</p></article>', TEXT + " Mind the gap."),
+        (f'<article>{FIVE}<div class="ad">Buy</div></article>', TEXT),
+        (f'<article>{FIVE}<section class="comments">{FIVE}</section></article>', TEXT),
+        (f'<div class="post">{FIVE}</div><div id="comments">{FIVE}{FIVE}</div>', TEXT),
+        (f'<div class="post">{FIVE}</div><div class="related-posts"><ul><li><a>One</a></ul></div>', TEXT),
+        (f'<div class="ad">{FIVE}</div><article><p>A short article.</p></article>', "A short article."),
+    ],
+)
+def test_names_alone_decide_nothing(source, want):
+    assert Page(f"<html><body>{source}</body></html>").text(None) == want
+
+
+def test_linear_in_depth():
+    import time
+
+    for source in ("<div>" * 100_000 + "x", "<a " * 100_000, "<div></section>" * 100_000, "<figure>" * 100_000 + "<p>x", '<div class="ad">' * 100_000 + "x"):
+        began = time.process_time()
+        Page(source).text(None)
+        assert time.process_time() - began < 15
+
+
+def made_pages(n=200, seed=9):
+    """Pages of five hosts with every kind of noise; what belongs to the article is marked by an attribute that nothing else reads."""
+    import random
+
+    draw = random.Random(seed)
+    sentence = lambda: " ".join("".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 9))) for _ in range(draw.randint(6, 16))) + "."
+    block = lambda tag="p", extra="": f"<{tag}{extra} data-own>{sentence()} &amp; {sentence()}</{tag}>"
+    link = lambda: f"<li><a href='/x'>{sentence()[:12]}</a></li>"
+    notes = [f"<div class='strip-{h}'><p>{sentence()}</p></div>" for h in range(5)]  # no word names it: only its repetition tells
+    rows = []
+    for k in range(n):
+        h = k % 5
+        inside = [block(draw.choice(["p", "p", "blockquote", "li"])) for _ in range(draw.randint(4, 9))]
+        inside.insert(2, draw.choice(["", "<div class='ad-slot'>buy this</div>", "<aside>beside</aside>", block("p", " class='alert'"), "<form>name<input></form>", "<script>if (a < b) document.write('<p>no</p>')</script>"]))
+        body = "".join(inside)
+        wrap = [f"<article>{block('h1')}{body}</article>", f"<main><div class='content with-sidebar'>{body}</div></main>", f"<div id='main' class='post-{k} no-sidebar'>{body}</div>", f"<div class='entry comments-open'>{body}</div>", f"<article><section id='discussion'>{body}</section></article>"][h]
+        before = f"<header>{sentence()}</header><nav><ul>{link()}{link()}</ul></nav>" + draw.choice(["", "<!-- <p>no</p> -->"]) + notes[h]
+        after = f"<div class='related-posts'><ul>{link()}{link()}{link()}</ul></div>" + draw.choice(["", f"<div id='comments'><p>{sentence()}</p><p>{sentence()}</p></div>"]) + f"<div class='cookie-notice'>{sentence()[:20]}</div><footer>{sentence()}</footer>"
+        rows.append((k, f"https://site{h}.example/{k}", f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body>{before}{wrap}{after}</body></html>"))
+    return rows
+
+
+def test_made_pages_against_an_independent_parser(spark, tables):
+    from html.parser import HTMLParser
+
+    class Marked(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.own, self.texts = None, []
+
+        def handle_starttag(self, tag, attrs):
+            if ("data-own", None) in attrs:
+                self.own, self.texts = tag, [*self.texts, ""]
+
+        def handle_endtag(self, tag):
+            self.own = None if tag == self.own else self.own
+
+        def handle_data(self, data):
+            if self.own:
+                self.texts[-1] += data
+
+    rows, want = made_pages(), {}
+    for page_id, _, source in rows:
+        parser = Marked()
+        parser.feed(source)
+        want[page_id] = " ".join(" ".join(t.split()) for t in parser.texts)
+    got = {r["page_id"]: r["text"] for r in html_extract.op3_consensus_extraction(spark, tables(pages=rows)).collect()}
+    wrong = [k for k in want if got[k] != want[k]]
+    assert not wrong, (len(wrong), want[wrong[0]], got[wrong[0]])
+
+
+def test_boilerplate_is_told_by_its_host(spark, tables):
+    """A box without a telling name is left out where it repeats over different pages; copies of one page are no evidence."""
+    page = lambda k, box: f"<body><div class=post><p>{PROSE} {k}</p><div class=box><p>{box}</p></div></div></body>"
+    pages = [(k, "http://a.example/", page(k, "The same box.")) for k in range(6)]
+    pages += [(10 + k, "http://b.example/", page(1, "A box of its own.")) for k in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_extract.op3_consensus_extraction(spark, tables(pages=pages)).collect()}
+    assert all("box" not in got[k] for k in range(6)) and all("box" in got[10 + k] for k in range(6))
