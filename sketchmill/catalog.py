@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import metrics, preprocess, text
 from .operators import analysis, blocks, classify, consistency, curate, elements, images, stats
 from .plans import corpora
-from .sources import readers, scratch, sinks
+from .sources import readers, scratch, shards, sinks
 from .streaming import incremental
 
 QUERIES: dict = {}
@@ -795,7 +795,38 @@ def line_numbers(spark, d):
     """Lines numbered in the order of their files."""
     path = scratch.shared_path(spark, "ordered")
     corpora.read(spark, d, "orders").orderBy("o_orderkey").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))).write.text(path)
-    return readers.with_line_numbers(readers.read_lines(spark, path)).select("line_no", "value")
+    return shards.numbered_lines(spark, path, overall=True).select(F.col("row_no").alias("line_no"), "value")
+
+
+@query(
+    f"""WITH {BLOBS}, n AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS row_no FROM blobs),
+  f AS (SELECT * FROM n WHERE regexp_matches(file_path, '(?i)\\.(puml|pu|plantuml|wsd|iuml|uml)$'))
+  SELECT blob_id, min(row_no) AS row_no, arg_min(file_path, row_no) AS file_path FROM f GROUP BY blob_id"""
+)
+def keep_first_lines(spark, d):
+    """The first line of each blob in the order of compressed shards, from their files to the end."""
+    path = scratch.shared_path(spark, "blob-shards")
+    corpora.blobs(spark, d).orderBy("doc_id").select(F.concat_ws(";", "blob_id", "file_path")).write.option("compression", "gzip").text(path)
+    lines = shards.numbered_lines(spark, path, overall=True).where(curate.has_diagram_extension(F.col("value"))).select("value", "row_no")
+    return curate.first_by_key(curate.path_records(lines), "blob_id", "row_no")
+
+
+@query(
+    f"""WITH {BLOBS}, l AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'xyz' ELSE blob_id END AS blob_id, content, row_number() OVER (ORDER BY doc_id) AS n FROM blobs)
+  SELECT n AS line_no, CASE WHEN doc_id % 7 = 1 THEN 'line ' || n || ': malformed line' WHEN NOT {SHA40} THEN 'line ' || n || ': invalid blob id' WHEN doc_id % 7 = 2 THEN 'line ' || n || ': bad base64'
+    WHEN m <> '' THEN 'line ' || n || ': ' || m END AS reason, CASE WHEN doc_id % 7 NOT IN (1, 2) THEN md5(content) END AS content_md5
+  FROM (SELECT *, array_to_string(list_filter([CASE WHEN NOT contains(lower(content), '@startuml') THEN 'missing @startuml' END, CASE WHEN NOT contains(lower(content), '@enduml') THEN 'missing @enduml' END], lambda x: x IS NOT NULL), ', ') AS m FROM l)"""
+)
+def strict_parse_shards(spark, d):
+    """Content lines read from compressed shards, checked strictly, with the numbers of the lines that fail."""
+    path = scratch.shared_path(spark, "content-shards")
+    b = corpora.blobs(spark, d)
+    blob = F.when(F.col("doc_id") % 7 == 0, "xyz").otherwise(F.col("blob_id"))
+    whole = sinks.content_line(blob, F.col("file_path"), F.col("content"))
+    value = F.when(F.col("doc_id") % 7 == 1, F.concat_ws(";", blob, "file_path")).when(F.col("doc_id") % 7 == 2, F.concat_ws(";", blob, "file_path", F.lit("YQ"))).otherwise(whole)
+    b.select("doc_id", value.alias("value")).orderBy("doc_id").select("value").write.option("compression", "gzip").text(path)
+    lines = shards.numbered_lines(spark, path, overall=True).select(F.col("row_no").alias("line_no"), "value")
+    return curate.content_records(lines).select("line_no", "reason", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
 @query(
