@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import metrics, preprocess, text
-from .operators import analysis, blocks, classify, consistency, curate, elements, images, stats
+from .operators import analysis, blocks, classify, consistency, curate, elements, images, scan, stats
 from .plans import corpora
 from .sources import readers, scratch, shards, sinks
 from .streaming import incremental
@@ -241,6 +241,33 @@ def split_blocks(spark, d):
     return blocks.split_files(corpora.multi_diagrams(spark, d))
 
 
+@query(
+    """WITH b AS (SELECT CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE 'u' || user_id % 20 END AS stem, event_id, event_id * 8 + 2 AS first_line, event_id * 8 + CASE WHEN event_id % 7 <> 0 THEN 4 ELSE 6 END AS last_line
+    FROM events WHERE event_id % 7 <> 0 OR event_id % 11 = 0)
+  SELECT stem, row_number() OVER (PARTITION BY stem ORDER BY event_id) AS part, first_line, last_line, CASE WHEN event_id % 7 <> 0 THEN 3 ELSE 4 END AS n_lines,
+    9 + 1 + length(event_id::VARCHAR) + CASE WHEN event_id % 7 <> 0 THEN 7 ELSE 17 + 8 END AS n_chars FROM b"""
+)
+def split_scan(spark, d):
+    """Blocks of files that are tables of lines, one with a third of all lines; each block's lines counted where they stand."""
+    lines = corpora.event_lines(spark, d)
+    spans = scan.block_spans(lines)
+    inside = scan.label_lines(lines, spans).where("part IS NOT NULL")
+    sums = inside.groupBy("stem", "part").agg(F.count("*").alias("n_lines"), F.sum(F.length("value")).alias("n_chars"))
+    return spans.join(sums, ["stem", "part"])
+
+
+@query(
+    """WITH e AS (SELECT CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE 'u' || user_id % 20 END AS stem, event_id FROM events),
+  p AS (SELECT stem, count(*) AS parts FROM e WHERE event_id % 7 <> 0 OR event_id % 11 = 0 GROUP BY stem),
+  n AS (SELECT stem, 5 + (event_id % 5 = 0)::INT + (event_id % 7 <> 0)::INT + (event_id % 11 = 0)::INT - 1 AS all_lines, CASE WHEN event_id % 7 <> 0 THEN 3 WHEN event_id % 11 = 0 THEN 4 ELSE 0 END AS block_lines FROM e)
+  SELECT stem, coalesce(parts, 0) > 1 AS split, CASE WHEN coalesce(parts, 0) > 1 THEN sum(block_lines) + parts ELSE sum(all_lines) END::BIGINT AS n_lines FROM n LEFT JOIN p USING (stem) GROUP BY stem, parts"""
+)
+def split_scan_files(spark, d):
+    """The files that splitting makes of them, as lines: each part has the file's first comment as its header."""
+    made = scan.split_lines(corpora.event_lines(spark, d))
+    return made.groupBy("stem").agg((F.max("part") > 0).alias("split"), F.count("*").alias("n_lines"))
+
+
 @query("SELECT 'o' || l_orderkey AS stem, count(*) AS n_blocks, chr(39) || ' order ' || l_orderkey || chr(10) || chr(10) AS header FROM lineitem GROUP BY l_orderkey")
 def block_counts(spark, d):
     return corpora.multi_diagrams(spark, d).select("stem", F.size(blocks.diagram_blocks(F.col("content"))).cast("long").alias("n_blocks"), blocks.header(F.col("content")).alias("header"))

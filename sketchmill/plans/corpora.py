@@ -72,6 +72,18 @@ def multi_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy("l_orderkey").agg(body.alias("body")).select(F.concat(F.lit("o"), key).alias("stem"), F.concat(F.lit("' order "), key, F.lit("\n\n"), "body", tail).alias("content"))
 
 
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stem, line_no, value: a few long files as tables of lines, one of them with a third of all. An event gives up to seven lines, numbered
+    from eight times its id: a comment, now and then a start that is lost, a start, a message, an end (every seventh: none), text outside,
+    and now and then another end."""
+    e = read(spark, sf_dir, "events").select("event_id", "user_id")
+    every = lambda n, text: F.when(F.col("event_id") % n == 0, F.lit(text))
+    texts = [F.concat(F.lit("' note "), F.col("event_id").cast("string")), every(5, "  @startUML x"), F.lit("@startuml"), F.concat(F.lit("m"), F.col("event_id").cast("string")), F.when(F.col("event_id") % 7 != 0, F.lit("@EndUml")), F.lit("outside @startuml"), every(11, "\t@enduml")]
+    stem = F.when(F.col("user_id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")))
+    rows = e.select(stem.alias("stem"), (F.col("event_id") * 8).alias("at"), F.posexplode(F.array(*texts)).alias("k", "value"))
+    return rows.where("value IS NOT NULL").select("stem", (F.col("at") + F.col("k")).alias("line_no"), "value")
+
+
 def noisy_diagrams(spark: SparkSession, sf_dir: str, noise: dict[int, str], every: int = 4) -> DataFrame:
     """grp, content: sequence lines by event, with a piece of noise before each line whose event_id % every is a key of noise."""
     e = read(spark, sf_dir, "events").select("event_id", "user_id")
