@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import metrics, preprocess, text
-from .operators import analysis, blocks, classify, consistency, curate, elements, images, scan, stats
+from .operators import analysis, blocks, classify, consistency, curate, elements, images, lookup, scan, stats
 from .plans import corpora
 from .sources import readers, scratch, shards, sinks
 from .streaming import incremental
@@ -118,6 +118,39 @@ def project_join(spark, d):
     return curate.join_projects(records, documents(spark, d).select(F.col("doc_id").alias("blob_id"), F.col("source").alias("project"))).select("blob_id", "project", "quality")
 
 
+MAP = """m AS (SELECT CASE WHEN l_partkey % 3 = 0 THEN sha1('hot') ELSE sha1(l_partkey::VARCHAR) END AS blob_id, 'p' || l_orderkey || '/' || l_linenumber || '/' || l_partkey AS project FROM lineitem),
+  w AS (SELECT CASE WHEN p_size = 1 THEN sha1('hot') WHEN p_size = 2 THEN sha1('absent' || p_partkey) ELSE sha1(p_partkey::VARCHAR) END AS blob_id, p_partkey, p_size FROM part WHERE p_size <= 4)"""
+
+
+def blob_map(spark, d):
+    """Projects by blob, as an archive's map has them: an item a row, and one blob with a third of all rows. Wanted: blobs by part."""
+    sha = lambda c: F.sha1(c.cast("string").cast("binary"))
+    li, p = corpora.read(spark, d, "lineitem"), corpora.read(spark, d, "part").where("p_size <= 4")
+    project = F.concat_ws("/", F.concat(F.lit("p"), F.col("l_orderkey").cast("string")), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"))
+    projects = li.select(F.when(F.col("l_partkey") % 3 == 0, sha(F.lit("hot"))).otherwise(sha(F.col("l_partkey"))).alias("blob_id"), project.alias("project"))
+    blob = F.when(F.col("p_size") == 1, sha(F.lit("hot"))).when(F.col("p_size") == 2, sha(F.concat(F.lit("absent"), F.col("p_partkey").cast("string")))).otherwise(sha(F.col("p_partkey")))
+    return projects, p.select(blob.alias("blob_id"), "p_partkey", "p_size")
+
+
+@query(f"WITH {MAP} SELECT p_partkey, blob_id, count(project) AS n, min(project) AS first, max(project) AS last FROM w LEFT JOIN m USING (blob_id) GROUP BY ALL")
+def blob_store_join(spark, d):
+    """Wanted blobs looked up in a bucketed store behind a Bloom filter, with those that it doesn't have."""
+    projects, wanted = blob_map(spark, d)
+    store = lookup.write_store(projects, scratch.shared_path(spark, "blob-store"))
+    found = lookup.look_up(wanted.select("blob_id").distinct(), store, "left")
+    sums = found.groupBy("blob_id").agg(F.count("project").alias("n"), F.min("project").alias("first"), F.max("project").alias("last"))
+    return wanted.join(sums, "blob_id").select("p_partkey", "blob_id", "n", "first", "last")
+
+
+@query(f"WITH {MAP} SELECT count(*) AS n_rows, count(*) FILTER (blob_id IN (SELECT blob_id FROM w)) AS n_matched, true AS pruned FROM m")
+def blob_store_pruned(spark, d):
+    """How many of a store's rows the filter of the wanted blobs keeps from the join: nine tenths of those that don't match, at least."""
+    projects, wanted = blob_map(spark, d)
+    got = lookup.pruned_share(wanted.where("p_size > 1 OR p_partkey % 2 = 0").unionByName(wanted), lookup.write_store(projects, scratch.shared_path(spark, "blob-store")))
+    passed_wrongly = F.col("n_passed") - F.col("n_matched")
+    return got.select("n_rows", "n_matched", (passed_wrongly * 10 <= F.col("n_rows") - F.col("n_matched")).alias("pruned"))
+
+
 @query(f"WITH {BLOBS} SELECT doc_id, lower(sha1(('blob ' || octet_length(encode(content)))::BLOB || '\\x00'::BLOB || encode(content))) AS git_id FROM blobs")
 def git_ids(spark, d):
     return corpora.blobs(spark, d).select("doc_id", curate.git_blob_id(F.col("content")).alias("git_id"))
