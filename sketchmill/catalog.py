@@ -219,7 +219,13 @@ def line_stats(spark, d):
 
 @query(f"WITH {RANKED.format(v='l_partkey', t='lineitem')} {RANKS}")
 def rank_stats_large(spark, d):
-    return stats.rank_stats(corpora.read(spark, d, "lineitem"), "l_partkey")
+    return stats.rank_stats(corpora.read(spark, d, "lineitem"), "l_partkey", stored=True)
+
+
+@query(f"WITH {RANKED.format(v='l_extendedprice', t='lineitem')} {RANKS.replace('::BIGINT', '').replace(', avg(v) AS mean', '')}".replace("count(*) AS n, min", "count(*)::BIGINT AS n, min"))
+def rank_stats_doubles(spark, d):
+    """Ranks of a column of nearly as many different values as rows."""
+    return stats.rank_stats(corpora.read(spark, d, "lineitem"), "l_extendedprice", stored=True).drop("mean")
 
 
 @query(

@@ -1,9 +1,13 @@
-"""Distributions and reports. Ranks come from histograms, whose size is the number of different values, never from sorted rows."""
+"""Distributions and reports. Ranks come from counts by narrowing intervals (operators.selection), never from sorted rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from ..sources.scratch import shared_path
+from . import selection
 
 BUCKETS = (("1-10", 1, 10), ("11-50", 11, 50), ("51-100", 51, 100), ("101-200", 101, 200), ("201+", 201, None))
 
@@ -19,27 +23,22 @@ def histogram(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))
 
 
-def rank_stats(rows: DataFrame, column: str, places: int | None = None) -> DataFrame:
+def rank_stats(rows: DataFrame, column: str, places: int | None = None, stored: bool = False) -> DataFrame:
     """One row: n, min, q1, median, q3, max, mean (rounded to so many places, if given); the value of rank n div 4, n div 2, 3 * n div 4
-    (from 0). All 0 for no rows."""
-    h = histogram(rows.where(F.col(column).isNotNull()), column)
-    up = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = h.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    run = h.withColumn("upto", F.sum("n").over(up)).crossJoin(F.broadcast(total))  # total: one row
-
-    def at(rank: str) -> Column:
-        return F.coalesce(F.min(F.when(F.col("upto") > F.expr(rank), F.col(column))), F.lit(0)).cast("long")
-
-    out = run.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        F.coalesce(F.min(column), F.lit(0)).cast("long").alias("min"),
-        at("total div 4").alias("q1"),
-        at("total div 2").alias("median"),
-        at("3 * total div 4").alias("q3"),
-        F.coalesce(F.max(column), F.lit(0)).cast("long").alias("max"),
-        F.coalesce(F.sum(F.col(column) * F.col("n")) / F.sum("n"), F.lit(0.0)).alias("mean"),
-    )
-    return out if places is None else out.withColumn("mean", F.bround("mean", places))
+    (from 0). All 0 for no rows. Jobs run at the call: the column alone is written to the shared folder first, so that what makes it runs
+    once, unless it is `stored` already; then selection.select_ranks narrows down to the ranks."""
+    spark = rows.sparkSession
+    values = rows.select(column).where(F.col(column).isNotNull())
+    if not stored:
+        path = shared_path(spark, "ranked")
+        values.write.parquet(path)
+        values = spark.read.schema(values.schema).parquet(path)
+    kind = "long" if isinstance(values.schema[column].dataType, IntegralType) else "double"
+    known = selection.summarize(values, column)
+    at = selection.select_ranks(values, column, [known.n // 4, known.n // 2, 3 * known.n // 4, 0, known.n - 1], known) if known.n else [0] * 5
+    mean = F.coalesce(F.sum(column) / F.count("*"), F.lit(0.0))
+    found = {"n": (known.n, "long"), "min": (at[3], kind), "q1": (at[0], kind), "median": (at[1], kind), "q3": (at[2], kind), "max": (at[4], kind)}
+    return values.agg((mean if places is None else F.bround(mean, places)).alias("mean")).select(*[F.lit(v).cast(t).alias(c) for c, (v, t) in found.items()], "mean")
 
 
 def bucket_of(c: Column) -> Column:
