@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import encode_base64
+from .files import write_files
 
 
 def content_line(blob: Column, path: Column, content: Column) -> Column:
@@ -14,17 +14,12 @@ def content_line(blob: Column, path: Column, content: Column) -> Column:
     return F.concat_ws(";", blob, path, encode_base64(content))
 
 
-def write_routed(outcomes: DataFrame, path: str) -> None:
-    """status, blob_id, file_path, content, reason -> text folders status=valid (gzip), status=invalid and status=error. The outcomes are
-    made once and kept on disk while the three are written."""
-    held = outcomes.persist(StorageLevel.DISK_ONLY)
-    try:
-        valid = held.where("status = 'valid'").select(content_line(F.col("blob_id"), F.col("file_path"), F.col("content")))
-        valid.write.option("compression", "gzip").text(f"{path}/status=valid")
-        for status in ("invalid", "error"):
-            held.where(F.col("status") == status).select(F.concat_ws(";", "blob_id", "file_path", F.coalesce("reason", F.lit("")))).write.text(f"{path}/status={status}")
-    finally:
-        held.unpersist()
+def write_routed(outcomes: DataFrame, path: str) -> int:
+    """status, blob_id, file_path, content, reason -> text folders status=valid (gzip), status=invalid and status=error, all in one pass; they
+    become visible together (sources.files). Gives the number of rows."""
+    known = outcomes.where(F.col("status").isin("valid", "invalid", "error"))
+    line = F.when(F.col("status") == "valid", content_line(F.col("blob_id"), F.col("file_path"), F.col("content"))).otherwise(F.concat_ws(";", "blob_id", "file_path", F.coalesce("reason", F.lit(""))))
+    return write_files(known, path, F.concat(F.lit("status="), "status"), F.lit(None), line, {"status=valid": "gzip"})
 
 
 def short_header(blob: Column, path: Column) -> Column:
@@ -43,30 +38,9 @@ def diagram_file(header: Column, content: Column) -> Column:
 
 def write_diagrams(files: DataFrame, path: str) -> int:
     """directory, file_name, content -> the file `path/directory/file_name` of each row (a null directory: right below path), and returns how
-    many were written. Tasks write what they hold into the store of path, and a task that runs again writes the same files again.
-    One file a diagram is for export only; tables are stored as Parquet."""
-
-    def put(batches):
-        import pyarrow as pa
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(path)
-        made: set[str] = set()
-        for batch in batches:
-            for directory, name, content in zip(*[c.to_pylist() for c in batch.columns]):
-                for part in (directory, name):
-                    if part is not None and ("/" in part or part in ("", ".", "..")):
-                        raise ValueError(f"not a name of a file or folder: {part!r}")
-                folder = f"{root}/{directory}" if directory is not None else root
-                if folder not in made:
-                    store.create_dir(folder, recursive=True)
-                    made.add(folder)
-                with store.open_output_stream(f"{folder}/{name}") as out:
-                    out.write((content or "").encode())
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
-
-    rows = files.select(F.col("directory").cast("string"), F.col("file_name").cast("string"), F.col("content").cast("string"))
-    return rows.mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    many were written. They become visible together (sources.files). One file a diagram is for export only; tables are stored as Parquet."""
+    named = F.when(F.col("file_name").isNull(), F.raise_error(F.lit("a diagram without a file name"))).otherwise(F.col("file_name"))
+    return write_files(files, path, F.col("directory"), named, F.col("content"), fresh=False)
 
 
 #: Rows that a JSON report may hold: it is one row of one task.
