@@ -965,3 +965,15 @@ def streamed_paths(spark, d):
     picked = incremental.select_paths(incremental.stream_lines(spark, f"{path}/in"))
     picked.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(picked.schema).parquet(f"{path}/out")
+
+
+@query(f"WITH {BLOBS} SELECT blob_id, doc_id, file_path FROM (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY doc_id) AS r FROM blobs) WHERE r = 1")
+def streamed_firsts(spark, d):
+    """The first row of each blob from a stream whose rows arrive last first: earlier ones come late and take back what was given."""
+    path = scratch.shared_path(spark, "first-stream")
+    rows = corpora.blobs(spark, d).select("blob_id", "doc_id", "file_path")
+    rows.orderBy(F.desc("doc_id")).coalesce(6).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    changes = incremental.first_rows_stream(stream, "blob_id", "doc_id")
+    changes.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    return incremental.settled(spark.read.schema(changes.schema).parquet(f"{path}/out"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_base64, fields, nonempty_lines, strip, utf8
+from ..sources.scratch import shared_path
 from .stages import once
 
 EXTENSIONS = ("puml", "pu", "plantuml", "wsd", "iuml", "uml")
@@ -105,18 +105,24 @@ def first_directory_hit(files: DataFrame, name: str = "file_name", priority: str
 def assign_batches(rows: DataFrame, size: int, *order: str, number: str = "batch") -> DataFrame:
     """batch int from 1 and its directory name, by the running ordinal over all rows in order; rows that tie go by a hash of all columns.
 
-    The ordinal is counted in two steps, so no task sees all rows: rows are range-partitioned by the order; counts by partition (one
-    small row each) give the offsets. Both steps must see the same partitions, so these are kept on disk: their number is fixed, and
-    a lost one is made again with the same bounds.
+    The ordinal is counted in two steps, so no task sees all rows: rows are range-partitioned by the order, sorted in their partitions and
+    written to the shared folder with their place; the partitions' sizes (one small row each) then say where each begins.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = rows.repartitionByRange(parts, *[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
-    within = spread.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order, F.xxhash64(*rows.columns))))
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())  # grows with the input
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+    keyed = rows.withColumn("_tie", tie)
+    spread = keyed.repartitionByRange(parts, *[F.col(c) for c in order], F.col("_tie")).sortWithinPartitions(*order, "_tie")
+    path = shared_path(spark, "ordered-rows")
+    spread.drop("_tie").withColumn("_place", F.monotonically_increasing_id()).write.parquet(path)
+    placed = spark.read.parquet(path)
+    part = F.shiftright("_place", 33)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = spread.groupBy("_part").count().withColumn("_base", F.coalesce(F.sum("count").over(before), F.lit(0))).select("_part", "_base")
-    at = F.col("_base") + F.col("_nth") - 1
-    numbered = within.join(F.broadcast(offsets), "_part").withColumn(number, (F.floor(at / size) + 1).cast("long" if size == 1 else "int"))  # offsets: a row a partition
-    return numbered.withColumn("directory", F.format_string("batch_%04d", number)).drop("_part", "_nth", "_base")
+    sizes = placed.groupBy(part.alias("_part")).count()
+    offsets = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    at = F.col("_base") + F.col("_place") - F.shiftleft("_part", 33)
+    numbered = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(number, (F.floor(at / size) + 1).cast("long" if size == 1 else "int"))  # offsets: a row a partition
+    return numbered.withColumn("directory", F.format_string("batch_%04d", number)).drop("_part", "_place", "_base")
 
 
 def sanitize_path(c: Column) -> Column:

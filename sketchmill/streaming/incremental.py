@@ -28,6 +28,54 @@ def dedup_stream(rows: DataFrame, key: str, event_time: str, delay: str = "1 hou
     return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
+def first_rows_stream(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The first row of each key in the given order, whatever order rows arrive in: the columns of rows, and change int.
+
+    A key's least row so far is held in state. A row that comes before it is emitted with change 1, and the one that it replaces with
+    change -1; summing changes up (`settled`) gives at any time what a batch over all rows so far gives. Rows of null key have none. State is
+    a row a key; it is kept for as long as the query runs, as a late row may always come.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    columns, kinds = rows.columns, rows.schema
+    ranks = [columns.index(c) for c in (*order, *[c for c in columns if c != key and c not in order])]
+
+    def rank(row: tuple) -> tuple:
+        """Nulls come first, as in a batch."""
+        return tuple((row[k] is not None, row[k]) if row[k] is not None else (False,) for k in ranks)
+
+    def plain(v):
+        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+            return None
+        return v.item() if hasattr(v, "item") else v
+
+    def keep(_, frames, state):
+        held = state.get if state.exists else None
+        least = tuple(held) if held is not None else None
+        before = least
+        for frame in frames:
+            for row in frame[columns].astype(object).itertuples(index=False, name=None):
+                row = tuple(map(plain, row))
+                if least is None or rank(row) < rank(least):
+                    least = row
+        out = []
+        if least != before:
+            state.update(least)
+            out = [(*least, 1)] if before is None else [(*before, -1), (*least, 1)]
+        yield pd.DataFrame(out, columns=[*columns, "change"])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)
+    grouped = rows.where(F.col(key).isNotNull()).groupBy(key)
+    return grouped.applyInPandasWithState(keep, f"{ddl}, change int", ddl, "append", GroupStateTimeout.NoTimeout)
+
+
+def settled(changes: DataFrame) -> DataFrame:
+    """Rows whose changes sum to one: what stands after all changes so far."""
+    kept = [c for c in changes.columns if c != "change"]
+    return changes.groupBy(*kept).agg(F.sum("change").alias("_n")).where("_n = 1").select(*kept)
+
+
 def counts_by_window(rows: DataFrame, event_time: str, width: str, *keys: str, delay: str = "1 hour") -> DataFrame:
     w = F.window(event_time, width)
     return rows.withWatermark(event_time, delay).groupBy(w, *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
