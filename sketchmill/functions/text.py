@@ -72,8 +72,18 @@ def utf8(c: Column, errors: str = "ignore") -> Column:
     """Bytes as text: 'replace' keeps U+FFFD for bad bytes, 'ignore' drops them, 'strict' makes them an error."""
     if errors == "strict":
         return F.validate_utf8(c.cast("string"))
-    text = F.make_valid_utf8(c.cast("string"))
-    return F.replace(text, F.lit("�"), F.lit("")) if errors == "ignore" else text
+    if errors != "ignore":
+        return F.make_valid_utf8(c.cast("string"))
+    return let(c.cast("string"), _without_bad_bytes)
+
+
+def _without_bad_bytes(raw: Column) -> Column:
+    """Bad bytes become U+FFFD and go; where the text holds that character itself, it is written otherwise meanwhile (escaped reversibly)."""
+    bad, mark, own, twice = (F.lit(x) for x in ("\ufffd", "\ue000", "\ue000\ue001", "\ue000\ue002"))
+    dropped = lambda x: F.replace(F.make_valid_utf8(x), bad, F.lit(""))
+    hidden = F.replace(F.replace(raw, mark, twice), bad, own)
+    kept = F.replace(F.replace(dropped(hidden), own, bad), twice, mark)
+    return F.when(F.contains(raw, bad), kept).when(F.is_valid_utf8(raw), raw).otherwise(dropped(raw))
 
 
 def encode_base64(c: Column) -> Column:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from sketchmill.functions import metrics, preprocess, text
 
 
@@ -48,3 +50,14 @@ def test_arrows(column):
 def test_truncation(column):
     r = column(lambda c: metrics.truncate_words(c, c, 3, 2), "a b c", "a b c d", "")
     assert [(x["text"], x["truncated"]) for x in r] == [("a b c", False), ("a b", True), ("", False)]
+
+
+def test_ignored_bytes_are_the_bad_ones_alone(spark):
+    """As Python's decoder ignores them, also where U+FFFD and the marks that stand for it occur in the text itself."""
+    import random
+
+    draw = random.Random(6)
+    pieces = [b"a", "é".encode(), b"\xff", b"\xc3", b"\xe2\x82", "\ufffd".encode(), "\ue000".encode(), "\ue001".encode(), "\ue002".encode(), "😀".encode(), b"\xf0\x9f", b"\xed\xa0\x80"]
+    rows = [b"".join(draw.choice(pieces) for _ in range(draw.randint(0, 9))) for _ in range(400)]
+    frame = spark.createDataFrame([(bytearray(r),) for r in rows], "b binary")
+    assert all(r["t"] == bytes(r["b"]).decode(errors="ignore") for r in frame.select("b", text.utf8(F.col("b"), "ignore").alias("t")).collect())
