@@ -13,7 +13,7 @@ from .functions import metrics, preprocess, text
 from .operators import analysis, blocks, classify, consistency, curate, elements, images, lookup, scan, stats
 from .plans import corpora
 from .sources import readers, scratch, shards, sinks
-from .streaming import incremental
+from .streaming import incremental, submissions
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -977,3 +977,25 @@ def streamed_firsts(spark, d):
     changes = incremental.first_rows_stream(stream, "blob_id", "doc_id")
     changes.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
     return incremental.settled(spark.read.schema(changes.schema).parquet(f"{path}/out"))
+
+
+@query(
+    """SELECT 'o' || o_orderkey AS custom_id, CASE WHEN o_orderkey % 4 = 0 THEN 'expired' WHEN o_orderkey % 4 = 1 AND o_orderkey % 3 = 0 THEN 'expired' ELSE 'answered' END AS status,
+  CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 4 = 1 AND o_orderkey % 3 = 0 THEN NULL ELSE 'a' || o_orderkey END AS payload FROM orders"""
+)
+def tracked_submissions(spark, d):
+    """Requests and answers as files, followed by a stream in two runs from one checkpoint: a quarter is never answered, some answers come
+    after the limit."""
+    path = scratch.shared_path(spark, "submissions")
+    o = corpora.read(spark, d, "orders").select("o_orderkey", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("custom_id"))
+    sent = o.select("custom_id", F.timestamp_seconds(F.col("o_orderkey") % 600 + 86_400).alias("at"), F.lit("q").alias("payload"))
+    wait = F.when((F.col("o_orderkey") % 4 == 1) & (F.col("o_orderkey") % 3 == 0), 700).otherwise(60)
+    back = o.where("o_orderkey % 4 <> 0").select("custom_id", F.timestamp_seconds(F.col("o_orderkey") % 600 + 86_400 + wait).alias("at"), F.concat(F.lit("a"), F.col("o_orderkey").cast("string")).alias("payload"))
+    later = spark.range(1).select(F.lit("clock").alias("custom_id"), F.timestamp_seconds(F.lit(1_000_000)).alias("at"), F.lit("").alias("payload"))
+    for requests, answers in ((sent, back.where("o_orderkey % 2 = 1")), (later, back.where("o_orderkey % 2 = 0"))):
+        submissions.write_events(requests, f"{path}/requests")
+        submissions.write_events(answers, f"{path}/answers")
+        steps = submissions.track(submissions.events(spark, f"{path}/requests", f"{path}/answers"), "10 minutes", "2 hours")
+        steps.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    done = submissions.outcomes(spark.read.schema(submissions.RESULT).parquet(f"{path}/out"))
+    return done.where("custom_id <> 'clock'").select("custom_id", "status", "payload")
