@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,36 +35,46 @@ SEVERITY = {"info": 0, "warning": 1, "error": 2}
 THRESHOLD = 0.5
 
 
-def _add(parts: list[Column]) -> Column:
-    return functools.reduce(Column.__add__, parts, F.lit(0))
+def _literal_map(values: dict) -> Column:
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
+
+
+def _type_number(kind: Column) -> Column:
+    """The place of a type in the table, from 0; -1 if it has none."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, TABLE)), kind), F.lit(0)).cast("int") - 1
 
 
 def with_sums(analysis: DataFrame, kind: str = "primary_type", counts: str = "elements") -> DataFrame:
     """Adds _total (elements), _known (is the diagram's type in the table), _primary, _allowed, _forbidden (what its own type says of the
     elements) and _scores: array<struct<score, at, type>> of all types.
 
-    Each element of the table is looked up once; all else is plain arithmetic on these numbers, whose size is the table's.
+    The table is one map from an element to its weights, three for each type; a row's elements look up their weights, which are summed as
+    one array. So the plan's size doesn't grow with the table.
     """
-    names = sorted({e for parts in TABLE.values() for part in parts for e in part})
+    parts = [part for of_type in TABLE.values() for part in of_type]
+    names = sorted({e for part in parts for e in part})
+    weights = _literal_map({e: F.array(*[F.lit(int(e in part)) for part in parts]) for e in names})
+    none = F.array_repeat(F.lit(0), len(parts))
     map_ = F.coalesce(F.col(counts), F.create_map().cast("map<string,int>"))
-    rows = analysis.withColumn("_total", F.aggregate(F.map_values(map_), F.lit(0), lambda a, x: a + x))
-    rows = rows.withColumns({f"_n_{e}": F.coalesce(F.try_element_at(map_, F.lit(e)), F.lit(0)) for e in names})
-    sums = {(t, k): _add([F.col(f"`_n_{e}`") for e in part]) for t, parts in TABLE.items() for k, part in enumerate(parts)}
-    rows = rows.withColumns({f"_{k}_{t}": v for (t, k), v in sums.items()})
+
+    def add(sums: Column, entry: Column) -> Column:
+        own = F.coalesce(F.try_element_at(weights, entry["key"]), none)
+        return F.zip_with(sums, own, lambda x, w: x + w * entry["value"])
+
+    rows = analysis.withColumn("_total", F.aggregate(F.map_values(map_), F.lit(0), lambda x, v: x + v)).withColumn("_sums", F.aggregate(F.map_entries(map_), none, add))
+    rows = once(rows.withColumn("_number", _type_number(F.col(kind))), "_total", "_sums", "_number")
 
     def own(k: int) -> Column:
-        out = F.lit(0)
-        for t in TABLE:
-            out = F.when(F.col(kind) == t, F.col(f"_{k}_{t}")).otherwise(out)
-        return out
+        return F.when(F.col("_number") < 0, F.lit(0)).otherwise(F.get("_sums", 3 * F.col("_number") + k))
 
-    def score(t: str) -> Column:
-        return F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.col(f"_0_{t}"), F.col("_total")) - 0.5 * F.try_divide(F.col(f"_2_{t}"), F.col("_total")), F.lit(0.0)))
+    def score(t: Column) -> Column:
+        share = lambda k: F.try_divide(F.get("_sums", 3 * t + k), F.col("_total"))
+        return F.greatest(F.lit(0.0), F.coalesce(share(0) - 0.5 * share(2), F.lit(0.0)))
 
     # `at` falls, so that the first of equals is the greatest
-    scores = F.array(*[F.struct(score(t).alias("score"), F.lit(-k).alias("at"), F.lit(t).alias("type")) for k, t in enumerate(TABLE)])
-    known = F.coalesce(F.col(kind).isin(*TABLE), F.lit(False))
-    return rows.select(*analysis.columns, "_total", known.alias("_known"), own(0).alias("_primary"), own(1).alias("_allowed"), own(2).alias("_forbidden"), scores.alias("_scores"))
+    numbers, types = F.array(*map(F.lit, range(len(TABLE)))), F.array(*map(F.lit, TABLE))
+    scores = F.transform(numbers, lambda t: F.struct(score(t).alias("score"), (-t).alias("at"), F.get(types, t).alias("type")))
+    return rows.select(*analysis.columns, "_total", (F.col("_number") >= 0).alias("_known"), own(0).alias("_primary"), own(1).alias("_allowed"), own(2).alias("_forbidden"), scores.alias("_scores"))
 
 
 def consistency_score(kind: Column) -> Column:
@@ -89,10 +97,8 @@ def flags(kind: Column, counts: Column, confidence: Column) -> Column:
         said = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in details])
         return F.when(when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), said.alias("details")))
 
-    banned = shown = F.lit(None)
-    for t, (primary, _, forbidden_) in TABLE.items():
-        banned = F.when(kind == t, F.array(*map(F.lit, forbidden_))).otherwise(banned)
-        shown = F.when(kind == t, F.lit("[" + ", ".join(f"'{e}'" for e in primary[:3]) + "]")).otherwise(shown)
+    banned = F.try_element_at(_literal_map({t: F.array(*map(F.lit, forbidden_)) for t, (_, _, forbidden_) in TABLE.items()}), kind)
+    shown = F.try_element_at(_literal_map({t: F.lit("[" + ", ".join(f"'{e}'" for e in primary[:3]) + "]") for t, (primary, _, _) in TABLE.items()}), kind)
     held = F.filter(F.map_entries(counts), lambda e: F.array_contains(banned, e["key"]))
     listed = F.concat(F.lit("{"), F.array_join(F.transform(held, lambda e: F.concat(F.lit("'"), e["key"], F.lit("': "), e["value"].cast("string"))), ", "), F.lit("}"))
     forbidden = F.col("_forbidden") > 0
@@ -116,7 +122,7 @@ def validate(analysis: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """analysis: primary_type, elements, confidence, ... -> consistency_score, suggested_type, suggestion_confidence, flags, is_consistent."""
     kind = F.col("primary_type")
     summed = with_sums(analysis)
-    whole = _add([F.get("_scores", F.lit(k))["score"] for k in range(len(TABLE))])
+    whole = F.aggregate("_scores", F.lit(0.0), lambda x, s: x + s["score"])
     scored = summed.withColumn("consistency_score", consistency_score(kind)).withColumn("_best", F.array_max("_scores")).withColumn("_whole", whole)
     found = F.col("_best.score") > 0
     guessed = scored.withColumn("suggested_type", F.when(found, F.col("_best.type")).otherwise("unknown"))
