@@ -999,3 +999,66 @@ def tracked_submissions(spark, d):
         steps.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
     done = submissions.outcomes(spark.read.schema(submissions.RESULT).parquet(f"{path}/out"))
     return done.where("custom_id <> 'clock'").select("custom_id", "status", "payload")
+
+
+@query(
+    """WITH l AS (SELECT s_suppkey, 'f' || s_suppkey % 40 || '.puml' AS f FROM supplier WHERE s_suppkey % 3 = 0), n AS (SELECT count(DISTINCT f) AS failed FROM l),
+  h AS (SELECT unnest(['PlantUML Image Generation Statistics', '=====================================', '', 'Timestamp: now', 'Input directory: in', 'Output directory: out', '', 'Summary:', '  Total files:       1000',
+    '  Valid files:       ' || (1000 - failed), '  Failed files:      ' || failed, '  Images generated:  990', '  Success rate:      ' || ((1000 - failed) * 100 // 1000) || '%', '', 'Processing time: 2m 5s', '', 'Failed files list:', '==================']) AS value,
+    unnest(range(0, 18)) AS ord FROM n)
+  SELECT ord, value FROM h UNION ALL SELECT 17 + row_number() OVER (ORDER BY f) AS ord, f AS value FROM (SELECT DISTINCT f FROM l)"""
+)
+def render_report(spark, d):
+    s = corpora.read(spark, d, "supplier")
+    name = F.concat(F.lit("f"), (F.col("s_suppkey") % 40).cast("string"), F.lit(".puml"))
+    log = s.select(F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("Error line "), F.col("s_suppkey").cast("string"), F.lit(" in file: "), name)).otherwise("fine").alias("value"))
+    return images.render_report(log, 1000, 990, "in", "out", "now", 125)
+
+
+@query(
+    """SELECT r.recursive, file_name FROM (SELECT s_suppkey, s_suppkey % 2 = 0 AS nested, 's' || s_suppkey || CASE s_suppkey % 3 WHEN 0 THEN '.PUML' WHEN 1 THEN '.puml' ELSE '.puml.txt' END AS file_name FROM supplier) f,
+  (VALUES (true), (false)) r(recursive) WHERE s_suppkey % 3 = 1 AND (r.recursive OR NOT nested)"""
+)
+def listed_files(spark, d):
+    """Files found by a pattern in which case matters, right below a folder and at any depth."""
+    path, s = scratch.shared_path(spark, "listing"), corpora.read(spark, d, "supplier")
+    end = F.when(F.col("s_suppkey") % 3 == 0, ".PUML").when(F.col("s_suppkey") % 3 == 1, ".puml").otherwise(".puml.txt")
+    name = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), end)
+    sinks.write_diagrams(s.select(F.when(F.col("s_suppkey") % 2 == 0, "inner").alias("directory"), name.alias("file_name"), F.lit("x").alias("content")), path)
+    found = [readers.read_diagrams(spark, path, recursive=deep).select(F.lit(deep).alias("recursive"), "file_name") for deep in (True, False)]
+    return found[0].unionByName(found[1])
+
+
+@query(
+    f"""WITH {BLOBS}, nl AS (SELECT *, {COUNT.format('content')}::BIGINT AS n_lines FROM blobs WHERE content <> '')
+  SELECT doc_id, md5('  ' || blob_id || ';' || file_path || ';' || to_base64(encode(content)) || ' ') AS line_md5 FROM nl WHERE n_lines >= 5"""
+)
+def kept_lines(spark, d):
+    """Lines of diagrams that are long enough, kept byte for byte as they were read."""
+    b = corpora.blobs(spark, d).where("content <> ''")
+    line = F.concat(F.lit("  "), sinks.content_line(F.col("blob_id"), F.col("file_path"), F.col("content")), F.lit(" "))
+    parsed = b.select("doc_id", line.alias("value")).withColumn("text", text.utf8(text.decode_base64(F.get(text.fields(text.strip(F.col("value")), 3), F.lit(2)))))
+    return curate.length_filter(parsed, "text").select("doc_id", F.md5(F.col("value").cast("binary")).alias("line_md5"))
+
+
+@query(
+    """SELECT '2' AS version, 'nations' AS made_from, count(*) AS n, max(n_regionkey)::BIGINT AS last_region, to_json(list({'k': n_name, 'v': n_nationkey::BIGINT} ORDER BY n_name))::VARCHAR AS entries FROM nation"""
+)
+def report_envelope(spark, d):
+    """A report's metadata, statistics and entries, written as one document and read again."""
+    path = scratch.shared_path(spark, "envelope")
+    rows = corpora.read(spark, d, "nation").select("n_name", F.col("n_nationkey").cast("long").alias("nation"), F.col("n_regionkey").cast("long").alias("region"))
+    totals = rows.agg(F.count("*").alias("n"), F.max("region").alias("last_region"))
+    sinks.report_envelope(rows, "n_name", ("nation",), {"version": "2", "made_from": "nations"}, totals).write.text(path)
+    shape = "struct<metadata: struct<version: string, made_from: string>, statistics: struct<n: long, last_region: long>, results: map<string, struct<nation: long>>>"
+    read = spark.read.text(path, wholetext=True).select(F.from_json("value", shape).alias("j")).select("j.metadata.*", "j.statistics.*", F.map_entries("j.results").alias("e"))
+    entries = F.transform(F.array_sort("e"), lambda x: F.struct(x["key"].alias("k"), x["value"]["nation"].alias("v")))
+    return read.select("version", "made_from", "n", "last_region", F.to_json(entries).alias("entries"))
+
+
+@query("SELECT p_partkey, 2 AS participants FROM part")
+def message_participants(spark, d):
+    """Messages by arrows that only the message rule sees."""
+    forms = ("A{k} -->> B{k} : m", "A{k} .> B{k} : m", '"A {k}" --->> B{k} : m', "A{k} <-->> B{k} : m")
+    found = elements.with_elements(corpora.read(spark, d, "part").select("p_partkey", case("p_partkey", forms).alias("clean"), F.lit("sequence").alias("primary_type")))
+    return found.select("p_partkey", F.try_element_at("elements", F.lit("participant")).alias("participants"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .curate import assign_batches
+
 SUFFIXES = ("png", "jpg", "jpeg", "svg", "gif", "bmp")
 
 
@@ -36,3 +38,32 @@ def render_stats(log: DataFrame, total: int) -> DataFrame:
     return n.select(F.lit(total).cast("long").alias("total"), failed.alias("failed"), (F.lit(total) - failed).alias("valid")).withColumn(
         "percent", F.when(F.col("total") > 0, F.expr("valid * 100 div total")).otherwise(F.lit(0).cast("long"))
     )
+
+
+#: Lines of the rendering report: {} is filled in order (fixed layout).
+REPORT = (
+    "PlantUML Image Generation Statistics", "=====================================", "", "Timestamp: {timestamp}", "Input directory: {input}", "Output directory: {output}", "", "Summary:",
+    "  Total files:       {total}", "  Valid files:       {valid}", "  Failed files:      {failed}", "  Images generated:  {images}", "  Success rate:      {percent}%", "",
+    "Processing time: {minutes}m {seconds}s", "",
+)
+FAILED_LIST = ("Failed files list:", "==================")
+
+
+def render_report(log: DataFrame, total: int, images: int, source: str, target: str, timestamp: str, took: int) -> DataFrame:
+    """ord long, value: the report's lines. The counts are one row; the list of failed files (of the first format alone) stays a table, in the
+    order of their names, however long it is."""
+    stats = render_stats(log, total)
+    known = {"timestamp": F.lit(timestamp), "input": F.lit(source), "output": F.lit(target), "images": F.lit(str(images)), "minutes": F.lit(str(took // 60)), "seconds": F.lit(str(took % 60))}
+    filled = known | {c: F.col(c).cast("string") for c in ("total", "valid", "failed", "percent")}
+
+    def line(text: str) -> Column:
+        out = F.lit(text)
+        for name, value in filled.items():
+            out = F.replace(out, F.lit("{" + name + "}"), value) if "{" + name + "}" in text else out
+        return out
+
+    head = F.when(F.col("failed") > 0, F.array(*map(line, REPORT + FAILED_LIST))).otherwise(F.array(*map(line, REPORT)))
+    top = stats.select(F.posexplode(head).alias("ord", "value")).select(F.col("ord").cast("long").alias("ord"), "value")
+    names = log.select(F.regexp_extract("value", r"Error line .* in file: (.+)\z", 1).alias("value")).where("value <> ''").distinct()
+    listed = assign_batches(names, 1, "value", number="ord").select((F.col("ord") + len(REPORT + FAILED_LIST) - 1).alias("ord"), "value")
+    return top.unionByName(listed)
