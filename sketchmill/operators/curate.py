@@ -106,12 +106,15 @@ def assign_batches(rows: DataFrame, size: int, *order: str, number: str = "batch
     """batch int from 1 and its directory name, by the running ordinal over all rows in order; rows that tie go by a hash of all columns.
 
     The ordinal is counted in two steps, so no task sees all rows: rows are range-partitioned by the order, sorted in their partitions and
-    written to the shared folder with their place; the partitions' sizes (one small row each) then say where each begins.
+    written to the shared folder with their place; the partitions' sizes (one small row each) then say where each begins. Rows are stored
+    before that, so that what makes them runs once for the sample of the ranges and for the rows, and so that their size is known.
     """
     spark = rows.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())  # grows with the input
-    tie = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
-    keyed = rows.withColumn("_tie", tie)
+    first = shared_path(spark, "unordered-rows")
+    rows.write.parquet(first)
+    stored = spark.read.parquet(first)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), stored.rdd.getNumPartitions())  # of a plain scan: grows with its bytes
+    keyed = stored.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
     spread = keyed.repartitionByRange(parts, *[F.col(c) for c in order], F.col("_tie")).sortWithinPartitions(*order, "_tie")
     path = shared_path(spark, "ordered-rows")
     spread.drop("_tie").withColumn("_place", F.monotonically_increasing_id()).write.parquet(path)
