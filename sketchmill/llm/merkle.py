@@ -73,17 +73,14 @@ def numbered(rows: DataFrame, tree: str, *order: str, keep) -> tuple[DataFrame,
     one = Window.partitionBy("owner")
     before = one.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition at most
     runs = keep(runs.select("part", "owner", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(one).alias("size")), "runs")
-    much = runs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col("owner").cast("string"))), F.lit(0)).alias("b")).first()
-    small = much["n"] <= BROADCAST_RUNS and much["b"] <= BROADCAST_BYTES
-    runs = F.broadcast(runs) if much["n"] <= BROADCAST_RUNS and much["b"] <= BROADCAST_BYTES else runs
+    # a row a tree: how many nodes it has on each level that a long's size can have
+    on = [F.coalesce(F.sum(F.when(F.col("base") == 0, F.expr(f"(size - 1) div {FAN**k}L + 1"))), F.lit(0)).alias(f"n{k}") for k in range(16)]
+    about = runs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col("owner").cast("string"))), F.lit(0)).alias("b"), F.coalesce(F.max("size"), F.lit(0)).alias("most"), *on).first()
+    runs = F.broadcast(runs) if about["n"] <= BROADCAST_RUNS and about["b"] <= BROADCAST_BYTES else runs
     at = placed.withColumn("_part", part)
     met = at.join(runs, (at["_part"] == runs["part"]) & at[tree].eqNullSafe(runs["owner"]))
-    most = runs.agg(F.max("size")).first()[0] or 0
-    heights = [0]
-    while most > FAN ** heights[-1]:
-        heights.append(heights[-1] + 1)
-    nodes = runs.where("base = 0").agg(*[F.coalesce(F.sum(F.expr(f"(size + {FAN**k - 1}L) div {FAN**k}L")), F.lit(0)).alias(f"n{k}") for k in heights]).first()  # a row a tree
-    return met.select(*rows.columns, (F.col("base") + F.col("place") - F.col("start")).alias("number"), "size"), list(nodes)
+    sizes = [about[f"n{k}"] for k in range(16) if k == 0 or FAN ** (k - 1) < about["most"]]
+    return met.select(*rows.columns, (F.col("base") + F.col("place") - F.col("start")).alias("number"), "size"), sizes
 
 
 # ---------------------------------------------------------------- supersteps
@@ -220,7 +217,7 @@ def verify(claims: DataFrame) -> DataFrame:
         subroots = spark.createDataFrame(forest.roots(), T.StructType([T.StructField("source", claims.schema["source"].dataType), *T.StructType.fromDDL("level int, subroot string").fields]), verifySchema=False)
         upper, above = numbered(subroots.withColumn("all", F.lit(0)), "all", "source", keep=keep)
         crown = Forest(spark, upper.rdd.map(lambda r: ((0, r["number"]), (r["size"], r["subroot"], r["source"], r["level"]))), above)
-        root, height = crown.roots().map(lambda t: (t[2], t[1])).first()  # one tree
+        ((_, height, root),) = crown.roots().collect()  # one tree
         told = crown.descend(spark.sparkContext.parallelize([(0, height, None, [])], 1))
         tops = forest.keep(told.map(lambda t: (t[1][1], t[1][2], t[1][0], t[2])), "tops", len(sizes) - 1)
 
