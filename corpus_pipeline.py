@@ -37,7 +37,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component stays. Rows are told apart by doc_id and text: a doc_id that occurs with texts of several components
-    stays once for each of them."""
+    stays once for each of them. Null and empty texts are linked with nothing but their own repeated rows, and stay; an empty table gives
+    no rows."""
     hidden, restore = shield(docs, "doc_id", "text")
     kept = near_dedup.one_a_component(docs.select("doc_id", "text")).toDF("id", "hash", "count")
     kept = spark.read.parquet(write_table(kept, "kept"))
