@@ -26,6 +26,8 @@ KEYS = ("source", "lang", "tokenizer")
 #: Versions: a vocabulary file's path, or None for words `[^\x20\x09-\x0D]+`.
 WORDS = "words-1"
 BPE = "byte-bpe-50k-1"
+#: Ids whose texts are to be counted in a second form are broadcast up to so many (16 MB of longs); beyond, all texts are counted in both.
+BROADCAST_IDS = 1_000_000
 
 
 def production_versions() -> dict[str, str | None]:
@@ -147,12 +149,15 @@ def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     (as revised, if they were); then tries the first batch again, which changes nothing."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    squeezed = documents.withColumn("squeezed", F.regexp_replace("text", r"\s+", " "))
+    squeezed = F.regexp_replace("text", r"\s+", " ")
+    revised_ids = labels.where("quality = 0 AND doc_id IS NOT NULL").select("doc_id", F.lit(True).alias("revised"))
+    if revised_ids.count() <= BROADCAST_IDS:  # the other texts' second form is null, and isn't counted
+        documents, squeezed = documents.join(F.broadcast(revised_ids), "doc_id", "left"), F.when(F.col("revised"), squeezed)
     low, now = F.coalesce(F.col("quality") == 0, F.lit(False)), F.col("n_tokens_squeezed").alias("n_tokens")
     rollup = Rollup(spark, scratch_path(spark, "token-rollup"))
     with working_tables(spark) as keep:
-        # Both forms of each text are counted where it is read: only numbers meet the labels, and no text is ever shuffled.
-        counts = keep(count_tokens(squeezed, production_versions(), ("text", "squeezed"), ("doc_id", "source", "lang")), "token-counts")
+        # Both forms of a text are counted where it is read: no text is ever shuffled.
+        counts = keep(count_tokens(documents.withColumn("squeezed", squeezed), production_versions(), ("text", "squeezed"), ("doc_id", "source", "lang")), "token-counts")
         marked = keep(counts.join(labels.where("quality = 0 OR toxic = 1"), "doc_id"), "marked-counts")
         before = counts.select(*KEYS, "n_tokens")
         recounted = marked.where(low)

@@ -1,5 +1,7 @@
 from collections import Counter
 
+import pytest
+
 from sketchmill.llm import token_rollup
 from sketchmill.llm.packing import default_tokenizer_path, encode
 
@@ -8,7 +10,10 @@ def tokens(name, text):
     return len((text or "").split()) if name == token_rollup.WORDS else len(encode(default_tokenizer_path(), text or ""))
 
 
-def test_query(spark, tables):
+@pytest.mark.parametrize("ids", [0, 1000])
+def test_query(spark, tables, monkeypatch, ids):
+    """With the second form counted for all texts, and for the marked ones alone."""
+    monkeypatch.setattr(token_rollup, "BROADCAST_IDS", ids)
     docs = [(k, f"word{k}  two\n\nthree" * (k % 4), ["en", None][k % 2], ["a", "b", None][k % 3]) for k in range(20)] + [(50, None, "en", "a"), (3, "again", "fr", "a"), (None, "x y", "en", "a"), (60, "z " * 50_000, "en", "hot")]
     labels = [(0, 0, 0), (1, 0, 1), (2, 1, 1), (50, 0, 1), (3, 0, 0), (3, 1, 0), (999, 0, 1), (None, 0, 1), (5, None, None)]
     got = token_rollup.op1_token_rollup(spark, tables(documents=docs, labels=labels)).collect()
