@@ -53,7 +53,7 @@ def test_run_and_registry(spark, tmp_path):
     build(tmp_path, spark)
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() >= 80
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5
 
 
