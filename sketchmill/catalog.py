@@ -283,7 +283,7 @@ def split_blocks(spark, d):
 @query(
     """WITH b AS (SELECT CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE 'u' || user_id % 20 END AS stem, event_id, event_id * 8 + 2 AS first_line, event_id * 8 + CASE WHEN event_id % 7 <> 0 THEN 4 ELSE 6 END AS last_line
     FROM events WHERE event_id % 7 <> 0 OR event_id % 11 = 0)
-  SELECT stem, row_number() OVER (PARTITION BY stem ORDER BY event_id) AS part, first_line, last_line, CASE WHEN event_id % 7 <> 0 THEN 3 ELSE 4 END AS n_lines,
+  SELECT stem, row_number() OVER (PARTITION BY stem ORDER BY event_id) AS part, first_line, last_line, CASE WHEN event_id % 7 <> 0 THEN 3 ELSE 4 END::BIGINT AS n_lines,
     9 + 1 + length(event_id::VARCHAR) + CASE WHEN event_id % 7 <> 0 THEN 7 ELSE 17 + 8 END AS n_chars FROM b"""
 )
 def split_scan(spark, d):
