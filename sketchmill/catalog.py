@@ -992,10 +992,11 @@ def tracked_submissions(spark, d):
     wait = F.when((F.col("o_orderkey") % 4 == 1) & (F.col("o_orderkey") % 3 == 0), 700).otherwise(60)
     back = o.where("o_orderkey % 4 <> 0").select("custom_id", F.timestamp_seconds(F.col("o_orderkey") % 600 + 86_400 + wait).alias("at"), F.concat(F.lit("a"), F.col("o_orderkey").cast("string")).alias("payload"))
     later = spark.range(1).select(F.lit("clock").alias("custom_id"), F.timestamp_seconds(F.lit(1_000_000)).alias("at"), F.lit("").alias("payload"))
+    buckets = o.count() // 1000 + 1
     for requests, answers in ((sent, back.where("o_orderkey % 2 = 1")), (later, back.where("o_orderkey % 2 = 0"))):
         submissions.write_events(requests, f"{path}/requests")
         submissions.write_events(answers, f"{path}/answers")
-        steps = submissions.track(submissions.events(spark, f"{path}/requests", f"{path}/answers"), "10 minutes", "2 hours")
+        steps = submissions.track(submissions.events(spark, f"{path}/requests", f"{path}/answers"), "10 minutes", "2 hours", buckets)
         steps.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
     done = submissions.outcomes(spark.read.schema(submissions.RESULT).parquet(f"{path}/out"))
     return done.where("custom_id <> 'clock'").select("custom_id", "status", "payload")

@@ -48,3 +48,17 @@ def test_stopped_and_started_again(spark, tmp_path, seed, stops):
     assert got == want
     told = [(r["custom_id"], r["status"]) for r in made.collect()]
     assert len(told) == len(set(told)) == 2 * len(want) - 1  # each step once
+
+
+def test_requests_share_the_state_of_their_bucket(spark, tmp_path):
+    rows, want = case(3)
+    folders = [str(tmp_path / "requests"), str(tmp_path / "answers")]
+    for kind, folder in enumerate(folders):
+        submissions.write_events(spark.createDataFrame([(c, START + timedelta(seconds=at), p) for at, k, c, p in rows if k == kind], submissions.EVENT).coalesce(1), folder)
+    steps = submissions.track(submissions.events(spark, *folders), "10 minutes", "1 second", buckets=3)
+    q = steps.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    made = spark.read.schema(submissions.RESULT).parquet(str(tmp_path / "out"))
+    assert {r["custom_id"]: (r["status"], r["at"], r["payload"]) for r in submissions.outcomes(made).collect()} == want
+    assert made.count() == 2 * len(want) - 1
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3  # a state and a call a bucket, not a request
