@@ -974,7 +974,7 @@ def streamed_firsts(spark, d):
     rows = corpora.blobs(spark, d).select("blob_id", "doc_id", "file_path")
     rows.orderBy(F.desc("doc_id")).coalesce(6).write.parquet(f"{path}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
-    changes = incremental.first_rows_stream(stream, "blob_id", "doc_id")
+    changes = incremental.first_rows_stream(stream, "blob_id", "doc_id", buckets=rows.count() // 1000 + 1)
     changes.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
     return incremental.settled(spark.read.schema(changes.schema).parquet(f"{path}/out"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.preprocess import preprocess
 from ..operators.curate import extraction_outcome, has_diagram_extension, length_filter, path_records
@@ -28,18 +29,21 @@ def dedup_stream(rows: DataFrame, key: str, event_time: str, delay: str = "1 hou
     return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def first_rows_stream(rows: DataFrame, key: str, *order: str) -> DataFrame:
+def first_rows_stream(rows: DataFrame, key: str, *order: str, buckets: int = 1 << 14) -> DataFrame:
     """The first row of each key in the given order, whatever order rows arrive in: the columns of rows, and change int.
 
     A key's least row so far is held in state. A row that comes before it is emitted with change 1, and the one that it replaces with
-    change -1; summing changes up (`settled`) gives at any time what a batch over all rows so far gives. Rows of null key have none. State is
-    a row a key; it is kept for as long as the query runs, as a late row may always come.
+    change -1; summing changes up (`settled`) gives at any time what a batch over all rows so far gives. Rows of null key have none. State
+    is kept for as long as the query runs, as a late row may always come. Keys are spread over so many buckets by hash; keys of a bucket share
+    a call and a state row, which a batch that touches it reads and writes whole: take a thousandth of the keys where batches are large, more
+    where they are small. Fixed for the life of a checkpoint.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     columns, kinds = rows.columns, rows.schema
-    ranks = [columns.index(c) for c in (*order, *[c for c in columns if c != key and c not in order])]
+    whole = {k for k, f in enumerate(kinds) if isinstance(f.dataType, IntegralType)}  # sent as text: pandas would turn those beside nulls into floats
+    at, ranks = columns.index(key), [columns.index(c) for c in (*order, *[c for c in columns if c != key and c not in order])]
 
     def rank(row: tuple) -> tuple:
         """Nulls come first, as in a batch."""
@@ -48,26 +52,32 @@ def first_rows_stream(rows: DataFrame, key: str, *order: str) -> DataFrame:
     def plain(v):
         if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
             return None
-        return v.item() if hasattr(v, "item") else v
+        if isinstance(v, bytearray):
+            return bytes(v)
+        return v.to_pydatetime() if hasattr(v, "to_pydatetime") else v.item() if hasattr(v, "item") else v
 
     def keep(_, frames, state):
-        held = state.get if state.exists else None
-        least = tuple(held) if held is not None else None
-        before = least
+        held = [tuple(map(plain, row)) for row in state.get[0]] if state.exists else []
+        least = {row[at]: row for row in held}
+        before = {}  # of the keys whose row has changed: the row that was held
         for frame in frames:
             for row in frame[columns].astype(object).itertuples(index=False, name=None):
-                row = tuple(map(plain, row))
-                if least is None or rank(row) < rank(least):
-                    least = row
-        out = []
-        if least != before:
-            state.update(least)
-            out = [(*least, 1)] if before is None else [(*before, -1), (*least, 1)]
-        yield pd.DataFrame(out, columns=[*columns, "change"])
+                row = tuple(int(v) if k in whole and v is not None else v for k, v in enumerate(map(plain, row)))
+                now = least.get(row[at])
+                if now is None or rank(row) < rank(now):
+                    before.setdefault(row[at], now)
+                    least[row[at]] = row
+        if before:
+            state.update(([*least.values()],))
+            out = [(*row, -1) for row in before.values() if row is not None] + [(*least[k], 1) for k in before]
+            yield pd.DataFrame(out, columns=[*columns, "change"], dtype=object)
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)
-    grouped = rows.where(F.col(key).isNotNull()).groupBy(key)
-    return grouped.applyInPandasWithState(keep, f"{ddl}, change int", ddl, "append", GroupStateTimeout.NoTimeout)
+    held = "rows array<struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in kinds) + ">>"
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("_bucket")
+    sent = [F.col(f.name).cast("string").alias(f.name) if k in whole else F.col(f.name) for k, f in enumerate(kinds)]
+    grouped = rows.where(F.col(key).isNotNull()).select(*sent, bucket).groupBy("_bucket")
+    return grouped.applyInPandasWithState(keep, f"{ddl}, change int", held, "append", GroupStateTimeout.NoTimeout)
 
 
 def settled(changes: DataFrame) -> DataFrame:
