@@ -136,6 +136,7 @@ def make_blocks(documents: DataFrame) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
+        import pandas as pd
         import pyarrow as pa
         from pyspark import TaskContext
 
@@ -147,7 +148,7 @@ def make_blocks(documents: DataFrame) -> DataFrame:
                 start, end, first = spans(part, off, SPACED_WORD)
                 tokens = np.insert(word_hashes(part, start, end), first[1:], END)
                 sizes = np.diff(first) + 1
-                vocabulary, ids = np.unique(np.append(tokens, BEGIN), return_inverse=True)
+                ids, vocabulary = pd.factorize(np.append(tokens, BEGIN))
                 order = np.argsort(-np.bincount(ids), kind="stable")
                 rank = np.empty(len(order), np.int32)
                 rank[order] = np.arange(len(order))
@@ -166,6 +167,15 @@ def make_blocks(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text", "learn").mapInArrow(cut, f"block long, docs array<{kind}>, cuts binary, ids binary, vocabulary binary, known binary, n_words long, n_tokens long")
 
 
+def within(hashes: np.ndarray, buckets: int, part: tuple[int, int]) -> np.ndarray:
+    """Places of the hashes in a share of the buckets: the k-th of n runs of whole buckets; part: (k, n)."""
+    low, high = (k * buckets // part[1] for k in (part[0], part[0] + 1))
+    if low == high:
+        return np.zeros(0, np.int64)
+    first, last = -(-(low << 64) // buckets), -(-(high << 64) // buckets) - 1
+    return np.flatnonzero((hashes >= np.uint64(first)) & (hashes <= np.uint64(last)))
+
+
 def parts_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Bounds of the buckets in sorted hashes: a bucket is a range of hashes."""
     edges = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], object).astype(np.uint64) if buckets > 1 else np.zeros(0, np.uint64)
@@ -176,20 +186,19 @@ REQUEST = "bucket int, block long, keys binary, n binary"
 ANSWER = "stage int, bucket int, block long, n binary, sums array<double>"
 
 
-def request_rows(block: int, keys: np.ndarray, arrays: list[np.ndarray], buckets: int, part: tuple[int, int] = (0, 1)):
-    """keys: sorted; arrays: of the same length (none: the block only asks). part (k, n): buckets whose number is k modulo n."""
+def request_rows(block: int, keys: np.ndarray, arrays: list[np.ndarray], buckets: int):
+    """keys: sorted; arrays: of the same length (none: the block only asks)."""
     import pyarrow as pa
 
     cut = parts_of(keys, buckets)
     some = np.flatnonzero(np.diff(cut))
-    some = some[some % part[1] == part[0]]
     held = [pack_keys(keys[cut[k] : cut[k + 1]]) for k in some]
     told = [pack(*[a[cut[k] : cut[k + 1]] for a in arrays]) if arrays else b"" for k in some]
     return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([block] * len(some), pa.int64()), pa.array(held, pa.binary()), pa.array(told, pa.binary())], ["bucket", "block", "keys", "n"])
 
 
 def answers(requests: DataFrame, stage: int, arrays: int, combine) -> DataFrame:
-    """combine(place of each entry's key, sorted keys, [arrays, entries]) -> arrays by entry, sums. Rows of a block under 0 only tell."""
+    """combine(place of each entry's key, distinct keys, [arrays, entries]) -> arrays by entry, sums. Rows of a block under 0 only tell."""
 
     def reply(frame):
         import pandas as pd
@@ -197,7 +206,7 @@ def answers(requests: DataFrame, stage: int, arrays: int, combine) -> DataFrame:
         frame = frame.sort_values("block")
         keys = [unpack_keys(x) for x in frame["keys"]]
         told = np.concatenate([unpack(x, arrays) if x else np.zeros((arrays, len(k)), np.int32) for x, k in zip(frame["n"], keys)], 1)
-        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        place, distinct = pd.factorize(np.concatenate(keys))
         outs, sums = combine(place, distinct, told)
         ends = np.append(0, np.cumsum([len(x) for x in keys]))
         asks = np.flatnonzero(frame["block"].to_numpy() >= 0)
@@ -244,21 +253,40 @@ class Block:
 
 
 def pair_hashes(vocabulary: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(vocabulary[u] * np.uint64(0xA0761D6478BD642F) + vocabulary[w] * np.uint64(0xE7037ED1A0B428DB))
+    return mix((vocabulary * np.uint64(0xA0761D6478BD642F))[u] + (vocabulary * np.uint64(0xE7037ED1A0B428DB))[w])
+
+
+def token_ids(row: dict, vocabulary: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of a block: learn and size of each document, local id of each token and of the token before it."""
+    learn, sizes = unpack(row["cuts"], 2)
+    ids = unpack(row["ids"])[0]
+    before = np.empty(len(ids), np.int64)
+    before[1:] = ids[:-1]
+    before[np.append(0, np.cumsum(sizes))[:-1]] = int(np.flatnonzero(vocabulary == BEGIN)[0])
+    return learn.astype(bool), sizes, ids, before
+
+
+def asked(row: dict, buckets: int, part: tuple[int, int]) -> np.ndarray:
+    """Sorted hashes of a block's pairs in a share of the buckets: the others are left out before pairs are told apart and sorted."""
+    import pandas as pd
+
+    vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
+    n, (*_, ids, before) = len(vocabulary), token_ids(row, vocabulary)
+    some = within(pair_hashes(vocabulary, before, ids), buckets, part)
+    code = pd.unique(before[some] * n + ids[some])
+    return np.sort(pair_hashes(vocabulary, code // n, code % n))
 
 
 class Tokens(Block):
     """A block with its token ids: its pairs u, w (local ids) in the order of their hashes, and the pair of each token."""
 
     def __init__(self, row: dict, constants: dict):
+        import pandas as pd
+
         super().__init__(row, constants)
-        learn, self.sizes = unpack(row["cuts"], 2)
-        self.learn, self.ids = learn.astype(bool), unpack(row["ids"])[0]
+        self.learn, self.sizes, self.ids, before = token_ids(row, self.vocabulary)
         n = len(self.vocabulary)
-        before = np.empty(len(self.ids), np.int64)
-        before[1:] = self.ids[:-1]
-        before[np.append(0, np.cumsum(self.sizes))[:-1]] = int(np.flatnonzero(self.vocabulary == BEGIN)[0])
-        code, pair_of = np.unique(before * n + self.ids, return_inverse=True)
+        pair_of, code = pd.factorize(before * n + self.ids)
         u, w = code // n, code % n
         keys = pair_hashes(self.vocabulary, u, w)
         order = np.argsort(keys)
@@ -297,13 +325,13 @@ class Owned(Block):
         self.w = upto - np.repeat(upto[first] - w[first], np.diff(np.append(first, len(u))))
         self.keys = pair_hashes(self.vocabulary, self.u, self.w)
 
-    def tables(self, level: int, chain: int) -> np.ndarray:
-        """Tables of each pair."""
+    def tables(self, level: int, chain: int, some: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Tables of each pair, or of some pairs."""
         if level == 0:
-            return np.ones(len(self.u), np.int64)
+            return np.ones(len(self.u), np.int64)[some]
         d, state = self.constants["discount"], self.state(level - 1, chain)
-        others = np.maximum(state[0][self.u] - 1, 0)  # the context's tables so far, less the pair's first
-        return seat(self.keys, self.pair_count, (STRENGTH + d * others) * self.parent(level - 1, chain, state)[self.w], d, level * CHAINS + chain)
+        others = np.maximum(state[0] - 1, 0)[self.u[some]]  # the context's tables so far, less the pair's first
+        return seat(self.keys[some], self.pair_count[some], (STRENGTH + d * others) * self.parent(level - 1, chain, state)[self.w[some]], d, level * CHAINS + chain)
 
     def sums(self, level: int) -> list[np.ndarray]:
         """Tables of the pairs, by context and by word, chain by chain."""
@@ -313,12 +341,11 @@ class Owned(Block):
             out += [np.bincount(x, t, len(self.vocabulary)).astype(np.int32) for x in (self.u, self.w)]
         return out
 
-
-    def drawn(self, seatings: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The hashes of the pairs in their order, and with it their counts and the tables of every level and chain."""
-        order = np.argsort(self.keys)
-        arrays = [self.pair_count, *[self.tables(1 + k // CHAINS, k % CHAINS) for k in range(seatings)]]
-        return self.keys[order], [a[order] for a in arrays]
+    def drawn(self, seatings: int, buckets: int, part: tuple[int, int] = (0, 1)) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The hashes of a share's pairs in their order, and with it their counts and the tables of every level and chain."""
+        some = within(self.keys, buckets, part)
+        some = some[np.argsort(self.keys[some])]
+        return self.keys[some], [self.pair_count[some], *[self.tables(1 + k // CHAINS, k % CHAINS, some) for k in range(seatings)]]
 
 
 #: Stages of answers: words' counts, owned pairs' counts, then a state a level, then the pairs' tables.
@@ -433,8 +460,8 @@ def score(documents: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
     drawn = list(range(STATES, STATES + sweeps))
     for k in range(PASSES):
         part = (k, PASSES)
-        tell = each(told(owned, drawn, "vocabulary", "pairs"), Owned, lambda block, view, part=part: request_rows(-1 - block, *view.drawn(made), pair_buckets, part), REQUEST)
-        ask = each(tokens, Tokens, lambda block, view, part=part: request_rows(block, view.keys, [], pair_buckets, part), REQUEST)
+        tell = each(told(owned, drawn, "vocabulary", "pairs"), Owned, lambda block, view, part=part: request_rows(-1 - block, *view.drawn(made, pair_buckets, part), pair_buckets), REQUEST)
+        ask = each(tokens, lambda row, _, part=part: asked(row, pair_buckets, part), lambda block, keys: request_rows(block, keys, [], pair_buckets), REQUEST)
         keep(tell.unionByName(ask), constants["tables"], 1 + made, _pass_on)
     constants["widths"][constants["tables"]] = 1 + made
     drop_table(spark, paths[STATES][0])

@@ -219,3 +219,28 @@ def test_scores_by_brute_force(spark, monkeypatch, sweeps):
     rows = pitman_yor.score(spark.createDataFrame(docs, "doc_id long, text string, learn boolean").repartition(3), sweeps).collect()
     assert len(rows) == len(docs) and all(r["train_tokens"] == n for r in rows)
     assert all(r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-9) for r in rows)
+
+
+def test_a_pass_looks_at_its_share_alone(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    docs = [(k, " ".join(f"w{x}" for x in draw.zipf(1.6, 60) % 50), k % 7 != 2) for k in range(30)]
+    row = pitman_yor.make_blocks(spark.createDataFrame(docs, "doc_id long, text string, learn boolean").coalesce(1)).first().asDict()
+    for buckets, passes in ((10, 4), (3, 4), (1, 1)):
+        keys = pitman_yor.Tokens(row, {}).keys
+        shares = [pitman_yor.asked(row, buckets, (k, passes)) for k in range(passes)]
+        assert np.concatenate(shares).tolist() == keys.tolist()  # each pair in one pass, in order
+        bounds = set(pitman_yor.parts_of(keys, buckets).tolist())
+        assert set(np.cumsum([len(x) for x in shares]).tolist()) <= bounds  # shares are whole buckets
+
+    seated, pairs, seat = [], [], pitman_yor.seat
+    monkeypatch.setattr(pitman_yor, "seat", lambda keys, *rest: seated.append(len(keys)) or seat(keys, *rest))
+    view = pitman_yor.Owned.__new__(pitman_yor.Owned)
+    n = 400
+    view.constants, view.vocabulary = {"discount": 0.5}, np.arange(20, dtype=np.uint64)
+    view.u, view.w, view.pair_count, view.keys = draw.integers(0, 20, n), draw.integers(0, 20, n), draw.integers(1, 9, n), pitman_yor.mix(np.arange(n, dtype=np.uint64))
+    view.state = lambda level, chain: np.ones((3, 20), np.int64)
+    view.parent = lambda level, chain, state: np.full(20, 0.05)
+    parts = [view.drawn(4, 10, (k, 4)) for k in range(4)]
+    assert sum(seated) == 4 * n  # once a level and chain, not once a pass
+    whole = view.drawn(4, 10)
+    assert [np.concatenate(x).tolist() for x in zip(*[(k, *a) for k, a in parts])] == [whole[0].tolist(), *[a.tolist() for a in whole[1]]]
